@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, mixing, secrets
+from quadro.llm import exact_dedup, minhash, mixing, secrets
 from quadro.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secrets.scan(table(spark, sf_dir, "documents"))
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
@@ -45,6 +49,7 @@ FROM n JOIN g ON n.t = g.t
 def queries() -> dict[str, Query]:
     return {
         "op1_pareto_mix": op1_pareto_mix,
+        "op3_tensored_minhash": op3_tensored_minhash,
         "op8_secret_ownership": op8_secret_ownership,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
     }
