@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, minhash, mixing, secrets
+from quadro.llm import exact_dedup, media, minhash, mixing, quality, secrets
 from quadro.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
 
@@ -34,6 +39,10 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"))
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measure(media.store(table(spark, sf_dir, "documents")))
+
+
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -49,8 +58,10 @@ FROM n JOIN g ON n.t = g.t
 def queries() -> dict[str, Query]:
     return {
         "op1_pareto_mix": op1_pareto_mix,
+        "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_tensored_minhash": op3_tensored_minhash,
         "op8_secret_ownership": op8_secret_ownership,
+        "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
     }
 

@@ -43,6 +43,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the index of its first word (and the end)."""
+    h, at, _ = located_words(data, offsets)
+    return h, at
+
+
+def located_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and the index of the word that each byte other than white space is in."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -52,14 +58,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:n]))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     used = np.flatnonzero(inside)
     first = np.searchsorted(used, starts)
     lengths = np.diff(np.append(first, len(used)))
-    at = np.arange(len(used)) - np.repeat(first, lengths)
+    word = np.repeat(np.arange(len(starts)), lengths)
+    at = np.arange(len(used)) - first[word]
     powers = np.cumprod(np.full(int(lengths.max()), _BASE))
     h = np.add.reduceat(_BYTE[data[used]] * powers[at], first)
-    return mix(h + lengths.astype(np.uint64)), np.searchsorted(starts, offsets)
+    return mix(h + lengths.astype(np.uint64)), np.searchsorted(starts, offsets), word
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
