@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from quadro.llm.common import stage
 from quadro.llm.components import components
-from quadro.llm.shingles import digest, mix, shingle_sets
+from quadro.llm.shingles import digest, mix, shingle_sets, slices
 
 SIDE, ROWS, PERCENT, LEAST_AGREE = 16, 4, 80, 74
 #: Shingles hashed at a time: they stay in the processor's cache.
@@ -78,7 +78,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = shingle_sets(b.column("text"), width)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands, short = np.zeros((len(sets), 2 * SIDE), np.int64), [None] * len(sets)
@@ -117,7 +117,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     wanted = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = shingle_sets(b.column("text"), width)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.large_binary())], names=["node", "found"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadro.llm.common import text_of
-from quadro.llm.shingles import _IS_SPACE, buffers, located_words
+from quadro.llm.shingles import _IS_SPACE, buffers, located_words, slices
 
 SYMBOLS, EMBED, FILTERS, HIDDEN, WIDTH, STRIDE, HALF = 512, 4, 16, 8, 8, 4, 32
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, STEPS, SEED = 3000, 1 << 17, 10, 32, 0.01, 600, 5
@@ -195,32 +195,20 @@ def classify(docs: DataFrame, net: Net) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(_batch_scores(net, b.column("text")))], names=schema.names)
+        for b in slices(batches, most=BLOCK):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores(net, *buffers(b.column("text"))))], names=schema.names)
 
     scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(one, schema)
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
 
 
-def _batch_scores(net: Net, texts: pa.Array) -> np.ndarray:
-    """Scores whole texts, some at a time: memory follows the longest text, not the batch."""
-    data, offsets = buffers(texts)
-    out, a = np.empty(len(texts)), 0
-    while a < len(texts):
-        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK)) - 1)
-        z = min(z, len(texts))
-        out[a:z] = scores(net, data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-        a = z
-    return out
-
-
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     net = train(docs, labels)
     schema = T.StructType([*docs.schema.fields])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_batch_scores(net, b.column("text")) >= KEEP_FROM))
+        for b in slices(batches, most=BLOCK):
+            yield b.filter(pa.array(scores(net, *buffers(b.column("text"))) >= KEEP_FROM))
 
     return docs.mapInArrow(one, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, media, minhash, mixing, quality, secrets
+from quadro.llm import exact_dedup, media, minhash, mixing, pieces, quality, secrets
 from quadro.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
 
 
+def vocabulary() -> pieces.Vocabulary:
+    import public_tokenizers
+
+    return pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pieces.encode(table(spark, sf_dir, "documents"), vocabulary())
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secrets.scan(table(spark, sf_dir, "documents"))
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
@@ -60,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_pareto_mix": op1_pareto_mix,
         "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_tensored_minhash": op3_tensored_minhash,
+        "op5_piece_lattice": op5_piece_lattice,
         "op8_secret_ownership": op8_secret_ownership,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,

@@ -8,6 +8,7 @@ order. A shingle stands for its words up to a 64-bit hash collision.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and len(texts) + 1 offsets into them; null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return flat, at - at[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, some at a time: at most `most` bytes of texts, or
+    one row. Memory then follows the longest text, not the batch."""
+    for b in batches:
+        _, at = buffers(b.column(column))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the index of its first word (and the end)."""
     h, at, _ = located_words(data, offsets)
