@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, media, minhash, mixing, pieces, quality, secrets
-from quadro.llm.common import table
+from quadro.llm import exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, warc
+from quadro.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,37 @@ def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
 
 
+def _damaged(record: Column) -> Column:
+    """A replica's copy of a record: some are lost, cut short, or have a flipped character."""
+    of = lambda k, r: F.coalesce(F.pmod("page_id", F.lit(k)) == r, F.lit(False))
+    size, half = F.length(record), F.floor(F.length(record) / 2).cast("int")
+    flipped = F.concat(F.substring(record, F.lit(1), half), F.lit("\x7f"), F.substring(record, half + 2, size))
+    return F.when(of(997, 13), F.lit(None)).when(of(499, 7), F.substring(record, F.lit(1), size - 1)).when(of(251, 3), flipped).otherwise(record)
+
+
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records, replica = stage(warc.leaves(pages), "records"), stage(warc.leaves(pages, _damaged), "replica")
+    found = warc.audit(records, replica).select("file_no", "seq", "status")
+    return records.join(found, ["file_no", "seq"], "left").select(
+        "page_id", "file_no", "seq", F.col("start").alias("offset"), "length", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+OP6_SQL = """
+WITH r AS (SELECT page_id, coalesce(url, '') AS url, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+d AS (SELECT page_id, url, page_id // 512 AS file_no, strlen(record) AS length, sha256(record) AS sha256 FROM r)
+SELECT page_id, file_no, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256,
+  CASE WHEN page_id % 997 = 13 THEN 'missing' WHEN page_id % 499 = 7 OR page_id % 251 = 3 THEN 'changed' ELSE 'intact' END AS status
+FROM d WINDOW w AS (PARTITION BY file_no ORDER BY page_id, url, sha256 ROWS UNBOUNDED PRECEDING)
+"""
+
+
+def op7_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secrets.scan(table(spark, sf_dir, "documents"))
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
@@ -72,6 +103,8 @@ def queries() -> dict[str, Query]:
         "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_tensored_minhash": op3_tensored_minhash,
         "op5_piece_lattice": op5_piece_lattice,
+        "op6_merkle_audit": op6_merkle_audit,
+        "op7_crf_extraction": op7_crf_extraction,
         "op8_secret_ownership": op8_secret_ownership,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
@@ -79,4 +112,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chunk_recipe_dedup": OP10_SQL}
+    return {"op6_merkle_audit": OP6_SQL, "op10_chunk_recipe_dedup": OP10_SQL}
