@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, warc
+from quadro.llm import exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, suffixes, warc
 from quadro.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.cut(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def vocabulary() -> pieces.Vocabulary:
     import public_tokenizers
 
@@ -102,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op1_pareto_mix": op1_pareto_mix,
         "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_tensored_minhash": op3_tensored_minhash,
+        "op4_suffix_array": op4_suffix_array,
         "op5_piece_lattice": op5_piece_lattice,
         "op6_merkle_audit": op6_merkle_audit,
         "op7_crf_extraction": op7_crf_extraction,
