@@ -1,5 +1,77 @@
-"""placeholder"""
+"""A corpus from raw documents to piece ids, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
+kept; run() writes every stage's rows as Parquet and rereads them as the next one's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadro.llm import exact_dedup, minhash, mixing, pieces, quality
+from quadro.llm.common import stage, table
+from quadro.llm.queries import vocabulary
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null included) and digest `kept` holds."""
+    kept = kept.withColumnsRenamed({c: f"_{c}" for c in kept.columns}).distinct()
+    d = docs.withColumn("_digest", F.sha2(exact_dedup.normalised("text"), 256))
+    same = d["doc_id"].eqNullSafe(kept["_doc_id"])
+    if "_text_sha256" in kept.columns:
+        same &= d["_digest"] == kept["_text_sha256"]
+    return d.join(kept, same, "left_semi").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id (rows that repeat it stay together)."""
+    return _only(docs, exact_dedup.exact_groups(docs).where("kept").select("doc_id", "text_sha256"))
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8."""
+    return _only(docs, minhash.near_groups(docs).where("kept").select("doc_id"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_doc_id")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids, round_trip of every row."""
+    d = pieces.encode(docs, vocabulary())
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", no_near_copies),
+    ("source_mix", mixed_sources),
+    ("piece_encoding", piece_ids),
+]
+
+#: SQL can't express the classifier, MinHash or the hashed draw: tests/llm compares each
+#: stage with a brute-force version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return docs

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, and the words it separates.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Settings of a write whose tasks send whole texts to Python: memory follows these rows.
+SHORT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,21 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     This cuts the lineage as a checkpoint does, but later readers prune columns,
     and a lost executor costs a re-read instead of a recomputation. Nothing reads the
     write's shuffle files again: Spark is told to drop them when it ends.
+
+    settings: session settings that hold for this write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES)
-    spark.conf.set(DROP_SHUFFLES, "true")
+    settings = {DROP_SHUFFLES: "true"} | (settings or {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadro.llm.common import stage
+from quadro.llm.common import SHORT_BATCHES, stage
 from quadro.llm.components import components
 from quadro.llm.shingles import digest, mix, shingle_sets, slices
 
@@ -127,7 +127,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Of pairs (u, v) those that are similar on their full sets."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stage(_sets_of(docs, nodes, width), "sets")
+    sets = stage(_sets_of(docs, nodes, width), "sets", SHORT_BATCHES)
     d = pairs.join(sets.withColumnsRenamed({"node": "v", "found": "set_v"}), "v")
     d = d.join(sets.withColumnsRenamed({"node": "u", "found": "set_u"}), "u").select("u", "v", "set_u", "set_v")
 
@@ -147,7 +147,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    prof = stage(profiles(docs, width), "profiles")
+    prof = stage(profiles(docs, width), "profiles", SHORT_BATCHES)
     classes = prof.where("n > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stage(classes, "classes")
@@ -165,9 +165,9 @@ def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
     stars = buckets.where(F.col("node") > F.col("hub.node")).where(near(F.col("n"), F.col("hub.n")))
-    stars = stage(_agreeing(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), nodes), "stars")
+    stars = stage(_agreeing(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), nodes), "stars", SHORT_BATCHES)
     best = stars.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v")
-    first = stage(_confirmed(best, docs, width), "confirmed")
+    first = stage(_confirmed(best, docs, width), "confirmed", SHORT_BATCHES)
     roots = components(first)
 
     labels = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
@@ -177,7 +177,7 @@ def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     other = several.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     across = several.join(other, "key").where(F.col("root") < F.col("root2")).where(near(F.col("n"), F.col("n2")))
     across = across.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct().join(best, ["u", "v"], "left_anti")
-    second = stage(_confirmed(stage(_agreeing(across, nodes), "across").select("u", "v"), docs, width), "confirmed")
+    second = stage(_confirmed(stage(_agreeing(across, nodes), "across", SHORT_BATCHES).select("u", "v"), docs, width), "confirmed", SHORT_BATCHES)
     if not second.isEmpty():
         roots = components(first.unionByName(second))
 

@@ -40,6 +40,8 @@ from quadro.llm.common import stage, text_of
 from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
 
 HOT, LONGEST, WIDEST = 1 << 21, 62, 16
+#: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
+IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
 UNIT = r"[\x00-\x1F]|\x20*[^\x00-\x20]+|\x20+"
 
@@ -91,8 +93,8 @@ def prepared(text: str | Column) -> Column:
 UNKNOWN = 1 << 21
 
 
-def _edges(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """unit, n, edges: the lattice of every unit."""
+def _edges(units: DataFrame, pieces: DataFrame, scored: bool) -> DataFrame:
+    """unit, n, edges (longs, or structs of `at` and `score`): the lattice of every unit."""
     size = F.length("unit")
     starts = F.sequence(F.lit(1), size)
     cuts = F.flatten(F.transform(starts, lambda s: F.transform(
@@ -104,7 +106,8 @@ def _edges(units: DataFrame, pieces: DataFrame) -> DataFrame:
     packed = (F.shiftleft(F.coalesce("rank", F.lit((1 << 20) - 1).cast("long")), 34)
               + F.shiftleft((F.col("s") - 1).cast("long"), 28) + F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 22) + value)
     # A character without a piece costs more than any way around it.
-    return d.groupBy("unit", "n").agg(F.collect_list(F.struct(packed.alias("at"), F.coalesce("score", F.lit(-1e6)).alias("score"))).alias("edges"))
+    edge = F.struct(packed.alias("at"), F.coalesce("score", F.lit(-1e6)).alias("score")) if scored else packed
+    return d.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
 
 
 def _start(x: Column) -> Column:
@@ -197,9 +200,9 @@ def _long_unit(unit: str, table: dict[str, tuple[int, int, float]], vocabulary:
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """unit, n, ids. units: unit, n, each unit once, partitioned by unit."""
     spark = units.sparkSession
-    lattice = _edges(units.where(F.length("unit") <= LONGEST), vocabulary.frame(spark))
+    lattice = _edges(units.where(F.length("unit") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram)
     size = F.length("unit")
-    path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges.at"), size)
+    path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), size)
     lattice = lattice.select("unit", "n", path.alias("path"))
     value = lambda x: x.bitwiseAND((1 << 22) - 1)
     ids = F.flatten(F.transform("path", lambda x: F.when(value(x) < UNKNOWN, F.array(value(x))).otherwise(_utf8(value(x) - UNKNOWN, vocabulary.first_byte))))
@@ -279,7 +282,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
     kind = docs.schema["doc_id"].dataType
     d = docs.select("doc_id", prepared("text").alias("text"))
     counted = d.select(F.explode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    units = stage(encode_units(counted, vocabulary), "units")
+    units = stage(encode_units(counted, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
     hot = spark.sparkContext.broadcast(hot_units(units, most))
     d = d.withColumn("h", F.xxhash64("text"))
 
