@@ -29,8 +29,7 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
 SPAN, LEAD = 50, 24
 #: Positions that a SPAN-byte string offers to an anchor.
 OFFERS = SPAN - LEAD + 1
+#: One document in SAMPLE gives splitters, OVER candidates for each bucket.
+SAMPLE, OVER = 16, 64
 #: Of a position that is stored with a tag of its text (for rows that share a doc_id).
 TAG = 1 << 38
 _BYTES = _BYTE.copy()
@@ -169,14 +170,48 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None
     return [c[order] for c in columns]
 
 
-def _bucketed(suffixes: DataFrame) -> DataFrame:
-    return suffixes.repartitionByRange("high", "low", "doc", "at")
+def _split(docs: DataFrame, suffixes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The suffixes of docs, one range of the sort order in each partition.
+
+    Splitters come from the suffixes of one document in SAMPLE (a draw of OVER for each
+    bucket). Spark's own range partitioning would make all suffixes twice.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = suffixes(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))
+    drawn = some.orderBy(F.xxhash64(*SUFFIX.names)).limit(OVER * n).collect()  # bounded
+    drawn = sorted(map(tuple, drawn))
+    splitters = [drawn[k * len(drawn) // n] for k in range(1, n)] if drawn else []
+    # A number for each partition that Spark's hash partitioning sends there.
+    own = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    to = np.zeros(n, np.int64)
+    for r in own:
+        to[r["p"]] = r["id"]
+    highs = np.array([x[0] for x in splitters], np.int64)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_numpy() for c in SUFFIX.names]
+            bucket = np.searchsorted(highs, columns[0], "left")
+            tied = np.flatnonzero(bucket < np.searchsorted(highs, columns[0], "right"))
+            for k in np.unique(bucket[tied]).tolist():  # a splitter has this first key: compare the others
+                rows = tied[bucket[tied] == k]
+                at = k
+                while at < len(splitters) and splitters[at][0] == splitters[k][0]:
+                    _, low, doc, place = splitters[at]
+                    c1, c2, c3 = (columns[j][rows] for j in (1, 2, 3))
+                    bucket[rows] += (c1 > low) | (c1 == low) & ((c2 > doc) | (c2 == doc) & (c3 >= place))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to[bucket])], names=[*SUFFIX.names, "bucket"])
+
+    dealt = suffixes(docs).mapInArrow(one, T.StructType([*SUFFIX.fields, T.StructField("bucket", T.LongType())]))
+    return dealt.repartition(n, "bucket").select(*SUFFIX.names)
 
 
 COVERED, OPEN, PENDING, LAST = 0, 1, 2, 3
 
 
-def compare_anchors(suffixes: DataFrame) -> DataFrame:
+def compare_anchors(docs: DataFrame) -> DataFrame:
     """doc, at, what: anchors that are covered (by a smaller document with the same
     surroundings) or open. Others, the most of them, are left out."""
 
@@ -200,10 +235,10 @@ def compare_anchors(suffixes: DataFrame) -> DataFrame:
             k = chosen[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(at[k]), pa.array(what[a : a + (1 << 16)])], names=["doc", "at", "what"])
 
-    return _bucketed(suffixes).mapInArrow(one, "doc long, at long, what byte")
+    return _split(docs, anchor_suffixes).mapInArrow(one, "doc long, at long, what byte")
 
 
-def compare_strings(strings: DataFrame) -> DataFrame:
+def compare_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc, at: strings that a smaller document holds, too."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +258,7 @@ def compare_strings(strings: DataFrame) -> DataFrame:
         rows = [np.append(c, x).astype(c.dtype) for c, x in zip(rows, (high[-1], low[-1], first[-1], at[-1], LAST), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=[*SUFFIX.names, "what"])
 
-    found = stage(_bucketed(strings).mapInArrow(one, T.StructType([*SUFFIX.fields, T.StructField("what", T.ByteType())])), "strings")
+    found = stage(_split(docs, lambda d: open_strings(d, found)).mapInArrow(one, T.StructType([*SUFFIX.fields, T.StructField("what", T.ByteType())])), "strings")
     # A smaller document in the last run of an earlier bucket: one row a bucket to look at.
     ends = found.where(F.col("what") == LAST).groupBy("high", "low").agg(F.min("doc").alias("least"))
     pending = found.where(F.col("what") == PENDING).join(ends, ["high", "low"]).where("least < doc")
@@ -239,17 +274,17 @@ def _with_text(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def open_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The SPAN-byte strings over open anchors."""
+    """The SPAN-byte strings whose anchor is open."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for b, i, data in _pieces(batches):
-                at = b.column("at")[i].values.to_numpy()
-                mark = np.zeros(len(data) + 1, np.int64)
-                np.add.at(mark, np.maximum(at - (OFFERS - 1), 0), 1)
-                np.add.at(mark, np.minimum(at, len(data) - SPAN) + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark) > 0)
                 prefix = _Prefix(data)
+                grams = prefix.every(LEAD)
+                only = np.full(len(grams), 2**64 - 1, np.uint64)
+                at = b.column("at")[i].values.to_numpy()
+                only[at] = grams[at]
+                start = np.flatnonzero(_sliding(only, OFFERS, True) == _sliding(grams, OFFERS, True))
                 raw = prefix.of(start, start + SPAN)
                 half = prefix.of(start, start + SPAN // 2)  # more bits: a string and its first half
                 yield mix(raw.copy()).view(np.int64), mix(half ^ raw * np.uint64(31)).view(np.int64), np.full(len(start), b.column("doc_id")[i].as_py(), np.int64), start + b.column("tag")[i].as_py() * TAG
@@ -261,8 +296,8 @@ def open_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc, at, size: what is covered. size 0: an anchor, and all strings over it."""
-    compared = stage(compare_anchors(anchor_suffixes(docs)), "anchors")
-    strings = compare_strings(open_strings(docs, compared.where(F.col("what") == OPEN)))
+    compared = stage(compare_anchors(docs), "anchors")
+    strings = compare_strings(docs, compared.where(F.col("what") == OPEN))
     covered = compared.where(F.col("what") == COVERED).select("doc", "at", F.lit(0).alias("size"))
     return stage(covered.unionByName(strings.select("doc", "at", F.lit(SPAN).alias("size"))), "covered")
 
