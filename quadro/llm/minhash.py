@@ -12,7 +12,9 @@ table keys; the others only combine their shared half-bands.
 Candidates are verified on the full sets, in two rounds:
 1. In each table bucket every member is compared with the bucket's smallest member, for
    each document the best-looking one first. Confirmed links give first components.
-2. Buckets that still hold several components give the pairs across components.
+2. Members of buckets that still hold several components are compared across components
+   by an exact join on their rarest shingles (_across), so a passage that a third of all
+   documents share doesn't pair them all.
 Members of one component are never paired again, so a group of thousands of near copies
 costs a few comparisons for each member, and no link that would join two components is
 left out. A pair is compared in full only if its signatures agree in at least
@@ -44,6 +46,8 @@ from quadro.llm.shingles import digest, mix, shingle_sets, slices
 SIDE, ROWS, PERCENT, LEAST_AGREE = 16, 4, 80, 74
 #: Shingles hashed at a time: they stay in the processor's cache.
 BLOCK = 1 << 15
+#: Shingles that are ordered last, found in one node of SAMPLE.
+COMMON, SAMPLE = 1 << 16, 8
 
 
 def signatures(sets: list[np.ndarray], hashes: int = 2 * SIDE * ROWS) -> np.ndarray:
@@ -119,7 +123,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.large_binary())], names=["node", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "found"])
 
     return wanted.mapInArrow(one, T.StructType([T.StructField("node", kind), T.StructField("found", T.BinaryType())]))
 
@@ -145,6 +149,53 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return d.mapInArrow(one, pairs.select("u", "v").schema)
 
 
+def _common_shingles(docs: DataFrame, nodes: DataFrame, width: int) -> np.ndarray:
+    """The COMMON most frequent shingles of one node in SAMPLE (a bounded collect). They
+    only order tokens: any order is exact, one with rare shingles first is fast."""
+    some = _sets_of(docs, nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node"), width)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "found"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("found").to_pylist()), np.int64))], names=["token"])
+
+    counts = some.mapInArrow(one, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 2")
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("times"), "token").limit(COMMON).select("token").collect()], np.int64).view(np.uint64))
+
+
+def _across(docs: DataFrame, several: DataFrame, width: int) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that may be similar: an exact join.
+
+    A set's tokens are ordered, rare ones first. Two sets of similarity 0.8 share a token
+    among the first fifth of each (more exactly the first n - ceil(0.8 n) + 1), and the
+    place of the first shared token bounds how many they can share at all.
+    """
+    kind = several.schema["node"].dataType
+    common = several.sparkSession.sparkContext.broadcast(_common_shingles(docs, several, width))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "found"):
+            tokens, rows, places, sizes = [], [], [], []
+            for i, x in enumerate(b.column("found")):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                often = common.value[np.minimum(np.searchsorted(common.value, s), len(common.value) - 1)] == s if len(common.value) else np.zeros(len(s), bool)
+                first = np.concatenate([s[~often], s[often]])[: len(s) - (len(s) * PERCENT + 99) // 100 + 1]
+                tokens.append(first)
+                rows.append(np.full(len(first), i))
+                places.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(np.full(len(first), len(s), np.int32))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], names=["node", "token", "place", "n"])
+
+    tokens = _sets_of(docs, several.select("node"), width).mapInArrow(one, T.StructType([T.StructField("node", kind), T.StructField("token", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+    tokens = stage(tokens.join(several, "node"), "tokens", SHORT_BATCHES)
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    tokens = tokens.join(shared, "token")
+    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "place", "n", "root")])
+    most = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("n2") - 1 - F.col("place2"))
+    pairs = tokens.join(other, "token").where(F.col("root") < F.col("root2")).where(most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2")))
+    return pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     prof = stage(profiles(docs, width), "profiles", SHORT_BATCHES)
@@ -173,10 +224,8 @@ def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     labels = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     named = stage(labels(buckets.select("key", "node", "n"), "node", "root"), "named")
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    several = named.join(mixed, "key", "left_semi")
-    other = several.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = several.join(other, "key").where(F.col("root") < F.col("root2")).where(near(F.col("n"), F.col("n2")))
-    across = across.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct().join(best, ["u", "v"], "left_anti")
+    several = stage(named.join(mixed, "key", "left_semi").select("node", "root").distinct(), "several")
+    across = _across(docs, several, width).join(best, ["u", "v"], "left_anti")
     second = stage(_confirmed(stage(_agreeing(across, nodes), "across", SHORT_BATCHES).select("u", "v"), docs, width), "confirmed", SHORT_BATCHES)
     if not second.isEmpty():
         roots = components(first.unionByName(second))
