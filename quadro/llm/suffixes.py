@@ -105,9 +105,16 @@ def _suffixes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return high, around.view(np.int64), at
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
+def with_tags(docs: DataFrame) -> DataFrame:
+    """doc_id, text, tag. Only where a doc_id repeats do tags tell its texts apart."""
     text = text_of("text")
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND((1 << 24) - 1).alias("tag"), text.alias("text"))
+    repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    tag = F.xxhash64(text).bitwiseAND((1 << 24) - 1) if repeats else F.lit(0).cast("long")
+    return docs.select("doc_id", text.alias("text"), tag.alias("tag"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -144,7 +151,7 @@ def anchor_suffixes(docs: DataFrame) -> DataFrame:
 
         return _in_batches(parts(), SUFFIX.names)
 
-    return _tagged(docs).mapInArrow(one, SUFFIX)
+    return _numbered(docs).mapInArrow(one, SUFFIX)
 
 
 def multikey_order(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -269,7 +276,7 @@ def _with_text(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, tag, text, and the places of `found` (doc, at, size) in it."""
     tag, at = F.floor(F.col("at") / F.lit(TAG)), F.pmod("at", F.lit(TAG))
     listed = found.groupBy(F.col("doc").alias("d2"), tag.alias("t2")).agg(F.collect_list(at).alias("at"), F.collect_list("size").alias("size"))
-    d = _tagged(docs)
+    d = _numbered(docs)
     return d.join(listed, (d["doc_id"] == listed["d2"]) & (d["tag"] == listed["t2"])).select("doc_id", "tag", "text", "at", "size")
 
 
@@ -295,7 +302,7 @@ def open_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc, at, size: what is covered. size 0: an anchor, and all strings over it."""
+    """doc, at, size: what is covered. size 0: an anchor, and all strings over it. docs: with_tags()."""
     compared = stage(compare_anchors(docs), "anchors")
     strings = compare_strings(docs, compared.where(F.col("what") == OPEN))
     covered = compared.where(F.col("what") == COVERED).select("doc", "at", F.lit(0).alias("size"))
@@ -316,13 +323,12 @@ def removed_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarr
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, runs (array of start and end in bytes), n_bytes, n_removed, kept (the bytes
     left): one row for each row of docs."""
+    kind, docs = docs.schema["doc_id"], with_tags(docs)
     found = repeated(docs)
     tag, at = F.floor(F.col("at") / F.lit(TAG)), F.pmod("at", F.lit(TAG))
     listed = found.groupBy(F.col("doc").alias("d2"), tag.alias("t2")).agg(F.collect_list(at).alias("at"), F.collect_list("size").alias("size"))
-    text = text_of("text")
-    d = docs.select("doc_id", F.xxhash64(text).bitwiseAND((1 << 24) - 1).alias("tag"), text.alias("text"))
-    d = d.join(listed, (d["doc_id"].cast("long") == listed["d2"]) & (d["tag"] == listed["t2"]), "left").select("doc_id", "text", "at", "size")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
+    d = docs.join(listed, (docs["doc_id"].cast("long") == listed["d2"]) & (docs["tag"] == listed["t2"]), "left").select("doc_id", "text", "at", "size")
+    schema = T.StructType([kind, T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
