@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from quadro.llm.common import stage, text_of
 from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
 
-HOT, LONGEST, WIDEST = 1 << 21, 62, 16
+HOT, LONGEST, WIDEST = 1 << 20, 62, 16
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -258,9 +258,12 @@ def hot_units(units: DataFrame, most: int) -> HotUnits:
     lists = found.column("ids").combine_chunks()
     if not len(texts):
         return HotUnits(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16))
-    data, offsets = buffers(texts)
-    starts, h, _ = cut_units(data, offsets)  # each is one unit, which starts where it starts
-    h = h[np.searchsorted(starts, offsets[:-1])]
+    hashes = []
+    for k in range(0, len(texts), 1 << 15):  # some at a time: the driver's memory is small
+        data, offsets = buffers(texts.slice(k, 1 << 15))
+        starts, h, _ = cut_units(data, offsets)  # each is one unit, which starts where it starts
+        hashes.append(h[np.searchsorted(starts, offsets[:-1])])
+    h = np.concatenate(hashes)
     order = np.argsort(h)
     counts = np.diff(lists.offsets.to_numpy())
     flat, first = lists.flatten().to_numpy(), np.append(0, np.cumsum(counts))
