@@ -12,7 +12,12 @@ from quadro.operators import tableops as ops
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Dimension, Measure, TabulationSpec
 from quadro.queries import query, table
+from quadro.sources.dbf import dbf_records, write_dbf
+from quadro.sources.delimited import read_delimited
+from quadro.sources.scratch import scratch_path
+from quadro.sources.sinks import labelled_records, write_records
 from quadro.sql import register, run_sql
+from quadro.streaming.tables import running_cells, windowed_counts, write_snapshots
 
 
 def _nations(spark, sf) -> DataFrame:
@@ -421,3 +426,50 @@ def sql_semi_join(spark, sf):
 @query("SELECT median(o_totalprice) AS mid, round(stddev_samp(o_totalprice), 3) AS sd FROM orders")
 def sql_percentile(spark, sf):
     return _sql(spark, sf, "SELECT percentile(o_totalprice, 0.5) AS mid, round(stddev_samp(o_totalprice), 3) AS sd FROM t_orders", "orders")
+
+
+# --- files and streams ------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_acctbal, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS code FROM customer")
+def src_delimited(spark, sf):
+    """Written with semicolons, read back and typed: codes with leading zeros stay texts."""
+    path = scratch_path(spark, "delimited")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).write.csv(path, sep=";", header=True)
+    return read_delimited(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS DOUBLE) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
+def src_dbf(spark, sf):
+    """A table as a DBF file, stored by Spark and decoded in tasks."""
+    data = write_dbf(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    return dbf_records(spark.createDataFrame([("nation.dbf", data)], "path string, content binary"))
+
+
+@query("SELECT p_partkey, p_size, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' WHEN p_size <= 50 THEN 'large' ELSE 'giant' END AS p_size_label FROM part")
+def sink_labelled(spark, sf):
+    from quadro.queries import SIZES
+
+    d = labelled_records(table(spark, sf, "part").select("p_partkey", "p_size"), {"p_size": SIZES})
+    path = scratch_path(spark, "labelled")
+    write_records(d, path)
+    back = spark.read.csv(path, sep=";", header=True)
+    return back.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size"), "p_size_label")
+
+
+@query("SELECT event_type AS row_key, '0' AS col_key, CAST(count(*) AS DOUBLE) AS m0, round(sum(value), 4) AS m1 FROM events GROUP BY 1")
+def stream_tabulation(spark, sf):
+    """The table of a stream over the events, in as many batches as there are files."""
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    cells = running_cells(stream, TabulationSpec(Dimension("event_type"), measures=(Measure(), Measure("sum", "value"))))
+    path = scratch_path(spark, "snapshot")
+    write_snapshots(cells, path, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path).withColumn("m1", F.round("m1", 4))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    path = scratch_path(spark, "windows")
+    write_snapshots(windowed_counts(stream, "ts", "event_type"), path, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path)
