@@ -36,11 +36,12 @@ class Part:
     name: str | None = None  # of a bare column
 
 
-NONE = F.lit(None).cast("string")
+def no_error() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _errors(parts: list[Part]) -> Column:
-    return F.coalesce(*[p.error for p in parts], NONE) if parts else NONE
+    return F.coalesce(*[p.error for p in parts], no_error()) if parts else no_error()
 
 
 def _plain(f: Callable[..., Column]) -> Callable[[list[Part]], Part]:
@@ -101,11 +102,11 @@ def _ifs(parts: list[Part]) -> Part:
 def _iferror(parts: list[Part]) -> Part:
     a, b = parts
     good = a.error.isNull() & a.value.isNotNull()
-    return Part(F.when(good, a.value).otherwise(b.value), F.when(good, NONE).otherwise(b.error))
+    return Part(F.when(good, a.value).otherwise(b.value), F.when(good, no_error()).otherwise(b.error))
 
 
 def _isnumber(parts: list[Part]) -> Part:
-    return Part(_bool(parts[0].error.isNull() & parts[0].value.isNotNull()), NONE)
+    return Part(_bool(parts[0].error.isNull() & parts[0].value.isNotNull()), no_error())
 
 
 def _zero(*v: Column) -> Column:
@@ -120,7 +121,7 @@ REGISTRY: dict[str, tuple[int, int, Callable[[list[Part]], Part]]] = {
     "MIN": (1, 99, _plain(lambda *v: F.least(*v) if len(v) > 1 else v[0])),
     "MAX": (1, 99, _plain(lambda *v: F.greatest(*v) if len(v) > 1 else v[0])),
     "MEDIAN": (1, 99, _plain(_median)),
-    "COUNT": (1, 99, lambda parts: Part(reduce(lambda a, b: a + b, [_bool(p.error.isNull() & p.value.isNotNull()) for p in parts]), NONE)),
+    "COUNT": (1, 99, lambda parts: Part(reduce(lambda a, b: a + b, [_bool(p.error.isNull() & p.value.isNotNull()) for p in parts]), no_error())),
     "ABS": (1, 1, _plain(F.abs)),
     "SQRT": (1, 1, _checked(F.sqrt, lambda v: v < 0, "SQRT of a negative number")),
     "POWER": (2, 2, _plain(F.pow)),
@@ -208,7 +209,7 @@ def compile_formula(text: str, values: dict[str, Column], missing: str = "zero",
     def column(name: str) -> Part:
         v = values[name].cast("double")
         if missing == "zero":
-            return Part(F.coalesce(v, F.lit(0.0)), NONE, name)
+            return Part(F.coalesce(v, F.lit(0.0)), no_error(), name)
         return Part(v, F.when(v.isNull(), F.lit(f"{name} is missing")), name)
 
     def divide(a: Part, b: Part) -> Part:
@@ -238,7 +239,7 @@ def compile_formula(text: str, values: dict[str, Column], missing: str = "zero",
     def build(n: ast.expr) -> Part:
         match n:
             case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
-                return Part(F.lit(float(v)), NONE)
+                return Part(F.lit(float(v)), no_error())
             case ast.Name(id=name):
                 return column(_resolve(name, names, columns))
             case ast.UnaryOp(op=ast.USub(), operand=x):
