@@ -10,8 +10,8 @@ sides, so documents without a shared one on either side have no candidates and e
 table keys; the others only combine their shared half-bands.
 
 Candidates are verified on the full sets, in two rounds:
-1. In each table bucket every member is compared with the bucket's smallest member, for
-   each document the best-looking one first. Confirmed links give first components.
+1. In each table bucket every member is paired with the bucket's smallest member, its hub.
+   Each document is compared with its best-looking hubs. Confirmed links give first components.
 2. Members of buckets that still hold several components are compared across components
    by an exact join on their rarest shingles (_across), so a passage that a third of all
    documents share doesn't pair them all.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,8 @@ from quadro.llm.components import components
 from quadro.llm.shingles import digest, mix, shingle_sets, slices
 
 SIDE, ROWS, PERCENT, LEAST_AGREE = 16, 4, 80, 74
+#: Hubs that a document is compared with first; round 2 takes care of the others.
+FIRST = 3
 #: Shingles hashed at a time: they stay in the processor's cache.
 BLOCK = 1 << 15
 #: Shingles that are ordered last, found in one node of SAMPLE.
@@ -217,7 +219,8 @@ def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
 
     stars = buckets.where(F.col("node") > F.col("hub.node")).where(near(F.col("n"), F.col("hub.n")))
     stars = stage(_agreeing(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), nodes), "stars", SHORT_BATCHES)
-    best = stars.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("u"))).alias("b")).select((-F.col("b.u")).alias("u"), "v")
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("agree"), "u"))
+    best = stars.withColumn("place", place).where(F.col("place") <= FIRST).select("u", "v")
     first = stage(_confirmed(best, docs, width), "confirmed", SHORT_BATCHES)
     roots = components(first)
 
