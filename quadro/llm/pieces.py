@@ -2,7 +2,8 @@
 
 A text gets the library's normalisation of such files (a space before it, spaces as the
 space symbol) and is cut into units that no piece crosses: a run of spaces with the
-characters after it, or one control character. Encoding has three steps:
+characters after it, or one control character; a word also ends at the punctuation that
+no piece of the file joins to a letter or digit. Encoding has three steps:
 
 1. Lattice. All distinct units are counted; their substrings of at most 16 characters
    are exploded and equi-joined to the piece table (a broadcast: a vocabulary file has a
@@ -27,6 +28,8 @@ encoded each; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +46,8 @@ HOT, LONGEST, WIDEST = 1 << 20, 62, 16
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
-UNIT = r"[\x00-\x1F]|\x20*[^\x00-\x20]+|\x20+"
+#: Letters and digits of words (in UTF-8 the bytes of a-z, or a lead byte C3 to C9 and another).
+LETTER = "A-Za-z0-9\u00C0-\u027F"
 
 
 @dataclass
@@ -54,6 +58,15 @@ class Vocabulary:
     shown: list[bytes]  # what each id stands for in a text
     first_byte: int  # id of byte 0
     unigram: bool = False
+    safe: str = ""  # ASCII punctuation that no piece has next to a letter or digit
+
+    def unit_pattern(self) -> str:
+        """Letters and safe punctuation meet in no unit."""
+        a, s = f"[{LETTER}]+", "[" + "".join("\\" + c for c in self.safe) + "]+"
+        if not self.safe:
+            return r"[\x00-\x1F]|\x20*[^\x00-\x20]+|\x20+"
+        o = f"[^\\x00-\\x20{LETTER}" + s[1:]
+        return rf"[\x00-\x1F]|\x20*(?:{a}|{s})(?:{o}(?:{a}|{s})?)*|\x20*(?:{o}(?:{a}|{s})?)+|\x20+"
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """piece, rank (0 is merged first, or scores best), id, score."""
@@ -80,7 +93,9 @@ def from_processor(sp, unigram: bool = False) -> Vocabulary:
         else:
             pieces.append((piece.replace(SYMBOL, " "), i, sp.get_score(i)))
             shown.append(pieces[-1][0].encode())
-    return Vocabulary(pieces, shown, first, unigram)
+    letter = re.compile(f"[{LETTER}]")
+    met = {c for p, _, _ in pieces for a, b in zip(p, p[1:], strict=False) for c, d in ((a, b), (b, a)) if letter.match(d)}
+    return Vocabulary(pieces, shown, first, unigram, "".join(c for c in string.punctuation if c not in met))
 
 
 def prepared(text: str | Column) -> Column:
@@ -96,18 +111,18 @@ UNKNOWN = 1 << 21
 def _edges(units: DataFrame, pieces: DataFrame, scored: bool) -> DataFrame:
     """unit, n, edges (longs, or structs of `at` and `score`): the lattice of every unit."""
     size = F.length("unit")
-    starts = F.sequence(F.lit(1), size)
-    cuts = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(WIDEST), size - s + 1)), lambda k: F.struct(s.alias("s"), k.alias("k")))))
-    d = units.withColumn("cut", F.explode(cuts)).select("unit", "n", F.col("cut.s").alias("s"), F.col("cut.k").alias("k"))
+    d = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
+    d = d.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(WIDEST), size - F.col("s") + 1))).alias("k"))
     d = d.withColumn("part", F.substring("unit", F.col("s"), F.col("k")))
     d = d.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("id is not null or k = 1")
     value = F.coalesce("id", F.lit(UNKNOWN) + F.ascii("part"))
     packed = (F.shiftleft(F.coalesce("rank", F.lit((1 << 20) - 1).cast("long")), 34)
               + F.shiftleft((F.col("s") - 1).cast("long"), 28) + F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 22) + value)
-    # A character without a piece costs more than any way around it.
-    edge = F.struct(packed.alias("at"), F.coalesce("score", F.lit(-1e6)).alias("score")) if scored else packed
-    return d.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
+    if scored:
+        # A character without a piece costs more than any way around it.
+        edge = F.struct(packed.alias("at"), F.coalesce("score", F.lit(-1e6)).alias("score"))
+        return d.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
+    return d.groupBy("unit", "n").agg(F.collect_list(F.when(F.col("k") > 1, packed)).alias("edges"), F.collect_list(F.when(F.col("k") == 1, packed)).alias("single"))
 
 
 def _start(x: Column) -> Column:
@@ -118,29 +133,25 @@ def _end(x: Column) -> Column:
     return F.shiftright(x, 22).bitwiseAND(63).cast("int")
 
 
-def _bits(x: Column) -> tuple[Column, Column]:
-    """The bits of an edge's ends, and of the positions inside it."""
-    lo, hi = F.expr("1L"), F.expr("1L")
-    lo, hi = F.call_function("shiftleft", lo, _start(x)), F.call_function("shiftleft", hi, _end(x))
-    return lo + hi, hi - lo - lo
-
+def _merged(edges: Column, single: Column, size: Column) -> Column:
+    """The edges on the path of a BPE file, in text order.
 
-def _merged(edges: Column, size: Column) -> Column:
-    """The edges on the path of a BPE file, in text order."""
-    every = F.call_function("shiftleft", F.expr("1L"), size + 1) - 1
+    Bit p of the state is a boundary before character p. Seen from an edge's start, both
+    its ends are boundaries and one lies between if three bits of its span are set.
+    """
+    one = F.expr("1L")
+    every = F.call_function("shiftleft", one, size + 1) - 1
+    span = lambda m, x: F.call_function("shiftright", m, _start(x)).bitwiseAND(F.call_function("shiftleft", one, _end(x) - _start(x) + 1) - 1)
+    ends = lambda x: F.call_function("shiftleft", one, _end(x) - _start(x)) + 1
 
     def step(m: Column, x: Column) -> Column:
-        ends, inside = _bits(x)
-        return F.when((m.bitwiseAND(ends) == ends) & (F.bit_count(m.bitwiseAND(inside)) == 1), m.bitwiseAND(F.bitwise_not(inside))).otherwise(m)
+        joins = (F.bit_count(span(m, x)) == 3) & (span(m, x).bitwiseAND(ends(x)) == ends(x))
+        return F.when(joins, m - F.call_function("shiftleft", span(m, x) - ends(x), _start(x))).otherwise(m)
 
     bounds = F.aggregate(F.array_sort(edges), every, step)
-
-    def on_path(x: Column, m: Column) -> Column:
-        ends, inside = _bits(x)
-        return (m.bitwiseAND(ends) == ends) & (m.bitwiseAND(inside) == 0)
-
-    kept = F.transform(F.array(bounds), lambda m: F.filter(edges, lambda x: on_path(x, m)))[0]
-    return F.array_sort(F.transform(kept, lambda x: x.bitwiseAND((1 << 34) - 1)))
+    kept = lambda m: F.concat(F.filter(edges, lambda x: span(m, x) == ends(x)), F.filter(single, lambda x: F.call_function("shiftright", m, _start(x)).bitwiseAND(3) == 3))
+    path = F.transform(F.array(bounds), kept)[0]
+    return F.array_sort(F.transform(path, lambda x: x.bitwiseAND((1 << 34) - 1)))
 
 
 def _best(edges: Column, size: Column) -> Column:
@@ -202,7 +213,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = units.sparkSession
     lattice = _edges(units.where(F.length("unit") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram)
     size = F.length("unit")
-    path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), size)
+    path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), F.col("single"), size)
     lattice = lattice.select("unit", "n", path.alias("path"))
     value = lambda x: x.bitwiseAND((1 << 22) - 1)
     ids = F.flatten(F.transform("path", lambda x: F.when(value(x) < UNKNOWN, F.array(value(x))).otherwise(_utf8(value(x) - UNKNOWN, vocabulary.first_byte))))
@@ -217,14 +228,24 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return short.unionByName(units.where(F.length("unit") > LONGEST).mapInArrow(long_ones, short.schema))
 
 
-def cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, hash) of every unit of prepared texts, and for each text its first unit."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     control, space = data < 32, data == 32
     before = lambda x: np.append(False, x[:-1])[:n]
-    starts = np.flatnonzero(control | edge[:n] | before(control) | (space & ~before(space)))
+    first = control | edge[:n] | before(control) | (space & ~before(space))
+    if safe:
+        kinds = np.zeros(256, np.uint8)
+        kinds[[b for b in range(128) if chr(b).isalnum()]] = 1
+        kinds[0xC3:0xCA] = 2
+        kinds[0x80:0xC0] = 3
+        kinds[list(safe.encode())] = 4
+        k = kinds[data]
+        ended = (k == 1) | ((k == 3) & before(k == 2))  # a letter ends here
+        first |= ((k == 4) & before(ended)) | (((k == 1) | (k == 2)) & before(k == 4))
+    starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     lengths = np.diff(np.append(starts, n))
@@ -251,7 +272,7 @@ class HotUnits:
         return np.where(self.hashes[k] == hashes, k, -1)
 
 
-def hot_units(units: DataFrame, most: int) -> HotUnits:
+def hot_units(units: DataFrame, most: int, safe: str = "") -> HotUnits:
     """The `most` most frequent units (a bounded collect)."""
     found = units.orderBy(F.desc("n"), "unit").limit(most).select("unit", "ids").toArrow()
     texts = found.column("unit").combine_chunks()
@@ -261,7 +282,7 @@ def hot_units(units: DataFrame, most: int) -> HotUnits:
     hashes = []
     for k in range(0, len(texts), 1 << 15):  # some at a time: the driver's memory is small
         data, offsets = buffers(texts.slice(k, 1 << 15))
-        starts, h, _ = cut_units(data, offsets)  # each is one unit, which starts where it starts
+        starts, h, _ = cut_units(data, offsets, safe)  # each is one unit, which starts where it starts
         hashes.append(h[np.searchsorted(starts, offsets[:-1])])
     h = np.concatenate(hashes)
     order = np.argsort(h)
@@ -282,17 +303,17 @@ def _spread(hot: HotUnits, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFrame:
     """doc_id, ids, same (whether decoding gives the prepared text): one row for each row of docs."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType
+    kind, safe = docs.schema["doc_id"].dataType, vocabulary.safe
     d = docs.select("doc_id", prepared("text").alias("text"))
-    counted = d.select(F.explode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    counted = d.select(F.explode(F.regexp_extract_all("text", F.lit(vocabulary.unit_pattern()), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     units = stage(encode_units(counted, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
-    hot = spark.sparkContext.broadcast(hot_units(units, most))
+    hot = spark.sparkContext.broadcast(hot_units(units, most, safe))
     d = d.withColumn("h", F.xxhash64("text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, offsets = buffers(b.column("text"))
-            starts, h, first = cut_units(data, offsets)
+            starts, h, first = cut_units(data, offsets, safe)
             left = np.flatnonzero(hot.value.find(h) < 0)
             row = np.searchsorted(first, left, side="right") - 1
             ends = np.append(starts, len(data))
@@ -304,7 +325,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
         pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
         for b in slices(batches):
             data, offsets = buffers(b.column("text"))
-            _, h, first = cut_units(data, offsets)
+            _, h, first = cut_units(data, offsets, safe)
             k = hot.value.find(h)
             counts = np.where(k < 0, 0, hot.value.at[k + 1] - hot.value.at[k]).astype(np.int32) if len(hot.value.hashes) else np.zeros(len(k), np.int32)
             ids, upto = _spread(hot.value, k, counts), np.append(0, np.cumsum(counts))
