@@ -9,7 +9,7 @@ records name the columns that give it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 from functools import reduce
 from operator import and_
 
@@ -237,7 +237,6 @@ class Join:
     how: str = "left"
     prefix: str = ""
     allow_many_to_many: bool = False
-    _k: list[str] = field(default_factory=list, repr=False)
 
     def _keyed(self, df: DataFrame, names: list[str], side: str) -> DataFrame:
         for i, n in enumerate(names):
@@ -258,10 +257,12 @@ class Join:
             _new(df, f"{self.prefix}{c}")
         right = right.select(*[F.col(b).alias(f"_b{i}") for i, (_, b) in enumerate(self.keys)], *[f"_r{i}" for i in range(len(self.keys))], *[F.col(c).alias(f"{self.prefix}{c}") for c in brought])
         if not self.allow_many_to_many:
-            left = left.join(self._repeated_on_both(left, right), reduce(and_, [F.col(f"_l{i}") == F.col(f"_d{i}") for i in range(len(self.keys))]), "left") if self.how != "right" else left
-            if self.how != "right":
-                why = F.raise_error(F.lit("a key repeats on both sides"))
-                left = left.where(F.when(F.col("_twice"), why.cast("boolean")).otherwise(F.lit(True))).drop("_twice", *[f"_d{i}" for i in range(len(self.keys))])
+            n, twice = range(len(self.keys)), self._repeated_on_both(left, right)
+            side, s = (right, "r") if self.how == "right" else (left, "l")
+            side = side.join(twice, reduce(and_, [F.col(f"_{s}{i}") == F.col(f"_d{i}") for i in n]), "left")
+            why = F.raise_error(F.lit("a key repeats on both sides"))
+            side = side.where(F.when(F.col("_twice"), why.cast("boolean")).otherwise(F.lit(True))).drop("_twice", *[f"_d{i}" for i in n])
+            left, right = (left, side) if self.how == "right" else (side, right)
         joined = left.join(right, on, {"inner": "inner", "left": "left", "right": "right", "full": "full"}[self.how])
         first = {a: i for i, (a, _) in enumerate(self.keys)}
         filled = [self._filled(df, c, first[c]) if c in first else F.col(c) for c in df.columns]
@@ -322,3 +323,12 @@ def step_counts(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
         row = at.agg(F.count(F.lit(1)).alias("before")).join(F.broadcast(after.agg(F.count(F.lit(1)).alias("after")))).select(F.lit(s.id).alias("step"), "before", "after")
         out, at = row if out is None else out.unionByName(row), after
     return out
+
+
+def to_code(steps: Sequence[Step]) -> str:
+    """The pipeline as Python that builds it again; other sources are named, not copied."""
+    def shown(v: object) -> str:
+        return "other" if isinstance(v, DataFrame) else repr(v)
+
+    lines = [f"    tr.Step({s.id!r}, tr.{type(s.step).__name__}({', '.join(f'{f.name}={shown(getattr(s.step, f.name))}' for f in fields(s.step))}), {s.enabled})," for s in steps]
+    return "\n".join(["steps = [", *lines, "]", "df = tr.run(df, steps)"])
