@@ -39,10 +39,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadro.llm.common import stage, text_of
+from quadro.llm.common import SHORT_BATCHES, stage, text_of
 from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
 
-HOT, LONGEST, WIDEST = 1 << 20, 62, 16
+# Ranks are stored in three bytes: HOT stays below 2^24.
+HOT, LONGEST, WIDEST = 1 << 21, 62, 16
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -208,10 +209,19 @@ def _long_unit(unit: str, table: dict[str, tuple[int, int, float]], vocabulary:
     return [i for a, z in zip(cuts, cuts[1:], strict=False) for i in ids(a, z)]
 
 
-def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """unit, n, ids. units: unit, n, each unit once, partitioned by unit."""
-    spark = units.sparkSession
-    lattice = _edges(units.where(F.length("unit") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram)
+def encode_units(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """unit, n (how often it occurs), ids of every unit of prepared texts."""
+    spark = texts.sparkSession
+
+    def cut(d: DataFrame) -> DataFrame:
+        return d.select(F.explode(F.regexp_extract_all("text", F.lit(vocabulary.unit_pattern()), F.lit(0))).alias("unit"))
+
+    count = lambda d: d.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    # A unit of over LONGEST characters has half as many in a run; most texts have none.
+    half = LONGEST // 2
+    few = texts.where(F.col("text").rlike(rf"[^\x00-\x20]{{{half}}}|\x20{{{half}}}"))
+    long_units = count(cut(few).where(F.length("unit") > LONGEST))
+    lattice = _edges(count(cut(texts).where(F.length("unit") <= LONGEST)), vocabulary.frame(spark), vocabulary.unigram)
     size = F.length("unit")
     path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), F.col("single"), size)
     lattice = lattice.select("unit", "n", path.alias("path"))
@@ -225,7 +235,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array([_long_unit(u.as_py(), *shared.value) for u in b.column("unit")], pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    return short.unionByName(units.where(F.length("unit") > LONGEST).mapInArrow(long_ones, short.schema))
+    return short.unionByName(long_units.mapInArrow(long_ones, short.schema))
 
 
 def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,46 +268,49 @@ def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np
 
 @dataclass
 class HotUnits:
-    """Hashes in order, and the ids of each in one flat array."""
+    """Units by rank, the most frequent first: their hashes in order with the rank of each,
+    and the ids of each rank in one flat array."""
 
     hashes: np.ndarray
+    ranks: np.ndarray
     at: np.ndarray
     ids: np.ndarray
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 where it isn't held."""
+        """1 and the rank of each hash, 0 where it isn't held."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
+            return np.zeros(len(hashes), np.uint32)
         k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == hashes, k, -1)
+        return np.where(self.hashes[k] == hashes, self.ranks[k] + np.uint32(1), np.uint32(0))
 
 
-def hot_units(units: DataFrame, most: int, safe: str = "") -> HotUnits:
-    """The `most` most frequent units (a bounded collect)."""
-    found = units.orderBy(F.desc("n"), "unit").limit(most).select("unit", "ids").toArrow()
-    texts = found.column("unit").combine_chunks()
-    lists = found.column("ids").combine_chunks()
-    if not len(texts):
-        return HotUnits(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16))
-    hashes = []
+def hot_units(units: DataFrame, most: int, safe: str = "") -> tuple[HotUnits, Column]:
+    """The `most` most frequent units (a bounded collect), and which units are left."""
+    found = units.orderBy(F.desc("n"), "unit").limit(most).select("unit", "n", "ids").toArrow()
+    if not found.num_rows:
+        return HotUnits(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint16)), F.lit(True)
+    last, fewest = found.column("unit")[-1].as_py(), found.column("n")[-1].as_py()
+    texts, lists, hashes = found.column("unit").combine_chunks(), found.column("ids").combine_chunks(), []
     for k in range(0, len(texts), 1 << 15):  # some at a time: the driver's memory is small
         data, offsets = buffers(texts.slice(k, 1 << 15))
         starts, h, _ = cut_units(data, offsets, safe)  # each is one unit, which starts where it starts
         hashes.append(h[np.searchsorted(starts, offsets[:-1])])
     h = np.concatenate(hashes)
     order = np.argsort(h)
-    counts = np.diff(lists.offsets.to_numpy())
-    flat, first = lists.flatten().to_numpy(), np.append(0, np.cumsum(counts))
-    at = np.append(0, np.cumsum(counts[order]))
-    pick = np.repeat(first[:-1][order] - at[:-1], counts[order]) + np.arange(at[-1])
-    return HotUnits(h[order], at, flat[pick].astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32))
+    flat = lists.flatten().to_numpy()
+    at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+    left = (F.col("n") < fewest) | (F.col("n") == fewest) & (F.col("unit") > last)
+    return HotUnits(h[order], order.astype(np.uint32), at, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)), left
+
 
+def _packed(ranks: np.ndarray) -> bytes:
+    """Ranks as three planes of bytes, compressed: frequent units need the first only."""
+    return pa.compress(ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), "zstd", asbytes=True)
 
-def _spread(hot: HotUnits, k: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The ids of the units at places k, one after the other."""
-    ends = np.cumsum(counts)
-    start = np.repeat(np.where(k < 0, 0, hot.at[k]) - (ends - counts), counts)
-    return hot.ids[start + np.arange(len(start))]
+
+def _unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 3 * n, "zstd"), np.uint8).reshape(3, n).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFrame:
@@ -305,67 +318,58 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
     spark = docs.sparkSession
     kind, safe = docs.schema["doc_id"].dataType, vocabulary.safe
     d = docs.select("doc_id", prepared("text").alias("text"))
-    counted = d.select(F.explode(F.regexp_extract_all("text", F.lit(vocabulary.unit_pattern()), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    units = stage(encode_units(counted, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
-    hot = spark.sparkContext.broadcast(hot_units(units, most, safe))
+    units = stage(encode_units(d, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
+    held, others = hot_units(units, most, safe)
+    hot = spark.sparkContext.broadcast(held)
     d = d.withColumn("h", F.xxhash64("text"))
+    key = [T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
+    rare = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("unit", T.StringType())]))
+    packed = T.StructType([*key, T.StructField("n_units", T.LongType()), T.StructField("ranks", T.BinaryType()), T.StructField("rare", rare)])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, offsets = buffers(b.column("text"))
             starts, h, first = cut_units(data, offsets, safe)
-            left = np.flatnonzero(hot.value.find(h) < 0)
-            row = np.searchsorted(first, left, side="right") - 1
-            ends = np.append(starts, len(data))
+            k, ends = hot.value.find(h), np.append(starts, len(data))
+            left = np.flatnonzero(k == 0)
+            texts = [data[ends[i] : ends[i + 1]].tobytes().decode() for i in left.tolist()]
+            place = left - first[np.searchsorted(first, left, side="right") - 1]
+            listed = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(texts, pa.string())], names=["pos", "unit"])
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").take(pa.array(row)), b.column("h").take(pa.array(row)), pa.array((left - first[row]).astype(np.int32)),
-                pa.array([data[ends[i] : ends[i + 1]].tobytes().decode() for i in left.tolist()], pa.string())], names=["doc_id", "h", "pos", "unit"])
+                b.column("doc_id"), b.column("h"), pa.array(np.diff(first), pa.int64()),
+                pa.array([_packed(k[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(left, first), pa.int32()), listed)], names=packed.names)
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-        for b in slices(batches):
-            data, offsets = buffers(b.column("text"))
-            _, h, first = cut_units(data, offsets, safe)
-            k = hot.value.find(h)
-            counts = np.where(k < 0, 0, hot.value.at[k + 1] - hot.value.at[k]).astype(np.int32) if len(hot.value.hashes) else np.zeros(len(k), np.int32)
-            ids, upto = _spread(hot.value, k, counts), np.append(0, np.cumsum(counts))
-            a, z = first[:-1], first[1:]
-            small = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32)
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("h"), pa.array(z - a, pa.int64()), pa.array(upto[z] - upto[a], pa.int64()), pa.array([small.itemsize] * len(a), pa.int32()),
-                pa.array([pack(small[i:j]) for i, j in zip(a, z, strict=True)], pa.binary()),
-                pa.array([pack(ids[i:j]) for i, j in zip(upto[a], upto[z], strict=True)], pa.binary())], names=packed.names)
-
-    key = [T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
-    packed = T.StructType([*key, T.StructField("n_units", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("wide", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-    left = d.mapInArrow(rare, T.StructType([*key, T.StructField("pos", T.IntegerType()), T.StructField("unit", T.StringType())]))
-    filled = left.join(units.select("unit", "ids"), "unit").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
+    looked = stage(d.mapInArrow(look_up, packed), "looked-up", SHORT_BATCHES)
+    left = looked.select("doc_id", "h", F.inline("rare"))
+    filled = left.join(units.where(others).select("unit", "ids"), "unit").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
     filled = filled.withColumnsRenamed({"doc_id": "doc2", "h": "h2"})
-    whole = d.mapInArrow(common, packed)
+    whole = looked.drop("rare")
     whole = whole.join(filled, whole["h"].eqNullSafe(filled["h2"]) & whole["doc_id"].eqNullSafe(filled["doc2"]), "left").drop("doc2", "h2")
     shown = spark.sparkContext.broadcast(vocabulary.shown)
     out = T.StructType([*key, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = lambda x, n, kind: np.frombuffer(pa.decompress(x.as_buffer(), n * np.dtype(kind).itemsize, "zstd"), kind)
-        for b in slices(batches, "ids"):
+        table, told = hot.value, np.array(shown.value, object)
+        for b in slices(batches, "ranks", 1 << 18):
             rows, texts = [], []
-            column = lambda c: b.column(c)  # noqa: B023, E731
             for i in range(b.num_rows):
-                n, m = column("n_units")[i].as_py(), column("n_ids")[i].as_py()
-                counts = unpack(column("counts")[i], n, np.uint8 if column("wide")[i].as_py() == 1 else np.int32)
-                ids = unpack(column("ids")[i], m, hot.value.ids.dtype).astype(np.int32)
-                more = column("rare")[i].as_py()
+                k = _unpacked(b.column("ranks")[i].as_buffer(), b.column("n_units")[i].as_py())
+                known = k[k > 0] - 1
+                counts = table.at[known + 1] - table.at[known]
+                ends = np.cumsum(counts)
+                ids = table.ids[np.repeat(table.at[known] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+                more = b.column("rare")[i].as_py()
                 if more:
-                    before = np.append(0, np.cumsum(counts, dtype=np.int64))
-                    more.sort(key=lambda x: x["pos"])
-                    parts, last = [], 0
-                    for x in more:
+                    sizes = np.zeros(len(k), np.int64)
+                    sizes[k > 0] = counts
+                    before, parts, last = np.append(0, np.cumsum(sizes)), [], 0
+                    for x in sorted(more, key=lambda x: x["pos"]):
                         parts += [ids[last : before[x["pos"]]], np.array(x["ids"], np.int32)]
                         last = before[x["pos"]]
                     ids = np.concatenate([*parts, ids[last:]])
                 rows.append(ids)
-                texts.append(b"".join([shown.value[k] for k in ids.tolist()]).decode(errors="replace"))
+                texts.append(b"".join(told[ids].tolist()).decode(errors="replace"))
             at = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), lists, pa.array(texts, pa.string())], names=out.names)
