@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     folder of this machine where that is unset (tests in local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quadro-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # not a setting that a running session takes: remembered here
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quadro-shared-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
