@@ -43,7 +43,7 @@ from quadro.llm.common import SHORT_BATCHES, stage, text_of
 from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
 
 # Ranks are stored in three bytes: HOT stays below 2^24.
-HOT, LONGEST, WIDEST = 1 << 21, 62, 16
+HOT, LONGEST, WIDEST = 1 << 20, 62, 16
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -63,11 +63,11 @@ class Vocabulary:
 
     def unit_pattern(self) -> str:
         """Letters and safe punctuation meet in no unit."""
-        a, s = f"[{LETTER}]+", "[" + "".join("\\" + c for c in self.safe) + "]+"
+        a, s = f"[{LETTER}]++", "[" + "".join("\\" + c for c in self.safe) + "]++"  # no class meets another: never go back
         if not self.safe:
             return r"[\x00-\x1F]|\x20*[^\x00-\x20]+|\x20+"
         o = f"[^\\x00-\\x20{LETTER}" + s[1:]
-        return rf"[\x00-\x1F]|\x20*(?:{a}|{s})(?:{o}(?:{a}|{s})?)*|\x20*(?:{o}(?:{a}|{s})?)+|\x20+"
+        return rf"\x20*+(?:{a}|{s})(?:{o}(?:{a}|{s})?+)*+|[\x00-\x1F]|\x20*+(?:{o}(?:{a}|{s})?+)++|\x20++"
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """piece, rank (0 is merged first, or scores best), id, score."""
@@ -219,7 +219,7 @@ def encode_units(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     count = lambda d: d.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     # A unit of over LONGEST characters has half as many in a run; most texts have none.
     half = LONGEST // 2
-    few = texts.where(F.col("text").rlike(rf"[^\x00-\x20]{{{half}}}|\x20{{{half}}}"))
+    few = texts.where(F.col("text").rlike(rf"(?:^|[\x00-\x20])[^\x00-\x20]{{{half}}}|\x20{{{half}}}"))
     long_units = count(cut(few).where(F.length("unit") > LONGEST))
     lattice = _edges(count(cut(texts).where(F.length("unit") <= LONGEST)), vocabulary.frame(spark), vocabulary.unigram)
     size = F.length("unit")
