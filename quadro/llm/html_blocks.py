@@ -1,4 +1,12 @@
-"""Leaf blocks of a page's DOM: their texts, ancestors and a few counts."""
+"""Leaf blocks of a page's DOM: their texts, ancestors and a few counts.
+
+Left out are scripts, styles, titles and templates, nothing else. Text of an embedded
+element (JUDGED) is a block of its own with that ancestor; formulas stay in their
+sentence. A title ends at the next block at the latest. An embedded element or template
+without its end tag ends with the block that encloses it, and its blocks don't count it
+as an ancestor. As browsers have it, a script or style without its end tag is the rest
+of the page, and a head ends at the first text.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +19,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template iframe object svg math textarea".split())
+SILENT = frozenset("script style title".split())
+JUDGED = frozenset("noscript template iframe object svg textarea".split())
 #: An element of the left kind ends open ones of the right kinds, up to a container.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CONTAINERS = frozenset("ul ol menu dl table select body html div section article main aside nav header footer form td th li".split())
+CONTAINERS = frozenset("ul ol menu dl table select body html div section article main aside nav header footer form td th li template object".split())
 
 
 @dataclass
@@ -24,6 +33,12 @@ class Block:
     linked: int  # characters inside links
 
 
+class _Embedded(str):
+    """The step of a path that an element of JUDGED is."""
+
+    closed = False  # whether its end tag came
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -31,28 +46,56 @@ class _Reader(HTMLParser):
         self.path: list[str] = []
         self.tags: list[str] = []
         self.texts: list[str] = []
-        self.linked = self.links = self.silent = 0
+        self.linked = self.links = 0
+        self.silent = ""  # the open element of SILENT
+        self.embedded: list[_Embedded] = []  # the open ones
+        self.at: _Embedded | None = None  # the innermost one around the current texts
+        self.place: tuple[str, ...] | None = None  # the path where the current texts began
+        self.any = False  # whether there was an embedded element
 
     def end_block(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
-                self.blocks.append(Block(text, tuple(self.path), self.linked))
+                self.blocks.append(Block(text, self.place, self.linked))
             self.texts, self.linked = [], 0
+        self.place = self.at = None
 
     def pop_to(self, at: int) -> None:
         self.end_block()
+        self.leave(at)
+
+    def leave(self, at: int) -> None:
+        if self.embedded:
+            gone = sum(isinstance(p, _Embedded) for p in self.path[at:])
+            del self.embedded[len(self.embedded) - gone :]
         del self.path[at:], self.tags[at:]
 
+    def end_head(self) -> None:
+        """What a head leaves open ends with it."""
+        self.silent = ""
+        if "body" not in self.tags:
+            at = len(self.tags)
+            while at and self.tags[at - 1] in JUDGED:
+                at -= 1
+            self.pop_to(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SILENT:
-            self.silent += 1
+            self.silent = tag
             return
-        if tag == "body":  # an unclosed head ends here
-            self.silent = 0
+        if tag == "body":
+            self.end_head()
+        elif tag in BLOCKS or tag in JUDGED:
+            self.silent = ""
         if self.silent:
             return
-        if tag == "a":
+        if tag in JUDGED:
+            self.embedded.append(_Embedded(tag))
+            self.tags.append(tag)
+            self.path.append(self.embedded[-1])
+            self.any = True
+        elif tag == "a":
             self.links = 1
         elif tag == "br":
             self.texts.append(" ")
@@ -75,10 +118,17 @@ class _Reader(HTMLParser):
                 self.path.append(".".join([tag, *names]))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif self.silent:
+        if tag == self.silent or tag in BLOCKS or tag in JUDGED:
+            self.silent = ""
+        if tag in SILENT or self.silent:
             pass
+        elif tag == "head":
+            self.end_head()
+        elif tag in JUDGED:
+            if tag in self.tags:
+                at = len(self.tags) - 1 - self.tags[::-1].index(tag)
+                self.path[at].closed = True
+                self.leave(at)
         elif tag == "a":
             self.links = 0
         elif tag in BLOCKS:
@@ -94,6 +144,14 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
+            if not data.isspace():
+                if self.any:
+                    at = self.embedded[-1] if self.embedded else None
+                    if at is not self.at:
+                        self.end_block()
+                        self.at = at
+                if self.place is None:
+                    self.place = tuple(self.path)
             self.texts.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -104,4 +162,18 @@ def blocks_of(html: str | None) -> list[Block]:
     reader.feed(html or "")
     reader.close()
     reader.end_block()
+    if reader.any:
+        return _outside_templates(reader.blocks)
     return reader.blocks
+
+
+def _outside_templates(blocks: list[Block]) -> list[Block]:
+    """Blocks without those of templates; elements without an end tag leave the paths."""
+    kept = []
+    for b in blocks:
+        inside = [p for p in b.path if isinstance(p, _Embedded)]
+        if not any(p == "template" and p.closed for p in inside):
+            if inside:
+                b.path = tuple(str(p) for p in b.path if not isinstance(p, _Embedded) or p.closed)
+            kept.append(b)
+    return kept

@@ -28,6 +28,7 @@ SYLLABLES = "ba re ti on al en ou is st er and the in lo ma pre vi ko du sha ent
 class _Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        self.rare = random.Random(f"embedded {seed}")  # embedded elements: apart, the rest of a page stays as it is
         self.out: list[tuple[str, int | None]] = []  # markup, or a block's text and label
 
     def word(self) -> str:
@@ -54,6 +55,12 @@ class _Maker:
         self.out.append((text, label))
         self.tag(("</a>" if link else "") + f"</{tag}>")
 
+    def embedded(self, often: float, tags: list[str], label: int) -> None:
+        if self.rare.random() < often:
+            kept, self.r = self.r, self.rare
+            self.block(self.r.choice(tags), self.prose(self.r.choice([1, 2, 4, 10, 20])).rstrip("."), label)
+            self.r = kept
+
     def links(self) -> None:
         self.tag("<ul>")
         for _ in range(self.r.randint(3, 8)):
@@ -74,6 +81,8 @@ class _Maker:
                 self.out.append((("© 2020 " if kind == "footer" else "") + text, 0))
             else:
                 self.block("p", text, 0, link=self.r.random() < 0.3)
+        if kind in ("header", "menu", "advert", "sidebar"):
+            self.embedded(0.1, ["svg", "noscript", "iframe"], 0)
         if kind == "sidebar":
             self.block(self.r.choice(["h2", "h3", "h4"]), self.prose(2), 0)
             self.block("p", self.prose(self.r.randint(4, 40)), 0, link=self.r.random() < 0.3)
@@ -86,6 +95,7 @@ class _Maker:
         if kind == "form":
             for _ in range(self.r.randint(1, 4)):
                 self.block(self.r.choice(["p", "div", "fieldset"]), self.prose(self.r.randint(1, 4)).rstrip("."), 0)
+            self.embedded(0.3, ["textarea"], 0)
         self.tag(f"</{tag}>")
 
     def aside_of_body(self) -> None:
@@ -115,6 +125,7 @@ class _Maker:
                 self.block(self.r.choice(["blockquote", "pre", "td", "div", "figcaption"]), self.prose(self.r.randint(2, 40)), 1)
             elif self.r.random() < 0.6:
                 self.aside_of_body()
+            self.embedded(0.05, ["object", "object", "svg", "noscript", "iframe"], 1)
         if wrapped:
             self.tag("</div>")
         if self.r.random() < 0.2:

@@ -328,6 +328,32 @@ def test_main_text_of_common_layouts(crf):
     assert html_crf.main_text(crf, page) == "Head & line\n\nFirst paragraph, with words and été.\n\nSecond one, which is longer, and ends here."
 
 
+def test_embedded_text_is_kept(crf):
+    """None of the elements that are drawn, run or fallen back to loses text, closed or not."""
+    plain = "A sentence of the article, long enough to be taken for one of its own."
+    texts = {f"e{k}": f"{plain} Number {k}." for k in range(4)}
+    for tag in ("noscript", "object", "svg", "iframe", "textarea", "template"):
+        for page in (
+            f"<body><article><p>{texts['e0']}<{tag}>{texts['e1']}</{tag}><p>{texts['e2']}</article><p>{texts['e3']}</body>",
+            f"<body><article><p>{texts['e0']}<p>{texts['e1']}<{tag}></article><p>{texts['e2']}<{tag}><{tag}></{tag}><p>{texts['e3']}</body>",
+            f"<body><{tag}><article><p>{texts['e0']}<p>{texts['e1']}</article><p>{texts['e2']}<{tag}><p>{texts['e3']}</body>",
+            f"<head><title>T<{tag}><body><p>{texts['e0']}<p>{texts['e1']}<p>{texts['e2']}<p>{texts['e3']}",
+        ):
+            wanted = list(texts.values())
+            if tag == "template" and f"{texts['e1']}</template>" in page:
+                wanted.remove(texts["e1"])
+            got = html_blocks.blocks_of(page)
+            assert [b.text for b in got if b.text != "T"] == wanted, page
+            unclosed = f"</{tag}>" not in page
+            assert not unclosed or not any(tag in b.path for b in got)
+    formula = "<article><h1>Title of it</h1><p>" + plain + " Here <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds, as was shown.<object><p>" + plain + " Fallback.</object></article>"
+    assert html_crf.main_text(crf, formula).split("\n\n") == ["Title of it", plain + " Here a=b holds, as was shown.", plain + " Fallback."]
+    assert [b.text for b in html_blocks.blocks_of("<p>One <svg><path d=x></svg> two <svg> </svg> three<p>Icon <svg><title>t</title><text>label</text></svg>")] == ["One two three", "Icon", "label"]
+    assert [b.path for b in html_blocks.blocks_of("<p>Icon <svg> <text>label</text></svg> end")] == [("p",), ("p", "svg"), ("p",)]
+    assert [b.text for b in html_blocks.blocks_of("<head><title>T</title><p>No head end<script>x</script><style>y</style><template><div>z<p>z</div>z</template> here.")] == ["No head end", "here."]
+    assert [b.text for b in html_blocks.blocks_of("<head><title>T<p>No title end.")] == ["No title end."]
+
+
 def test_labels_of_unseen_pages(crf):
     right = total = 0
     for html, labels in html_pages.labelled_pages(120, seed=77):
