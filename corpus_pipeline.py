@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
 kept; run() writes every stage's rows as Parquet and rereads them as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents. Stages that select rows number
+and write them first, so rows that repeat a doc_id or have none are told apart.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ from quadro.llm.queries import vocabulary
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) and digest `kept` holds."""
-    kept = kept.withColumnsRenamed({c: f"_{c}" for c in kept.columns}).distinct()
-    d = docs.withColumn("_digest", F.sha2(exact_dedup.normalised("text"), 256))
-    same = d["doc_id"].eqNullSafe(kept["_doc_id"])
-    if "_text_sha256" in kept.columns:
-        same &= d["_digest"] == kept["_text_sha256"]
-    return d.join(kept, same, "left_semi").select(docs.columns)
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written: a plan run again may number otherwise."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _firsts(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group (its doc_id being ROW) the row with the smallest doc_id, null last."""
+    d = groups.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(rows.select(ROW, "doc_id"), ROW)
+    first = d.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}")), ROW, "left_semi").drop(ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +41,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id (rows that repeat it stay together)."""
-    return _only(docs, exact_dedup.exact_groups(docs).where("kept").select("doc_id", "text_sha256"))
+    """Of equal texts the row with the smallest doc_id."""
+    rows = _numbered(docs)
+    return _firsts(rows, exact_dedup.exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text")), "keep_id").select(docs.columns)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8."""
-    return _only(docs, minhash.near_groups(docs).where("kept").select("doc_id"))
+    rows = _numbered(docs)
+    return _firsts(rows, minhash.near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")), "component_id").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_doc_id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc_id"]))
+    rows = _numbered(docs)
+    copies = mixing.mix(rows, row=ROW).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
+    taken = rows.join(copies, ROW)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
 
 

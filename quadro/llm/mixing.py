@@ -16,8 +16,9 @@ small table: one row each, and the only thing that a single task orders.
 Defined cases: null texts have size 0; a source without words gets target 0; a null
 source is a source of its own, last in order; ranks come from a hash of doc_id, so
 reruns agree, and ties in rank go by doc_id and size; rows that repeat a doc_id are
-separate units with equal rank; an empty table gives an empty table; other columns
-are ignored.
+separate units with equal rank, and a row number, if given, decides between them and
+ranks rows without a doc_id; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,19 +54,22 @@ def source_targets(sizes: DataFrame, most: int = MAX_COPIES, weight: Column | No
     return d.select("source", "source_size", F.when(F.col("free"), F.col("share")).otherwise(F.col("cap")).cast("double").alias("target"))
 
 
-def uniform(seed: int, *columns: str) -> Column:
+def uniform(seed: int, *columns: str | Column) -> Column:
     """A number strictly between 0 and 1 for each value of the columns."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def mix(docs: DataFrame, importance: Column | None = None, most: int = MAX_COPIES, weight: Column | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, importance: Column | None = None, most: int = MAX_COPIES, weight: Column | None = None, seed: int = SEED, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
 
+    row: a column of docs that numbers its rows, returned as well.
+
     importance: a positive factor of a document's expected copies (over columns of docs);
     copies never pass `most`, so a strong one may leave a target unfilled.
     """
     one = F.lit(1.0) if importance is None else F.coalesce(importance.cast("double"), F.lit(1.0))
-    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), one.alias("importance")), "sized")
+    numbers = [row] if row else []
+    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), one.alias("importance"), *numbers), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
     targets = source_targets(sums.select("source", "source_size"), most, weight)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -74,17 +78,17 @@ def mix(docs: DataFrame, importance: Column | None = None, most: int = MAX_COPIE
     d = sized.join(plan, same(sized, plan)).select(sized["*"], "source_size", "target", "mass")
     expected = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("mass") * F.col("importance"))).otherwise(0.0)
     d = d.withColumn("expected", expected).withColumn("whole", F.floor("expected"))
-    p, u = F.col("expected") - F.col("whole"), uniform(seed, "doc_id")
+    p, u = F.col("expected") - F.col("whole"), uniform(seed, "doc_id", *[F.when(F.col("doc_id").isNull(), F.col(c)) for c in numbers])
     # Odds over odds, mapped to 0..1 in the same order; null where there is nothing to draw.
     d = d.withColumn("rank", F.when(p > 0, u * (1 - p) / (u * (1 - p) + p * (1 - u))))
     d = d.withColumn("more", F.lit(0).cast("long")).drop("mass", "expected", "importance")
     for k in range(FILLS):
-        d = stage(_fill(d, last=k == FILLS - 1), f"drawn-{k}")
+        d = stage(_fill(d, k == FILLS - 1, numbers), f"drawn-{k}")
     d = d.withColumn("copies", F.col("whole") + F.col("more"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *numbers)
 
 
-def _fill(d: DataFrame, last: bool) -> DataFrame:
+def _fill(d: DataFrame, last: bool, numbers: list[str]) -> DataFrame:
     """Draws documents by rank while they fit what remains of their source's target. The
     last time, the document that the target falls in comes too if that is nearer."""
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -100,7 +104,7 @@ def _fill(d: DataFrame, last: bool) -> DataFrame:
     names = [c for c in d.columns if c not in ("gap", "bucket", "cut", "before", "more")]
     inside = F.col("bucket") == F.col("cut")
     rest = d.where(~F.coalesce(inside, F.lit(False))).select(*names, (F.col("more") + F.coalesce((F.col("bucket") < F.col("cut")).cast("long"), F.lit(0))).alias("more"))
-    ordered = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy("source").orderBy("rank", "doc_id", "size", *numbers).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(ordered)
     drawn = d.where(inside).select(*names, (upto - (F.col("size") / 2 if last else F.lit(0)) <= F.col("gap")).cast("long").alias("more"))
     return rest.unionByName(drawn)

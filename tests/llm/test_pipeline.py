@@ -1,8 +1,10 @@
 """The stages of the corpus pipeline, each judged on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
+from conftest import SCHEMA, prose, rows
 from test_operators import brute_components, word_sets
 
 import corpus_pipeline
@@ -52,6 +54,33 @@ def test_mix_stage(inputs):
     assert copies == want
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    r = random.Random(4)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    near = a + " more"
+    data = [(5, a), (1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (2, near), (2, c + " more"), (None, near), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows([t for _, t in data], ["s"] * len(data), [k for k, _ in data]), SCHEMA).repartition(3)
+    pairs = lambda d: sorted(((x.doc_id, x.text) for x in d.collect()), key=str)
+    distinct = corpus_pipeline.distinct_texts(spark, docs, SF).cache()
+    assert pairs(distinct) == sorted([(1, a), (1, b), (None, c), (2, near), (2, c + " more"), (7, None)], key=str)
+    alone = corpus_pipeline.no_near_copies(spark, distinct, SF)
+    assert pairs(alone) == sorted([(1, a), (1, b), (2, c + " more"), (7, None)], key=str)
+    assert pairs(corpus_pipeline.no_near_copies(spark, docs, SF)) == sorted([(1, a), (1, b), (2, c + " more"), (7, None), (7, None)], key=str)
+
+
+def test_mix_of_rows_that_share_a_doc_id(spark):
+    """Each row has its own copies: the sources' words come as mix() plans them."""
+    r = random.Random(6)
+    texts = [prose(r, r.randint(5, 60)) for _ in range(120)]
+    docs = spark.createDataFrame(rows(texts, ["x" if k % 3 else "y" for k in range(120)], [None if k % 4 == 0 else k % 7 for k in range(120)]), SCHEMA).repartition(3)
+    size = Counter()
+    for x in corpus_pipeline.mixed_sources(spark, docs, SF).collect():
+        size[x.source] += len(x.text.split())
+    plan = mixing.mix(docs).groupBy("source").agg({"target": "max"}).collect()
+    for source, target in plan:
+        assert abs(size[source] - target) <= 30
+
+
 def test_last_stage(inputs):
     rows = inputs[5].collect()
     assert len(rows) == inputs[4].count()
