@@ -16,7 +16,7 @@ from quadro.sources.dbf import dbf_records, write_dbf
 from quadro.sources.delimited import read_delimited
 from quadro.sources.scratch import scratch_path
 from quadro.sources.sinks import labelled_records, write_records
-from quadro.sql import register, run_sql
+from quadro.sql import register
 from quadro.streaming.tables import running_cells, windowed_counts, write_snapshots
 
 
@@ -395,7 +395,7 @@ def map_point_in_polygon(spark, sf):
 def _sql(spark, sf, text: str, *names: str) -> DataFrame:
     for n in names:
         register(table(spark, sf, n), n)
-    return run_sql(spark, text, 1_000_000_000)[0]
+    return spark.sql(text)
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")

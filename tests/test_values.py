@@ -178,3 +178,13 @@ def test_cast_keep_and_summaries_without_numbers(spark):
     d = spark.createDataFrame([("1,5",), ("x",), (None,)], "a string")
     assert [r[0] for r in transform.Cast("a", "number", "keep").apply(d).collect()] == ["1.5", "x", None]
     assert transform.GroupSummarize([], [("sum", "a", "s"), ("distinct", "a", "n")]).apply(d.where("a = 'x'")).first().asDict() == {"s": None, "n": 1}
+
+
+def test_registered_sql_is_neither_cut_nor_run_ahead(spark, monkeypatch):
+    import quadro.queries_tables  # noqa: F401  (registers them)
+    from quadro.queries import QUERIES
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.count", lambda d: pytest.fail("counted"))
+    for name in ("sql_passthrough", "sql_window", "sql_cube", "sql_set_ops", "sql_semi_join", "sql_percentile"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "Limit" not in plan
