@@ -17,9 +17,10 @@ no piece of the file joins to a letter or digit. Encoding has three steps:
      neighbours if exactly one boundary lies inside it. Boundaries are bits of a long.
      This equals the library on every word tried (see tests and README).
    Units of over LONGEST characters are folded the same way in an Arrow function.
-3. Application. The HOT most frequent units (a fixed bound) go to every task as a table;
-   other occurrences are joined to the encoded units by a shuffle, and put back into
-   the text's pieces.
+3. Application. The most frequent units (HOT at most, of at most SHORT bytes: a table of
+   fixed size) go to every task and are compared byte by byte; every other occurrence is
+   joined to the encoded units by a shuffle, and put back into the text's pieces. Texts
+   move once, as numbers of their units.
 
 Defined cases: null and empty texts have no pieces; the space symbol itself counts as a
 space, as in the library; texts of any length are encoded whole; repeated rows are
@@ -35,15 +36,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadro.llm.common import SHORT_BATCHES, stage, text_of
-from quadro.llm.shingles import _BASE, _BYTE, buffers, mix, slices
+from quadro.llm.common import stage, text_of
+from quadro.llm.shingles import _BASE, buffers, mix, slices
 
-# Ranks are stored in three bytes: HOT stays below 2^24.
-HOT, LONGEST, WIDEST = 1 << 20, 62, 16
+# Ranks are stored in three bytes: HOT stays below 2^24. SHORT bytes are two words.
+HOT, SHORT, LONGEST, WIDEST = 1 << 19, 16, 62, 16
+#: Distinct units that a task gathers before it hands them on.
+GATHERED = 1 << 20
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -61,14 +65,6 @@ class Vocabulary:
     unigram: bool = False
     safe: str = ""  # ASCII punctuation that no piece has next to a letter or digit
 
-    def unit_pattern(self) -> str:
-        """Letters and safe punctuation meet in no unit."""
-        a, s = f"[{LETTER}]++", "[" + "".join("\\" + c for c in self.safe) + "]++"  # no class meets another: never go back
-        if not self.safe:
-            return r"[\x00-\x1F]|\x20*[^\x00-\x20]+|\x20+"
-        o = f"[^\\x00-\\x20{LETTER}" + s[1:]
-        return rf"\x20*+(?:{a}|{s})(?:{o}(?:{a}|{s})?+)*+|[\x00-\x1F]|\x20*+(?:{o}(?:{a}|{s})?+)++|\x20++"
-
     def frame(self, spark: SparkSession) -> DataFrame:
         """piece, rank (0 is merged first, or scores best), id, score."""
         order = sorted(self.pieces, key=lambda p: (-p[2], p[1]))
@@ -104,7 +100,7 @@ def prepared(text: str | Column) -> Column:
     return F.when(t == "", t).otherwise(F.concat(F.lit(" "), t))
 
 
-# An edge is one long: rank (20 bits), start (6), end (6), value (22). The value is a
+# An edge is one long: rank (20 bits), start (6), size (6), value (22). The value is a
 # piece id, or for a character without a piece UNKNOWN plus its code point.
 UNKNOWN = 1 << 21
 
@@ -114,11 +110,13 @@ def _edges(units: DataFrame, pieces: DataFrame, scored: bool) -> DataFrame:
     size = F.length("unit")
     d = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
     d = d.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(WIDEST), size - F.col("s") + 1))).alias("k"))
-    d = d.withColumn("part", F.substring("unit", F.col("s"), F.col("k")))
-    d = d.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("id is not null or k = 1")
+    d = d.withColumn("part", F.substring("unit", F.col("s"), F.col("k"))).withColumn("h", F.xxhash64("part"))
+    # Joined by the hash as a number, several times as fast; the texts decide.
+    same = (F.col("part") <= F.col("piece")) & (F.col("part") >= F.col("piece"))
+    d = d.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece"))), (F.col("h") == F.col("key")) & same, "left").where("id is not null or k = 1")
     value = F.coalesce("id", F.lit(UNKNOWN) + F.ascii("part"))
     packed = (F.shiftleft(F.coalesce("rank", F.lit((1 << 20) - 1).cast("long")), 34)
-              + F.shiftleft((F.col("s") - 1).cast("long"), 28) + F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 22) + value)
+              + F.shiftleft((F.col("s") - 1).cast("long"), 28) + F.shiftleft(F.col("k").cast("long"), 22) + value)
     if scored:
         # A character without a piece costs more than any way around it.
         edge = F.struct(packed.alias("at"), F.coalesce("score", F.lit(-1e6)).alias("score"))
@@ -130,7 +128,7 @@ def _start(x: Column) -> Column:
     return F.shiftright(x, 28).bitwiseAND(63).cast("int")
 
 
-def _end(x: Column) -> Column:
+def _size(x: Column) -> Column:
     return F.shiftright(x, 22).bitwiseAND(63).cast("int")
 
 
@@ -138,21 +136,22 @@ def _merged(edges: Column, single: Column, size: Column) -> Column:
     """The edges on the path of a BPE file, in text order.
 
     Bit p of the state is a boundary before character p. Seen from an edge's start, both
-    its ends are boundaries and one lies between if three bits of its span are set.
+    its ends are boundaries and one lies between if the bits of its span differ from those
+    of its ends in one. (They do, too, if one end is missing and nothing lies between; then
+    there is nothing to take away.)
     """
-    one = F.expr("1L")
-    every = F.call_function("shiftleft", one, size + 1) - 1
-    span = lambda m, x: F.call_function("shiftright", m, _start(x)).bitwiseAND(F.call_function("shiftleft", one, _end(x) - _start(x) + 1) - 1)
-    ends = lambda x: F.call_function("shiftleft", one, _end(x) - _start(x)) + 1
+    one, two, left, right = F.expr("1L"), F.expr("2L"), lambda a, k: F.call_function("shiftleft", a, k), lambda a, k: F.call_function("shiftright", a, k)
+    span = lambda m, x: right(m, _start(x)).bitwiseAND(left(two, _size(x)) - 1)
+    ends = lambda x: left(one, _size(x)) + 1
 
     def step(m: Column, x: Column) -> Column:
-        joins = (F.bit_count(span(m, x)) == 3) & (span(m, x).bitwiseAND(ends(x)) == ends(x))
-        return F.when(joins, m - F.call_function("shiftleft", span(m, x) - ends(x), _start(x))).otherwise(m)
+        inside = left(left(one, _size(x)) - 2, _start(x))
+        return F.when(F.bit_count(span(m, x).bitwiseXOR(ends(x))) == 1, m.bitwiseAND(F.bitwise_not(inside))).otherwise(m)
 
-    bounds = F.aggregate(F.array_sort(edges), every, step)
-    kept = lambda m: F.concat(F.filter(edges, lambda x: span(m, x) == ends(x)), F.filter(single, lambda x: F.call_function("shiftright", m, _start(x)).bitwiseAND(3) == 3))
+    bounds = F.aggregate(F.sort_array(edges), left(one, size + 1) - 1, step)
+    kept = lambda m: F.filter(F.concat(edges, single), lambda x: span(m, x) == ends(x))
     path = F.transform(F.array(bounds), kept)[0]
-    return F.array_sort(F.transform(path, lambda x: x.bitwiseAND((1 << 34) - 1)))
+    return F.sort_array(F.transform(path, lambda x: x.bitwiseAND((1 << 34) - 1)))
 
 
 def _best(edges: Column, size: Column) -> Column:
@@ -160,7 +159,7 @@ def _best(edges: Column, size: Column) -> Column:
     none = F.struct(F.lit(float("-inf")).alias("score"), F.lit(-1).cast("long").alias("by"))
     origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).cast("long").alias("by")))
     nodes = F.concat(origin, F.array_repeat(none, size))
-    order = F.array_sort(F.transform(edges, lambda x: F.struct(_end(x["at"]).alias("e"), _start(x["at"]).alias("s"), x["at"].alias("at"), x["score"].alias("score"))))
+    order = F.array_sort(F.transform(edges, lambda x: F.struct((_start(x["at"]) + _size(x["at"])).alias("e"), _start(x["at"]).alias("s"), x["at"].alias("at"), x["score"].alias("score"))))
 
     def step(nodes: Column, x: Column) -> Column:
         score = nodes[x["s"]]["score"] + x["score"]
@@ -209,37 +208,54 @@ def _long_unit(unit: str, table: dict[str, tuple[int, int, float]], vocabulary:
     return [i for a, z in zip(cuts, cuts[1:], strict=False) for i in ids(a, z)]
 
 
+def count_units(texts: DataFrame, safe: str) -> DataFrame:
+    """unit, n (how often it occurs in the prepared texts)."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in slices(batches):
+            data, offsets = buffers(b.column("text"))
+            starts, _ = cut_units(data, offsets, safe)
+            low, high, size = words(data, starts)
+            short = size <= SHORT
+            held.append(_distinct(low[short], high[short], size[short], np.ones(int(short.sum()), np.int64)))
+            if not short.all():
+                texts = _texts(data, starts, np.flatnonzero(~short))
+                yield pa.RecordBatch.from_arrays([texts, pa.array(np.ones(len(texts), np.int64))], names=["unit", "n"])
+            if sum(len(h[0]) for h in held) > GATHERED:
+                held = [_distinct(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > GATHERED // 2:
+                    yield from _unit_batches(*held.pop())
+        if held:
+            yield from _unit_batches(*_distinct(*map(np.concatenate, zip(*held, strict=True))))
+
+    return texts.select("text").mapInArrow(one, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"), F.max(F.length("unit")).alias("size"))
+
+
 def encode_units(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """unit, n (how often it occurs), ids of every unit of prepared texts."""
     spark = texts.sparkSession
-
-    def cut(d: DataFrame) -> DataFrame:
-        return d.select(F.explode(F.regexp_extract_all("text", F.lit(vocabulary.unit_pattern()), F.lit(0))).alias("unit"))
-
-    count = lambda d: d.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    # A unit of over LONGEST characters has half as many in a run; most texts have none.
-    half = LONGEST // 2
-    few = texts.where(F.col("text").rlike(rf"(?:^|[\x00-\x20])[^\x00-\x20]{{{half}}}|\x20{{{half}}}"))
-    long_units = count(cut(few).where(F.length("unit") > LONGEST))
-    lattice = _edges(count(cut(texts).where(F.length("unit") <= LONGEST)), vocabulary.frame(spark), vocabulary.unigram)
+    counted = count_units(texts, vocabulary.safe)
+    lattice = _edges(counted.where(F.col("size") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram)
     size = F.length("unit")
     path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), F.col("single"), size)
-    lattice = lattice.select("unit", "n", path.alias("path"))
-    value = lambda x: x.bitwiseAND((1 << 22) - 1)
-    ids = F.flatten(F.transform("path", lambda x: F.when(value(x) < UNKNOWN, F.array(value(x))).otherwise(_utf8(value(x) - UNKNOWN, vocabulary.first_byte))))
-    short = lattice.select("unit", "n", ids.cast("array<int>").alias("ids"))
+    lattice = lattice.select("unit", "n", F.transform(path, lambda x: x.bitwiseAND((1 << 22) - 1)).alias("path"))
+    spelt = F.flatten(F.transform("path", lambda x: F.when(x < UNKNOWN, F.array(x)).otherwise(_utf8(x - UNKNOWN, vocabulary.first_byte))))
+    ids = F.when(F.array_max("path") < UNKNOWN, F.col("path")).otherwise(spelt)
+    kind = "smallint" if len(vocabulary.shown) <= 1 << 15 else "int"  # half the bytes to move
+    short = lattice.select("unit", "n", ids.cast(f"array<{kind}>").alias("ids"))
     table = {p: (r, i, s) for r, (p, i, s) in enumerate(sorted(vocabulary.pieces, key=lambda p: (-p[2], p[1])))}
     shared = spark.sparkContext.broadcast((table, vocabulary))
 
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array([_long_unit(u.as_py(), *shared.value) for u in b.column("unit")], pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array([_long_unit(u.as_py(), *shared.value) for u in b.column("unit")], pa.list_(pa.int16() if kind == "smallint" else pa.int32()))], names=["unit", "n", "ids"])
 
-    return short.unionByName(long_units.mapInArrow(long_ones, short.schema))
+    return short.unionByName(counted.where(F.col("size") > LONGEST).select("unit", "n").mapInArrow(long_ones, short.schema))
 
 
-def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, hash) of every unit of prepared texts, and for each text its first unit."""
+def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of every unit of prepared texts, and for each text its first unit (and the end)."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -256,51 +272,115 @@ def cut_units(data: np.ndarray, offsets: np.ndarray, safe: str = "") -> tuple[np
         ended = (k == 1) | ((k == 3) & before(k == 2))  # a letter ends here
         first |= ((k == 4) & before(ended)) | (((k == 1) | (k == 2)) & before(k == 4))
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    lengths = np.diff(np.append(starts, n))
-    at = np.arange(n) - np.repeat(starts, lengths)
-    table = _BYTE.copy()
-    table[65:91] = _BYTE[65:91] * np.uint64(31)  # case counts here
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE))
-    return starts, mix(np.add.reduceat(table[data] * powers[at], starts) + lengths.astype(np.uint64)), np.searchsorted(starts, offsets)
+    return starts, np.searchsorted(starts, offsets)
+
+
+#: What is left of a word of 8 bytes of which the first 0 to 8 count.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first 8 bytes of every unit, the next 8 and its size: all that a unit of at most
+    SHORT bytes is."""
+    size = np.diff(np.append(starts, len(data)))
+    padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    every = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+    return every[starts] & _FIRST[np.minimum(size, 8)], every[starts + 8] & _FIRST[np.clip(size - 8, 0, 8)], size
+
+
+def _hash(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(low * _BASE + (high ^ (size.astype(np.uint64) << np.uint64(56))) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _distinct(low: np.ndarray, high: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Units once each (nearly: those of one hash may repeat), and their counts added up."""
+    h = _hash(low, high, size)
+    order = np.argsort(h)
+    low, high, size, h = low[order], high[order], size[order], h[order]
+    at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size[1:] != size[:-1]))[: len(h)])
+    return low[at], high[at], size[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def _unit_batches(low: np.ndarray, high: np.ndarray, size: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(low), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        flat = np.stack([low[part], high[part]], axis=1).view(np.uint8)[np.arange(SHORT) < size[part, None]]
+        at = np.append(0, np.cumsum(size[part])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(flat)), pa.array(n[part])], names=["unit", "n"])
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, which: np.ndarray) -> pa.Array:
+    ends = np.append(starts, len(data))
+    return pa.array([data[a:z].tobytes().decode() for a, z in zip(ends[which].tolist(), ends[which + 1].tolist(), strict=True)], pa.string())
 
 
 @dataclass
 class HotUnits:
-    """Units by rank, the most frequent first: their hashes in order with the rank of each,
-    and the ids of each rank in one flat array."""
+    """Units of at most SHORT bytes by rank, the most frequent first: their words, and the
+    ids of each rank in one flat array."""
 
-    hashes: np.ndarray
-    ranks: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
     at: np.ndarray
     ids: np.ndarray
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and the rank of each hash, 0 where it isn't held."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.uint32)
-        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == hashes, self.ranks[k] + np.uint32(1), np.uint32(0))
-
-
-def hot_units(units: DataFrame, most: int, safe: str = "") -> tuple[HotUnits, Column]:
-    """The `most` most frequent units (a bounded collect), and which units are left."""
-    found = units.orderBy(F.desc("n"), "unit").limit(most).select("unit", "n", "ids").toArrow()
-    if not found.num_rows:
-        return HotUnits(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint16)), F.lit(True)
-    last, fewest = found.column("unit")[-1].as_py(), found.column("n")[-1].as_py()
-    texts, lists, hashes = found.column("unit").combine_chunks(), found.column("ids").combine_chunks(), []
-    for k in range(0, len(texts), 1 << 15):  # some at a time: the driver's memory is small
-        data, offsets = buffers(texts.slice(k, 1 << 15))
-        starts, h, _ = cut_units(data, offsets, safe)  # each is one unit, which starts where it starts
-        hashes.append(h[np.searchsorted(starts, offsets[:-1])])
-    h = np.concatenate(hashes)
-    order = np.argsort(h)
+    slots: np.ndarray | None = None  # ranks and 1 by hash, at the first free place from there
+
+    def _place(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (_hash(low, high, size) >> np.uint64(64 - (8 * len(self.low)).bit_length())).astype(np.int64)
+
+    def _fill(self) -> np.ndarray:
+        slots = np.zeros(1 << (8 * len(self.low)).bit_length(), np.uint32)
+        left = np.arange(len(self.low))
+        place = self._place(self.low, self.high, self.size.astype(np.int64))
+        while len(left):
+            free = np.flatnonzero(slots[place] == 0)
+            slots[place[free]] = left[free] + 1
+            taken = slots[place] == left + 1
+            left, place = left[~taken], (place[~taken] + 1) % len(slots)
+        return slots
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """1 and the rank of each unit, 0 where it isn't held."""
+        found = np.zeros(len(low), np.uint32)
+        if not len(self.low):
+            return found
+        if self.slots is None:
+            self.slots = self._fill()
+        left, place = np.arange(len(low)), self._place(low, high, size)
+        while len(left):
+            k = self.slots[place]
+            at = k.astype(np.int64) - 1  # -1: nothing there
+            same = (k > 0) & (self.low[at] == low[left]) & (self.high[at] == high[left]) & (self.size[at] == size[left])
+            found[left[same]] = k[same]
+            on = np.flatnonzero((k > 0) & ~same)
+            left, place = left[on], (place[on] + 1) % len(self.slots)
+        return found
+
+
+def hot_units(units: DataFrame, most: int) -> tuple[HotUnits, DataFrame]:
+    """The most frequent units of at most SHORT bytes, `most` at most (a bounded collect), and the others."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    short = units.where(F.octet_length("unit") <= SHORT).withColumn("level", level)
+    counts = short.groupBy("level").agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("level")).collect()  # 16 rows for each doubling
+    total, least = 0, None
+    for r in counts:
+        total += r["units"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        none = np.zeros(0, np.uint64)
+        return HotUnits(none, none, np.zeros(0, np.uint8), np.zeros(1, np.int32), np.zeros(0, np.int32)), units
+    found = short.where(F.col("level") >= least).select("unit", "n", "ids").toArrow().combine_chunks()
+    found = found.take(pa.compute.sort_indices(found, [("n", "descending"), ("unit", "ascending")]))
+    texts, lists = (found.column(c).combine_chunks() for c in ("unit", "ids"))
+    data, offsets = buffers(texts)
+    low, high, size = words(data, offsets[:-1])
     flat = lists.flatten().to_numpy()
-    at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
-    left = (F.col("n") < fewest) | (F.col("n") == fewest) & (F.col("unit") > last)
-    return HotUnits(h[order], order.astype(np.uint32), at, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)), left
+    at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy()))).astype(np.int32)
+    held = HotUnits(low, high, size.astype(np.uint8), at, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32))
+    return held, units.where((level < least) | (F.octet_length("unit") > SHORT))
 
 
 def _packed(ranks: np.ndarray) -> bytes:
@@ -319,35 +399,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
     kind, safe = docs.schema["doc_id"].dataType, vocabulary.safe
     d = docs.select("doc_id", prepared("text").alias("text"))
     units = stage(encode_units(d, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
-    held, others = hot_units(units, most, safe)
+    held, others = hot_units(units, most)
     hot = spark.sparkContext.broadcast(held)
-    d = d.withColumn("h", F.xxhash64("text"))
-    key = [T.StructField("doc_id", kind), T.StructField("h", T.LongType())]
-    rare = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("unit", T.StringType())]))
-    packed = T.StructType([*key, T.StructField("n_units", T.LongType()), T.StructField("ranks", T.BinaryType()), T.StructField("rare", rare)])
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 96 bits stand for a row where its parts meet again; equal rows have equal parts.
+    h = F.xxhash64("text")
+    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.shiftright(h, 32).cast("int").alias("half"), h.alias("h"), "text")
+    key = [T.StructField("key", T.LongType()), T.StructField("half", T.IntegerType())]
+    left_over = T.StructType([*key, T.StructField("pos", T.IntegerType()), T.StructField("unit", T.StringType())])
+    packed = T.StructType([*key, T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("n_units", T.LongType()), T.StructField("ranks", T.BinaryType())])
+
+    def look_up(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = buffers(b.column("text"))
+        starts, first = cut_units(data, offsets, safe)
+        return data, starts, first, hot.value.find(*words(data, starts))
+
+    def not_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            data, offsets = buffers(b.column("text"))
-            starts, h, first = cut_units(data, offsets, safe)
-            k, ends = hot.value.find(h), np.append(starts, len(data))
+            data, starts, first, k = look_up(b)
             left = np.flatnonzero(k == 0)
-            texts = [data[ends[i] : ends[i + 1]].tobytes().decode() for i in left.tolist()]
-            place = left - first[np.searchsorted(first, left, side="right") - 1]
-            listed = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(texts, pa.string())], names=["pos", "unit"])
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("h"), pa.array(np.diff(first), pa.int64()),
-                pa.array([_packed(k[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.searchsorted(left, first), pa.int32()), listed)], names=packed.names)
-
-    looked = stage(d.mapInArrow(look_up, packed), "looked-up", SHORT_BATCHES)
-    left = looked.select("doc_id", "h", F.inline("rare"))
-    filled = left.join(units.where(others).select("unit", "ids"), "unit").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
-    filled = filled.withColumnsRenamed({"doc_id": "doc2", "h": "h2"})
-    whole = looked.drop("rare")
-    whole = whole.join(filled, whole["h"].eqNullSafe(filled["h2"]) & whole["doc_id"].eqNullSafe(filled["doc2"]), "left").drop("doc2", "h2")
+            row = np.searchsorted(first, left, side="right") - 1
+            keys = b.select(["key", "half"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(left - first[row], pa.int32()), _texts(data, starts, left)], names=left_over.names)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            _, _, first, k = look_up(b)
+            ranks = pa.array([_packed(k[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "half", "doc_id", "h")), pa.array(np.diff(first), pa.int64()), ranks], names=packed.names)
+
+    filled = d.select("key", "half", "text").mapInArrow(not_held, left_over).join(others.select("unit", "ids"), "unit").select("key", "half", "pos", "ids")
+    filled = filled.repartition("key", "half").groupBy("key", "half").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
+    whole = d.mapInArrow(numbered, packed).join(filled, ["key", "half"], "left")
     shown = spark.sparkContext.broadcast(vocabulary.shown)
-    out = T.StructType([*key, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, told = hot.value, np.array(shown.value, object)
@@ -374,7 +458,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), lists, pa.array(texts, pa.string())], names=out.names)
 
-    done = whole.mapInArrow(merge, out)
+    done = whole.select("doc_id", "h", "n_units", "ranks", "rare").mapInArrow(merge, out)
     return done.select("doc_id", "ids", (F.xxhash64("text") == F.col("h")).alias("same"))
 
 
