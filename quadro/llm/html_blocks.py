@@ -138,6 +138,14 @@ class _Reader(HTMLParser):
             else:
                 self.end_block()
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section of an unknown kind is markup that nobody reads: it ends at its >."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID or tag in BLOCKS:
             self.handle_starttag(tag, attrs)
