@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import round_half_away
@@ -109,10 +109,6 @@ def _isnumber(parts: list[Part]) -> Part:
     return Part(_bool(parts[0].error.isNull() & parts[0].value.isNotNull()), no_error())
 
 
-def _zero(*v: Column) -> Column:
-    return v[1] == 0
-
-
 _round = _plain(lambda v, d=None: _scaled(lambda x: round_half_away(x))(v, d))
 #: name: least and most arguments, and how it compiles.
 REGISTRY: dict[str, tuple[int, int, Callable[[list[Part]], Part]]] = {
@@ -141,11 +137,15 @@ REGISTRY: dict[str, tuple[int, int, Callable[[list[Part]], Part]]] = {
     "NOT": (1, 1, _plain(lambda v: _bool(~_true(v)))),
     "IFERROR": (2, 2, _iferror),
     "ISNUMBER": (1, 1, _isnumber),
-    "RATE": (2, 3, _checked(lambda a, b, per=None: F.try_divide(a, b) * (F.lit(100_000.0) if per is None else per), _zero, "division by zero")),
-    "PERCENT": (2, 2, _checked(lambda a, b: F.try_divide(a, b) * 100, _zero, "division by zero")),
-    "RATIO": (2, 2, _checked(lambda a, b: F.try_divide(a, b), _zero, "division by zero")),
     "CHANGE": (2, 2, _plain(lambda a, b: a - b)),
-    "PCTCHANGE": (2, 2, _checked(lambda a, b: F.try_divide(a - b, b) * 100, _zero, "division by zero")),
+}
+#: Functions that divide their first argument by the second, under the formula's policy:
+#: what is divided, and by how much the result is scaled.
+DIVIDING: dict[str, tuple[int, int, Callable[[list[Part]], Part], Callable[[list[Part]], Column]]] = {
+    "RATE": (2, 3, lambda p: p[0], lambda p: p[2].value if len(p) > 2 else F.lit(100_000.0)),
+    "PERCENT": (2, 2, lambda p: p[0], lambda p: F.lit(100.0)),
+    "RATIO": (2, 2, lambda p: p[0], lambda p: F.lit(1.0)),
+    "PCTCHANGE": (2, 2, lambda p: Part(p[0].value - p[1].value, _errors(p[:2])), lambda p: F.lit(100.0)),
 }
 #: Functions that look at other rows; they need an order or the whole column.
 WINDOWED = {"LAG": (1, 2), "ZSCORE": (1, 1)}
@@ -169,20 +169,25 @@ def _rewritten(text: str) -> tuple[str, list[str]]:
 
     text = re.sub(r"\[([^\[\]]+)\]", refer, text.strip().removeprefix("="))
     text = text.replace(";", ",").replace("<>", "!=").replace("^", "**")
+    text = re.sub(r"(?<![\w.])(?:if|and|or|not)(?=\s*\()", lambda m: m[0].upper(), text)  # Python's own words
     return re.sub(r"(?<![<>!=])=(?!=)", "==", text), names
 
 
 def references(text: str, columns: list[str]) -> list[str]:
     """The columns that a formula reads."""
     source, names = _rewritten(text)
-    found = [_resolve(n.id, names, columns) for n in ast.walk(ast.parse(source, mode="eval")) if isinstance(n, ast.Name) and _function(n.id) is None]
+    try:
+        tree = ast.parse(source, mode="eval")
+    except SyntaxError as e:
+        raise FormulaError(f"can't read {text!r}") from e
+    found = [_resolve(n.id, names, columns) for n in ast.walk(tree) if isinstance(n, ast.Name) and _function(n.id) is None]
     return list(dict.fromkeys(found))
 
 
 def _function(name: str) -> str | None:
     bare = _bare(name)
     bare = ALIASES.get(bare, bare)
-    return bare if bare in REGISTRY or bare in WINDOWED else None
+    return bare if bare in REGISTRY or bare in DIVIDING or bare in WINDOWED else None
 
 
 def _resolve(token: str, names: list[str], columns: list[str]) -> str:
@@ -197,8 +202,10 @@ def _resolve(token: str, names: list[str], columns: list[str]) -> str:
     return exact[0]
 
 
-def compile_formula(text: str, values: dict[str, Column], missing: str = "zero", division: str = "error", order: Window | None = None, whole: Window | None = None) -> Part:
-    """The formula over numeric Columns by name. order: for LAG; whole: for ZSCORE."""
+def compile_formula(
+        text: str, values: dict[str, Column], missing: str = "zero", division: str = "error", order: Window | None = None, whole: Window | DataFrame | None = None) -> Part:
+    """The formula over numeric Columns by name. order: for LAG; whole: for ZSCORE, a window,
+    or the DataFrame of the columns, whose mean and spread are then subqueries of their own."""
     source, names = _rewritten(text)
     try:
         tree = ast.parse(source, mode="eval").body
@@ -233,8 +240,9 @@ def compile_formula(text: str, values: dict[str, Column], missing: str = "zero",
             return Part(before, F.when(before.isNull(), F.lit("LAG: no such row")))
         if whole is None:
             raise FormulaError("ZSCORE needs a whole column")
-        sd = F.stddev_samp(first.value).over(whole)
-        return Part(F.try_divide(first.value - F.avg(first.value).over(whole), sd), F.coalesce(first.error, F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit("ZSCORE: no spread"))))
+        over = (lambda c: whole.agg(c).scalar()) if isinstance(whole, DataFrame) else lambda c: c.over(whole)
+        sd = over(F.stddev_samp(first.value))
+        return Part(F.try_divide(first.value - over(F.avg(first.value)), sd), F.coalesce(first.error, F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit("ZSCORE: no spread"))))
 
     def build(n: ast.expr) -> Part:
         match n:
@@ -270,6 +278,13 @@ def compile_formula(text: str, values: dict[str, Column], missing: str = "zero",
                     return windowed(known, args)
                 if known is None:
                     raise FormulaError(f"no function {name}")
+                if known in DIVIDING:
+                    low, high, above, scale = DIVIDING[known]
+                    if not low <= len(args) <= high:
+                        raise FormulaError(f"{name}: {len(args)} arguments")
+                    parts = [build(a) for a in args]
+                    ratio = divide(above(parts), parts[1])
+                    return Part(ratio.value * scale(parts), F.coalesce(_errors(parts), ratio.error))
                 low, high, make = REGISTRY[known]
                 if not low <= len(args) <= high or known == "IFS" and len(args) % 2:
                     raise FormulaError(f"{name}: {len(args)} arguments")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import as_key, kind_of, natural_key, to_number, trim_all
-from quadro.operators.statistics import false_discovery, two_proportions, wilson
+from quadro.operators.statistics import exact_quantiles, false_discovery, two_proportions, wilson
 
-Z_MAD, IQR_TO_SD = 0.67448975, 1.349
+Z_MAD, IQR_TO_SD, FENCE = 0.67448975, 1.349, 1.5
 EARTH_KM = 6371.0088
 
 
@@ -19,13 +19,13 @@ def numeric_profile(df: DataFrame, name: str) -> DataFrame:
     """total, numeric, missing, invalid, distinct, quartiles, fences, outliers of a field."""
     c, kind = F.col(name), kind_of(df, name)
     d = df.select(to_number(c, kind).alias("v"), (F.coalesce(trim_all(as_key(c, kind)), F.lit("")) == "").alias("blank"))
+    q1, median, q3 = exact_quantiles(d, F.col("v"), [0.25, 0.5, 0.75])
+    low, high = (None, None) if q1 is None else (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
     s = d.agg(
         F.count(F.lit(1)).alias("total"), F.count("v").alias("numeric"), F.count_if("blank").alias("missing"), F.count_if(F.col("v").isNull() & ~F.col("blank")).alias("invalid"),
-        F.count_distinct("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = F.col("q")[2] - F.col("q")[0]
-    s = s.select("*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[0] - 1.5 * spread).alias("low_fence"), (F.col("q")[2] + 1.5 * spread).alias("high_fence")).drop("q")
-    out = d.join(F.broadcast(s.select("low_fence", "high_fence"))).agg(F.count_if((F.col("v") < F.col("low_fence")) | (F.col("v") > F.col("high_fence"))).alias("outliers"))
-    return s.join(F.broadcast(out))
+        F.count_distinct("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if((F.col("v") < low) | (F.col("v") > high)).alias("outliers"))
+    number = lambda x, name: F.lit(x).cast("double").alias(name)
+    return s.select(*[c for c in s.columns if c != "outliers"], number(q1, "q1"), number(median, "median"), number(q3, "q3"), number(low, "low_fence"), number(high, "high_fence"), "outliers")
 
 
 def combinations(df: DataFrame, names: Sequence[str], limit: int = 50) -> DataFrame:
@@ -45,32 +45,49 @@ def distinct_values(df: DataFrame, name: str, limit: int = 500) -> tuple[DataFra
 
 
 def numeric_outliers(df: DataFrame, name: str, keys: Sequence[str], threshold: float = 3.5) -> DataFrame:
-    """keys, value, z, score: values far from the median in units of the MAD (of the
-    interquartile range over 1.349 where that is 0)."""
+    """keys, value, z, outside, score: values far from the median in units of the MAD (of the
+    interquartile range over 1.349 where that is 0), or outside the fences of 1.5 such ranges."""
     d = df.select(*keys, to_number(F.col(name), kind_of(df, name)).alias("value")).where("value is not null")
-    q = d.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    mad = d.join(F.broadcast(q)).agg(F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).alias("mad"))
-    away = F.col("value") - F.col("median")
-    z = F.when(F.col("mad") > 0, Z_MAD * away / F.col("mad")).when(F.col("iqr") > 0, away / (F.col("iqr") / IQR_TO_SD))
-    found = d.join(F.broadcast(q.join(mad))).select(*keys, "value", z.alias("z")).where(F.abs("z") >= threshold)
-    return found.withColumn("score", F.least(F.lit(100.0), 100 * F.abs("z") / (2 * threshold)))
+    q1, median, q3 = exact_quantiles(d, F.col("value"), [0.25, 0.5, 0.75])
+    if median is None:
+        return d.select("*", F.lit(None).cast("double").alias("z"), F.lit(False).alias("outside"), F.lit(0.0).alias("score")).limit(0)
+    mad, = exact_quantiles(d, F.abs(F.col("value") - median), [0.5])
+    iqr = q3 - q1
+    scale = Z_MAD / mad if mad > 0 else IQR_TO_SD / iqr if iqr > 0 else 0.0
+    low, high = q1 - FENCE * iqr, q3 + FENCE * iqr
+    z, v = (F.col("value") - median) * scale, F.col("value")
+    beyond = F.greatest(low - v, v - high, F.lit(0.0)) / (iqr or 1.0)
+    strength = F.greatest(F.abs(z) / threshold / 2, beyond / 3)
+    found = d.select("*", z.alias("z"), ((v < low) | (v > high)).alias("outside"), _percent(strength).alias("score"))
+    return found.where((F.abs("z") >= threshold) | F.col("outside"))
 
 
-def _median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    return F.when(n == 0, F.lit(None)).when(n % 2 == 1, F.get(s, F.floor(n / 2).cast("int"))).otherwise((F.get(s, (n / 2 - 1).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+def _percent(strength: Column) -> Column:
+    """A strength from 0 to 1 as a whole number of percent, halves up."""
+    return F.when(strength.isNotNull(), F.floor(100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength)) + 0.5)).cast("double")
+
+
+def _quantile(a: Column, share: float) -> Column:
+    """Of the values of a short list, between neighbours."""
+    s, at = F.array_sort(a), (F.size(a) - 1) * F.lit(share)
+    below = F.floor(at).cast("int")
+    return F.get(s, below) + (F.get(s, F.ceil(at).cast("int")) - F.get(s, below)) * (at - below)
 
 
 def temporal_outliers(series: DataFrame, order: str, value: str, by: Sequence[str] = (), radius: int = 3, threshold: float = 3.5) -> DataFrame:
-    """order, value, center, mad, z, outlier of a series (or of each in `by`), from the
-    median and MAD of log(1 + value) around each point; fewer than 3 neighbours tell nothing."""
+    """order, value, center, mad, z, score, outlier of a series (or of each in `by`), from the
+    median and MAD around each point (the interquartile range over 1.349 where that is 0).
+    Values from 0 up are compared as log(1 + value). Fewer than 3 neighbours tell nothing."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-radius, radius)
-    d = series.select(*by, order, F.col(value).cast("double").alias("value")).withColumn("l", F.log1p("value"))
-    d = d.withColumn("near", F.collect_list("l").over(w)).withColumn("center", _median(F.col("near")))
-    d = d.withColumn("mad", _median(F.transform("near", lambda x: F.abs(x - F.col("center")))))
-    z = F.when((F.size("near") >= 3) & (F.col("mad") > 0), Z_MAD * (F.col("l") - F.col("center")) / F.col("mad"))
-    return d.withColumn("z", z).select(*by, order, "value", "center", "mad", "z", F.coalesce(F.abs("z") >= threshold, F.lit(False)).alias("outlier"))
+    v = F.col("value")
+    d = series.select(*by, order, F.col(value).cast("double").alias("value")).withColumn("l", F.when(F.abs(v) < float("inf"), F.when(v >= 0, F.log1p(v)).otherwise(v)))
+    d = d.withColumn("near", F.collect_list("l").over(w)).withColumn("mid", _quantile(F.col("near"), 0.5))
+    d = d.withColumn("mad", _quantile(F.transform("near", lambda x: F.abs(x - F.col("mid"))), 0.5))
+    d = d.withColumn("spread", (_quantile(F.col("near"), 0.75) - _quantile(F.col("near"), 0.25)) / IQR_TO_SD)
+    away = F.col("l") - F.col("mid")
+    z = F.when(F.col("mad") > 0, Z_MAD * away / F.col("mad")).when(F.col("spread") > 0, away / F.col("spread")).otherwise(away * 0)
+    d = d.withColumn("z", F.when(F.size("near") >= 3, z))
+    return d.select(*by, order, "value", F.expm1("mid").alias("center"), "mad", "z", _percent(F.abs("z") / (2 * threshold)).alias("score"), F.coalesce(F.abs("z") >= threshold, F.lit(False)).alias("outlier"))
 
 
 # --- distributions ----------------------------------------------------------------------
@@ -85,9 +102,8 @@ def distribution_shift(group: DataFrame, reference: DataFrame, name: str) -> Dat
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
     s = d.agg((F.sum(part("p") + part("q")) / 2).alias("js"), (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv"), F.max(F.abs(F.col("p") - F.col("q"))).alias("largest"))
-    one = lambda c, full: F.least(F.lit(1.0), F.col(c) / full)
-    score = 100 * (0.45 * one("js", 0.25) + 0.35 * one("tv", 0.35) + 0.20 * one("largest", 0.25))
-    return s.withColumn("score", score).withColumn("severity", severity(F.col("score")))
+    strength = 0.45 * F.col("js") / 0.25 + 0.35 * F.col("tv") / 0.35 + 0.20 * F.col("largest") / 0.25
+    return s.withColumn("score", _percent(strength)).withColumn("severity", severity(F.col("score")))
 
 
 def severity(score: Column) -> Column:
@@ -146,23 +162,61 @@ def proportions(df: DataFrame, key: str, flag: Column) -> DataFrame:
 # --- flows and places -------------------------------------------------------------------
 
 
-def flows(df: DataFrame, origin: str, destination: str, weight: str | None = None, unknown: Sequence[str] = (), include_unknown: bool = False) -> DataFrame:
-    """origin, destination, value, records of every pair of places; blanks are left out."""
-    text = lambda n: trim_all(as_key(F.col(n), kind_of(df, n)))
-    w = F.lit(1.0) if weight is None else F.when(F.coalesce(text(weight), F.lit("")) == "", 0.0).otherwise(to_number(F.col(weight), kind_of(df, weight)))
-    d = df.select(text(origin).alias("origin"), text(destination).alias("destination"), w.alias("w")).where("origin <> '' and destination <> '' and w is not null")
-    if unknown and not include_unknown:
-        d = d.where(~F.col("origin").isin(*unknown) & ~F.col("destination").isin(*unknown))
-    return d.groupBy("origin", "destination").agg(F.sum("w").alias("value"), F.count(F.lit(1)).alias("records"))
+Known = DataFrame | Sequence[str] | None
+
+
+def _pairs(df: DataFrame, origin: str, destination: str, weight: str | None, known: Known) -> DataFrame:
+    """origin, destination (texts, blank where absent), value, weighed, records, and whether
+    each place is unknown. Records are grouped by the fields as they are; texts are made of
+    the few groups."""
+    if weight is None:
+        w = F.lit(1.0)
+    else:
+        number = to_number(F.col(weight), kind_of(df, weight))
+        w = F.when(F.col(weight).isNull() | (F.trim(F.col(weight).cast("string")) == ""), 0.0).otherwise(number)
+    d = df.groupBy(F.col(origin).alias("_o"), F.col(destination).alias("_d")).agg(F.sum(w).alias("value"), F.count(w).alias("weighed"), F.count(F.lit(1)).alias("records"))
+    text = lambda c, n: F.coalesce(trim_all(as_key(F.col(c), kind_of(df, n))), F.lit(""))
+    d = d.select(text("_o", origin).alias("origin"), text("_d", destination).alias("destination"), "value", "weighed", "records")
+    for side in ("origin", "destination"):
+        if known is None:
+            d = d.withColumn(f"unknown_{side}", F.lit(False))
+        elif isinstance(known, DataFrame):
+            k = known.select(trim_all(F.col(known.columns[0]).cast("string")).alias("_k")).distinct().withColumn(f"unknown_{side}", F.lit(False))
+            d = d.join(k, F.col(side) == F.col("_k"), "left").drop("_k").withColumn(f"unknown_{side}", F.coalesce(f"unknown_{side}", F.lit(True)))
+        else:
+            d = d.withColumn(f"unknown_{side}", ~F.col(side).isin(*known))
+    return d
+
+
+def flows(df: DataFrame, origin: str, destination: str, weight: str | None = None, known: Known = None, include_unknown: bool = False) -> DataFrame:
+    """origin, destination, value, records of every pair of places.
+
+    known: the codes of places (a list, or a table's first column); records with others are
+    left out unless include_unknown. Blanks, and weights that are no numbers, are left out.
+    """
+    d = _pairs(df, origin, destination, weight, known).where("origin <> '' and destination <> '' and weighed > 0")
+    if not include_unknown:
+        d = d.where("not unknown_origin and not unknown_destination")
+    return d.groupBy("origin", "destination").agg(F.sum("value").alias("value"), F.sum("weighed").alias("records"))
+
+
+def ordered_flows(edges: DataFrame) -> DataFrame:
+    """Flows, the largest first; ties by origin and destination, numbers within them by size."""
+    return edges.orderBy(F.desc("value"), natural_key(F.col("origin")), natural_key(F.col("destination")), "origin", "destination")
 
 
-def flow_counters(df: DataFrame, origin: str, destination: str, weight: str | None = None, unknown: Sequence[str] = ()) -> DataFrame:
-    """records, missing_origin, missing_destination, unknown, invalid_weight."""
-    text = lambda n: F.coalesce(trim_all(as_key(F.col(n), kind_of(df, n))), F.lit(""))
-    o, t = text(origin), text(destination)
-    bad = F.lit(False) if weight is None else (text(weight) != "") & to_number(F.col(weight), kind_of(df, weight)).isNull()
-    known = (o.isin(*unknown) | t.isin(*unknown)) if unknown else F.lit(False)
-    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(o == "").alias("missing_origin"), F.count_if(t == "").alias("missing_destination"), F.count_if(known).alias("unknown"), F.count_if(bad).alias("invalid_weight"))
+def flow_counters(df: DataFrame, origin: str, destination: str, weight: str | None = None, known: Known = None, include_unknown: bool = False) -> DataFrame:
+    """records, accepted, missing_origin, missing_destination, unknown_origin,
+    unknown_destination, invalid_weight. Unknown places count where both are given, weights
+    of records that are otherwise accepted."""
+    d = _pairs(df, origin, destination, weight, known)
+    given = (F.col("origin") != "") & (F.col("destination") != "")
+    taken = given if include_unknown else given & ~F.col("unknown_origin") & ~F.col("unknown_destination")
+    of = lambda c, n="records": F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias
+    return d.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"), of(taken, "weighed")("accepted"), of(F.col("origin") == "")("missing_origin"), of(F.col("destination") == "")("missing_destination"),
+        of(given & F.col("unknown_origin"))("unknown_origin"), of(given & F.col("unknown_destination"))("unknown_destination"),
+        F.coalesce(F.sum(F.when(taken, F.col("records") - F.col("weighed"))), F.lit(0)).alias("invalid_weight"))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -186,17 +240,26 @@ def class_breaks(df: DataFrame, name: str, classes: int, kind: str = "quantile")
         raise ValueError("2 to 9 classes")
     v = to_number(F.col(name), kind_of(df, name))
     if kind == "quantile":
-        return df.agg(F.percentile(v, F.array(*[F.lit(k / classes) for k in range(classes + 1)])).alias("breaks"))
+        breaks = exact_quantiles(df, v, [k / classes for k in range(classes + 1)])
+        return df.sparkSession.range(1).select(F.array(*[F.lit(b).cast("double") for b in breaks]).alias("breaks"))
     s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     return s.select(F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * k / classes for k in range(classes + 1)]).alias("breaks"))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside a ring (array of x, y), by crossings."""
+    return F.size(_crossed(x, y, ring)) % 2 == 1
+
+
+def inside_parts(x: Column, y: Column, parts: Column) -> Column:
+    """Whether a point is inside an object of several rings: islands add, holes take away."""
+    return F.aggregate(parts, F.lit(0), lambda n, ring: n + F.size(_crossed(x, y, ring))) % 2 == 1
+
+
+def _crossed(x: Column, y: Column, ring: Column) -> Column:
     n = F.size(ring)
     pairs = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.get(ring, (i + n - 1) % n).alias("q")))
-    crossed = F.filter(pairs, lambda p: ((p["y"] > y) != (p["q"]["y"] > y)) & (x < (p["q"]["x"] - p["x"]) * F.try_divide(y - p["y"], p["q"]["y"] - p["y"]) + p["x"]))
-    return F.size(crossed) % 2 == 1
+    return F.filter(pairs, lambda p: ((p["y"] > y) != (p["q"]["y"] > y)) & (x < (p["q"]["x"] - p["x"]) * F.try_divide(y - p["y"], p["q"]["y"] - p["y"]) + p["x"]))
 
 
 # Names of fields that hold a municipality code, residence first.

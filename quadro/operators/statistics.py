@@ -3,6 +3,9 @@ are left out, and what has no value is null, never 0."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +21,77 @@ def _v(df: DataFrame, name: str) -> Column:
     return F.when(F.abs(v) < float("inf"), v)
 
 
+#: Values that are brought together to be sorted, and the accuracy of the sketches.
+SORTED, ACCURACY = 1 << 16, 10_000
+
+
+def exact_quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
+    """Quantiles of all values, interpolated between neighbours; None without values.
+
+    A sketch gives a narrow range around each; the values below it are counted, and only
+    those inside are sorted. A range of more than SORTED values is narrowed in the same way,
+    so no task holds a column's values. Three passes over the data, each aggregated in place.
+    """
+    d = df.select(value.cast("double").alias("v")).where("v is not null")
+    return _quantiles(d, [(s, None) for s in shares], None)
+
+
+def _quantiles(d: DataFrame, asked: list[tuple[float, int | None]], n: int | None) -> list[float | None]:
+    """asked: shares, or positions (from 0) in the order of d's n values."""
+    margin = 2 / ACCURACY
+    near = [s if k is None else k / max(1, n - 1) for s, k in asked]
+    edges = [min(1.0, max(0.0, s + side * margin)) for s in near for side in (-1, 1)]
+    total, cuts = d.agg(F.count(F.lit(1)), F.percentile_approx("v", edges, ACCURACY)).first()
+    if not total:
+        return [None] * len(asked)
+    at = [s * (total - 1) if k is None else float(k) for s, k in asked]
+    ranges = list(zip(cuts[::2], cuts[1::2], strict=True))
+    inside = [F.col("v").between(a, z) for a, z in ranges]
+    counts = d.agg(*[c for (a, _), i in zip(ranges, inside, strict=True) for c in (F.count_if(F.col("v") < a), F.count_if(i))]).first()
+    below, held = counts[::2], counts[1::2]
+    good = [b <= math.floor(x) and math.ceil(x) < b + h for x, b, h in zip(at, below, held, strict=True)]
+    if all(good) and sum(held) <= SORTED * len(asked):
+        chosen = d.where(" or ".join(f"v between {a!r} and {z!r}" for a, z in dict.fromkeys(ranges)))
+        found = sorted((r[0], r[1]) for r in chosen.groupBy("v").count().collect())
+        return [_between([(v, c) for v, c in found if a <= v <= z], x - b) for x, b, (a, z) in zip(at, below, ranges, strict=True)]
+    out: list[float | None] = []
+    for x, b, h, (a, z) in zip(at, below, held, ranges, strict=True):
+        ends = []
+        for k in dict.fromkeys((math.floor(x), math.ceil(x))):
+            if b <= k < b + h and a == z:
+                ends.append(a)
+            elif b <= k < b + h and h < total:
+                ends += _quantiles(d.where(F.col("v").between(a, z)), [(0.0, k - b)], h)
+            elif k < b:
+                ends += _quantiles(d.where(F.col("v") < a), [(0.0, k)], b)
+            elif k >= b + h:
+                ends += _quantiles(d.where(F.col("v") > z), [(0.0, k - b - h)], total - b - h)
+            else:  # few distinct values fill the range: count them
+                ends.append(_between(sorted((r[0], r[1]) for r in d.groupBy("v").count().collect()), float(k)))
+        out.append(ends[0] + (ends[-1] - ends[0]) * (x - math.floor(x)))
+    return out
+
+
+def _between(counted: list[tuple[float, int]], x: float) -> float:
+    """The value at position x of sorted values with their counts."""
+    ends, seen = [], 0
+    for v, c in counted:
+        seen += c
+        while len(ends) < 2 and (math.floor(x), math.ceil(x))[len(ends)] < seen:
+            ends.append(v)
+    return ends[0] + (ends[1] - ends[0]) * (x - math.floor(x))
+
+
+def _moments(v: Column) -> list[Column]:
+    var = F.when(F.count(v) == 1, 0.0).otherwise(F.var_samp(v))
+    return [F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), var.alias("variance"), F.sqrt(var).alias("sd")]
+
+
 def descriptive(df: DataFrame, name: str) -> DataFrame:
     """count, sum, mean, min, max, median, variance, sd (of a sample; of one value 0)."""
     v = _v(df, name)
-    var = F.when(F.count(v) == 1, 0.0).otherwise(F.var_samp(v))
-    return df.agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median"), var.alias("variance"), F.sqrt(var).alias("sd"))
+    median, = exact_quantiles(df, v, [0.5])
+    return df.agg(*_moments(v)).select("count", "sum", "mean", "min", "max", F.lit(median).cast("double").alias("median"), "variance", "sd")
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -51,7 +120,7 @@ def histogram(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
 
 def gaussian_overlay(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
     """Each bin with the count that a normal distribution of the same mean and sd expects."""
-    s = F.broadcast(descriptive(df, name).select("count", "mean", "sd").withColumnsRenamed({"count": "n"}))
+    s = F.broadcast(df.agg(*_moments(_v(df, name))).select("count", "mean", "sd").withColumnsRenamed({"count": "n"}))
     mid, width = (F.col("low") + F.col("high")) / 2, F.col("high") - F.col("low")
     density = F.exp(-F.pow((mid - F.col("mean")) / F.col("sd"), 2) / 2) / (F.col("sd") * F.sqrt(2 * F.pi()))
     return histogram(df, name, bins).join(s).select("bin", "low", "high", "count", F.when(F.col("sd") > 0, density * width * F.col("n")).alias("expected"))
@@ -81,25 +150,41 @@ def crude_rate(df: DataFrame, label: str, events: str, population: str, scale: f
     return df.select(label, per(e).alias("rate"), per(low).alias("low"), per(high).alias("high"))
 
 
-def direct_standardization(df: DataFrame, events: str, population: str, standard: str, scale: float = 100_000) -> DataFrame:
-    """rate, low, high, skipped: strata weighted by a standard population; strata without
-    population are left out of rate and weights."""
-    e, p, s = _v(df, events), _v(df, population), _v(df, standard)
-    d = df.select(e.alias("e"), p.alias("p"), s.alias("s"))
-    used = (F.col("p") > 0) & F.col("e").isNotNull() & F.col("s").isNotNull()
+def _not_negative(v: Column, what: str, label: Column) -> Column:
+    """A population, weight or rate as given; an absent or negative one raises."""
+    return F.when(v >= 0, v).otherwise(F.raise_error(F.concat(F.lit(f"{what} isn't valid in "), label)).cast("double"))
+
+
+def _strata(df: DataFrame, label: str | None, events: str, population: str, third: str, what: str) -> DataFrame:
+    """e, p, s of strata, checked; used: whether population and the third are above 0."""
+    name = F.lit("a stratum") if label is None else F.coalesce(F.col(label).cast("string"), F.lit("?"))
+    d = df.select(whole_events(_v(df, events), name).alias("e"), _not_negative(_v(df, population), "population", name).alias("p"), _not_negative(_v(df, third), what, name).alias("s"))
+    return d.withColumn("used", (F.col("p") > 0) & (F.col("s") > 0))
+
+
+def direct_standardization(df: DataFrame, events: str, population: str, standard: str, scale: float = 100_000, label: str | None = None) -> DataFrame:
+    """rate, low, high, error, crude, used, skipped: strata weighted by a standard population.
+
+    Strata without population or weight are skipped, not zero; they count in the crude rate.
+    Events that aren't whole numbers, and negative or absent populations and weights, raise.
+    """
+    d = _strata(df, label, events, population, standard, "standard weight")
+    if_used = lambda c: F.sum(F.when(F.col("used"), c))
     a = d.agg(
-        F.sum(F.when(used, F.col("s"))).alias("w"), F.sum(F.when(used, F.col("s") * F.try_divide("e", "p"))).alias("r"),
-        F.sum(F.when(used, F.col("s") * F.col("s") * F.try_divide("e", F.col("p") * F.col("p")))).alias("v"), F.count_if(~F.coalesce(used, F.lit(False))).alias("skipped"))
+        if_used(F.col("s")).alias("w"), if_used(F.col("s") * F.try_divide("e", "p")).alias("r"), if_used(F.col("s") * F.col("s") * F.try_divide("e", F.col("p") * F.col("p"))).alias("v"),
+        F.try_divide(F.sum("e"), F.sum("p")).alias("crude"), F.count_if("used").alias("used"), F.count_if(~F.col("used")).alias("skipped"))
     rate, sd = F.col("r") / F.col("w") * scale, F.sqrt("v") / F.col("w") * scale
-    return a.select(rate.alias("rate"), F.greatest(F.lit(0.0), rate - Z95 * sd).alias("low"), (rate + Z95 * sd).alias("high"), "skipped")
+    return a.select(rate.alias("rate"), F.greatest(F.lit(0.0), rate - Z95 * sd).alias("low"), (rate + Z95 * sd).alias("high"), sd.alias("error"), (F.col("crude") * scale).alias("crude"), "used", "skipped")
 
 
-def indirect_standardization(df: DataFrame, events: str, population: str, reference_rate: str, per: float = 100_000) -> DataFrame:
-    """observed, expected, smr, low, high: events over those that reference rates expect."""
-    a = df.agg(F.sum(_v(df, events)).alias("observed"), F.sum(_v(df, population) * _v(df, reference_rate) / per).alias("expected"))
+def indirect_standardization(df: DataFrame, events: str, population: str, reference_rate: str, per: float = 100_000, label: str | None = None) -> DataFrame:
+    """observed, expected, smr, low, high, used, skipped: events over those that reference
+    rates expect. Strata without population or rate are skipped in what is expected."""
+    d = _strata(df, label, events, population, reference_rate, "reference rate")
+    a = d.agg(F.sum("e").alias("observed"), F.coalesce(F.sum(F.when(F.col("used"), F.col("p") * F.col("s") / per)), F.lit(0.0)).alias("expected"), F.count_if("used").alias("used"), F.count_if(~F.col("used")).alias("skipped"))
     low, high = byar(F.col("observed"))
     over = lambda x: F.when(F.col("expected") > 0, x / F.col("expected"))
-    return a.select("observed", "expected", over(F.col("observed")).alias("smr"), over(low).alias("low"), over(high).alias("high"))
+    return a.select("observed", "expected", over(F.col("observed")).alias("smr"), over(low).alias("low"), over(high).alias("high"), "used", "skipped")
 
 
 def rate_ratio(rate_a: Column, sd_a: Column, rate_b: Column, sd_b: Column) -> tuple[Column, Column, Column]:

@@ -41,10 +41,15 @@ def _added(t: DataFrame, name: str, value: Column) -> DataFrame:
     return t.withColumn(name, F.when(good, value).otherwise(why))
 
 
+def _cell(name: str) -> Column:
+    """A cell; an absent one counts as 0."""
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+
 def binary(t: DataFrame, name: str, kind: str, left: str, right: str, division: str = "error") -> DataFrame:
     """add, subtract, multiply, divide, minimum, maximum, percentage of two columns."""
     _need(t, left, right)
-    a, b = F.col(left), F.col(right)
+    a, b = _cell(left), _cell(right)
     ratio = F.try_divide(a, b)
     if division == "zero":
         ratio = F.when(b == 0, 0.0).otherwise(ratio)
@@ -55,7 +60,7 @@ def binary(t: DataFrame, name: str, kind: str, left: str, right: str, division:
 def unary(t: DataFrame, name: str, kind: str, column: str, factor: float = 1.0) -> DataFrame:
     """factor, cumulative, absolute, truncate, round, floor, ceil of a column."""
     _need(t, column)
-    v = F.col(column)
+    v = _cell(column)
     made = {
         "factor": v * factor, "absolute": F.abs(v), "floor": F.floor(v), "ceil": F.ceil(v), "round": F.floor(v + 0.5), "truncate": F.signum(v) * F.floor(F.abs(v)),
         "cumulative": F.sum(v).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)),

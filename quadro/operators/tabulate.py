@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quadro.functions.coerce import kind_of, measure_number, natural_key, not_a_number
 from quadro.operators.predicates import dimension_key, passing, rule_counts
+from quadro.sources.scratch import scratch_path
 from quadro.plans.spec import UNCLASSIFIED, UNCLASSIFIED_LABEL, Conversion, Dimension, Measure, QueryPlan, TabulationSpec, compile_plan
 
 WIDEST = 2000
@@ -109,7 +110,7 @@ def ancestors(conversion: Conversion) -> dict[str, list[str]]:
 
 def _rolled_up(agg: DataFrame, conversion: Conversion | None) -> DataFrame:
     """Adds every row to its subtotals: a small aggregate joined to the closure of parents."""
-    if conversion is None or not any(c.parent for c in conversion.categories):
+    if conversion is None or all(c.parent is None for c in conversion.categories):
         return agg
     chains = ancestors(conversion)
     target = F.create_map(*[x for k, v in chains.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -127,7 +128,10 @@ def _axis(agg: DataFrame, dim: Dimension | None, name: str, lookups: dict[str, D
         rows += [(UNCLASSIFIED, UNCLASSIFIED_LABEL, "2")] if dim.unclassified == "discriminate" else []
         return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
     if dim is not None and dim.lookup is not None:
-        table = lookups[dim.lookup].select(F.col("key").alias(columns[0]), F.concat_ws(" ", "key", "label").alias(columns[1]))
+        # A key that repeats is one row; two labels for one key raise.
+        once = lookups[dim.lookup].groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        label = F.when(F.col("label").eqNullSafe(F.col("other")), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("two labels for the key "), F.col("key"))).cast("string"))
+        table = once.select(F.col("key").alias(columns[0]), F.concat_ws(" ", "key", label).alias(columns[1]))
         table = table.withColumn(columns[2], F.concat(F.lit("1"), natural_key(F.col(columns[0]))))
         if dim.unclassified == "discriminate":
             table = table.unionByName(spark.createDataFrame([(UNCLASSIFIED, UNCLASSIFIED_LABEL, "2")], table.schema))
@@ -139,13 +143,20 @@ def _axis(agg: DataFrame, dim: Dimension | None, name: str, lookups: dict[str, D
 
 
 def tabulate(df: DataFrame, spec: TabulationSpec, lookups: dict[str, DataFrame] | None = None) -> Tabulation:
-    """Checks the spec and builds the table; nothing runs until the cells are read."""
+    """Checks the spec and builds the table. Where an axis lists what occurs, the records
+    are aggregated here, once; else nothing runs until the cells are read."""
     lookups = lookups or {}
     plan = compile_plan(spec, df.columns)
     d = prepared(df, spec, lookups)
     keys = [_key(d, spec.rows, lookups).alias("row_key"), (_key(d, spec.columns, lookups) if spec.columns else F.lit("0")).alias("col_key")]
     agg = d.where(accepted(d, spec, lookups)).groupBy(*keys).agg(*[_measure(d, m).alias(f"m{k}") for k, m in enumerate(spec.measures)])
     agg = _rolled_up(agg, spec.rows.conversion)
+    raw = [dim for dim in _dimensions(spec) if dim.conversion is None and dim.lookup is None]
+    if raw or spec.suppress_rows or spec.suppress_columns:
+        # Axes and cells both come from the aggregate: it is written once, and the records are read once.
+        path = scratch_path(df.sparkSession, "aggregate")
+        agg.write.parquet(path)
+        agg = df.sparkSession.read.schema(agg.schema).parquet(path)
     rows = _axis(agg, spec.rows, "row", lookups)
     if spec.columns:
         cols = _axis(agg, spec.columns, "col", lookups)

@@ -129,7 +129,7 @@ class Derive:
         options: dict[str, object] = {"missing": "error", "division": self.division}
         upper = self.formula.upper()
         if any(w in upper for w in WINDOWED):
-            options |= {"order": Window.orderBy(*self.order) if self.order else None, "whole": Window.partitionBy()}
+            options |= {"order": Window.orderBy(*self.order) if self.order else None, "whole": df}
         return df.withColumn(self.target, formula(self.formula, values, **options))
 
 

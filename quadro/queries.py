@@ -337,15 +337,18 @@ def pipe_bind_rows(spark, sf):
 
 
 def _joined(spark, sf, how):
-    left = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
-    right = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("who")).agg(F.count(F.lit(1)).alias("orders"))
-    d = tr.Join(right, [("c_custkey", "who")], how, "n_").apply(left)
-    return d.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "n_orders")
+    """Customers with orders in 1995 and in 1996: neither year has all of them."""
+    o = table(spark, sf, "orders")
+    left = o.where("year(o_orderdate) = 1995").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
+    right = o.where("year(o_orderdate) = 1996").groupBy(F.col("o_custkey").cast("string").alias("who")).agg(F.count(F.lit(1)).cast("double").alias("orders"))
+    d = tr.Join(right, [("o_custkey", "who")], how, "n_").apply(left)
+    return d.select(F.col("o_custkey").cast("string").alias("o_custkey"), "top", "n_orders")
 
 
 def _join_sql(how: str) -> str:
-    return f"""WITH l AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT CAST(o_custkey AS VARCHAR) AS k, count(*) AS n FROM orders GROUP BY 1)
-SELECT coalesce(l.k, r.k) AS c_custkey, l.c_name, r.n AS n_orders FROM l {how} JOIN r ON l.k = r.k"""
+    return f"""WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS k, max(o_totalprice) AS top FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1),
+r AS (SELECT CAST(o_custkey AS VARCHAR) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
+SELECT coalesce(l.k, r.k) AS o_custkey, l.top, r.n AS n_orders FROM l {how} JOIN r ON l.k = r.k"""
 
 
 @query(_join_sql("INNER"))

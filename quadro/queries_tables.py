@@ -67,10 +67,11 @@ def op_columns(spark, sf):
     return ops.replay(_nations(spark, sf), [("rename", {"old": "v", "new": "balance"}), ("move", {"column": "balance", "place": 0}), ("delete", {"column": "n"})])
 
 
-@query("""SELECT o_orderstatus AS row_key, o_orderpriority AS col_key, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2""")
+@query("""SELECT s AS row_key, p AS col_key, CAST(count(o_orderkey) AS DOUBLE) AS value FROM (SELECT DISTINCT o_orderstatus AS s FROM orders) CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders)
+LEFT JOIN orders ON o_orderstatus = s AND o_orderpriority = p GROUP BY 1, 2""")
 def op_transpose(spark, sf):
     cells = tabulate(table(spark, sf, "orders"), TabulationSpec(Dimension("o_orderpriority"), Dimension("o_orderstatus"))).cells
-    return ops.transpose(cells).select("row_key", "col_key", "value").where("value <> 0")
+    return ops.transpose(cells).select("row_key", "col_key", "value")
 
 
 @query(f"WITH {T}, s AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation) SELECT row_key, n, CAST(s AS DOUBLE) AS s_n FROM t JOIN s ON k = row_key")
@@ -105,12 +106,13 @@ def op_ranked(spark, sf):
 
 
 def _year(spark, sf, year: int) -> DataFrame:
-    d = table(spark, sf, "orders").where(f"year(o_orderdate) = {year} and o_custkey % 10 <> {year % 10}")
-    return d.groupBy((F.col("o_custkey") % 50).cast("string").alias("row_key")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("row_label", F.concat(F.lit("Cliente nº "), F.col("row_key")))
+    """Orders of a year by customer; no year has all customers."""
+    d = table(spark, sf, "orders").where(f"year(o_orderdate) = {year}")
+    return d.groupBy(F.col("o_custkey").cast("string").alias("row_key")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("row_label", F.concat(F.lit("Cliente nº "), F.col("row_key")))
 
 
 def _compare_sql(how: str) -> str:
-    side = lambda y: f"SELECT CAST(o_custkey % 50 AS VARCHAR) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = {y} AND o_custkey % 10 <> {y % 10} GROUP BY 1"
+    side = lambda y: f"SELECT CAST(o_custkey AS VARCHAR) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = {y} GROUP BY 1"
     return f"""WITH a AS ({side(1995)}), b AS ({side(1996)}) SELECT coalesce(a.k, b.k) AS row_key, a.n AS "left", b.n AS "right", b.n - a.n AS difference,
 round((b.n - a.n) / a.n * 100, 6) AS relative, round(b.n / a.n, 6) AS ratio FROM a {how} JOIN b ON a.k = b.k"""
 
@@ -145,11 +147,12 @@ def cmp_label(spark, sf):
     return _compared(spark, sf, "inner", "label")
 
 
-@query("""WITH a AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = 1995 AND o_custkey % 10 <> 5 GROUP BY 1),
-b AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = 1996 AND o_custkey % 10 <> 6 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1),
+b AS (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
 SELECT CAST(a.k AS VARCHAR) AS row_key, a.n AS "left", b.n AS "right" FROM a JOIN b ON b.k = a.k + 1""")
 def cmp_explicit(spark, sf):
-    pairs = spark.range(49).select(F.col("id").cast("string").alias("left_key"), (F.col("id") + 1).cast("string").alias("right_key"))
+    key = F.col("c_custkey")
+    pairs = table(spark, sf, "customer").select(key.cast("string").alias("left_key"), (key + 1).cast("string").alias("right_key"))
     return ops.compare(_year(spark, sf, 1995), _year(spark, sf, 1996), "n", match="map", mapping=pairs).select("row_key", "left", "right")
 
 
@@ -217,23 +220,37 @@ def epi_crude(spark, sf):
     return _rounded(st.crude_rate(_strata(spark, sf), "o_orderpriority", "events", "pop"))
 
 
-@query(f"""WITH {STRATA}, a AS (SELECT sum(w * e / p) / sum(w) AS r, sqrt(sum(w * w * e / (p * p))) / sum(w) AS sd FROM s)
-SELECT round(r * 100000, 6) AS rate, round(greatest(0, r - 1.959963984540054 * sd) * 100000, 6) AS low, round((r + 1.959963984540054 * sd) * 100000, 6) AS high, CAST(0 AS BIGINT) AS skipped FROM a""")
+def _customers(spark, sf) -> DataFrame:
+    """The same by customer: many have no events, no weight or no rate."""
+    d = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "P").cast("double").alias("events"), F.count(F.lit(1)).cast("double").alias("pop"), F.count_if(F.col("o_totalprice") > 400000).cast("double").alias("std"))
+    return d.withColumn("ref", F.col("std") * 1000.0)
+
+
+CUSTOMERS = "s AS (SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS DOUBLE) AS e, CAST(count(*) AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE o_totalprice > 400000) AS DOUBLE) AS w FROM orders GROUP BY 1)"
+
+
+@query(f"""WITH {CUSTOMERS}, u AS (SELECT * FROM s WHERE w > 0), a AS (SELECT sum(w * e / p) / sum(w) AS r, sqrt(sum(w * w * e / (p * p))) / sum(w) AS sd, count(*) AS used FROM u)
+SELECT round(r * 100000, 6) AS rate, round(greatest(0, r - 1.959963984540054 * sd) * 100000, 6) AS low, round((r + 1.959963984540054 * sd) * 100000, 6) AS high, round(sd * 100000, 6) AS error,
+(SELECT round(sum(e) / sum(p) * 100000, 6) FROM s) AS crude, used, (SELECT count(*) FROM s WHERE w = 0) AS skipped FROM a""")
 def epi_dsr(spark, sf):
-    return _rounded(st.direct_standardization(_strata(spark, sf), "events", "pop", "std"))
+    return _rounded(st.direct_standardization(_customers(spark, sf), "events", "pop", "std", label="o_custkey"))
 
 
-@query(f"""WITH {STRATA}, a AS (SELECT sum(e) AS e, sum(p) * 0.02 AS x FROM s) SELECT e AS observed, round(x, 6) AS expected, round(e / x, 6) AS smr, round({LOW} / x, 6) AS low, round({HIGH} / x, 6) AS high FROM a""")
+@query(f"""WITH {CUSTOMERS}, a AS (SELECT sum(e) AS e, sum(p * w * 0.01) AS x, count(*) FILTER (WHERE w > 0) AS used, count(*) FILTER (WHERE w = 0) AS skipped FROM s)
+SELECT e AS observed, round(x, 6) AS expected, round(e / x, 6) AS smr, round({LOW} / x, 6) AS low, round({HIGH} / x, 6) AS high, used, skipped FROM a""")
 def epi_smr(spark, sf):
-    return _rounded(st.indirect_standardization(_strata(spark, sf), "events", "pop", "ref"))
+    return _rounded(st.indirect_standardization(_customers(spark, sf), "events", "pop", "ref", label="o_custkey"))
 
 
-@query(f"""WITH {STRATA}, r AS (SELECT o_orderpriority, e / p AS a, sqrt(e) / p AS sa, w / p AS b, sqrt(w) / p AS sb FROM s WHERE e > 0)
-SELECT o_orderpriority, round(a / b, 6) AS ratio, round(a / b * exp(-1.959963984540054 * sqrt(pow(sa / a, 2) + pow(sb / b, 2))), 6) AS low, round(a / b * exp(1.959963984540054 * sqrt(pow(sa / a, 2) + pow(sb / b, 2))), 6) AS high FROM r""")
+@query(f"""WITH {CUSTOMERS}, r AS (SELECT o_custkey, e / p AS a, sqrt(e) / p AS sa, w / p AS b, sqrt(w) / p AS sb FROM s)
+SELECT o_custkey, CASE WHEN b > 0 THEN round(a / b, 6) END AS ratio, CASE WHEN a > 0 AND b > 0 THEN round(a / b * exp(-1.959963984540054 * sqrt(pow(sa / a, 2) + pow(sb / b, 2))), 6) END AS low,
+CASE WHEN a > 0 AND b > 0 THEN round(a / b * exp(1.959963984540054 * sqrt(pow(sa / a, 2) + pow(sb / b, 2))), 6) END AS high FROM r""")
 def epi_rate_ratio(spark, sf):
-    d = _strata(spark, sf).where("events > 0")
-    ratio, low, high = st.rate_ratio(F.col("events") / F.col("pop"), F.sqrt("events") / F.col("pop"), F.col("std") / F.col("pop"), F.sqrt("std") / F.col("pop"))
-    return _rounded(d.select("o_orderpriority", ratio.alias("ratio"), low.alias("low"), high.alias("high")))
+    """Customers without events or without a comparison have no limits, or no ratio."""
+    d = _customers(spark, sf)
+    rate = lambda c: F.col(c) / F.col("pop")
+    ratio, low, high = st.rate_ratio(rate("events"), F.sqrt("events") / F.col("pop"), rate("std"), F.sqrt("std") / F.col("pop"))
+    return _rounded(d.select("o_custkey", ratio.alias("ratio"), low.alias("low"), high.alias("high")))
 
 
 @query("""WITH c AS (SELECT lang, CAST(count(*) FILTER (WHERE quality = 1) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), z AS (SELECT *, 1.959963984540054 * 1.959963984540054 AS z2, k / n AS p FROM c)
@@ -288,30 +305,63 @@ def prof_distinct(spark, sf):
     return prof.distinct_values(table(spark, sf, "part"), "p_size")[0]
 
 
-@query("""WITH q AS (SELECT median(l_extendedprice) AS m FROM lineitem), d AS (SELECT median(abs(l_extendedprice - m)) AS mad FROM lineitem, q)
-SELECT l_orderkey, l_linenumber, round(0.67448975 * (l_extendedprice - m) / mad, 6) AS z FROM lineitem, q, d WHERE abs(0.67448975 * (l_extendedprice - m) / mad) >= 1.1""")
+def _outlier_sql(of: str, keys: str, value: str, threshold: float) -> str:
+    return f"""WITH q AS (SELECT median({value}) AS m, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.75) AS q3 FROM {of}), d AS (SELECT median(abs({value} - m)) AS mad FROM {of}, q),
+s AS (SELECT {keys}, {value} AS v, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, q3 - q1 AS iqr, CASE WHEN mad > 0 THEN 0.67448975 * ({value} - m) / mad WHEN q3 > q1 THEN 1.349 * ({value} - m) / (q3 - q1) ELSE 0 END AS z FROM {of}, q, d WHERE {value} IS NOT NULL)
+SELECT {keys}, round(z, 6) AS z, v < lo OR v > hi AS outside, floor(100 * least(1, greatest(abs(z) / {threshold} / 2, greatest(lo - v, v - hi, 0) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END / 3)) + 0.5) AS score
+FROM s WHERE abs(z) >= {threshold} OR v < lo OR v > hi"""
+
+
+@query(_outlier_sql("lineitem", "l_orderkey, l_linenumber", "l_extendedprice", 1.1))
 def anom_numeric(spark, sf):
-    return _rounded(prof.numeric_outliers(table(spark, sf, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 1.1).select("l_orderkey", "l_linenumber", "z"))
+    return _rounded(prof.numeric_outliers(table(spark, sf, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 1.1).drop("value"))
 
 
-@query("""WITH s AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2),
-l AS (SELECT *, ln(1 + value) AS l FROM s), w AS (SELECT *, list(l) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM l),
-c AS (SELECT *, list_median(near) AS center FROM w), m AS (SELECT *, list_median(list_transform(near, lambda x: abs(x - center))) AS mad FROM c)
-SELECT day, event_type, value, round(CASE WHEN len(near) >= 3 AND mad > 0 THEN 0.67448975 * (l - center) / mad END, 6) AS z FROM m""")
+@query(_outlier_sql("events", "event_id", "value", 6.0))
+def anom_fences(spark, sf):
+    """Values within the limit of z that lie outside the fences."""
+    return _rounded(prof.numeric_outliers(table(spark, sf, "events"), "value", ["event_id"], 6.0).drop("value"))
+
+
+@query(_outlier_sql("nations", "c_nationkey", "share", 3.5).replace("WITH q AS", "WITH nations AS (SELECT c_nationkey, CASE WHEN count(*) FILTER (WHERE c_acctbal < -900) > 2 THEN 3.0 WHEN count(*) FILTER (WHERE c_acctbal < -900) = 0 THEN 1.0 ELSE 0.0 END AS share FROM customer GROUP BY 1), q AS"))
+def anom_flat(spark, sf):
+    """Values that are mostly the same: no MAD, perhaps no interquartile range."""
+    low = F.count_if(F.col("c_acctbal") < -900)
+    d = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.when(low > 2, 3.0).when(low == 0, 1.0).otherwise(0.0).alias("share"))
+    return _rounded(prof.numeric_outliers(d, "share", ["c_nationkey"]).drop("value"))
+
+
+@query("""WITH s AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, CAST(CASE WHEN count(*) % 3 = 0 THEN -count(*) ELSE least(count(*), 2) END AS DOUBLE) AS value FROM events GROUP BY 1, 2),
+l AS (SELECT *, CASE WHEN value >= 0 THEN ln(1 + value) ELSE value END AS l FROM s), w AS (SELECT *, list(l) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM l),
+c AS (SELECT *, list_median(near) AS center FROM w), m AS (SELECT *, list_median(list_transform(near, lambda x: abs(x - center))) AS mad, (list_aggregate(near, 'quantile_cont', 0.75) - list_aggregate(near, 'quantile_cont', 0.25)) / 1.349 AS spread FROM c),
+z AS (SELECT *, CASE WHEN len(near) >= 3 THEN CASE WHEN mad > 0 THEN 0.67448975 * (l - center) / mad WHEN spread > 0 THEN (l - center) / spread ELSE 0 END END AS z FROM m)
+SELECT day, event_type, value, round(exp(center) - 1, 6) AS center, round(z, 6) AS z, coalesce(abs(z) >= 3.5, false) AS outlier FROM z""")
 def anom_temporal(spark, sf):
-    s = table(spark, sf, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("value"))
-    return _rounded(prof.temporal_outliers(s, "day", "value", ["event_type"]).select("day", "event_type", "value", "z"))
+    """Small counts, some of them negative, so that flat neighbourhoods occur."""
+    n = F.count(F.lit(1))
+    s = table(spark, sf, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day"), "event_type").agg(F.when(n % 3 == 0, -n).otherwise(F.least(n, F.lit(2))).alias("value"))
+    return _rounded(prof.temporal_outliers(s, "day", "value", ["event_type"]).select("day", "event_type", "value", "center", "z", "outlier"))
 
 
-@query("""WITH a AS (SELECT l_returnflag AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE year(l_shipdate) < 1995 GROUP BY 1), b AS (SELECT l_returnflag AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE year(l_shipdate) >= 1995 GROUP BY 1),
+@query("""WITH a AS (SELECT l_returnflag AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_quantity < 25 GROUP BY 1), b AS (SELECT l_returnflag AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_quantity >= 25 GROUP BY 1),
 d AS (SELECT coalesce(a.n, 0) / (SELECT sum(n) FROM a) AS p, coalesce(b.n, 0) / (SELECT sum(n) FROM b) AS q FROM a FULL JOIN b ON a.k = b.k),
-s AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js, sum(abs(p - q)) / 2 AS tv, max(abs(p - q)) AS largest FROM d)
-SELECT round(js, 6) AS js, round(tv, 6) AS tv, round(largest, 6) AS largest, round(100 * (0.45 * least(1, js / 0.25) + 0.35 * least(1, tv / 0.35) + 0.20 * least(1, largest / 0.25)), 4) AS score,
-CASE WHEN 100 * (0.45 * least(1, js / 0.25) + 0.35 * least(1, tv / 0.35) + 0.20 * least(1, largest / 0.25)) >= 75 THEN 'strong' WHEN 100 * (0.45 * least(1, js / 0.25) + 0.35 * least(1, tv / 0.35) + 0.20 * least(1, largest / 0.25)) >= 40 THEN 'review' ELSE 'info' END AS severity FROM s""")
+s AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js, sum(abs(p - q)) / 2 AS tv, max(abs(p - q)) AS largest FROM d),
+c AS (SELECT *, floor(100 * least(1, 0.45 * js / 0.25 + 0.35 * tv / 0.35 + 0.20 * largest / 0.25) + 0.5) AS score FROM s)
+SELECT round(js, 6) AS js, round(tv, 6) AS tv, round(largest, 6) AS largest, score, CASE WHEN score >= 75 THEN 'strong' WHEN score >= 40 THEN 'review' ELSE 'info' END AS severity FROM c""")
 def anom_distribution(spark, sf):
     d = table(spark, sf, "lineitem")
-    s = prof.distribution_shift(d.where("year(l_shipdate) < 1995"), d.where("year(l_shipdate) >= 1995"), "l_returnflag")
-    return s.select(*[F.round(c, 6).alias(c) for c in ("js", "tv", "largest")], F.round("score", 4).alias("score"), "severity")
+    s = prof.distribution_shift(d.where("l_quantity < 25"), d.where("l_quantity >= 25"), "l_returnflag")
+    return s.select(*[F.round(c, 6).alias(c) for c in ("js", "tv", "largest")], "score", "severity")
+
+
+@query("""WITH a AS (SELECT l_quantity < 10 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_quantity < 20 GROUP BY 1), b AS (SELECT l_quantity < 10 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_quantity >= 5 GROUP BY 1),
+d AS (SELECT coalesce(a.n, 0) / (SELECT sum(n) FROM a) AS p, coalesce(b.n, 0) / (SELECT sum(n) FROM b) AS q FROM a FULL JOIN b ON a.k = b.k),
+s AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js, sum(abs(p - q)) / 2 AS tv, max(abs(p - q)) AS largest FROM d)
+SELECT round(largest, 6) AS largest, floor(100 * least(1, 0.45 * js / 0.25 + 0.35 * tv / 0.35 + 0.20 * largest / 0.25) + 0.5) AS score FROM s""")
+def anom_shift_of_one_share(spark, sf):
+    """One share moves far, the whole little: the terms are limited together, not each."""
+    d = table(spark, sf, "lineitem").withColumn("small", (F.col("l_quantity") < 10).cast("string"))
+    return prof.distribution_shift(d.where("l_quantity < 20"), d.where("l_quantity >= 5"), "small").select(F.round("largest", 6).alias("largest"), "score")
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source <> '' GROUP BY 1), p AS (SELECT n / (SELECT sum(n) FROM c) AS p FROM c)
@@ -338,8 +388,13 @@ def anom_audit(spark, sf):
 
 def _trade(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))  # noqa: E741
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("s_nationkey", "c_nationkey", "l_quantity")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_linenumber").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))  # noqa: E741
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("s_nationkey", "c_nationkey", "l_quantity", "l_linenumber")
+
+
+def _known(spark, sf) -> DataFrame:
+    """The codes of known places: all nations but one."""
+    return table(spark, sf, "nation").where("n_nationkey <> 3").select("n_nationkey")
 
 
 TRADE = "e AS (SELECT CAST(s_nationkey AS VARCHAR) AS origin, CAST(c_nationkey AS VARCHAR) AS destination, sum(l_quantity) AS value, count(*) AS records FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
@@ -347,12 +402,24 @@ TRADE = "e AS (SELECT CAST(s_nationkey AS VARCHAR) AS origin, CAST(c_nationkey A
 
 @query(f"WITH {TRADE} SELECT origin, destination, round(value, 2) AS value, records FROM e WHERE origin <> '3' AND destination <> '3'")
 def flow_od(spark, sf):
-    return _rounded(prof.flows(_trade(spark, sf), "s_nationkey", "c_nationkey", "l_quantity", unknown=["3"]), 2)
+    return _rounded(prof.flows(_trade(spark, sf), "s_nationkey", "c_nationkey", "l_quantity", _known(spark, sf)), 2)
 
 
-@query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS missing_origin, CAST(0 AS BIGINT) AS missing_destination, count(*) FILTER (WHERE s_nationkey = 3 OR c_nationkey = 3) AS unknown, CAST(0 AS BIGINT) AS invalid_weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey")
+@query("""WITH t AS (SELECT CASE WHEN s_nationkey <> 7 THEN s_nationkey END AS o, CASE WHEN c_nationkey <> 8 THEN c_nationkey END AS d, l_linenumber = 2 AS bad FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT count(*) AS records, count(*) FILTER (WHERE o <> 3 AND d <> 3 AND NOT bad) AS accepted, count(*) FILTER (WHERE o IS NULL) AS missing_origin, count(*) FILTER (WHERE d IS NULL) AS missing_destination,
+count(*) FILTER (WHERE o = 3 AND d IS NOT NULL) AS unknown_origin, count(*) FILTER (WHERE d = 3 AND o IS NOT NULL) AS unknown_destination, count(*) FILTER (WHERE o <> 3 AND d <> 3 AND bad) AS invalid_weight FROM t""")
 def flow_counters(spark, sf):
-    return prof.flow_counters(_trade(spark, sf), "s_nationkey", "c_nationkey", "l_quantity", ["3"])
+    """Origins of nation 7 and destinations of nation 8 are blank, second lines have a weight that is no number."""
+    d = _trade(spark, sf).select(F.expr("nullif(s_nationkey, 7)").alias("o"), F.expr("nullif(c_nationkey, 8)").alias("d"), F.when(F.col("l_linenumber") == 2, "?").otherwise(F.col("l_quantity").cast("string")).alias("w"))
+    return prof.flow_counters(d, "o", "d", "w", _known(spark, sf))
+
+
+@query(f"WITH {TRADE} SELECT origin, destination, round(value, 2) AS value, records, row_number() OVER (ORDER BY round(value, 2) DESC, lpad(origin, 20, '0'), lpad(destination, 20, '0')) AS place FROM e")
+def flow_order(spark, sf):
+    """The order itself, as numbers of the (few) rows."""
+    edges = prof.flows(_trade(spark, sf), "s_nationkey", "c_nationkey", "l_quantity").withColumn("value", F.round("value", 2))
+    first = prof.ordered_flows(edges).agg(F.collect_list(F.struct("origin", "destination", "value", "records")).alias("all"))
+    return first.select(F.posexplode("all").alias("place", "e")).select("e.*", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"""WITH {TRADE}, p AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, n_nationkey * 7.0 - 90 AS x, n_nationkey * 3.0 - 40 AS y FROM nation WHERE n_nationkey <> 5)
@@ -382,11 +449,20 @@ def map_equal_classes(spark, sf):
     return d.select(F.posexplode("breaks").alias("i", "upper")).select(F.col("i").cast("long").alias("i"), F.round("upper", 4).alias("upper"))
 
 
-@query("SELECT c_custkey, (c_acctbal BETWEEN 0 AND 5000 AND c_nationkey > 0 AND c_nationkey <= 12) AS inside FROM customer WHERE c_acctbal NOT IN (0, 5000)")
+def _box(low: float, high: float, bottom: float, top: float):
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((low, bottom), (high, bottom), (high, top), (low, top))])
+
+
+@query("SELECT c_custkey, (c_acctbal BETWEEN 0.005 AND 5000.005 AND c_nationkey > 0 AND c_nationkey <= 12) AS inside FROM customer")
 def map_point_in_polygon(spark, sf):
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0.5), (5000, 0.5), (5000, 12.5), (0, 12.5))])
-    d = table(spark, sf, "customer").where("c_acctbal not in (0, 5000)")
-    return d.select("c_custkey", prof.inside(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), ring).alias("inside"))
+    return table(spark, sf, "customer").select("c_custkey", prof.inside(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), _box(0.005, 5000.005, 0.5, 12.5)).alias("inside"))
+
+
+@query("SELECT c_custkey, (c_acctbal BETWEEN 0.005 AND 5000.005 AND c_nationkey > 0 AND c_nationkey <= 12 AND NOT (c_acctbal BETWEEN 1000.005 AND 2000.005 AND c_nationkey BETWEEN 3 AND 6)) OR (c_acctbal BETWEEN 6000.005 AND 9000.005 AND c_nationkey BETWEEN 15 AND 20) AS inside FROM customer")
+def map_point_in_parts(spark, sf):
+    """An object of two islands, one with a hole."""
+    parts = F.array(_box(0.005, 5000.005, 0.5, 12.5), _box(1000.005, 2000.005, 2.5, 6.5), _box(6000.005, 9000.005, 14.5, 20.5))
+    return table(spark, sf, "customer").select("c_custkey", prof.inside_parts(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), parts).alias("inside"))
 
 
 # --- SQL --------------------------------------------------------------------------------

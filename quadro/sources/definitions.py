@@ -173,7 +173,9 @@ def parse_tab(text: str) -> tuple[dict[str, dict[str, str]], list[tuple[str, str
     return sections, cells
 
 
-MAP_SCHEMA = "geocode string, name string, x double, y double, ring array<struct<x: double, y: double>>"
+RING = "array<struct<x: double, y: double>>"
+#: ring: the outline, of several the longest; parts: all rings, holes too.
+MAP_SCHEMA = f"geocode string, name string, x double, y double, ring {RING}, parts array<{RING}>"
 
 
 def parse_map(spark: SparkSession, data: bytes) -> DataFrame:
@@ -186,26 +188,28 @@ def parse_map(spark: SparkSession, data: bytes) -> DataFrame:
         name_size, = struct.unpack_from("<B", data, at + 12)
         x, y, n = struct.unpack_from("<ffH", data, at + 38)
         ring = [struct.unpack_from("<ff", data, at + 48 + 8 * k) for k in range(n)]
-        rows.append((data[at + 2 : at + 2 + code_size].decode("cp1252"), data[at + 13 : at + 13 + name_size].decode("cp1252"), x, y, ring))
+        rows.append((data[at + 2 : at + 2 + code_size].decode("cp1252"), data[at + 13 : at + 13 + name_size].decode("cp1252"), x, y, ring, [ring]))
         at += 48 + 8 * n
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
 def read_geojson(spark: SparkSession, text: str, code: str, name: str) -> tuple[DataFrame, list[str]]:
-    """(objects as parse_map gives them, warnings): first rings of polygons, lines, points."""
+    """(objects as parse_map gives them, warnings): polygons with all their parts and holes, lines, points."""
     rows, warnings = [], []
     for k, f in enumerate(json.loads(text)["features"]):
         kind, at = f["geometry"]["type"], f["geometry"]["coordinates"]
         if kind not in ("Polygon", "MultiPolygon", "LineString", "Point"):
             raise PlanError(f"feature {k + 1}: {kind}")
-        points = {"Polygon": lambda: at[0], "MultiPolygon": lambda: at[0][0], "LineString": lambda: at, "Point": lambda: [at]}[kind]()  # noqa: B023
+        rings = {"Polygon": lambda: at, "MultiPolygon": lambda: [r for part in at for r in part], "LineString": lambda: [at], "Point": lambda: [[at]]}[kind]()  # noqa: B023
+        outer = [part[0] for part in at] if kind == "MultiPolygon" else rings[:1]
         own = f.get("properties") or {}
         if not own.get(code):
             warnings.append(f"feature {k + 1} has no {code}: left out")
             continue
-        ring = [(float(p[0]), float(p[1])) for p in points]
+        parts = [[(float(p[0]), float(p[1])) for p in r] for r in rings]
+        ring = [(float(p[0]), float(p[1])) for p in max(outer, key=len)]
         distinct = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-        rows.append((str(own[code]), str(own.get(name) or ""), sum(p[0] for p in distinct) / len(distinct), sum(p[1] for p in distinct) / len(distinct), ring))
+        rows.append((str(own[code]), str(own.get(name) or ""), sum(p[0] for p in distinct) / len(distinct), sum(p[1] for p in distinct) / len(distinct), ring, parts))
     return spark.createDataFrame(rows, MAP_SCHEMA), warnings
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +12,11 @@ SHOWN = 5000
 
 
 def safe_name(name: str) -> str:
-    """A view's name from a file's: letters and digits, t_ before, 60 characters at most."""
+    """A view's name from a file's: letters and digits, t_ before, 60 characters at most.
+    Where letters of other scripts are lost, a number tells such names apart."""
     plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c)).lower()
-    return ("t_" + re.sub(r"[^a-z0-9]+", "_", plain).strip("_"))[:60]
+    mark = f"_{zlib.crc32(name.encode()):08x}" if re.search(r"[^\W\da-z_]", plain) else ""
+    return ("t_" + re.sub(r"[^a-z0-9]+", "_", plain).strip("_"))[: 60 - len(mark)] + mark
 
 
 def register(df: DataFrame, name: str) -> str:
@@ -23,9 +26,10 @@ def register(df: DataFrame, name: str) -> str:
 
 
 def run_sql(spark: SparkSession, text: str, shown: int = SHOWN) -> tuple[DataFrame, bool]:
-    """(the first `shown` rows, whether there are more)."""
+    """(the first `shown` rows, whether there are more), for showing: the statement runs once."""
     found = spark.sql(text)
-    return found.limit(shown), found.limit(shown + 1).count() > shown
+    rows = found.limit(shown + 1).collect()  # bounded
+    return spark.createDataFrame(rows[:shown], found.schema), len(rows) > shown
 
 
 def export_sql(spark: SparkSession, text: str, path: str, form: str = "parquet") -> None:

@@ -14,7 +14,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def shown(v: object) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return ""
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
