@@ -41,13 +41,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadro.llm.common import stage, text_of
+from quadro.llm.common import SHORT_BATCHES, stage, text_of
 from quadro.llm.shingles import _BASE, buffers, mix, slices
 
 # Ranks are stored in three bytes: HOT stays below 2^24. SHORT bytes are two words.
 HOT, SHORT, LONGEST, WIDEST = 1 << 19, 16, 62, 16
 #: Distinct units that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -398,7 +398,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
     spark = docs.sparkSession
     kind, safe = docs.schema["doc_id"].dataType, vocabulary.safe
     d = docs.select("doc_id", prepared("text").alias("text"))
-    units = stage(encode_units(d, vocabulary), "units", {IN_MEMORY_GROUPS: str(GROUPS)})
+    units = stage(encode_units(d, vocabulary), "units", SHORT_BATCHES | {IN_MEMORY_GROUPS: str(GROUPS)})
     held, others = hot_units(units, most)
     hot = spark.sparkContext.broadcast(held)
     # 96 bits stand for a row where its parts meet again; equal rows have equal parts.
