@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document has an expected number of copies: its source's target over the
-source's size, times its importance. The whole part of it is allocated for certain.
+Every document has an expected number of copies, in proportion to its importance (in
+STEPS steps for each doubling) but `most` at most: what more important documents can't
+take goes to the others of their source, so that the expected words are the source's
+target. The whole part of it is allocated for certain.
 The rest is the inclusion probability p of one more copy. These are drawn by Pareto
 order sampling: rank by the odds of a uniform number over the odds of p, and take
 documents in that order while they fit the words that remain of the source's target.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quadro.llm.common import stage, word_count
 
-BUCKETS, FILLS, SEED, MAX_COPIES = 4096, 3, 20240229, 3
+BUCKETS, FILLS, SEED, MAX_COPIES, STEPS = 4096, 3, 20240229, 3, 8
 
 
 def source_targets(sizes: DataFrame, most: int = MAX_COPIES, weight: Column | None = None) -> DataFrame:
@@ -64,30 +66,45 @@ def mix(docs: DataFrame, importance: Column | None = None, most: int = MAX_COPIE
 
     row: a column of docs that numbers its rows, returned as well.
 
-    importance: a positive factor of a document's expected copies (over columns of docs);
-    copies never pass `most`, so a strong one may leave a target unfilled.
+    importance: a positive factor of a document's expected copies (over columns of docs;
+    1 where it is null or not positive).
     """
-    one = F.lit(1.0) if importance is None else F.coalesce(importance.cast("double"), F.lit(1.0))
+    one = F.lit(1.0)
+    if importance is not None:
+        one = F.coalesce(F.when(importance > 0, F.pow(2.0, F.round(F.log2(importance.cast("double")) * STEPS) / STEPS)), one)
     numbers = [row] if row else []
     sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), one.alias("importance"), *numbers), "sized")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
-    targets = source_targets(sums.select("source", "source_size"), most, weight)
+    classes = stage(sized.groupBy("source", "importance").agg(F.sum("size").alias("words")), "importances")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), most, weight)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    plan = stage(targets.join(sums, same(targets, sums)).select(targets["*"], "mass"), "targets")
+    plan = stage(targets.join(levels := _levels(classes, targets, most), same(targets, levels)).select(targets["*"], "level"), "targets")
 
-    d = sized.join(plan, same(sized, plan)).select(sized["*"], "source_size", "target", "mass")
-    expected = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("mass") * F.col("importance"))).otherwise(0.0)
+    d = sized.join(plan, same(sized, plan)).select(sized["*"], "source_size", "target", "level")
+    expected = F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("importance"), F.lit(float(most))))
+    expected = F.when(F.col("source_size") > 0, expected).otherwise(0.0)
     d = d.withColumn("expected", expected).withColumn("whole", F.floor("expected"))
     p, u = F.col("expected") - F.col("whole"), uniform(seed, "doc_id", *[F.when(F.col("doc_id").isNull(), F.col(c)) for c in numbers])
     # Odds over odds, mapped to 0..1 in the same order; null where there is nothing to draw.
     d = d.withColumn("rank", F.when(p > 0, u * (1 - p) / (u * (1 - p) + p * (1 - u))))
-    d = d.withColumn("more", F.lit(0).cast("long")).drop("mass", "expected", "importance")
+    d = d.withColumn("more", F.lit(0).cast("long")).drop("level", "expected", "importance")
     for k in range(FILLS):
         d = stage(_fill(d, k == FILLS - 1, numbers), f"drawn-{k}")
     d = d.withColumn("copies", F.col("whole") + F.col("more"))
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *numbers)
 
 
+def _levels(classes: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """source, level: the expected copies of a document of importance 1 (null: every
+    document has `most`). By falling importance, classes take `most` copies until the rest
+    of the target, shared by importance, gives the next class no more than that."""
+    d = classes.join(targets, classes["source"].eqNullSafe(targets["source"])).select(classes["*"], "target")
+    falling = Window.partitionBy("source").orderBy(F.desc("importance"))
+    full = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    mass = F.sum(F.col("words") * F.col("importance")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    d = d.withColumn("level", F.try_divide(F.col("target") - full, mass)).withColumn("fits", F.col("level") * F.col("importance") <= most)
+    return d.groupBy("source").agg(F.max_by(F.when(F.col("fits"), F.col("level")), F.when(F.col("fits"), F.col("importance"))).alias("level"))
+
+
 def _fill(d: DataFrame, last: bool, numbers: list[str]) -> DataFrame:
     """Draws documents by rank while they fit what remains of their source's target. The
     last time, the document that the target falls in comes too if that is nearer."""

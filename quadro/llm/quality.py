@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Net:
     chosen = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality").limit(TRAIN_ROWS)  # proven small: broadcast
     found = docs.select("doc_id", "text").where(F.octet_length(text_of("text")) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", text_of("text").alias("text"), "quality")
-    rows = sorted(map(tuple, found.limit(4 * TRAIN_ROWS).collect()))
+    # Ordered before it is cut: where a doc_id repeats, reruns take the same rows.
+    rows = sorted(map(tuple, found.orderBy("doc_id", "quality", "text").limit(4 * TRAIN_ROWS).collect()))
     return fit([t.encode() for _, t, _ in rows], [int(q) for *_, q in rows])
 
 

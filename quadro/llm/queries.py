@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.mix(table(spark, sf_dir, "documents"))
+    """Longer documents, up to 1,024 words, count up to twice as much for each word."""
+    words = F.least(mixing.word_count("text"), F.lit(1024))
+    d = mixing.mix(table(spark, sf_dir, "documents"), importance=1 + words / 1024)
     return d.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
@@ -100,6 +102,30 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"))
 
 
+def _op8_sql() -> str:
+    """The scan in SQL: a match begins after the gaps and matches before it."""
+    patterns = [(p.replace("'", "''"), group) for p, group, *_ in secrets.KINDS.values()]
+    matches = " UNION ALL ".join(
+        f"SELECT r, source, {k} AS k, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS found, regexp_extract_all(t, '{p}', {group}) AS inside FROM d WHERE regexp_matches(t, '{p}')"
+        for k, (p, group) in enumerate(patterns))
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secrets.KINDS))
+    base = len(secrets.BASE)
+    sizes = "list_sum(list_transform({}, lambda x: length(x)))"
+    shown = "CASE f.k " + names + " END || ':' || f.s || ':' || f.e"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), m AS ({matches}),
+u AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+a AS (SELECT r, source, k, {sizes.format('gaps[1:i]')} + {sizes.format('found[1:i]')} AS e, length(found[i]) AS n, inside[i] AS v FROM u),
+c AS (SELECT r, source, k, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e, v FROM a WHERE length(v) >= CASE k WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END
+  AND (k < {base} OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))),
+o AS (SELECT v, count(DISTINCT source) + count(DISTINCT CASE WHEN source IS NULL THEN 1 END) AS owners FROM c GROUP BY v),
+f AS (SELECT c.*, owners > {secrets.MAX_OWNERS} AS copied FROM c JOIN o ON c.v = o.v WHERE k < {base} OR owners <= {secrets.MAX_OWNERS} AND NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.k < {base} AND b.s < c.e AND c.s < b.e))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE f.k = {k}) AS n_{name}" for k, name in enumerate(secrets.KINDS))}, count(*) FILTER (WHERE f.copied) AS n_copied,
+  sha256(coalesce(string_agg({shown}, ',' ORDER BY f.s, f.k) FILTER (WHERE f.k < {base}), '')) AS base_sha256, coalesce(string_agg({shown}, ',' ORDER BY f.s, f.k) FILTER (WHERE f.k IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f ON f.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.measure(media.store(table(spark, sf_dir, "documents")))
 
@@ -132,4 +158,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op10_chunk_recipe_dedup": OP10_SQL}
+    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op8_secret_ownership": _op8_sql(), "op10_chunk_recipe_dedup": OP10_SQL}

@@ -62,6 +62,54 @@ def test_inclusion_follows_importance(spark):
     assert rate[2] / rate[0] == pytest.approx(3, rel=0.25)
 
 
+def test_draw_equals_brute_force(spark):
+    """Unequal probabilities, some sources at three times their size: every step by hand."""
+    r = random.Random(8)
+    data = [(k, " ".join("w" * (1 + r.randrange(60))), r.choice("aaabc"), float(r.choice([0.3, 1, 2.5, 9]))) for k in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, i double")
+    got = found(mixing.mix(d, importance=F.col("i")))
+    chance = {x.doc_id: x.u for x in d.select("doc_id", mixing.uniform(mixing.SEED, "doc_id").alias("u")).collect()}
+    size = {k: len(t.split()) for k, t, *_ in data}
+    for source in "abc":
+        own = [k for k, _, s, _ in data if s == source]
+        target, weight = got[own[0]].target, {k: 2 ** (round(np.log2(data[k][3]) * mixing.STEPS) / mixing.STEPS) for k in own}
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level at which the expected words are the target
+            level = (low + high) / 2
+            low, high = (level, high) if sum(size[k] * min(3, level * weight[k]) for k in own) < target else (low, level)
+        expected = {k: min(3, high * weight[k]) for k in own}
+        expected = {k: round(e, 9) if abs(e - round(e)) < 1e-6 else e for k, e in expected.items()}
+        copies, rank = {k: int(e) for k, e in expected.items()}, {}
+        for k in own:
+            p, u = expected[k] % 1, chance[k]
+            if p:
+                rank[k] = u * (1 - p) / (u * (1 - p) + p * (1 - u))
+        for fill in range(mixing.FILLS):
+            last, gap, taken = fill == mixing.FILLS - 1, target - sum(size[k] * c for k, c in copies.items()), 0
+            for k in sorted((k for k in rank if size[k] <= (2 * gap if last else gap)), key=lambda k: (rank[k], k)):
+                taken += size[k]
+                if taken - (size[k] / 2 if last else 0) > gap:
+                    break
+                copies[k] += 1
+                del rank[k]
+        assert copies == {k: got[k].copies for k in own}
+        assert sum(size[k] * c for k, c in copies.items()) == pytest.approx(target, abs=30)
+
+
+def test_inclusion_is_near_its_probability(spark):
+    """Copies on average over many draws, against what is expected of each document."""
+    r = random.Random(9)
+    data = [(k, " ".join("w" * (1 + r.randrange(8))), r.choice("ab"), float(1 + k % 3)) for k in range(60)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, i double").coalesce(1).cache()
+    runs = [found(mixing.mix(d, importance=F.col("i"), seed=s)) for s in range(12)]
+    for kind in range(3):
+        own = [k for k in range(60) if k % 3 == kind and runs[0][k].source == "a"]
+        share = sum(run[k].copies * run[k]["size"] for run in runs for k in own) / sum(run[k]["size"] for run in runs for k in own)
+        weight = 2 ** (round(np.log2(kind + 1) * mixing.STEPS) / mixing.STEPS)
+        mass = sum(runs[0][k]["size"] * 2 ** (round(np.log2(1 + k % 3) * mixing.STEPS) / mixing.STEPS) for k in range(60) if runs[0][k].source == "a")
+        assert share == pytest.approx(min(3, runs[0][own[0]].target * weight / mass), abs=0.25)
+
+
 # --- 2: quality ---
 
 
@@ -127,6 +175,35 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / (2 * eps) == pytest.approx(g[i], rel=0.15, abs=2e-4)
 
 
+def test_scores_equal_a_plain_loop(texts):
+    """The network once more, window by window, for texts of every length."""
+    from conftest import prose
+
+    r, rng = random.Random(2), np.random.Generator(np.random.PCG64(1))
+    q = quality
+    net = q.Net(*(rng.normal(0, 1, s).astype(np.float32) for s in ((q.SYMBOLS, q.EMBED), (q.WIDTH * q.EMBED, q.FILTERS), q.FILTERS, (q.FILTERS, q.HIDDEN), q.HIDDEN, 1)))
+    some = [(t or "").encode() for t in texts[:40]] + [prose(r, k).encode() for k in (1, 5, 21, 22, 43, 90)] + [b"a a b b b", b"x" * 129]
+
+    def plain(text):
+        marks = np.zeros(len(text), int)
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        for (a, b), (c, e) in zip(words, words[1:], strict=False):
+            if text[a:b].lower() == text[c:e].lower():
+                marks[c:e] = 256
+        codes = [c + m for c, m in zip(text, marks.tolist(), strict=True)] + [0] * (q.HALF * q.STRIDE * 2 + q.WIDTH)
+        window = lambda k: np.maximum(np.concatenate([net.embed[c] for c in codes[k * q.STRIDE : k * q.STRIDE + q.WIDTH]]) @ net.filters + net.shift, 0)
+        n = -(-len(text) // q.STRIDE)
+        halves = max(1, (len(text) + q.WIDTH - q.STRIDE) // (q.HALF * q.STRIDE) + 1)
+        tops = []
+        for h in range(max(1, halves - 1)):
+            own = [window(k) for k in range(h * q.HALF, min(n, (h + 2) * q.HALF, halves * q.HALF))]
+            tops.append((np.mean(own, axis=0) if own else np.zeros(q.FILTERS)) @ net.hidden)
+        return 1 / (1 + np.exp(-(np.max(tops, axis=0) @ net.out + net.bias[0])))
+
+    data, offsets = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+    assert q.scores(net, data, offsets) == pytest.approx([plain(t) for t in some], abs=1e-4)
+
+
 # --- 3: near copies ---
 
 
@@ -354,6 +431,16 @@ def test_embedded_text_is_kept(crf):
     assert [b.text for b in html_blocks.blocks_of("<head><title>T<p>No title end.")] == ["No title end."]
 
 
+def test_marked_sections_are_markup():
+    assert [b.text for b in html_blocks.blocks_of("<p>a</p><![foo[bar]]><p>b <![if x]>c<![endif]></p><![CDATA[d]]><p>e<![x")] == ["a", "b c", "e<![x"]
+
+
+def test_very_long_pages(crf):
+    text = "A sentence of some length, as articles have them. " * 40
+    page = "<article>" + "".join(f"<p>{k}: {text}</p>" for k in range(500)) + "</article>"
+    assert html_crf.main_text(crf, page) == "\n\n".join(f"{k}: {text.strip()}" for k in range(500))
+
+
 def test_labels_of_unseen_pages(crf):
     right = total = 0
     for html, labels in html_pages.labelled_pages(120, seed=77):
@@ -410,6 +497,33 @@ def test_secrets(docs, empty, repeated, texts):
     assert secrets.scan(repeated).count() == 6
 
 
+def test_owned_spans_equal_brute_force(docs, texts):
+    """Counts of owners over all candidates, then tokens clear of every base span."""
+    rows = docs.select("doc_id", "text", "source").collect()
+    token = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+    kinds = [("assign", ASSIGN, 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]{24,}"), 0, 24), ("owned", token, 0, 20)]
+    owners, spans = defaultdict(set), defaultdict(list)
+    for r in rows:
+        for order, (kind, pattern, group, least) in enumerate(kinds):
+            for m in pattern.finditer(r.text or ""):
+                v = m[group]
+                if len(v) >= least and (kind != "owned" or all(re.search(x, v) for x in ("[0-9]", "[a-z]", "[A-Z]"))):
+                    owners[v].add(r.source)
+                    spans[r.doc_id].append((m.start(), order, m.end(), kind, v))
+    got = found(secrets.scan(docs))
+    for r in rows:
+        base = [s for s in spans[r.doc_id] if s[3] != "owned"]
+        clear = lambda s: not any(b[0] < s[2] and s[0] < b[2] for b in base)  # noqa: B023, E731
+        want = sorted(s for s in spans[r.doc_id] if s[3] != "owned" or len(owners[s[4]]) <= 2 and clear(s))
+        assert [(s.start, s.end, s.kind, s.n_owners) for s in got[r.doc_id].spans] == [(a, z, kind, len(owners[v])) for a, _, z, kind, v in want]
+
+
+def test_spans_that_meet(spark):
+    key = "a1B2" * 6
+    got = found(secrets.scan(spark.createDataFrame([(1, f"token={key}" + "0" * 24 + " " + "0a" * 12, "o")], "doc_id long, text string, source string")))
+    assert [(s.kind, s.start, s.end) for s in got[1].spans] == [("assign", 0, 54), ("hex", 29, 54), ("hex", 55, 79)]
+
+
 def test_copied_examples_are_told_from_owned_ones(spark):
     key, own = "Ab1" * 10, "Zy9" * 10
     data = [(k, f"é see {key} here", f"o{k}") for k in range(6)] + [(9, f"é mine {own} token: {key}", "o9"), (10, None, None)]
