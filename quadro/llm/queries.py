@@ -70,8 +70,9 @@ def _damaged(record: Column) -> Column:
 def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     records, replica = stage(warc.leaves(pages), "records"), stage(warc.leaves(pages, _damaged), "replica")
-    found = warc.audit(records, replica).select("file_no", "seq", "status")
-    return records.join(found, ["file_no", "seq"], "left").select(
+    found = warc.audit(records, replica).where("status <> 'added'").select(*[F.col(c).alias(f"f_{c}") for c in ("file_no", "page_id", "url", "digest", "nth")], "status")
+    same = (F.col("file_no") == F.col("f_file_no")) & F.col("page_id").eqNullSafe(F.col("f_page_id")) & (F.col("url") == F.col("f_url")) & (F.col("digest") == F.col("f_digest")) & (F.col("nth") == F.col("f_nth"))
+    return records.join(found, same, "left").select(
         "page_id", "file_no", "seq", F.col("start").alias("offset"), "length", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
 
 
@@ -79,10 +80,12 @@ OP6_SQL = """
 WITH r AS (SELECT page_id, coalesce(url, '') AS url, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
   || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
-d AS (SELECT page_id, url, page_id // 512 AS file_no, strlen(record) AS length, sha256(record) AS sha256 FROM r)
-SELECT page_id, file_no, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256,
-  CASE WHEN page_id % 997 = 13 THEN 'missing' WHEN page_id % 499 = 7 OR page_id % 251 = 3 THEN 'changed' ELSE 'intact' END AS status
-FROM d WINDOW w AS (PARTITION BY file_no ORDER BY page_id, url, sha256 ROWS UNBOUNDED PRECEDING)
+d AS (SELECT page_id, url, page_id // 512 AS file_no, strlen(record) AS length, sha256(record) AS sha256 FROM r),
+held AS (SELECT page_id, url, sha256(CASE WHEN page_id % 499 = 7 THEN left(record, length(record) - 1)
+  WHEN page_id % 251 = 3 THEN left(record, length(record) // 2) || chr(127) || substr(record, length(record) // 2 + 2) ELSE record END) AS sha256 FROM r WHERE page_id % 997 <> 13)
+SELECT d.page_id, file_no, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, d.sha256,
+  CASE WHEN held.sha256 IS NULL THEN 'missing' WHEN held.sha256 <> d.sha256 THEN 'changed' ELSE 'intact' END AS status
+FROM d LEFT JOIN held ON held.page_id = d.page_id AND held.url = d.url WINDOW w AS (PARTITION BY file_no ORDER BY d.page_id, d.url, d.sha256 ROWS UNBOUNDED PRECEDING)
 """
 
 

@@ -386,6 +386,26 @@ def test_audit_finds_damage(spark):
     assert (one.digest, one.length) == (hashlib.sha256(text.encode()).hexdigest(), len(text))
     nothing = records.limit(0)
     assert warc.audit(nothing, nothing).count() == 0
+    assert {r.status for r in warc.audit(records, nothing).collect()} == {"missing"}
+
+
+def test_one_row_that_is_absent_is_one_missing_record(spark):
+    """Each replica numbers what it holds: nothing after a loss counts as changed."""
+    pages = spark.createDataFrame([(k, f"u{k}", "y" * (k * 7 % 31)) for k in range(300)], "page_id long, url string, html string")
+    whole, part = warc.leaves(pages), warc.leaves(pages.where("page_id <> 11"))
+    assert [(r.page_id, r.status) for r in warc.audit(whole, part).collect()] == [(11, "missing")]
+    assert [(r.page_id, r.status) for r in warc.audit(part, whole).collect()] == [(11, "added")]
+    ranges = [found(warc.tree(x)[0], "node") for x in (whole, part)]
+    assert len([n for n in ranges[0] if ranges[0][n].digest != ranges[1][n].digest]) == 1  # of five ranges
+
+
+def test_audit_of_rows_that_repeat(spark):
+    """Hundreds of equal records, several contents of one page, rows without page_id, a very long record."""
+    data = [(7, "u", "same")] * 300 + [(7, "u", f"other {k}") for k in range(5)] + [(None, "n", "a"), (None, "n", "a"), (None, None, "b"), (8, "long", "z" * 300_000)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    less = spark.createDataFrame(data[2:302] + [(7, "u", "new"), *data[303:307], data[308]], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.url, r.status) for r in warc.audit(warc.leaves(pages), warc.leaves(less)).collect())
+    assert got == [("7", "u", "changed"), ("7", "u", "missing"), ("7", "u", "missing"), ("None", "", "missing")]
 
 
 # --- 7: main texts ---
