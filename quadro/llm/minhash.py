@@ -10,8 +10,10 @@ sides, so documents without a shared one on either side have no candidates and e
 table keys; the others only combine their shared half-bands.
 
 Candidates are verified on the full sets, in two rounds:
-1. In each table bucket every member is paired with the bucket's smallest member, its hub.
-   Each document is compared with its best-looking hubs. Confirmed links give first components.
+1. In each table bucket every member is paired with one of them, its hub: the member that
+   shares most buckets with most others, so the text that a family of copies was made from
+   rather than one of the copies. Each document is compared with its best-looking hubs.
+   Confirmed links give first components.
 2. Members of buckets that still hold several components are compared across components
    by an exact join on their rarest shingles (_across), so a passage that a third of all
    documents share doesn't pair them all.
@@ -212,15 +214,17 @@ def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     lively = halves.join(often, "h").groupBy("node", "n").agg(side(True).alias("a"), side(False).alias("b")).where("size(a) > 0 and size(b) > 0")
     keys = lively.select("node", "n", F.explode("a").alias("a"), "b").select("node", "n", "a", F.explode("b").alias("b"))
     keys = stage(keys.select("node", "n", F.xxhash64("a", "b").alias("key")), "keys")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    hubs = stage(hubs.select("key", "hub"), "hubs")
-    buckets = keys.join(hubs, "key")
+    shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-keys")
+    keys = stage(keys.join(shared, "key"), "keys")
+    known = keys.groupBy("node").agg((-F.sum("members")).alias("known"))
+    hubs = keys.join(known, "node").groupBy("key").agg(F.min(F.struct("known", "node", "n")).alias("hub"))
+    buckets = keys.join(stage(hubs.select("key", "hub"), "hubs"), "key")
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
-    stars = buckets.where(F.col("node") > F.col("hub.node")).where(near(F.col("n"), F.col("hub.n")))
+    stars = buckets.where(F.col("node") != F.col("hub.node")).where(near(F.col("n"), F.col("hub.n")))
     stars = stage(_agreeing(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), nodes), "stars", SHORT_BATCHES)
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("agree"), "u"))
-    best = stars.withColumn("place", place).where(F.col("place") <= FIRST).select("u", "v")
+    best = stars.withColumn("place", place).where(F.col("place") <= FIRST).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = stage(_confirmed(best, docs, width), "confirmed", SHORT_BATCHES)
     roots = components(first)
 
