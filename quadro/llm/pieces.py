@@ -429,6 +429,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
 
     filled = d.select("key", "half", "text").mapInArrow(not_held, left_over).join(others.select("unit", "ids"), "unit").select("key", "half", "pos", "ids")
     filled = filled.repartition("key", "half").groupBy("key", "half").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
+    filled = stage(filled, "filled", SHORT_BATCHES)  # its shuffles go before the texts move
     whole = d.mapInArrow(numbered, packed).join(filled, ["key", "half"], "left")
     shown = spark.sparkContext.broadcast(vocabulary.shown)
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
