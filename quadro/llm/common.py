@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of this machine where that is unset (tests in local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode
+    (tests) a folder of this machine where that is unset. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:  # not a setting that a running session takes: remembered here
         found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quadro-shared-")
         _own[spark.sparkContext.applicationId] = found
