@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the cases that its docstring defines."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadro.llm import components, exact_dedup, html_blocks, html_crf, html_pages, jpeg, media, minhash, mixing, pieces, quality, secrets, suffixes, warc
-from quadro.llm.queries import vocabulary
+from quadro.llm.queries import queries, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -451,6 +452,19 @@ def test_embedded_text_is_kept(crf):
     assert [b.text for b in html_blocks.blocks_of("<head><title>T<p>No title end.")] == ["No title end."]
 
 
+def test_the_query_gives_the_articles_of_the_pages(spark):
+    """Against a plain cut of what stands between the article's tags, on every page of two tables."""
+    block = re.compile(r"</?(?:p|h\d|ul|ol|li|div|blockquote|pre|table|tr|td|section|figure|figcaption)\b[^>]*>")
+    for sf in ("sf0.001", "sf0.01"):
+        pages = {r.page_id: r for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+        got = queries()["op7_crf_extraction"](spark, f"/root/testdata/{sf}").collect()
+        assert len(got) == len(pages)
+        for r in got:
+            inner = re.search(r"<article>(.*)</article>", pages[r.page_id].html, re.S)[1]
+            parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in block.split(inner)]
+            assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, "\n\n".join(p for p in parts if p), len(r.text))
+
+
 def test_marked_sections_are_markup():
     assert [b.text for b in html_blocks.blocks_of("<p>a</p><![foo[bar]]><p>b <![if x]>c<![endif]></p><![CDATA[d]]><p>e<![x")] == ["a", "b c", "e<![x"]
 
