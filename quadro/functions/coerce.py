@@ -139,3 +139,18 @@ def normal_cdf(z: Column) -> Column:
     poly = ((((F.lit(1.061405429) * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
     erf = 1 - poly * F.exp(-x * x)
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+# Bytes without a character in Windows-1252, which stand for themselves.
+UNUSED_1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+
+
+def encode_1252(text: str) -> bytes:
+    """A text as Windows-1252; what that can't hold is an error that names it, never a ?."""
+    parts = []
+    for k, c in enumerate(text):
+        try:
+            parts.append(bytes([ord(c)]) if ord(c) in UNUSED_1252 else c.encode("cp1252"))
+        except UnicodeEncodeError:
+            raise ValueError(f"{c!r} (U+{ord(c):04X}) at {k} isn't in Windows-1252") from None
+    return b"".join(parts)

@@ -260,13 +260,3 @@ def _crossed(x: Column, y: Column, ring: Column) -> Column:
     n = F.size(ring)
     pairs = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.get(ring, (i + n - 1) % n).alias("q")))
     return F.filter(pairs, lambda p: ((p["y"] > y) != (p["q"]["y"] > y)) & (x < (p["q"]["x"] - p["x"]) * F.try_divide(y - p["y"], p["q"]["y"] - p["y"]) + p["x"]))
-
-
-# Names of fields that hold a municipality code, residence first.
-PLACE_FIELDS = ("MUNIC_RES", "CODMUNRES", "MUNRES", "MUN_RES", "CODMUNOCOR", "MUNIC_MOV", "MUNOCOR", "MUNIC", "MUNICIPIO", "CODMUN")
-
-
-def place_fields(columns: Sequence[str]) -> list[str]:
-    """Fields that look like municipality codes, residence before occurrence."""
-    upper = {c.upper(): c for c in columns}
-    return [upper[p] for p in PLACE_FIELDS if p in upper]

@@ -156,6 +156,32 @@ def ranked(t: DataFrame, column: str, count: int) -> DataFrame:
     return t.orderBy(F.desc(column), "row_label").limit(count)
 
 
+# --- what charts show -------------------------------------------------------------------
+
+
+def scatter(t: DataFrame, x: str, y: str, size: str | None = None, limit: int = 100) -> DataFrame:
+    """row_key, row_label, x, y, size of the first rows; without a size the sum of a row's cells."""
+    _need(t, x, y, *([size] if size else []))
+    weight = _cell(size) if size else reduce(lambda a, b: a + b, [_cell(c) for c in values_of(t)])
+    return t.orderBy("ord").select("row_key", "row_label", _cell(x).alias("x"), _cell(y).alias("y"), weight.alias("size")).limit(limit)
+
+
+def arrows(t: DataFrame, limit: int) -> DataFrame:
+    """row_key, row_label, start, end: the first and last column of the rows that change most."""
+    names = values_of(t)
+    if len(names) < 2:
+        raise PlanError("arrows need two columns")
+    first, last = names[0], names[-1]
+    d = t.select("row_key", "row_label", _cell(first).alias("start"), _cell(last).alias("end"))
+    return d.orderBy(F.desc(F.abs(F.col("end") - F.col("start"))), "row_label").limit(limit)
+
+
+def series(t: DataFrame) -> DataFrame:
+    """series, row_key, row_label, value: a line for each column over the table's rows."""
+    lines = F.array(*[F.struct(F.lit(c).alias("series"), _cell(c).alias("value")) for c in values_of(t)])
+    return t.select("row_key", "row_label", F.inline(lines)).select("series", "row_key", "row_label", "value")
+
+
 # --- comparison -------------------------------------------------------------------------
 
 
@@ -195,3 +221,33 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.select("row_key", "col_key", F.col("value").alias("after"))
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").otherwise("changed")
     return a.join(b, ["row_key", "col_key"], "full").select("row_key", "col_key", status.alias("status"), "before", "after")
+
+
+def against_golden(cells: DataFrame, golden: DataFrame, tolerance: float = 0.0, decimals: int | None = None) -> DataFrame:
+    """row_labels, column_labels, shape, cells (whether each agrees), differing, passed: one row.
+
+    Both are long cells with row_sort and col_sort. Cells at the same place are compared, at
+    `decimals` if given; labels must agree in text and order.
+    """
+    if not 0 <= tolerance < float("inf") or decimals is not None and decimals < 0:
+        raise PlanError("tolerance and decimals can't be negative or infinite")
+
+    def placed(d: DataFrame, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        axes = []
+        for side in ("row", "col"):
+            # Places on an axis of a table that is presented whole: one row for each label.
+            axis = d.select(f"{side}_key", f"{side}_label", f"{side}_sort").distinct()
+            axes.append(axis.withColumn(side, F.row_number().over(Window.orderBy(f"{side}_sort", f"{side}_key"))))
+        rows, cols = axes
+        at = d.join(rows.select("row_key", "row"), "row_key").join(cols.select("col_key", "col"), "col_key")
+        return rows.select("row", F.col("row_label").alias(value)), cols.select("col", F.col("col_label").alias(value)), at.select("row", "col", F.col("value").alias(value))
+
+    got, want = placed(cells, "a"), placed(golden, "b")
+    rounded = lambda c: c if decimals is None else F.floor(c * 10**decimals + 0.5) / 10**decimals
+    labels = [x.join(y, x.columns[0], "full").agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias(n)) for x, y, n in zip(got, want, ("row_labels", "column_labels"), strict=False)]
+    both = got[2].join(want[2], ["row", "col"], "full")
+    one_side = F.col("a").isNull() | F.col("b").isNull()
+    found = both.agg(
+        (F.count_if(one_side) == 0).alias("shape"), F.count_if(~one_side & (F.abs(rounded(F.col("a")) - rounded(F.col("b"))) > tolerance)).alias("differing"))
+    d = labels[0].join(labels[1]).join(found).withColumn("cells", F.col("differing") == 0)
+    return d.select("row_labels", "column_labels", "shape", "cells", "differing", (F.col("row_labels") & F.col("column_labels") & F.col("shape") & F.col("cells")).alias("passed"))

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadro.functions import coerce
+from quadro.operators import places
 from quadro.operators import profiling as prof
 from quadro.operators import statistics as st
 from quadro.operators import tableops as ops
+from quadro.operators.predicates import matches
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Dimension, Measure, TabulationSpec
 from quadro.queries import query, table
-from quadro.sources.dbf import dbf_records, write_dbf
+from quadro.sources.dbf import read_dbf, write_dbf_files
 from quadro.sources.delimited import read_delimited
 from quadro.sources.scratch import scratch_path
 from quadro.sources.sinks import labelled_records, write_records
 from quadro.sql import register
-from quadro.streaming.tables import running_cells, windowed_counts, write_snapshots
+from quadro.streaming.tables import running_cells, running_combinations, running_flows, windowed_counts, write_snapshots
 
 
 def _nations(spark, sf) -> DataFrame:
@@ -102,6 +104,30 @@ def op_ranked(spark, sf):
     return ops.ranked(_nations(spark, sf), "n", 5).select("row_label", "n")
 
 
+@query(f"WITH {T} SELECT row_key, row_label, n AS x, v AS y, n + v AS size FROM t")
+def op_scatter(spark, sf):
+    return ops.scatter(_nations(spark, sf), "n", "v")
+
+
+@query(f"WITH {T} SELECT row_key, row_label, n AS start, v AS \"end\" FROM t ORDER BY abs(v - n) DESC, row_label LIMIT 7")
+def op_arrows(spark, sf):
+    return ops.arrows(_nations(spark, sf), 7)
+
+
+@query(f"WITH {T} SELECT 'n' AS series, row_key, row_label, n AS value FROM t UNION ALL SELECT 'v', row_key, row_label, v FROM t")
+def op_series(spark, sf):
+    return ops.series(_nations(spark, sf))
+
+
+@query("""SELECT TRUE AS row_labels, TRUE AS column_labels, TRUE AS shape, count(*) FILTER (WHERE n % 10 = 0) = 0 AS cells, count(*) FILTER (WHERE n % 10 = 0) AS differing, count(*) FILTER (WHERE n % 10 = 0) = 0 AS passed
+FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority, year(o_orderdate))""")
+def tab_golden(spark, sf):
+    """A table against itself with tens made wrong by 2, at a tolerance of 1."""
+    d = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
+    cells = tabulate(d, TabulationSpec(Dimension("o_orderpriority"), Dimension("year"))).cells
+    return ops.against_golden(cells, cells.withColumn("value", F.col("value") + F.when(F.col("value") % 10 == 0, 2).otherwise(1)), 1)
+
+
 # --- comparison -------------------------------------------------------------------------
 
 
@@ -449,6 +475,64 @@ def map_equal_classes(spark, sf):
     return d.select(F.posexplode("breaks").alias("i", "upper")).select(F.col("i").cast("long").alias("i"), F.round("upper", 4).alias("upper"))
 
 
+def _classed(spark, sf, kind: str, breaks=()) -> DataFrame:
+    d = table(spark, sf, "customer")
+    limits = places.class_limits(d, "c_acctbal", kind, 5, breaks)
+    return d.select("c_custkey", places.class_of(F.col("c_acctbal"), limits).cast("int").alias("class"), F.round(places.shade_of(F.col("c_acctbal"), limits), 9).alias("shade"))
+
+
+SHADE = "round(sqrt((c_acctbal - lo) / (hi - lo)), 9) AS shade FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)"
+
+
+@query(f"SELECT c_custkey, CAST(CASE WHEN c_acctbal <= 0 THEN 0 WHEN c_acctbal <= 1000 THEN 1 WHEN c_acctbal <= 7500.5 THEN 2 ELSE 3 END AS INTEGER) AS class, {SHADE}")
+def map_manual_classes(spark, sf):
+    return _classed(spark, sf, "manual", (0, 1000, 7500.5))
+
+
+@query(f"SELECT c_custkey, CAST(CASE WHEN c_acctbal <= lo + (hi - lo) / 5 THEN 0 WHEN c_acctbal <= lo + (hi - lo) * 2 / 5 THEN 1 WHEN c_acctbal <= lo + (hi - lo) * 3 / 5 THEN 2 WHEN c_acctbal <= lo + (hi - lo) * 4 / 5 THEN 3 ELSE 4 END AS INTEGER) AS class, {SHADE}")
+def map_continuous(spark, sf):
+    return _classed(spark, sf, "continuous")
+
+
+CODED = "m AS (SELECT *, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(90000 + (c_custkey % 97) * 5003 AS VARCHAR) END AS code FROM customer), s AS (SELECT CAST(n_nationkey + 11 AS VARCHAR) AS state, n_name AS nation FROM nation WHERE n_nationkey < 20)"
+
+
+def _coded(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers with a municipality's code, the names of most codes, and those of some states."""
+    key = F.col("c_custkey")
+    d = table(spark, sf, "customer").withColumn("code", F.when(key % 50 != 0, (90000 + (key % 97) * 5003).cast("string")))
+    names = d.groupBy("code").agg(F.when(F.first(key % 97 % 7) != 3, F.concat(F.lit("Município "), "code")).alias("name"))
+    states = table(spark, sf, "nation").where("n_nationkey < 20").select((F.col("n_nationkey") + 11).cast("string").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("sign"))
+    return d, names, states
+
+
+@query(f"""WITH {CODED}, k AS (SELECT code, count(*) AS records, coalesce(any_value(c_custkey % 97 % 7) <> 3 AND length(code) = 6 AND substr(code, 1, 2) BETWEEN '11' AND '53', FALSE) AS known FROM m GROUP BY 1),
+t AS (SELECT CASE WHEN known THEN substr(code, 1, 2) END AS state, * FROM k), r AS (SELECT state, CAST(sum(records) AS BIGINT) AS state_records FROM t WHERE known GROUP BY 1)
+SELECT t.state, coalesce(nation, 'UF ' || t.state) AS state_name, coalesce('S' || (CAST(s.state AS INTEGER) - 11), t.state) AS sign, code, CASE WHEN known THEN 'Município ' || code END AS place, records, state_records, known
+FROM t LEFT JOIN r ON r.state = t.state LEFT JOIN s ON s.state = t.state""")
+def geo_tree(spark, sf):
+    d, names, states = _coded(spark, sf)
+    return places.place_tree(d, "code", names, states)
+
+
+@query(f"WITH {CODED} SELECT c_custkey, code FROM m WHERE c_custkey % 97 % 7 <> 3 AND length(code) = 6 AND substr(code, 1, 2) IN ('12', '31') OR code = '90000'")
+def geo_selection(spark, sf):
+    """Two states and one municipality, chosen as a map's user chooses them."""
+    d, names, states = _coded(spark, sf)
+    codes = places.codes_of(places.place_tree(d, "code", names, states), ["12", "31"], ["90000"])
+    return d.where(matches(d, places.selection_filter("code", codes))).select("c_custkey", "code")
+
+
+@query(f"WITH {T} SELECT CAST(n_nationkey AS VARCHAR) AS geocode, CAST(CASE WHEN n_nationkey < 20 THEN n_nationkey ELSE NULL END AS VARCHAR) AS code, coalesce(a.v, b.v) AS value FROM nation LEFT JOIN t a ON a.row_key = CASE WHEN n_nationkey < 20 THEN n_nationkey END::VARCHAR LEFT JOIN t b ON b.row_label = n_name WHERE n_regionkey IS NOT NULL")
+def map_values(spark, sf):
+    """Objects without a code of the result's find their value by name, in other letters."""
+    n = table(spark, sf, "nation")
+    code = F.col("n_nationkey").cast("string")
+    objects = n.select(code.alias("id"), F.when(F.col("n_nationkey") < 20, code).otherwise("?").alias("geocode"), F.concat(F.lit(" "), F.lower("n_name")).alias("name"))
+    d = places.on_map(objects, _nations(spark, sf).withColumnRenamed("v", "value"))
+    return d.select(F.col("id").alias("geocode"), F.nullif(F.col("geocode"), F.lit("?")).alias("code"), "value")
+
+
 def _box(low: float, high: float, bottom: float, top: float):
     return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((low, bottom), (high, bottom), (high, top), (low, top))])
 
@@ -515,11 +599,13 @@ def src_delimited(spark, sf):
     return read_delimited(spark, path)
 
 
-@query("SELECT CAST(n_nationkey AS DOUBLE) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS id, o_orderpriority AS priority, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def src_dbf(spark, sf):
-    """A table as a DBF file, stored by Spark and decoded in tasks."""
-    data = write_dbf(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-    return dbf_records(spark.createDataFrame([("nation.dbf", data)], "path string, content binary"))
+    """A table as DBF files, written by tasks and decoded by others."""
+    path = scratch_path(spark, "dbf")
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+    write_dbf_files(d, path, {"priority": 20}, {"price": 2}, most=50_000)
+    return read_dbf(spark, path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("SELECT p_partkey, p_size, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' WHEN p_size <= 50 THEN 'large' ELSE 'giant' END AS p_size_label FROM part")
@@ -549,3 +635,19 @@ def stream_windows(spark, sf):
     path = scratch_path(spark, "windows")
     write_snapshots(windowed_counts(stream, "ts", "event_type"), path, scratch_path(spark, "stream")).awaitTermination()
     return spark.read.parquet(path)
+
+
+@query("SELECT l_returnflag AS origin, l_linestatus AS destination, sum(l_quantity) AS value, count(*) AS records FROM lineitem GROUP BY 1, 2")
+def stream_flows(spark, sf):
+    stream = spark.readStream.schema(table(spark, sf, "lineitem").schema).parquet(f"{sf}/lineitem.parquet*")
+    path = scratch_path(spark, "flows")
+    write_snapshots(running_flows(stream, "l_returnflag", "l_linestatus", "l_quantity"), path, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS records FROM orders GROUP BY 1, 2")
+def stream_combinations(spark, sf):
+    stream = spark.readStream.schema(table(spark, sf, "orders").schema).parquet(f"{sf}/orders.parquet*")
+    path = scratch_path(spark, "combinations")
+    write_snapshots(running_combinations(stream, ["o_orderstatus", "o_orderpriority"]), path, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path)

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import datetime
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,12 +154,11 @@ def dbf_records(files: DataFrame, fields: Sequence[str] | None = None, encoding:
     return files.select("path", "content").mapInArrow(one, schema)
 
 
-def write_dbf(df: DataFrame, widths: dict[str, int] | None = None, decimals: dict[str, int] | None = None) -> bytes:
-    """A DBF file of a result (small by purpose: it is built on the driver, row by row).
-    What a field can't hold is an error; characters outside Windows-1252 become ?."""
+def _layout(schema: T.StructType, widths: dict[str, int] | None, decimals: dict[str, int] | None) -> tuple[list[Field], int]:
+    """(fields of a file for these columns, bytes of a record)."""
     widths, decimals = widths or {}, decimals or {}
     fields, at = [], 1
-    for f in df.schema.fields:
+    for f in schema.fields:
         number = isinstance(f.dataType, T.NumericType)
         kind = "N" if number else "D" if isinstance(f.dataType, T.DateType) else "L" if isinstance(f.dataType, T.BooleanType) else "C"
         length = {"D": 8, "L": 1}.get(kind) or widths.get(f.name) or f.metadata.get("length") or (20 if number else 254)
@@ -164,92 +166,146 @@ def write_dbf(df: DataFrame, widths: dict[str, int] | None = None, decimals: dic
         at += length
     if len(fields) > 2046 or len({f.name for f in fields}) < len(fields):
         raise PlanError("too many fields, or names that are the same in ten letters")
-
-    def cell(v: object, f: Field) -> bytes:
-        if v is None:
-            return b" " * f.length if f.kind != "L" else b"?"
-        if f.kind == "N":
-            text = (f"{float(v):.{f.decimals}f}" if f.decimals else str(int(v))).rjust(f.length)
-        elif f.kind == "D":
-            text = v.strftime("%Y%m%d")
-        elif f.kind == "L":
-            text = "T" if v else "F"
-        else:
-            text = str(v).ljust(f.length)
-        if len(text) > f.length:
-            raise PlanError(f"{f.name}: {text.strip()!r} needs more than {f.length} characters")
-        return text.encode("cp1252", "replace")
-
-    body = [b" " + b"".join(cell(v, f) for v, f in zip(row, fields, strict=True)) for row in df.toLocalIterator()]
-    head = struct.pack("<BBBBIHH20x", 3, 99, 12, 31, len(body), 33 + 32 * len(fields), at)
+    return fields, at
+
+
+def _cell(v: object, f: Field) -> bytes:
+    if v is None:
+        return b" " * f.length if f.kind != "L" else b"?"
+    if f.kind == "N":
+        text = (f"{float(v):.{f.decimals}f}" if f.decimals else str(int(v))).rjust(f.length)
+    elif f.kind == "D":
+        text = v.strftime("%Y%m%d")
+    elif f.kind == "L":
+        text = "T" if v else "F"
+    else:
+        text = str(v).ljust(f.length)
+    if len(text) > f.length:
+        raise PlanError(f"{f.name}: {text.strip()!r} needs more than {f.length} characters")
+    return text.encode("cp1252", "replace")
+
+
+def _packed(rows: Iterable[Sequence], fields: list[Field], record: int) -> bytes:
+    body = [b" " + b"".join(_cell(v, f) for v, f in zip(row, fields, strict=True)) for row in rows]
+    if len(body) * record >= 1 << 31:
+        raise PlanError("a DBF file has 2 GB at most")
+    head = struct.pack("<BBBBIHH20x", 3, 99, 12, 31, len(body), 33 + 32 * len(fields), record)
     described = b"".join(f.name.encode("latin-1", "replace").ljust(11, b"\0") + f.kind.encode() + b"\0" * 4 + bytes([f.length, f.decimals]) + b"\0" * 14 for f in fields)
     return head + described + b"\r" + b"".join(body) + b"\x1a"
 
 
+def write_dbf(df: DataFrame, widths: dict[str, int] | None = None, decimals: dict[str, int] | None = None) -> bytes:
+    """A DBF file of a result (small by purpose: it is built on the driver, row by row).
+    What a field can't hold is an error; characters outside Windows-1252 become ?."""
+    return _packed(df.toLocalIterator(), *_layout(df.schema, widths, decimals))
+
+
+def write_dbf_files(df: DataFrame, path: str, widths: dict[str, int] | None = None, decimals: dict[str, int] | None = None, most: int = 200_000) -> DataFrame:
+    """file, records: a table of any size as DBF files of at most `most` records in a folder that
+    executors share. Tasks write their own; one that is run again writes the same names. As
+    with write_dbf, what a field can't hold is an error. A table without rows gives no file."""
+    fields, record = _layout(df.schema, widths, decimals)
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("records", T.LongType())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, part = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), TaskContext.get().partitionId()
+        for k in count():
+            some = list(islice(rows, most))
+            if not some:
+                return
+            to, folder = FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)
+            to.create_dir(folder)
+            name = f"{folder}/part-{part:05}-{k:04}.dbf"
+            with to.open_output_stream(name) as f:
+                f.write(_packed(some, fields, record))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(some)])], names=out.names)
+
+    written = df.mapInArrow(write, out).collect()  # a row for each file
+    return df.sparkSession.createDataFrame(written, out)
+
+
 # --- the compression of DBC files (PKWARE DCL "implode") ----------------------------------
 
 # Fixed values of the published format: run-length coded code lengths (count - 1 in the
 # high four bits, length in the low four), and bases and extra bits of copy lengths.
 LITERALS = (
-    "11 124 8 7 28 7 188 13 76 4 10 8 12 10 12 10 8 23 8 9 7 6 7 8 7 6 55 8 23 24 12 11 7 9 11 12 6 7 22 5 7 24 6 11 9 6 7 22 7 11 38 7 9 8 25 11 8 11 9 12 8 12 5 38 5 38 5 11 7 5 6 21 6 10 53 8 7 24 10 27 44 "
-    "253 253 253 252 252 252 13 12 45 12 45 12 61 12 45 44 173")
-LENGTHS, DISTANCES = "2 35 36 53 38 23", "2 20 53 230 247 151 248"
+    11, 124, 8, 7, 28, 7, 188, 13, 76, 4, 10, 8, 12, 10, 12, 10, 8, 23, 8, 9, 7, 6, 7, 8, 7, 6, 55, 8,
+    23, 24, 12, 11, 7, 9, 11, 12, 6, 7, 22, 5, 7, 24, 6, 11, 9, 6, 7, 22, 7, 11, 38, 7, 9, 8, 25, 11,
+    8, 11, 9, 12, 8, 12, 5, 38, 5, 38, 5, 11, 7, 5, 6, 21, 6, 10, 53, 8, 7, 24, 10, 27, 44, 253, 253, 253,
+    252, 252, 252, 13, 12, 45, 12, 45, 12, 61, 12, 45, 44, 173,
+)
+LENGTHS, DISTANCES = (2, 35, 36, 53, 38, 23), (2, 20, 53, 230, 247, 151, 248)
 BASES = (3, 2, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 72, 136, 264)
 EXTRA = (0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8)
 END = 519
 
 
-def _codes(packed: str) -> dict[tuple[int, int], int]:
-    """(bits, code) to symbol; codes are stored inverted."""
-    lengths = [x & 15 for x in map(int, packed.split()) for _ in range((x >> 4) + 1)]
-    codes, code = {}, 0
+LONGEST = 13  # bits of a code
+
+
+def _by_bits(packed: Sequence[int]) -> list[int]:
+    """For every next 13 bits, first bit lowest: 16 x the symbol whose code they start with and its
+    bits (0: none). Codes are numbered by length and stored inverted."""
+    lengths = [x & 15 for x in packed for _ in range((x >> 4) + 1)]
+    found, code = [0] * (1 << LONGEST), 0
     for n in range(1, max(lengths) + 1):
         for symbol in (s for s, m in enumerate(lengths) if m == n):
-            codes[n, code ^ ((1 << n) - 1)] = symbol
+            first = int(f"{code ^ ((1 << n) - 1):0{n}b}"[::-1], 2)
+            found[first :: 1 << n] = [symbol << 4 | n] * (1 << LONGEST - n)
             code += 1
         code <<= 1
-    return codes
+    return found
 
 
 def explode(data: bytes) -> bytes:
     """Expands one imploded stream."""
-    literals, lengths, distances = (_codes(x) for x in (LITERALS, LENGTHS, DISTANCES))
-    coded, bits_low = data[0], data[1]
-    if coded > 1 or not 4 <= bits_low <= 6:
+    if len(data) < 3 or data[0] > 1 or not 4 <= data[1] <= 6:
         raise PlanError("no imploded data")
-    out, at, hold, held = bytearray(), 2, 0, 0
-
-    def take(n: int) -> int:
-        nonlocal at, hold, held
-        while held < n:
-            hold |= data[at] << held
-            at, held = at + 1, held + 8
-        v = hold & ((1 << n) - 1)
-        hold, held = hold >> n, held - n
-        return v
-
-    def symbol(codes: dict[tuple[int, int], int]) -> int:
-        v = 0
-        for n in range(1, 14):
-            v = v << 1 | take(1)
-            if (n, v) in codes:
-                return codes[n, v]
-        raise PlanError("a code that isn't in the format")
-
+    literals, lengths, distances = (_by_bits(x) for x in (LITERALS, LENGTHS, DISTANCES))
+    coded, bits_low = data[0], data[1]
+    out, at, hold, held, mask = bytearray(), 2, 0, 0, (1 << LONGEST) - 1
     while True:
-        if not take(1):
-            out.append(symbol(literals) if coded else take(8))
+        if held < 64:  # a token has 43 bits at most
+            hold |= int.from_bytes(data[at : at + 32], "little") << held
+            at, held = at + 32, held + 256
+            if at - 32 > len(data) + 32:
+                raise PlanError("the data ends within a token")
+        if not hold & 1:
+            if coded:
+                found = literals[hold >> 1 & mask]
+                n = found & 15
+                if not n:
+                    raise PlanError("a code that isn't in the format")
+                out.append(found >> 4)
+            else:
+                n = 8
+                out.append(hold >> 1 & 255)
+            hold >>= n + 1
+            held -= n + 1
             continue
-        k = symbol(lengths)
-        size = BASES[k] + take(EXTRA[k])
+        found = lengths[hold >> 1 & mask]
+        k, n = found >> 4, found & 15
+        hold >>= n + 1
+        size = BASES[k] + (hold & ((1 << EXTRA[k]) - 1))
+        hold >>= EXTRA[k]
+        held -= n + 1 + EXTRA[k]
         if size == END:
+            if 8 * at - held > 8 * len(data):
+                raise PlanError("the data ends within a token")
             return bytes(out)
         low = 2 if size == 2 else bits_low
-        back = (symbol(distances) << low) + take(low) + 1
-        if back > len(out):
+        found = distances[hold & mask]
+        n = found & 15
+        back = (found >> 4 << low) + (hold >> n & ((1 << low) - 1)) + 1
+        hold >>= n + low
+        held -= n + low
+        start = len(out) - back
+        if start < 0:
             raise PlanError("a copy from before the start")
-        for _ in range(size):
-            out.append(out[-back])
+        if back >= size:
+            out += out[start : start + size]
+        else:  # a copy that reads what it writes
+            out += (out[start:] * (size // back + 1))[:size]
 
 
 def expand_dbc(data: bytes) -> bytes:

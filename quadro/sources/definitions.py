@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadro.functions.coerce import encode_1252
 from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, Measure, PlanError
 
 
@@ -80,6 +81,11 @@ def write_cnv(c: Conversion) -> str:
     return "\r\n".join(out) + "\r\n"
 
 
+def cnv_bytes(c: Conversion) -> bytes:
+    """The file: Windows-1252, refusing labels that it can't hold."""
+    return encode_1252(write_cnv(c))
+
+
 # What each option line of a DEF file offers its field for.
 ROLES = {"S": ("filter",), "L": ("row",), "C": ("column",), "Q": ("section",), "D": ("row", "section"), "T": ("row", "column", "section")}
 

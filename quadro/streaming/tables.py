@@ -3,11 +3,13 @@ Structured Streaming. A snapshot in complete mode equals the batch over what has
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quadro.functions.coerce import as_key, kind_of
+from quadro.functions.coerce import as_key, kind_of, to_number, trim_all
 from quadro.operators.tabulate import _key, _measure, accepted, prepared
 from quadro.plans.spec import TabulationSpec, compile_plan
 
@@ -24,6 +26,22 @@ def running_distinct(stream: DataFrame, name: str) -> DataFrame:
     return stream.select(as_key(F.col(name), kind_of(stream, name)).alias("value")).where("value is not null").dropDuplicates(["value"])
 
 
+def running_flows(stream: DataFrame, origin: str, destination: str, weight: str | None = None) -> DataFrame:
+    """origin, destination, value, records of what has arrived; blanks, and weights that are no
+    numbers, are left out."""
+    text = lambda n: trim_all(as_key(F.col(n), kind_of(stream, n)))
+    blank = F.lit(False) if weight is None else F.col(weight).isNull() | (F.trim(F.col(weight).cast("string")) == "")
+    w = F.lit(1.0) if weight is None else F.when(blank, 0.0).otherwise(to_number(F.col(weight), kind_of(stream, weight)))
+    d = stream.select(text(origin).alias("origin"), text(destination).alias("destination"), w.alias("value"))
+    return d.where("origin <> '' and destination <> '' and value is not null").groupBy("origin", "destination").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("records"))
+
+
+def running_combinations(stream: DataFrame, names: Sequence[str]) -> DataFrame:
+    """names, records: the combinations of values that have arrived, absent ones as empty texts."""
+    keys = [F.coalesce(as_key(F.col(n), kind_of(stream, n)), F.lit("")).alias(n) for n in names]
+    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"))
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts by window and key; state is dropped once the watermark has passed."""
     kind = kind_of(stream, time)

@@ -9,11 +9,12 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
+from quadro.functions import coerce
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Dimension, PlanError, TabulationSpec
 from quadro.sources import definitions, sinks
 from quadro.sources.append import append_sources
-from quadro.sources.dbf import dbf_records, explode, write_dbf
+from quadro.sources.dbf import dbf_records, expand_dbc, explode, read_dbf, write_dbf, write_dbf_files
 from quadro.sources.delimited import column_names, read_delimited, sniff
 
 
@@ -134,3 +135,40 @@ def test_sources_must_have_the_same_fields(spark):
     assert append_sources({"a": a, "b": b}).count() == 5
     with pytest.raises(PlanError, match="c"):
         append_sources({"a": a, "c": b.select(F.col("id").cast("int"))})
+
+
+def test_dbf_files_written_by_tasks(spark, tmp_path):
+    d = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, concat('é', id)) AS name", "id / 4 AS v", "date_add(DATE'2024-02-28', cast(id as int)) AS day", "id % 2 = 0 AS even").repartition(3)
+    made = write_dbf_files(d, str(tmp_path / "out"), {"name": 8}, {"v": 2}, most=150).collect()
+    assert sum(r.records for r in made) == 1000 and max(r.records for r in made) <= 150
+    back = read_dbf(spark, str(tmp_path / "out"))
+    texts = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert texts(back.collect()) == texts(d.withColumn("id", F.col("id").cast("double")).collect())
+    assert write_dbf_files(d.limit(0), str(tmp_path / "none"), {"name": 8}).count() == 0
+
+
+def imploded(data: bytes) -> bytes:
+    """A stream of plain literals, written by the format's description."""
+    bits = "".join("0" + f"{b:08b}"[::-1] for b in data) + "1" + "0000000" + "1" * 8  # the code of the longest copies, and its extra bits: the end
+    bits += "0" * (-len(bits) % 8)
+    return bytes([0, 4]) + bytes(int(bits[a : a + 8][::-1], 2) for a in range(0, len(bits), 8))
+
+
+def test_dbc_is_a_dbf_of_an_imploded_body(spark, tmp_path):
+    data = dbf([("Zé", "1.50", -3, "20240229", "T"), ("b", "2", 7, "20240101", "F")])
+    size = struct.unpack_from("<H", data, 8)[0]
+    packed = data[:size] + b"\0" * 4 + imploded(data[size:])
+    assert expand_dbc(packed) == data
+    (tmp_path / "x.dbc").write_bytes(packed)
+    assert [r.NAME for r in read_dbf(spark, str(tmp_path)).orderBy("I").collect()] == ["Zé", "b"]
+    for bad in (b"", b"\x02\x04\x00", imploded(b"abc")[:-3], bytes.fromhex("0004ff")):
+        with pytest.raises(PlanError):
+            explode(bad)
+
+
+def test_cnv_file_refuses_what_windows_1252_lacks():
+    c = definitions.Conversion("x", (definitions.Category(1, "São Paulo – €"),), (definitions.CodeRange(1, "1", "1"),))
+    assert "São Paulo – €".encode("cp1252") in definitions.cnv_bytes(c)
+    assert coerce.encode_1252("\x81a") == b"\x81a"
+    with pytest.raises(ValueError, match=r"U\+0141.* at 2"):
+        coerce.encode_1252("aaŁ")
