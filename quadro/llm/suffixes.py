@@ -266,9 +266,10 @@ def compare_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=[*SUFFIX.names, "what"])
 
     found = stage(_split(docs, lambda d: open_strings(d, found)).mapInArrow(one, T.StructType([*SUFFIX.fields, T.StructField("what", T.ByteType())])), "strings")
-    # A smaller document in the last run of an earlier bucket: one row a bucket to look at.
+    # A smaller document in the last run of an earlier bucket: one row a bucket to look at, and
+    # so a broadcast of 24 bytes for each bucket at most.
     ends = found.where(F.col("what") == LAST).groupBy("high", "low").agg(F.min("doc").alias("least"))
-    pending = found.where(F.col("what") == PENDING).join(ends, ["high", "low"]).where("least < doc")
+    pending = found.where(F.col("what") == PENDING).join(F.broadcast(ends), ["high", "low"]).where("least < doc")
     return found.where(F.col("what") == COVERED).select("doc", "at").unionByName(pending.select("doc", "at"))
 
 
