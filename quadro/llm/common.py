@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the jobs run within."""
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -47,15 +62,8 @@ def stage(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    settings = {DROP_SHUFFLES: "true"} | (settings or {})
-    before = {k: spark.conf.get(k) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
+    with held(spark, {DROP_SHUFFLES: "true"} | (settings or {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, suffixes, warc
+from quadro.llm import chat, exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, suffixes, warc, whitening
 from quadro.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,33 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    tree, texts = chat.replies(given.unionByName(probe))
+    found = chat.read_back(chat.conversations(tree, texts))
+    return found.join(texts.select(F.col("id").alias("leaf"), F.col("conversation").alias("conv_id")), "leaf").select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+#: Control strings grow by a backslash; each turn has its marks beside its text; `<s>` is three characters.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(?:/?(?:INST|SYS|ROLE)|:)\]')) AS n,
+  length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*(?:/?(?:INST|SYS|ROLE)|:)\]')) AS r FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 19 + r END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pareto_mix": op1_pareto_mix,
@@ -157,8 +184,10 @@ def queries() -> dict[str, Query]:
         "op8_secret_ownership": op8_secret_ownership,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
+        "op12_chebyshev_whitening": op12_chebyshev_whitening,
+        "op13_reply_trees": op13_reply_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op8_secret_ownership": _op8_sql(), "op10_chunk_recipe_dedup": OP10_SQL}
+    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op8_secret_ownership": _op8_sql(), "op10_chunk_recipe_dedup": OP10_SQL, "op13_reply_trees": OP13_SQL}
