@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadro.llm import chat, exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, suffixes, warc, whitening
+from quadro.llm import chat, exact_dedup, html_crf, media, minhash, mixing, pieces, quality, secrets, spelling, suffixes, warc, whitening
 from quadro.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,26 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op11_edit_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 bit by bit; near words share a text with one letter taken out, of both at the same place or of one of them.
+OP11_SQL = r"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+u AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM r GROUP BY ALL),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, ord(x) - 64] END))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384)))) AS h FROM u),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2),
+k AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.rest UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.rest),
+b AS (SELECT word, count(*) AS n_near, min({'less': -n, 'near': near}) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * w.n THEN best.near END AS form, CASE WHEN -best.less >= 10 * w.n THEN -best.less END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+e AS (SELECT word, word AS here, 0 AS steps FROM f UNION ALL SELECT e.word, f.form, steps + 1 FROM e JOIN f ON f.word = e.here AND f.form IS NOT NULL)
+SELECT f.word, form, e.root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, steps) AS root FROM e GROUP BY word) e ON e.word = f.word
+"""
+
+
 def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -184,10 +204,11 @@ def queries() -> dict[str, Query]:
         "op8_secret_ownership": op8_secret_ownership,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
+        "op11_edit_tiles": op11_edit_tiles,
         "op12_chebyshev_whitening": op12_chebyshev_whitening,
         "op13_reply_trees": op13_reply_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op8_secret_ownership": _op8_sql(), "op10_chunk_recipe_dedup": OP10_SQL, "op13_reply_trees": OP13_SQL}
+    return {"op3_tensored_minhash": OP3_SQL, "op6_merkle_audit": OP6_SQL, "op8_secret_ownership": _op8_sql(), "op10_chunk_recipe_dedup": OP10_SQL, "op11_edit_tiles": OP11_SQL, "op13_reply_trees": OP13_SQL}
