@@ -28,11 +28,17 @@ def trim_all(c: Column) -> Column:
 
 
 def as_key(c: Column, kind: T.DataType | None = None) -> Column:
-    """The text form of a value: whole numbers without a fraction, dates as ISO days."""
+    """The text form of a value: whole numbers without a fraction, dates as ISO days.
+
+    Doubles are written out from 1e-6 up to 1e21, as 1e-7 or 1.5e+21 beyond; then there are NaN,
+    Infinity and -Infinity."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string"))
-        short = F.regexp_replace(c.cast("string").cast(T.DecimalType(38, 20)).cast("string"), r"\.?0+$", "")
-        return text.when(F.abs(c) >= 1e-6, short).otherwise(c.cast("string"))
+        size, shortest = F.abs(c), c.cast("string")
+        whole = F.when((c == F.floor(c)) & (size < 1e15), c.cast("long").cast("string"))
+        fraction = F.regexp_replace(shortest.try_cast(T.DecimalType(38, 20)).cast("string"), r"\.?0+$", "")
+        power = F.regexp_replace(F.regexp_replace(F.lower(shortest), r"\.0e", "e"), r"e(\d)", "e+$1")
+        out = whole.when(F.isnan(c) | (size == float("inf")), shortest).when((size >= 1e-6) & (size < 1e15), fraction)
+        return out.when((size >= 1e15) & (size < 1e21), shortest.try_cast(T.DecimalType(38, 0)).cast("string")).otherwise(power)
     if isinstance(kind, T.DecimalType):
         return F.when(c.cast("string").contains("."), F.regexp_replace(c.cast("string"), r"\.?0+$", "")).otherwise(c.cast("string"))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):

@@ -13,6 +13,7 @@ values are errors in pipelines and 0 in result tables (`missing`).
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import unicodedata
 from collections.abc import Callable
@@ -168,6 +169,7 @@ def _rewritten(text: str) -> tuple[str, list[str]]:
         return f"_ref{len(names) - 1}_"
 
     text = re.sub(r"\[([^\[\]]+)\]", refer, text.strip().removeprefix("="))
+    text = re.sub(rf"(?<![\w.])({'|'.join(keyword.kwlist)})(?![\w.]|\s*\()", refer, text)  # columns named like Python's own words
     text = text.replace(";", ",").replace("<>", "!=").replace("^", "**")
     text = re.sub(r"(?<![\w.])(?:if|and|or|not)(?=\s*\()", lambda m: m[0].upper(), text)  # Python's own words
     return re.sub(r"(?<![<>!=])=(?!=)", "==", text), names
@@ -184,6 +186,23 @@ def references(text: str, columns: list[str]) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def _rows_back(args: list[ast.expr]) -> int:
+    step = 1 if len(args) == 1 else args[1].value if isinstance(args[1], ast.Constant) else None
+    if not isinstance(step, int) or isinstance(step, bool) or step < 1:
+        raise FormulaError("LAG needs a positive whole number of rows")
+    return step
+
+
+def lags(text: str, columns: list[str]) -> list[tuple[str, int]]:
+    """The (column, rows before) that a formula's LAGs read."""
+    source, names = _rewritten(text)
+    found = []
+    for n in ast.walk(ast.parse(source, mode="eval")):
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and _function(n.func.id) == "LAG" and n.args and isinstance(n.args[0], ast.Name):
+            found.append((_resolve(n.args[0].id, names, columns), _rows_back(n.args)))
+    return list(dict.fromkeys(found))
+
+
 def _function(name: str) -> str | None:
     bare = _bare(name)
     bare = ALIASES.get(bare, bare)
@@ -203,9 +222,10 @@ def _resolve(token: str, names: list[str], columns: list[str]) -> str:
 
 
 def compile_formula(
-        text: str, values: dict[str, Column], missing: str = "zero", division: str = "error", order: Window | None = None, whole: Window | DataFrame | None = None) -> Part:
-    """The formula over numeric Columns by name. order: for LAG; whole: for ZSCORE, a window,
-    or the DataFrame of the columns, whose mean and spread are then subqueries of their own."""
+        text: str, values: dict[str, Column], missing: str = "zero", division: str = "error", order: Window | dict[tuple[str, int], Column] | None = None, whole: Window | DataFrame | None = None) -> Part:
+    """The formula over numeric Columns by name. order: for LAG, a window over a table that is
+    small, or what lags() asks for as Columns; whole: for ZSCORE, a window, or the DataFrame of
+    the columns, whose mean and spread are then subqueries of their own."""
     source, names = _rewritten(text)
     try:
         tree = ast.parse(source, mode="eval").body
@@ -233,10 +253,10 @@ def compile_formula(
         if first.name is None:
             raise FormulaError(f"{name} needs a column")
         if name == "LAG":
-            step = args[1].value if len(args) > 1 and isinstance(args[1], ast.Constant) else 1 if len(args) == 1 else None
-            if not isinstance(step, int) or order is None:
-                raise FormulaError("LAG needs an order and a whole number of rows")
-            before = F.lag(first.value, step).over(order)
+            step = _rows_back(args)
+            if order is None:
+                raise FormulaError("LAG needs an order")
+            before = order[first.name, step] if isinstance(order, dict) else F.lag(first.value, step).over(order)
             return Part(before, F.when(before.isNull(), F.lit("LAG: no such row")))
         if whole is None:
             raise FormulaError("ZSCORE needs a whole column")

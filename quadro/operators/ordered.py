@@ -36,8 +36,8 @@ def in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     by = [*order, F.xxhash64(*hashable).asc()] if hashable else list(order)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
-    return written(d.withColumns({RANGE: F.col("_id").bitwiseAND(F.lit(-PLACES)), PLACE: F.col("_id").bitwiseAND(F.lit(PLACES - 1))}).drop("_id"), "ranges")
+    d = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_range_id", F.monotonically_increasing_id())
+    return written(d.withColumns({RANGE: F.col("_range_id").bitwiseAND(F.lit(-PLACES)), PLACE: F.col("_range_id").bitwiseAND(F.lit(PLACES - 1))}).drop("_range_id"), "ranges")
 
 
 def before(ranges: DataFrame, fold: dict[str, tuple[Column, Column]], backwards: bool = False) -> DataFrame:
@@ -92,8 +92,8 @@ def source_numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     try:
         d = df.select("*", F.col("_metadata.file_path").alias(RANGE), F.col("_metadata.row_index").alias(PLACE))
     except AnalysisException:  # rows of no file, or of a format that doesn't number its rows
-        d = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
-        d = d.withColumns({RANGE: F.col("_id").bitwiseAND(F.lit(-PLACES)), PLACE: F.col("_id").bitwiseAND(F.lit(PLACES - 1))}).drop("_id")
+        d = written(df.withColumn("_range_id", F.monotonically_increasing_id()), "rows")
+        d = d.withColumns({RANGE: F.col("_range_id").bitwiseAND(F.lit(-PLACES)), PLACE: F.col("_range_id").bitwiseAND(F.lit(PLACES - 1))}).drop("_range_id")
     each = d.groupBy(RANGE).agg((F.count(F.lit(1)) == F.max(PLACE) + 1).alias("whole"))
     if each.agg(F.every("whole")).first()[0] is False:
         return numbered(d, [F.col(RANGE), F.col(PLACE)], name).drop(RANGE, PLACE)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import as_key, fold_label, kind_of, state_of, to_number, trim_all
+from quadro.operators.ordered import written
+from quadro.operators.profiling import inside_parts
 from quadro.operators.statistics import exact_quantiles
 from quadro.plans.spec import Filter, PlanError
 
@@ -94,6 +96,42 @@ def on_map(objects: DataFrame, cells: DataFrame) -> DataFrame:
     return d.select(*objects.columns, F.when(F.col("_has"), F.col("_by_key")).otherwise(F.col("_by_name")).alias("value"))
 
 
+def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """points with `object`: the key of the last object on the map that is at each, or null.
+
+    objects: ord, key, type, parts (rings, arrays of x and y; islands add, holes take away). A
+    polygon holds what an odd number of its rings surround, a `point` object (the first point of
+    its first ring) the very same coordinates, a `line` nothing. Of several the largest ord wins,
+    of equal ones the largest key. Points without finite coordinates are at none.
+
+    A grid indexes the objects: each has cells of the power of two next above its extent, so it
+    touches four at most, whatever its size; points are looked up in the cells of each size in use
+    (a number's exponent has 2,100 values), by an equi-join, and only then tested against rings.
+    Equal coordinates are tested once.
+    """
+    ring_of = F.flatten("parts")
+    low, high = (lambda c: F.array_min(F.transform(ring_of, lambda p: p[c]))), (lambda c: F.array_max(F.transform(ring_of, lambda p: p[c])))
+    boxed = objects.where(F.col("type").isin("polygon", "point") & (F.size(ring_of) > 0)).select("ord", "key", "type", "parts", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
+    single = F.col("type") == "point"
+    first = F.col("parts")[0][0]
+    boxed = boxed.withColumns({c: F.when(single, first[c[0]]).otherwise(F.col(c)) for c in ("x0", "x1", "y0", "y1")})
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(2.0**-500))
+    boxed = boxed.withColumn("level", F.ceil(F.log2(extent)).cast("int")).withColumn("level", F.when(F.pow(F.lit(2.0), F.col("level")) < extent, F.col("level") + 1).otherwise(F.col("level")))
+    boxed = written(boxed, "objects")
+    levels = [r[0] for r in boxed.select("level").distinct().collect()]
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level) + 0.0).cast("double")
+    span = lambda a, z: F.array_distinct(F.array(cell(F.col(a), F.col("level")), cell(F.col(z), F.col("level"))))
+    held = boxed.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1"))).drop("x0", "x1", "y0", "y1")
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    finite = (F.abs(px) < math.inf) & (F.abs(py) < math.inf)
+    places = points.where(finite).select(px.alias("_x"), py.alias("_y")).distinct()
+    sought = places.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("cx", cell(F.col("_x"), F.col("level"))).withColumn("cy", cell(F.col("_y"), F.col("level")))
+    met = sought.join(held, ["level", "cx", "cy"])
+    at = F.when(single, (first["x"] == F.col("_x")) & (first["y"] == F.col("_y"))).otherwise(inside_parts(F.col("_x"), F.col("_y"), F.col("parts")))
+    found = met.where(at).groupBy("_x", "_y").agg(F.max(F.struct("ord", "key"))["key"].alias("object"))
+    return points.join(found, (px == F.col("_x")) & (py == F.col("_y")), "left").select(*[F.col(f"`{c}`") for c in points.columns], "object")
+
+
 def class_limits(df: DataFrame, name: str, kind: str, classes: int = 5, breaks: Sequence[float] = ()) -> list[float]:
     """The limits of a map's classes, lowest first: quantile, equal, continuous (as equal), or
     manual (`breaks` inside the observed range, increasing). Empty: no number."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from heapq import heappop, heappush
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,49 @@ from pyspark.sql import types as T
 from quadro.functions.coerce import as_key, filter_number, kind_of, to_number
 from quadro.plans.spec import Conversion, Dimension, Filter, Rule
 
-#: A conversion of more rules is joined as a table: a CASE of thousands isn't compiled.
+#: A conversion of more rules is searched as a table: a CASE of thousands isn't compiled.
 MANY_RULES = 200
 
 
+def segments(conversion: Conversion) -> list[tuple[str, int | None, int | None]]:
+    """The rules as disjoint parts of the order of codes: (code, the category at it, that between
+    it and the next), by rising code. Of the rules that cover a part the one with precedence wins.
+
+    A sweep over the ends of all ranges: those begun wait in a heap by precedence, and the best
+    one leaves it once it has ended.
+    """
+    raw = lambda s: s.encode()  # noqa: E731  (the order in which codes are compared)
+    rules = [(k if conversion.precedence == "first" else -k, raw(r.low), raw(r.high), r.sequence) for k, r in enumerate(conversion.rules) if raw(r.low) <= raw(r.high)]
+    begun = sorted(rules, key=lambda r: r[1], reverse=True)
+    waiting: list[tuple[int, bytes, bytes, int]] = []
+    out = []
+    for code in sorted({x for _, low, high, _ in rules for x in (low, high)}):
+        while begun and begun[-1][1] <= code:
+            heappush(waiting, begun.pop())
+        while waiting and waiting[0][2] < code:
+            heappop(waiting)
+        at = waiting[0][3] if waiting else None
+        while waiting and waiting[0][2] <= code:
+            heappop(waiting)
+        out.append((code.decode(), at, waiting[0][3] if waiting else None))
+    return out
+
+
+def _searched(code: Column, conversion: Conversion) -> Column:
+    """The category of a code by binary search of the segments, which are literals of the plan."""
+    found = segments(conversion)
+    if not found:
+        return F.lit(None).cast("int")
+    column = lambda k, kind: F.from_json(F.lit(json.dumps([s[k] for s in found])), F.lit(f"array<{kind}>"))
+    codes, at, between = column(0, "string"), column(1, "int"), column(2, "int")
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(found).bit_length())))
+    halved = lambda s, _: F.when(F.get(codes, F.floor((s["low"] + s["high"]) / 2).cast("int")) <= code, F.struct(F.floor((s["low"] + s["high"]) / 2).cast("int").alias("low"), s["high"].alias("high"))).otherwise(
+        F.struct(s["low"].alias("low"), F.floor((s["low"] + s["high"]) / 2).cast("int").alias("high")))
+    # low: the last segment known to begin at or before the code (-1: none); high: the first known to begin after it.
+    place = F.aggregate(steps, F.struct(F.lit(-1).alias("low"), F.lit(len(found)).alias("high")), lambda s, k: F.when(s["high"] - s["low"] > 1, halved(s, k)).otherwise(s), lambda s: s["low"])
+    return F.transform(F.array(place), lambda p: F.when(p >= 0, F.when(F.get(codes, p) == code, F.get(at, p)).otherwise(F.get(between, p))))[0]
+
+
 def classify(df: DataFrame, name: str, conversion: Conversion, start: int = 1) -> Column:
     """The sequence of the category that a value belongs to, or null."""
     if conversion.bands:
@@ -26,10 +67,8 @@ def classify(df: DataFrame, name: str, conversion: Conversion, start: int = 1) -
             found = F.when(number <= upper, F.lit(sequence)).otherwise(found)
         return found
     code = F.substring(F.coalesce(as_key(F.col(name), kind_of(df, name)), F.lit("")), start, conversion.code_length)
-    if len(conversion.rules) > MANY_RULES and all(r.low == r.high for r in conversion.rules):
-        first = conversion.rules if conversion.precedence == "last" else reversed(conversion.rules)
-        table = {r.low: r.sequence for r in first}  # the last one put in stays
-        return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), code)
+    if len(conversion.rules) > MANY_RULES:
+        return _searched(code, conversion)
     # The winning rule is tested first.
     ordered = conversion.rules if conversion.precedence == "first" else conversion.rules[::-1]
     found = F.lit(None).cast("int")

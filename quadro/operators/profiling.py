@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import as_key, kind_of, natural_key, to_number, trim_all
-from quadro.operators.statistics import exact_quantiles, false_discovery, two_proportions, wilson
+from quadro.operators.statistics import exact_quantiles, false_discovery, finite, two_proportions, wilson
 
 Z_MAD, IQR_TO_SD, FENCE = 0.67448975, 1.349, 1.5
 EARTH_KM = 6371.0088
 
 
 def numeric_profile(df: DataFrame, name: str) -> DataFrame:
-    """total, numeric, missing, invalid, distinct, quartiles, fences, outliers of a field."""
+    """total, numeric, missing, invalid, distinct, quartiles, fences, outliers of a field. Values
+    that aren't finite are invalid, a NaN too."""
     c, kind = F.col(name), kind_of(df, name)
-    d = df.select(to_number(c, kind).alias("v"), (F.coalesce(trim_all(as_key(c, kind)), F.lit("")) == "").alias("blank"))
+    d = df.select(finite(to_number(c, kind)).alias("v"), (F.coalesce(trim_all(c.cast("string")), F.lit("")) == "").alias("blank"))
     q1, median, q3 = exact_quantiles(d, F.col("v"), [0.25, 0.5, 0.75])
     low, high = (None, None) if q1 is None else (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
     s = d.agg(
@@ -46,8 +47,9 @@ def distinct_values(df: DataFrame, name: str, limit: int = 500) -> tuple[DataFra
 
 def numeric_outliers(df: DataFrame, name: str, keys: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """keys, value, z, outside, score: values far from the median in units of the MAD (of the
-    interquartile range over 1.349 where that is 0), or outside the fences of 1.5 such ranges."""
-    d = df.select(*keys, to_number(F.col(name), kind_of(df, name)).alias("value")).where("value is not null")
+    interquartile range over 1.349 where that is 0), or outside the fences of 1.5 such ranges.
+    Values that aren't finite are no numbers."""
+    d = df.select(*keys, finite(to_number(F.col(name), kind_of(df, name))).alias("value")).where("value is not null")
     q1, median, q3 = exact_quantiles(d, F.col("value"), [0.25, 0.5, 0.75])
     if median is None:
         return d.select("*", F.lit(None).cast("double").alias("z"), F.lit(False).alias("outside"), F.lit(0.0).alias("score")).limit(0)
@@ -200,9 +202,13 @@ def flows(df: DataFrame, origin: str, destination: str, weight: str | None = Non
     return d.groupBy("origin", "destination").agg(F.sum("value").alias("value"), F.sum("weighed").alias("records"))
 
 
+def flow_order() -> list[Column]:
+    """The largest flow first; ties by origin and destination, numbers within them by size."""
+    return [F.desc("value"), natural_key(F.col("origin")).asc(), natural_key(F.col("destination")).asc(), F.asc("origin"), F.asc("destination")]
+
+
 def ordered_flows(edges: DataFrame) -> DataFrame:
-    """Flows, the largest first; ties by origin and destination, numbers within them by size."""
-    return edges.orderBy(F.desc("value"), natural_key(F.col("origin")), natural_key(F.col("destination")), "origin", "destination")
+    return edges.orderBy(*flow_order())
 
 
 def flow_counters(df: DataFrame, origin: str, destination: str, weight: str | None = None, known: Known = None, include_unknown: bool = False) -> DataFrame:
@@ -234,18 +240,6 @@ def flow_distances(edges: DataFrame, points: DataFrame, unit: str = "km") -> Dat
     return d.withColumn("distance", made).select(*edges.columns, "distance")
 
 
-def class_breaks(df: DataFrame, name: str, classes: int, kind: str = "quantile") -> DataFrame:
-    """breaks: the upper limits of a map's classes (quantile or equal), lowest value first."""
-    if not 2 <= classes <= 9:
-        raise ValueError("2 to 9 classes")
-    v = to_number(F.col(name), kind_of(df, name))
-    if kind == "quantile":
-        breaks = exact_quantiles(df, v, [k / classes for k in range(classes + 1)])
-        return df.sparkSession.range(1).select(F.array(*[F.lit(b).cast("double") for b in breaks]).alias("breaks"))
-    s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    return s.select(F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * k / classes for k in range(classes + 1)]).alias("breaks"))
-
-
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside a ring (array of x, y), by crossings."""
     return F.size(_crossed(x, y, ring)) % 2 == 1

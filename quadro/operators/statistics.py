@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import kind_of, normal_cdf, to_number
+from quadro.operators.ordered import PLACE, RANGE, before, in_ranges, written
 
 Z95 = 1.959963984540054
 #: Upper limit of a rate without events: -ln(0.025).
@@ -17,7 +20,10 @@ NO_EVENTS_UPPER = 3.6888794541139363
 
 
 def _v(df: DataFrame, name: str) -> Column:
-    v = to_number(F.col(name), kind_of(df, name))
+    return finite(to_number(F.col(name), kind_of(df, name)))
+
+
+def finite(v: Column) -> Column:
     return F.when(F.abs(v) < float("inf"), v)
 
 
@@ -51,7 +57,7 @@ def _quantiles(d: DataFrame, asked: list[tuple[float, int | None]], n: int | Non
     below, held = counts[::2], counts[1::2]
     good = [b <= math.floor(x) and math.ceil(x) < b + h for x, b, h in zip(at, below, held, strict=True)]
     if all(good) and sum(held) <= SORTED * len(asked):
-        chosen = d.where(" or ".join(f"v between {a!r} and {z!r}" for a, z in dict.fromkeys(ranges)))
+        chosen = d.where(reduce(or_, [F.col("v").between(F.lit(a), F.lit(z)) for a, z in dict.fromkeys(ranges)]))
         found = sorted((r[0], r[1]) for r in chosen.groupBy("v").count().collect())
         return [_between([(v, c) for v, c in found if a <= v <= z], x - b) for x, b, (a, z) in zip(at, below, ranges, strict=True)]
     out: list[float | None] = []
@@ -66,8 +72,12 @@ def _quantiles(d: DataFrame, asked: list[tuple[float, int | None]], n: int | Non
                 ends += _quantiles(d.where(F.col("v") < a), [(0.0, k)], b)
             elif k >= b + h:
                 ends += _quantiles(d.where(F.col("v") > z), [(0.0, k - b - h)], total - b - h)
-            else:  # few distinct values fill the range: count them
-                ends.append(_between(sorted((r[0], r[1]) for r in d.groupBy("v").count().collect()), float(k)))
+            else:  # the range is all there is: take off the rows at its ends, which may be most of them
+                first, last = d.agg(F.count_if(F.col("v") == a), F.count_if(F.col("v") == z)).first()
+                if k < first or k >= total - last:
+                    ends.append(a if k < first else z)
+                else:
+                    ends += _quantiles(d.where((F.col("v") > a) & (F.col("v") < z)), [(0.0, k - first)], total - first - last)
         out.append(ends[0] + (ends[-1] - ends[0]) * (x - math.floor(x)))
     return out
 
@@ -82,6 +92,83 @@ def _between(counted: list[tuple[float, int]], x: float) -> float:
     return ends[0] + (ends[1] - ends[0]) * (x - math.floor(x))
 
 
+#: Values of one group and measure that are gathered to be sorted; cuts of the sketches that narrow larger groups.
+GATHERED, CUTS = 1 << 14, 100
+#: Up to so many large groups are broadcast.
+FEW = 1 << 16
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, Column], share: float) -> DataFrame:
+    """keys, and by name a quantile of each value in each group, interpolated between neighbours.
+
+    Groups of at most GATHERED values are sorted. For all larger ones at once, whatever their
+    number, passes narrow an open range around each wanted place: a sketch proposes its ends, and
+    exact counts decide on which side of them, or on which of them, the place is. So no task
+    holds a group, and a group that is most of the rows is aggregated where it lies.
+    """
+    names = list(values)
+    at = [f"_k{i}" for i in range(len(keys))]
+    parts = F.array(*[F.struct(F.lit(i).alias("_m"), v.cast("double").alias("_v")) for i, v in enumerate(values.values())])
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)], F.inline(parts)).where("_v is not null")
+    pair = [*at, "_m"]
+    same = lambda d: reduce(and_, [F.col(c).eqNullSafe(F.col(f"t{c}")) for c in pair])  # noqa: E731, ARG005
+    sizes = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GATHERED)
+    large = written(sizes, "large")
+    many = large.count()
+    sided = lambda d: F.broadcast(d) if many <= FEW else d
+    marked = lambda d: d.withColumnsRenamed({c: f"t{c}" for c in pair})
+
+    place = lambda n: (F.col(n) - 1) * F.lit(float(share))
+    small = rows if not many else rows.join(sided(marked(large)), same(large), "left_anti")
+    small = small.groupBy(*pair).agg(F.sort_array(F.collect_list("_v")).alias("_s")).withColumn("_p", (F.size("_s") - 1) * F.lit(float(share)))
+    low, high = F.get("_s", F.floor("_p").cast("int")), F.get("_s", F.ceil("_p").cast("int"))
+    found = small.select(*pair, (low + (high - low) * (F.col("_p") - F.floor("_p"))).alias("_q"))
+    if many:
+        ends = F.explode(F.array_distinct(F.array(F.floor(place("_n")), F.ceil(place("_n")))))
+        none = F.lit(None).cast("double")
+        asked = large.select(*pair, ends.alias("_at"), none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_held"), none.alias("_value"))
+        while not (asked := written(asked, "asked")).where((F.col("_held") > GATHERED) & F.col("_value").isNull()).isEmpty():
+            asked = _narrowed(rows, asked, pair, sided)
+        # What is left of each range fits in one place.
+        left = _inside(rows, asked.where("_value is null"), pair, sided).groupBy(*pair, "_at").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+        done = asked.join(left.withColumnsRenamed({c: f"t{c}" for c in [*pair, "_at"]}), same(asked) & (F.col("_at") == F.col("t_at")), "left")
+        done = done.select(*pair, "_at", F.coalesce("_value", F.get("_s", (F.col("_at") - F.col("_below")).cast("int"))).alias("_value"))
+        step = large.withColumnsRenamed({c: f"t{c}" for c in pair})
+        both = done.join(sided(step), same(done)).groupBy(*pair).agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"), F.max(place("_n") - F.floor(place("_n"))).alias("_w"))
+        found = found.unionByName(both.select(*pair, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("_q")))
+    wide = found.groupBy(*at).agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)])
+    return wide.withColumnsRenamed(dict(zip(at, keys, strict=True)))
+
+
+def _inside(rows: DataFrame, asked: DataFrame, pair: list[str], sided) -> DataFrame:  # noqa: ANN001
+    """The rows within the open range of each place asked for."""
+    t = sided(asked.withColumnsRenamed({c: f"t{c}" for c in pair}))
+    d = rows.join(t, reduce(and_, [F.col(c).eqNullSafe(F.col(f"t{c}")) for c in pair])).drop(*[f"t{c}" for c in pair])
+    return d.where((F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi"))))
+
+
+def _narrowed(rows: DataFrame, asked: DataFrame, pair: list[str], sided) -> DataFrame:  # noqa: ANN001
+    """asked with narrower ranges, or with values where a place is on an end."""
+    open_ones = asked.where((F.col("_held") > GATHERED) & F.col("_value").isNull())
+    one = [*pair, "_at"]
+    cuts = _inside(rows, open_ones, pair, sided).groupBy(*one).agg(F.percentile_approx("_v", [k / CUTS for k in range(CUTS + 1)], 10 * CUTS).alias("_c"))
+    key = reduce(and_, [F.col(c).eqNullSafe(F.col(f"t{c}")) for c in one])
+    near = F.floor((F.col("_at") - F.col("_below")) * CUTS / F.greatest(F.col("_held") - 1, F.lit(1))).cast("int")
+    bounds = open_ones.join(cuts.withColumnsRenamed({c: f"t{c}" for c in one}), key).select(*one, "_lo", "_hi", "_below", "_held", F.get("_c", F.greatest(near - 1, F.lit(0))).alias("_a"), F.get("_c", F.least(near + 2, F.lit(CUTS))).alias("_b"))
+    bounds = written(bounds, "bounds")
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
+    counts = _inside(rows, bounds, pair, sided).groupBy(*one).agg(F.count_if(v < a).alias("_1"), F.count_if(v == a).alias("_2"), F.count_if((v > a) & (v < b)).alias("_3"), F.count_if((v == b) & (a < b)).alias("_4"))
+    d = bounds.join(counts.withColumnsRenamed({c: f"t{c}" for c in one}), key)
+    k = F.col("_at") - F.col("_below")
+    ends = [F.col("_1"), F.col("_1") + F.col("_2"), F.col("_1") + F.col("_2") + F.col("_3"), F.col("_1") + F.col("_2") + F.col("_3") + F.col("_4")]
+    pick = lambda *five: F.when(k < ends[0], five[0]).when(k < ends[1], five[1]).when(k < ends[2], five[2]).when(k < ends[3], five[3]).otherwise(five[4])
+    none = F.lit(None).cast("double")
+    new = d.select(
+        *one, pick(F.col("_lo"), none, a, none, b).alias("_lo"), pick(a, none, b, none, F.col("_hi")).alias("_hi"),
+        (F.col("_below") + pick(F.lit(0), F.lit(0), ends[1], F.lit(0), ends[3])).alias("_below"), pick(F.col("_1"), F.lit(0), F.col("_3"), F.lit(0), F.col("_held") - ends[3]).alias("_held"), pick(none, a, none, b, none).alias("_value"))
+    return asked.where(~((F.col("_held") > GATHERED) & F.col("_value").isNull())).unionByName(new)
+
+
 def _moments(v: Column) -> list[Column]:
     var = F.when(F.count(v) == 1, 0.0).otherwise(F.var_samp(v))
     return [F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), var.alias("variance"), F.sqrt(var).alias("sd")]
@@ -95,14 +182,24 @@ def descriptive(df: DataFrame, name: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
+    """n, pearson over the rows that have both; fewer than two of them, or a constant side, raise."""
     a, b = _v(df, x), _v(df, y)
-    return df.where(a.isNotNull() & b.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"))
+    d = df.where(a.isNotNull() & b.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("c"))
+    made = F.col("c") / F.sqrt(F.col("va") * F.col("vb"))
+    return d.select("n", _defined(made, "a correlation", (F.col("va") > 0) & (F.col("vb") > 0)).alias("pearson"))
+
+
+def _defined(value: Column, what: str, varies: Column) -> Column:
+    """The value, or the reason why there is none."""
+    raised = lambda why: F.raise_error(F.lit(f"{what} {why}")).cast("double")
+    return F.when(F.col("n") < 2, raised("needs two finite pairs at least")).when(~varies, raised("of a constant is undefined")).otherwise(value)
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, slope, intercept, r2 of y on x."""
+    """n, slope, intercept, r2 of y on x; fewer than two pairs or a constant x raise."""
     a, b = _v(df, x), _v(df, y)
-    return df.agg(F.regr_count(b, a).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"))
+    d = df.agg(F.regr_count(b, a).alias("n"), F.regr_sxx(b, a).alias("sxx"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"))
+    return d.select("n", _defined(F.col("slope"), "a regression", F.col("sxx") > 0).alias("slope"), "intercept", "r2")
 
 
 def histogram(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
@@ -207,18 +304,30 @@ def wilson(hits: Column, total: Column) -> tuple[Column, Column]:
 
 
 def two_proportions(df: DataFrame, hits: str, total: str, other_hits: str, other_total: str) -> DataFrame:
-    """difference, ratio, odds_ratio, z, p for each row of counts."""
+    """difference, ratio, odds_ratio, z, p, and Wilson's limits of both shares (low, high,
+    other_low, other_high) for each row of counts. No odds ratio where the odds of either
+    side aren't finite."""
     a, n, b, m = (F.col(c).cast("double") for c in (hits, total, other_hits, other_total))
     p, q, both = a / n, b / m, (a + b) / (n + m)
     se = F.sqrt(both * (1 - both) * (1 / n + 1 / m))
     z = F.when(se > 0, (p - q) / se)
-    odds = F.try_divide(a * (m - b), b * (n - a))
-    return df.select("*", (p - q).alias("difference"), F.when(q > 0, p / q).alias("ratio"), odds.alias("odds_ratio"), z.alias("z"), (2 * (1 - normal_cdf(F.abs(z)))).alias("p"))
+    odds = F.when(b < m, F.try_divide(a * (m - b), b * (n - a)))
+    limits = [c.alias(k) for c, k in zip((*wilson(a, n), *wilson(b, m)), ("low", "high", "other_low", "other_high"), strict=True)]
+    return df.select("*", (p - q).alias("difference"), F.when(q > 0, p / q).alias("ratio"), odds.alias("odds_ratio"), z.alias("z"), (2 * (1 - normal_cdf(F.abs(z)))).alias("p"), *limits)
 
 
 def false_discovery(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Adds `q`, the Benjamini-Hochberg adjusted p; ties by key. The tests of one scan are few."""
-    n = F.count(p).over(Window.partitionBy())
-    order = Window.orderBy(p, key)
-    raw = F.col(p) * n / F.row_number().over(order)
-    return df.withColumn("_raw", raw).withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))).drop("_raw")
+    """Adds `q`, the Benjamini-Hochberg adjusted p; ties by key. A null p is no test and has no q.
+
+    Tests are dealt to ranges of p. The ranges' counts give ranks, their smallest p x n / rank,
+    taken from the largest p down, what each range's own running minimum goes on from."""
+    d = in_ranges(df, [F.col(p).asc_nulls_last(), F.col(key).asc()])
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p)))
+    start = before(d, {"_start": (F.count(p), F.sum("_start"))})
+    n = F.broadcast(d.agg(F.count(p).alias("_n")))
+    d = d.join(F.broadcast(start), RANGE).join(n).withColumn("_raw", share * F.col("_n") / (F.coalesce("_start", F.lit(0)) + F.col(PLACE) + 1))
+    later = before(d, {"_later": (F.min("_raw"), F.min("_later"))}, backwards=True)
+    own = F.min("_raw").over(Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    d = d.withColumn("_own", own).join(F.broadcast(later), RANGE)
+    q = F.least(F.lit(1.0), F.col("_own"), F.col("_later"))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col(p).isNotNull(), q).alias("q"))

@@ -119,13 +119,24 @@ def include(t: DataFrame, other: DataFrame, columns: Sequence[str], prefix: str
     return joined.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("row on one side only: "), F.coalesce("row_key", "_k"))).cast("boolean"))).drop("_k")
 
 
+def _checked(t: DataFrame, *tests: tuple[Column, str]) -> DataFrame:
+    """t, or the first reason (an aggregate that must hold over its rows, and what to say) why not."""
+    found = t.agg(*[F.coalesce(c, F.lit(False)).alias(f"_{k}") for k, (c, _) in enumerate(tests)])
+    fault = reduce(lambda rest, k: F.when(F.col(f"_{k}"), rest).otherwise(F.raise_error(F.lit(tests[k][1])).cast("boolean")), reversed(range(len(tests))), F.lit(True))
+    return t.join(F.broadcast(found.select(fault.alias("_fine")))).where("_fine").drop("_fine")
+
+
 def suppress_rows(t: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return t.where(~F.col("row_key").isin(*keys))
+    """t without some rows; keys that match none raise, and so does leaving none."""
+    chosen = F.coalesce(F.col("row_key").isin(*keys), F.lit(False))
+    return _checked(t, (F.bool_or(chosen), "no row to suppress"), (F.bool_or(~chosen), "a table keeps one row at least")).where(~chosen)
 
 
 def aggregate_rows(t: DataFrame, keys: Sequence[str], key: str, label: str, keep: bool = False) -> DataFrame:
-    """The sum of some rows as a new last row."""
-    chosen = F.col("row_key").isin(*keys)
+    """The sum of some rows as a new last row; a choice of none, and a key that stays on another row, raise."""
+    chosen = F.coalesce(F.col("row_key").isin(*keys), F.lit(False))
+    taken = (F.col("row_key") == key) & (F.lit(True) if keep else ~chosen)
+    t = _checked(t, (F.bool_or(chosen), "no row to add up"), (~F.bool_or(F.coalesce(taken, F.lit(False))), f"row {key} exists"))
     added = t.where(chosen).agg(*[F.sum(c).alias(c) for c in values_of(t)])
     place = t.agg((F.max("ord") + 1).alias("ord"))
     added = added.join(F.broadcast(place)).select(F.lit(key).alias("row_key"), F.lit(label).alias("row_label"), "ord", *values_of(t))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadro.functions.coerce import kind_of, measure_number, natural_key, not_a_number
 from quadro.operators.predicates import dimension_key, passing, rule_counts
-from quadro.sources.scratch import scratch_path
+from quadro.operators.ordered import written as _written
 from quadro.plans.spec import UNCLASSIFIED, UNCLASSIFIED_LABEL, Conversion, Dimension, Measure, QueryPlan, TabulationSpec, compile_plan
 
 WIDEST = 2000
@@ -27,9 +27,13 @@ class Tabulation:
     source: DataFrame
     cells: DataFrame
     lookups: dict[str, DataFrame] = field(default_factory=dict)
+    counted: DataFrame | None = None
 
     def counters(self) -> DataFrame:
-        """seen, accepted, and values that a sum counted as 0, in one pass."""
+        """seen, accepted, and values that a sum counted as 0: of a table that was made counted,
+        from its own aggregate, else in a pass over the records."""
+        if self.counted is not None:
+            return self.counted
         spec, d = self.plan.spec, self.source
         sums = [m.field for m in spec.measures if m.field]
         bad = [F.count_if(accepted(d, spec, self.lookups) & not_a_number(F.col(f), kind_of(d, f))).alias(f"not_numbers_{f}") for f in dict.fromkeys(sums)]
@@ -142,21 +146,34 @@ def _axis(agg: DataFrame, dim: Dimension | None, name: str, lookups: dict[str, D
     return agg.select(key).distinct().select(key, label.alias(columns[1]), sort.alias(columns[2]))
 
 
-def tabulate(df: DataFrame, spec: TabulationSpec, lookups: dict[str, DataFrame] | None = None) -> Tabulation:
+def tabulate(df: DataFrame, spec: TabulationSpec, lookups: dict[str, DataFrame] | None = None, counted: bool = False) -> Tabulation:
     """Checks the spec and builds the table. Where an axis lists what occurs, the records
-    are aggregated here, once; else nothing runs until the cells are read."""
+    are aggregated here, once; else nothing runs until the cells are read.
+
+    counted: the same aggregation also counts the records, those left out too (as one more
+    group), so counters() needs no second pass. Filters then don't reach the reader, since what
+    they drop must be seen."""
     lookups = lookups or {}
     plan = compile_plan(spec, df.columns)
     d = prepared(df, spec, lookups)
     keys = [_key(d, spec.rows, lookups).alias("row_key"), (_key(d, spec.columns, lookups) if spec.columns else F.lit("0")).alias("col_key")]
-    agg = d.where(accepted(d, spec, lookups)).groupBy(*keys).agg(*[_measure(d, m).alias(f"m{k}") for k, m in enumerate(spec.measures)])
+    measures, found = [_measure(d, m).alias(f"m{k}") for k, m in enumerate(spec.measures)], None
+    if counted:
+        sums = list(dict.fromkeys(m.field for m in spec.measures if m.field))
+        bad = [F.count_if(not_a_number(F.col(f), kind_of(d, f))).alias(f"_bad{k}") for k, f in enumerate(sums)]
+        taken = accepted(d, spec, lookups).alias("_in")
+        some = [F.when(F.col("_in"), k).alias(name) for k, name in zip(keys, ("row_key", "col_key"), strict=True)]
+        agg = _written(d.withColumn("_in", taken).groupBy("_in", *some).agg(*measures, F.count(F.lit(1)).alias("_n"), *bad), "counted")
+        of = lambda c, taken: F.coalesce(F.sum(F.when(F.col("_in") | F.lit(not taken), F.col(c))), F.lit(0))
+        found = agg.agg(of("_n", False).alias("seen"), of("_n", True).alias("accepted"), *[of(f"_bad{k}", True).alias(f"not_numbers_{f}") for k, f in enumerate(sums)])
+        agg = agg.where("_in").select("row_key", "col_key", *[f"m{k}" for k in range(len(measures))])
+    else:
+        agg = d.where(accepted(d, spec, lookups)).groupBy(*keys).agg(*measures)
     agg = _rolled_up(agg, spec.rows.conversion)
     raw = [dim for dim in _dimensions(spec) if dim.conversion is None and dim.lookup is None]
     if raw or spec.suppress_rows or spec.suppress_columns:
         # Axes and cells both come from the aggregate: it is written once, and the records are read once.
-        path = scratch_path(df.sparkSession, "aggregate")
-        agg.write.parquet(path)
-        agg = df.sparkSession.read.schema(agg.schema).parquet(path)
+        agg = _written(agg, "aggregate")
     rows = _axis(agg, spec.rows, "row", lookups)
     if spec.columns:
         cols = _axis(agg, spec.columns, "col", lookups)
@@ -172,7 +189,7 @@ def tabulate(df: DataFrame, spec: TabulationSpec, lookups: dict[str, DataFrame]
         cells = cells.join(cells.groupBy("row_key").agg(F.max(F.col("value") != 0).alias("some")).where("some").select("row_key"), "row_key", "left_semi")
     if spec.suppress_columns and spec.columns:
         cells = cells.join(cells.groupBy("col_key").agg(F.max(F.col("value") != 0).alias("some")).where("some").select("col_key"), "col_key", "left_semi")
-    return Tabulation(plan, d, cells.select("row_key", "row_label", "col_key", "col_label", "value", "row_sort", "col_sort"), lookups)
+    return Tabulation(plan, d, cells.select("row_key", "row_label", "col_key", "col_label", "value", "row_sort", "col_sort"), lookups, found)
 
 
 def excluded_from_total(conversion: Conversion | None) -> list[str]:

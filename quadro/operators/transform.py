@@ -8,19 +8,22 @@ records name the columns that give it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadro.functions import coerce
 from quadro.functions.coerce import as_key, kind_of, parse_date, to_number, trim_all
-from quadro.functions.formula import WINDOWED, formula, references
+from quadro.functions.formula import formula, lags, references
+from quadro.operators.ordered import lagged
 from quadro.operators.predicates import passing
+from quadro.operators.statistics import grouped_quantiles
 from quadro.plans.spec import Filter, PlanError, Rule
 
 
@@ -103,14 +106,11 @@ class Dedupe:
 
     def apply(self, df: DataFrame) -> DataFrame:
         _need(df, *self.keys, *self.order)
-        rest = [c for c in df.columns if c not in self.keys]
-        if not rest:
-            return df.distinct()
-        # min_by combines within a task first, so a key that most records share moves once.
-        first = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in self.order]))
+        # min_by combines within a task first, so a key that most records share moves once. All of
+        # a record comes from one min_by: where the order ties, no two records are mixed.
+        first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in self.order]))
         keys = [F.coalesce(as_key(F.col(k), kind_of(df, k)), F.lit("")).alias(f"_k{i}") for i, k in enumerate(self.keys)]
-        kept = [F.min_by(F.col(k), F.struct(*[F.col(c) for c in self.order])).alias(k) for k in self.keys]
-        return df.groupBy(*keys).agg(*kept, first.alias("_rest")).select(*[F.col(c) if c in self.keys else F.col(f"_rest.{c}").alias(c) for c in df.columns])
+        return df.groupBy(*keys).agg(first.alias("_first")).select("_first.*")
 
 
 @dataclass
@@ -126,11 +126,21 @@ class Derive:
         _new(df, self.target)
         values = {c: to_number(F.col(c), kind_of(df, c)) for c in df.columns if not isinstance(kind_of(df, c), (T.ArrayType, T.MapType, T.StructType, T.BinaryType))}
         references(self.formula, list(values))
-        options: dict[str, object] = {"missing": "error", "division": self.division}
-        upper = self.formula.upper()
-        if any(w in upper for w in WINDOWED):
-            options |= {"order": Window.orderBy(*self.order) if self.order else None, "whole": df}
-        return df.withColumn(self.target, formula(self.formula, values, **options))
+        d, before = with_lags(df, [self.formula], list(values), self.order)
+        made = formula(self.formula, values, missing="error", division=self.division, order=before, whole=df)
+        return d.withColumn(self.target, made).select(*df.columns, self.target)
+
+
+def with_lags(df: DataFrame, formulas: Sequence[str], columns: list[str], order: Sequence[str | Column]) -> tuple[DataFrame, dict[tuple[str, int], Column] | None]:
+    """df with the values that the formulas' LAGs read, and these as Columns; records meet by
+    their number in the order, so no task sees all of them. Without an order there are none."""
+    wanted = list(dict.fromkeys(x for f in formulas for x in lags(f, columns)))
+    if not wanted or not order:
+        return df, None if wanted else {}
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = {x: f"_lag{k}" for k, x in enumerate(wanted)}
+    d = lagged(df, by, {name: x for x, name in names.items()})
+    return d, {x: to_number(F.col(name), kind_of(df, x[0])) for x, name in names.items()}
 
 
 @dataclass
@@ -196,16 +206,23 @@ class GroupSummarize:
 
     def apply(self, df: DataFrame) -> DataFrame:
         _need(df, *self.keys, *[f for _, f, _ in self.measures if f])
-        out = []
+        out, medians = [], {t: to_number(F.col(f), kind_of(df, f)) for kind, f, t in self.measures if kind == "median"}
         for kind, name, target in self.measures:
+            if kind == "median":
+                continue
             if kind == "count":
                 out.append(F.count(F.lit(1)).alias(target))
                 continue
             v = to_number(F.col(name), kind_of(df, name))
             text = as_key(F.col(name), kind_of(df, name))
-            made = {"sum": F.sum(v), "mean": F.avg(v), "median": F.percentile(v, F.lit(0.5)), "min": F.min(v), "max": F.max(v), "distinct": F.count_distinct(F.when(trim_all(text) != "", text))}
+            made = {"sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "distinct": F.count_distinct(F.when(trim_all(text) != "", text))}
             out.append(made[kind].alias(target))
-        return df.groupBy(*self.keys).agg(*out)
+        if not medians:
+            return df.groupBy(*self.keys).agg(*out)
+        groups = df.groupBy(*self.keys).agg(*out) if out else df.select(*self.keys).distinct()
+        middle = grouped_quantiles(df, self.keys, medians, 0.5).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(self.keys)})
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)], F.lit(True))
+        return groups.join(middle, on, "left").select(*self.keys, *[t for _, _, t in self.measures])
 
 
 @dataclass
@@ -284,16 +301,20 @@ class Join:
         return both.select(*[F.col(f"_l{i}").alias(f"_d{i}") for i in n], F.lit(True).alias("_twice"))
 
     def counts(self, df: DataFrame) -> DataFrame:
-        """matched, unmatched, source_only, keyless (records on either side)."""
+        """matched, unmatched, source_only, keyless (records on either side), reading each side once.
+
+        Records are counted by key before anything moves, so a key that most of them share is one
+        row of either side."""
         left, right, on = self.keyed(df)
-        known = lambda s: reduce(and_, [F.col(f"_{s}{i}").isNotNull() for i in range(len(self.keys))])
-        l = left.select(*[f"_l{i}" for i in range(len(self.keys))], known("l").alias("_lk"))  # noqa: E741
-        r = right.select(*[f"_r{i}" for i in range(len(self.keys))], known("r").alias("_rk"))
-        lk = l.join(r.where("_rk").drop("_rk").distinct().withColumn("_hit", F.lit(True)), on, "left")
-        rk = r.join(l.where("_lk").drop("_lk").distinct().withColumn("_hit", F.lit(True)), on, "left")
-        a = lk.agg(F.count_if(F.col("_hit")).alias("matched"), F.count_if(F.col("_hit").isNull()).alias("unmatched"), F.count_if(~F.col("_lk")).alias("ka"))
-        b = rk.agg(F.count_if(F.col("_hit").isNull()).alias("source_only"), F.count_if(~F.col("_rk")).alias("kb"))
-        return a.join(F.broadcast(b)).select("matched", "unmatched", "source_only", (F.col("ka") + F.col("kb")).alias("keyless"))
+        n = range(len(self.keys))
+        known = lambda s: reduce(and_, [F.col(f"_{s}{i}").isNotNull() for i in n])
+        l = left.groupBy(*[f"_l{i}" for i in n]).agg(F.count(F.lit(1)).alias("_n")).withColumn("_lk", known("l"))  # noqa: E741
+        r = right.groupBy(*[f"_r{i}" for i in n]).agg(F.count(F.lit(1)).alias("_m")).withColumn("_rk", known("r"))
+        of = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
+        here, there = F.col("_n").isNotNull(), F.col("_m").isNotNull()
+        return l.join(r, on, "full").agg(
+            of(here & there, "_n").alias("matched"), of(here & ~there, "_n").alias("unmatched"), of(there & ~here, "_m").alias("source_only"),
+            (of(here & ~F.col("_lk"), "_n") + of(there & ~F.col("_rk"), "_m")).alias("keyless"))
 
 
 @dataclass
@@ -314,15 +335,34 @@ def run(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def step_counts(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """step, before, after: records around every enabled step (a pass for each: ask only if needed)."""
-    out, at = None, df
-    for s in steps:
-        if not s.enabled:
-            continue
-        after = s.step.apply(at)
-        row = at.agg(F.count(F.lit(1)).alias("before")).join(F.broadcast(after.agg(F.count(F.lit(1)).alias("after")))).select(F.lit(s.id).alias("step"), "before", "after")
-        out, at = row if out is None else out.unionByName(row), after
-    return out
+    """step, before, after: records around every enabled step, from one run of the pipeline.
+
+    The counts are observed within the plan. A task that Spark runs again after its output was
+    lost would be counted twice; the run is then seen to have such tasks, and each step is counted
+    in a pass of its own instead."""
+    kept = [s for s in steps if s.enabled]
+    seen, at = [Observation()], df
+    at = at.observe(seen[0], F.count(F.lit(1)).alias("n"))
+    for s in kept:
+        seen.append(Observation())
+        at = s.step.apply(at).observe(seen[-1], F.count(F.lit(1)).alias("n"))
+    counts = [o.get["n"] for o in seen] if _ran_once(at) else [run(df, kept[:k]).count() for k in range(len(seen))]
+    rows = [(s.id, before, after) for s, before, after in zip(kept, counts, counts[1:], strict=False)]
+    return df.sparkSession.createDataFrame(rows, "step string, before bigint, after bigint")
+
+
+def _ran_once(df: DataFrame) -> bool:
+    """Runs a plan, to nowhere, and tells whether no task's work was done twice."""
+    context, group = df.sparkSession.sparkContext, f"quadro-{uuid.uuid4().hex}"
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", before)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(j)) for k in job.stageIds]
+    return all(i is None or i.currentAttemptId == 0 and i.numFailedTasks == 0 for i in stages)
 
 
 def to_code(steps: Sequence[Step]) -> str:

@@ -99,7 +99,7 @@ def tab_suppress_cols(spark, sf):
 @query("""SELECT count(*) AS seen, count(*) FILTER (WHERE l_returnflag IN ('A', 'R') AND l_quantity > 25) AS accepted, CAST(0 AS BIGINT) AS not_numbers_l_tax FROM lineitem""")
 def tab_counters(spark, sf):
     spec = TabulationSpec(Dimension("l_linestatus"), measures=(Measure("sum", "l_tax"),), filters=(Filter("l_returnflag", categories=("A", "R")), Filter("l_quantity", low=25, low_open=True)))
-    return tabulate(table(spark, sf, "lineitem"), spec).counters()
+    return tabulate(table(spark, sf, "lineitem"), spec, counted=True).counters()
 
 
 @query("""WITH a AS (SELECT o_orderstatus AS c, o_orderpriority AS r, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1, 2)
@@ -453,14 +453,13 @@ def fx_epidemiology(spark, sf):
 @query("""WITH m AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS month, count(*) AS n FROM orders GROUP BY 1)
 SELECT month, CAST(n - lag(n) OVER (ORDER BY month) AS DOUBLE) AS step, CAST(coalesce(lag(n, 12) OVER (ORDER BY month), 0) AS DOUBLE) AS year_ago FROM m""")
 def fx_lag(spark, sf):
-    from pyspark.sql import Window
-
     d = table(spark, sf, "orders").groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return _formulas(d, ["month"], {"step": "n - LAG(n)", "year_ago": "IFERROR(LAG(n, 12), 0)"}, on_error="null", order=Window.orderBy("month"))
+    made = {"step": "n - LAG(n)", "year_ago": "IFERROR(LAG(n, 12), 0)"}
+    d, before = tr.with_lags(d, list(made.values()), ["month", "n"], ["month"])
+    return _formulas(d, ["month"], made, on_error="null", order=before)
 
 
 @query("""WITH m AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT o_custkey, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 6) AS z FROM m""")
 def fx_zscore(spark, sf):
     d = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
-    stats = d.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))  # one row: no window over all rows
-    return d.join(F.broadcast(stats)).select("o_custkey", F.round((F.col("v") - F.col("m")) / F.col("s"), 6).alias("z"))
+    return _formulas(d, ["o_custkey"], {"z": "ZSCORE(v)"}, whole=d)

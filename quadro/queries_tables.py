@@ -10,6 +10,7 @@ from quadro.operators import places
 from quadro.operators import profiling as prof
 from quadro.operators import statistics as st
 from quadro.operators import tableops as ops
+from quadro.operators.ordered import numbered
 from quadro.operators.predicates import matches
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Dimension, Measure, TabulationSpec
@@ -442,10 +443,9 @@ def flow_counters(spark, sf):
 
 @query(f"WITH {TRADE} SELECT origin, destination, round(value, 2) AS value, records, row_number() OVER (ORDER BY round(value, 2) DESC, lpad(origin, 20, '0'), lpad(destination, 20, '0')) AS place FROM e")
 def flow_order(spark, sf):
-    """The order itself, as numbers of the (few) rows."""
+    """The order itself, as numbers of the rows."""
     edges = prof.flows(_trade(spark, sf), "s_nationkey", "c_nationkey", "l_quantity").withColumn("value", F.round("value", 2))
-    first = prof.ordered_flows(edges).agg(F.collect_list(F.struct("origin", "destination", "value", "records")).alias("all"))
-    return first.select(F.posexplode("all").alias("place", "e")).select("e.*", (F.col("place") + 1).cast("long").alias("place"))
+    return numbered(edges, prof.flow_order(), "place").withColumn("place", F.col("place") + 1)
 
 
 @query(f"""WITH {TRADE}, p AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, n_nationkey * 7.0 - 90 AS x, n_nationkey * 3.0 - 40 AS y FROM nation WHERE n_nationkey <> 5)
@@ -465,14 +465,17 @@ def geo_uf(spark, sf):
 
 @query("SELECT i, round(list_extract((SELECT quantile_cont(c_acctbal, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) FROM customer), CAST(i + 1 AS INTEGER)), 4) AS upper FROM range(6) r(i)")
 def map_quantile_classes(spark, sf):
-    d = prof.class_breaks(table(spark, sf, "customer"), "c_acctbal", 5)
-    return d.select(F.posexplode("breaks").alias("i", "upper")).select(F.col("i").cast("long").alias("i"), F.round("upper", 4).alias("upper"))
+    return _limits(spark, sf, "quantile", 5)
 
 
 @query("WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT i, round(lo + (hi - lo) * i / 4, 4) AS upper FROM s, range(5) r(i)")
 def map_equal_classes(spark, sf):
-    d = prof.class_breaks(table(spark, sf, "customer"), "c_acctbal", 4, "equal")
-    return d.select(F.posexplode("breaks").alias("i", "upper")).select(F.col("i").cast("long").alias("i"), F.round("upper", 4).alias("upper"))
+    return _limits(spark, sf, "equal", 4)
+
+
+def _limits(spark, sf, kind: str, classes: int) -> DataFrame:
+    limits = places.class_limits(table(spark, sf, "customer"), "c_acctbal", kind, classes)
+    return spark.createDataFrame(list(enumerate(limits)), "i bigint, upper double").withColumn("upper", F.round("upper", 4))
 
 
 def _classed(spark, sf, kind: str, breaks=()) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from oracle import connect, rows_of
 
+import quadro.queries_scale  # noqa: F401
 import quadro.queries_tables  # noqa: F401
 from quadro.queries import QUERIES, SQL
 
