@@ -9,24 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import as_key, kind_of, natural_key, to_number, trim_all
-from quadro.operators.statistics import exact_quantiles, false_discovery, finite, two_proportions, wilson
+from quadro.operators.statistics import counted_quantiles, exact_quantiles, false_discovery, finite, two_proportions, wilson
 
 Z_MAD, IQR_TO_SD, FENCE = 0.67448975, 1.349, 1.5
 EARTH_KM = 6371.0088
 
 
+def values_read(df: DataFrame, name: str) -> DataFrame:
+    """v (a finite number or null), blank: how a profile reads a field."""
+    c, kind = F.col(name), kind_of(df, name)
+    return df.select(finite(to_number(c, kind)).alias("v"), (F.coalesce(trim_all(c.cast("string")), F.lit("")) == "").alias("blank"))
+
+
+def _fences(q1: float | None, q3: float | None) -> tuple[float | None, float | None]:
+    return (None, None) if q1 is None else (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
+
+
+def _profiled(s: DataFrame, quartiles: Sequence[float | None]) -> DataFrame:
+    number = lambda x, name: F.lit(x).cast("double").alias(name)
+    q1, median, q3 = quartiles
+    low, high = _fences(q1, q3)
+    return s.select(*[c for c in s.columns if c != "outliers"], number(q1, "q1"), number(median, "median"), number(q3, "q3"), number(low, "low_fence"), number(high, "high_fence"), "outliers")
+
+
 def numeric_profile(df: DataFrame, name: str) -> DataFrame:
     """total, numeric, missing, invalid, distinct, quartiles, fences, outliers of a field. Values
     that aren't finite are invalid, a NaN too."""
-    c, kind = F.col(name), kind_of(df, name)
-    d = df.select(finite(to_number(c, kind)).alias("v"), (F.coalesce(trim_all(c.cast("string")), F.lit("")) == "").alias("blank"))
-    q1, median, q3 = exact_quantiles(d, F.col("v"), [0.25, 0.5, 0.75])
-    low, high = (None, None) if q1 is None else (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
+    d = values_read(df, name)
+    quartiles = exact_quantiles(d, F.col("v"), [0.25, 0.5, 0.75])
+    low, high = _fences(quartiles[0], quartiles[2])
     s = d.agg(
         F.count(F.lit(1)).alias("total"), F.count("v").alias("numeric"), F.count_if("blank").alias("missing"), F.count_if(F.col("v").isNull() & ~F.col("blank")).alias("invalid"),
         F.count_distinct("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if((F.col("v") < low) | (F.col("v") > high)).alias("outliers"))
-    number = lambda x, name: F.lit(x).cast("double").alias(name)
-    return s.select(*[c for c in s.columns if c != "outliers"], number(q1, "q1"), number(median, "median"), number(q3, "q3"), number(low, "low_fence"), number(high, "high_fence"), "outliers")
+    return _profiled(s, quartiles)
+
+
+def profile_of_counts(counts: DataFrame) -> DataFrame:
+    """The numeric profile of values that are given with how often each occurs: v, blank, n (each v and blank once)."""
+    quartiles = counted_quantiles(counts, [0.25, 0.5, 0.75])
+    low, high = _fences(quartiles[0], quartiles[2])
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    here = F.col("v").isNotNull()
+    s = counts.agg(
+        of(F.lit(True)).alias("total"), of(here).alias("numeric"), of(F.col("blank")).alias("missing"), of(~here & ~F.col("blank")).alias("invalid"),
+        F.count("v").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), of((F.col("v") < low) | (F.col("v") > high)).alias("outliers"))
+    return _profiled(s, quartiles)
 
 
 def combinations(df: DataFrame, names: Sequence[str], limit: int = 50) -> DataFrame:

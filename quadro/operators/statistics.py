@@ -169,6 +169,26 @@ def _narrowed(rows: DataFrame, asked: DataFrame, pair: list[str], sided) -> Data
     return asked.where(~((F.col("_held") > GATHERED) & F.col("_value").isNull())).unionByName(new)
 
 
+def counted_quantiles(counts: DataFrame, shares: Sequence[float], value: str = "v", times: str = "n") -> list[float | None]:
+    """Quantiles of values given with how often each occurs (each value once); None without values.
+
+    Values are dealt to ranges of their order; running sums of the counts, within ranges and
+    from range to range, find the few that are at the places wanted."""
+    d = in_ranges(counts.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(times).alias("n")), [F.col("v").asc()])
+    total = d.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    at = [s * (total - 1) for s in shares]
+    start = before(d, {"_start": (F.sum("n"), F.sum("_start"))})
+    end = F.sum("n").over(Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.coalesce("_start", F.lit(0))
+    d = d.join(F.broadcast(start), RANGE).select("v", "n", end.alias("end"))
+    wanted = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    hit = reduce(or_, [(F.col("end") > k) & (F.col("end") - F.col("n") <= k) for k in wanted])
+    found = d.where(hit).collect()  # one row at most for each place
+    of = {k: next(r.v for r in found if r.end - r.n <= k < r.end) for k in wanted}
+    return [of[math.floor(x)] + (of[math.ceil(x)] - of[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def _moments(v: Column) -> list[Column]:
     var = F.when(F.count(v) == 1, 0.0).otherwise(F.var_samp(v))
     return [F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), var.alias("variance"), F.sqrt(var).alias("sd")]

@@ -17,7 +17,12 @@ from quadro.operators.ordered import limited
 from quadro.operators.predicates import classify
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, TabulationSpec
-from quadro.queries import query, table
+from quadro.queries import SQL, query, table
+from quadro.queries_tables import prof_numeric  # noqa: F401  (its SQL is used again)
+from quadro.sources.dbf import read_dbf, write_dbf_files
+from quadro.sources.delimited import read_delimited
+from quadro.sources.scratch import scratch_path
+from quadro.streaming.tables import read_profile, write_profile
 
 # --- order ------------------------------------------------------------------------------
 
@@ -157,3 +162,49 @@ def pipe_odd_keys(spark, sf):
     d = table(spark, sf, "orders").select("o_orderkey", _odd(F.col("o_orderkey")).alias("v"))
     kept = tr.Dedupe(["v"], ["o_orderkey"]).apply(d)
     return kept.select(as_key(F.col("v"), d.schema["v"].dataType).alias("v"))
+
+
+# --- files in parts -----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, lang, sha256(trim(text)) AS text_sha256 FROM documents WHERE trim(text) <> ''")
+def src_delimited_splits(spark, sf):
+    """Whole texts, with line ends and quotes in quotes, in one large file that many tasks read."""
+    path = scratch_path(spark, "quoted")
+    d = table(spark, sf, "documents").where("trim(text) <> ''").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "n_chars", "lang", "text")
+    d.coalesce(1).write.option("quoteAll", True).option("escape", '"').csv(path, sep=";", header=True)
+    back = read_delimited(spark, path, range_bytes=1 << 18)
+    return back.select(F.substring("doc_id", 2, 20).cast("bigint").alias("doc_id"), "n_chars", "lang", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT CAST(l_orderkey AS DOUBLE) AS id, CAST(l_linenumber AS DOUBLE) AS line, l_returnflag AS flag, l_quantity AS quantity FROM lineitem")
+def src_dbf_ranges(spark, sf):
+    """One DBF file of all records, three of its five fields read by ranges of records."""
+    path = scratch_path(spark, "dbf")
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_linestatus").alias("mode"))
+    write_dbf_files(d.coalesce(1), path, {"flag": 1, "mode": 10, "id": 10, "line": 2, "quantity": 10}, {"quantity": 2}, most=10_000_000)
+    return read_dbf(spark, path, ["id", "line", "flag", "quantity"], range_bytes=1 << 20)
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS id, o_orderstatus AS status, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def src_dbc(spark, sf):
+    """A table as compressed files, written by tasks and expanded by others."""
+    path = scratch_path(spark, "dbc")
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+    write_dbf_files(d, path, {"id": 10, "status": 1, "price": 14}, {"price": 2}, most=20_000, packed=True)
+    return read_dbf(spark, path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# --- streams ------------------------------------------------------------------------------
+
+
+@query(SQL["prof_numeric"])
+def stream_profile(spark, sf):
+    """The profile of a stream of events after its last batch: of its values, not of what each batch was."""
+    path, source = scratch_path(spark, "profile"), scratch_path(spark, "arriving")
+    events = table(spark, sf, "events")
+    events.repartition(5, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    write_profile(stream, "value", path, scratch_path(spark, "stream")).awaitTermination()
+    d = read_profile(spark, path)
+    return d.withColumns({c: F.round(c, 6) for c, t in d.dtypes if t == "double"})

@@ -20,7 +20,7 @@ from quadro.sources.delimited import read_delimited
 from quadro.sources.scratch import scratch_path
 from quadro.sources.sinks import labelled_records, write_records
 from quadro.sql import register
-from quadro.streaming.tables import running_cells, running_combinations, running_flows, windowed_counts, write_snapshots
+from quadro.streaming.tables import read_snapshot, read_updates, running_cells, running_combinations, running_flows, windowed_counts, write_snapshots, write_updates
 
 
 def _nations(spark, sf) -> DataFrame:
@@ -629,15 +629,15 @@ def stream_tabulation(spark, sf):
     cells = running_cells(stream, TabulationSpec(Dimension("event_type"), measures=(Measure(), Measure("sum", "value"))))
     path = scratch_path(spark, "snapshot")
     write_snapshots(cells, path, scratch_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path).withColumn("m1", F.round("m1", 4))
+    return read_snapshot(spark, path).withColumn("m1", F.round("m1", 4))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf):
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     path = scratch_path(spark, "windows")
-    write_snapshots(windowed_counts(stream, "ts", "event_type"), path, scratch_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path)
+    write_updates(windowed_counts(stream, "ts", "event_type"), path, scratch_path(spark, "stream")).awaitTermination()
+    return read_updates(spark, path, ["start", "event_type"])
 
 
 @query("SELECT l_returnflag AS origin, l_linestatus AS destination, sum(l_quantity) AS value, count(*) AS records FROM lineitem GROUP BY 1, 2")
@@ -645,7 +645,7 @@ def stream_flows(spark, sf):
     stream = spark.readStream.schema(table(spark, sf, "lineitem").schema).parquet(f"{sf}/lineitem.parquet*")
     path = scratch_path(spark, "flows")
     write_snapshots(running_flows(stream, "l_returnflag", "l_linestatus", "l_quantity"), path, scratch_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path)
+    return read_snapshot(spark, path)
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS records FROM orders GROUP BY 1, 2")
@@ -653,4 +653,4 @@ def stream_combinations(spark, sf):
     stream = spark.readStream.schema(table(spark, sf, "orders").schema).parquet(f"{sf}/orders.parquet*")
     path = scratch_path(spark, "combinations")
     write_snapshots(running_combinations(stream, ["o_orderstatus", "o_orderpriority"]), path, scratch_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path)
+    return read_snapshot(spark, path)

@@ -1,8 +1,7 @@
 """DBF files (xBase tables) and DBC files (the same, compressed).
 
-Spark lists and reads the files; each is decoded within a task by numpy, some records at
-a time, only the fields asked for. A DBF file has 2 GB at most, so a file is the unit of
-work, and many files run side by side.
+Spark lists the files; tasks read ranges of records and decode them by numpy, some at a
+time, only the fields asked for.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadro.plans.spec import PlanError
+from quadro.sources.ranges import RANGE_BYTES, listed, opened, seekable, split
 
 BATCH = 50_000
 
@@ -104,31 +104,72 @@ def _date(text: str) -> datetime.date | None:
         return None
 
 
+def _batch(rows: np.ndarray, chosen: list[Field], encoding: str, deleted: bool) -> pa.RecordBatch:
+    """Some records (by bytes), deleted ones (marked *) only if asked for."""
+    gone = rows[:, 0] == 0x2A
+    if not deleted:
+        rows = rows[~gone]
+    arrays, names = [_column(rows, f, encoding) for f in chosen], [f.name for f in chosen]
+    if deleted:
+        arrays.append(pa.array(gone))
+        names.append("__deleted")
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def decode(data: bytes, fields: Sequence[str] | None, encoding: str, deleted: bool) -> Iterator[pa.RecordBatch]:
-    """The records of one file, deleted ones (marked *) only if asked for."""
+    """The records of one file."""
     h = parse_header(data)
     body = np.frombuffer(data, np.uint8, offset=h.size)
-    if len(body) < h.records * h.record or len(body) - h.records * h.record > 1:
-        raise PlanError("the file's size isn't that of its records")
+    _check_size(h, len(data))
     rows = body[: h.records * h.record].reshape(h.records, h.record)
-    chosen = _chosen(h, fields)
     for a in range(0, h.records, BATCH):
-        part = rows[a : a + BATCH]
-        gone = part[:, 0] == 0x2A
-        if not deleted:
-            part = part[~gone]
-        arrays = [_column(part, f, encoding) for f in chosen]
-        names = [f.name for f in chosen]
-        if deleted:
-            arrays.append(pa.array(gone))
-            names.append("__deleted")
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def read_dbf(spark: SparkSession, path: str, fields: Sequence[str] | None = None, encoding: str = "cp1252", deleted: bool = False) -> DataFrame:
+        yield _batch(rows[a : a + BATCH], _chosen(h, fields), encoding, deleted)
+
+
+def _check_size(h: Header, size: int) -> None:
+    if not 0 <= size - h.size - h.records * h.record <= 1:
+        raise PlanError("the file's size isn't that of its records")
+
+
+def read_dbf(spark: SparkSession, path: str, fields: Sequence[str] | None = None, encoding: str = "cp1252", deleted: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All DBF or DBC files under a path. fields: the only ones to decode (a plan's
-    fields_used()). All files need the same fields."""
-    return dbf_records(spark.read.format("binaryFile").load(path).select("path", "content"), fields, encoding, deleted)
+    fields_used()). All files need the same fields.
+
+    A DBF file is read in ranges of records of about range_bytes, each by a task that seeks to
+    them and holds BATCH records at a time. A DBC file is one compressed stream, so one task
+    expands it; so are files of a store that only Spark reads."""
+    files = listed(spark, path)
+    first = files.orderBy("path").limit(1).collect()
+    if not first:
+        raise PlanError("no file")
+    packed = F.lower("path").endswith(".dbc")
+    if not seekable(first[0]["path"]) or first[0]["path"].lower().endswith(".dbc"):
+        return dbf_records(spark.read.format("binaryFile").load(path).select("path", "content"), fields, encoding, deleted)
+    with opened(first[0]["path"]) as f:
+        header = parse_header(f.read(65536))
+    schema = schema_of(header, fields)
+    if deleted:
+        schema = schema.add("__deleted", T.BooleanType())
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, part, parts in zip(*(b.column(c).to_pylist() for c in ("path", "part", "parts")), strict=True):
+                with opened(name) as f:
+                    h = parse_header(f.read(65536))
+                    if h.fields != header.fields:
+                        raise PlanError(f"{name}: its fields aren't those of the first file")
+                    _check_size(h, f.size())
+                    at, end = h.records * part // parts, h.records * (part + 1) // parts
+                    f.seek(h.size + at * h.record)
+                    while at < end:
+                        n = min(BATCH, end - at)
+                        yield _batch(np.frombuffer(f.read(n * h.record), np.uint8).reshape(n, h.record), _chosen(h, fields), encoding, deleted)
+                        at += n
+
+    plain = split(files.where(~packed), range_bytes).select("path", "part", "parts").mapInArrow(some, schema)
+    if files.where(packed).isEmpty():
+        return plain
+    return plain.unionByName(dbf_records(spark.read.format("binaryFile").load(path).where(packed).select("path", "content"), fields, encoding, deleted))
 
 
 def dbf_records(files: DataFrame, fields: Sequence[str] | None = None, encoding: str = "cp1252", deleted: bool = False) -> DataFrame:
@@ -200,10 +241,11 @@ def write_dbf(df: DataFrame, widths: dict[str, int] | None = None, decimals: dic
     return _packed(df.toLocalIterator(), *_layout(df.schema, widths, decimals))
 
 
-def write_dbf_files(df: DataFrame, path: str, widths: dict[str, int] | None = None, decimals: dict[str, int] | None = None, most: int = 200_000) -> DataFrame:
+def write_dbf_files(df: DataFrame, path: str, widths: dict[str, int] | None = None, decimals: dict[str, int] | None = None, most: int = 200_000, packed: bool = False) -> DataFrame:
     """file, records: a table of any size as DBF files of at most `most` records in a folder that
     executors share. Tasks write their own; one that is run again writes the same names. As
-    with write_dbf, what a field can't hold is an error. A table without rows gives no file."""
+    with write_dbf, what a field can't hold is an error. A table without rows gives no file.
+    packed: as DBC files."""
     fields, record = _layout(df.schema, widths, decimals)
     out = T.StructType([T.StructField("file", T.StringType()), T.StructField("records", T.LongType())])
 
@@ -215,9 +257,10 @@ def write_dbf_files(df: DataFrame, path: str, widths: dict[str, int] | None = No
                 return
             to, folder = FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)
             to.create_dir(folder)
-            name = f"{folder}/part-{part:05}-{k:04}.dbf"
+            name = f"{folder}/part-{part:05}-{k:04}.{'dbc' if packed else 'dbf'}"
             with to.open_output_stream(name) as f:
-                f.write(_packed(some, fields, record))
+                made = _packed(some, fields, record)
+                f.write(pack_dbc(made) if packed else made)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(some)])], names=out.names)
 
     written = df.mapInArrow(write, out).collect()  # a row for each file
@@ -312,3 +355,14 @@ def expand_dbc(data: bytes) -> bytes:
     """The DBF file in a DBC file: a header as it is, four bytes of checksum, the records."""
     size = struct.unpack_from("<H", data, 8)[0]
     return data[:size] + explode(data[size + 4 :])
+
+
+def pack_dbc(data: bytes) -> bytes:
+    """A DBF file as a DBC file. Its stream says each byte as it is: larger than the file by an
+    eighth, which any reader of the format takes."""
+    size = struct.unpack_from("<H", data, 8)[0]
+    body = np.frombuffer(data, np.uint8, offset=size)
+    bits = np.zeros((len(body), 9), np.uint8)
+    bits[:, 1:] = np.unpackbits(body, bitorder="little").reshape(-1, 8)
+    end = np.array([1, *[0] * 7, *[1] * 8], np.uint8)  # a copy of END bytes
+    return data[:size] + b"\0" * 4 + bytes([0, 4]) + np.packbits(np.concatenate([bits.ravel(), end]), bitorder="little").tobytes()
