@@ -342,7 +342,7 @@ def false_discovery(df: DataFrame, p: str, key: str) -> DataFrame:
     Tests are dealt to ranges of p. The ranges' counts give ranks, their smallest p x n / rank,
     taken from the largest p down, what each range's own running minimum goes on from."""
     d = in_ranges(df, [F.col(p).asc_nulls_last(), F.col(key).asc()])
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p)))
+    share = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p))))
     start = before(d, {"_start": (F.count(p), F.sum("_start"))})
     n = F.broadcast(d.agg(F.count(p).alias("_n")))
     d = d.join(F.broadcast(start), RANGE).join(n).withColumn("_raw", share * F.col("_n") / (F.coalesce("_start", F.lit(0)) + F.col(PLACE) + 1))
