@@ -5,12 +5,16 @@ element (JUDGED) is a block of its own with that ancestor; formulas stay in thei
 sentence. A title ends at the next block at the latest. An embedded element or template
 without its end tag ends with the block that encloses it, and its blocks don't count it
 as an ancestor. As browsers have it, a script or style without its end tag is the rest
-of the page, and a head ends at the first text.
+of the page, and a head ends at the first text. A start tag that never ends is markup to the
+end of the page, one whose quotes don't close ends at its next >, and so does a comment that
+isn't closed. A page takes time in proportion to its size: of a deeper path the outer DEPTH
+ancestors count.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -23,6 +27,7 @@ SILENT = frozenset("script style title".split())
 JUDGED = frozenset("noscript template iframe object svg textarea".split())
 #: An element of the left kind ends open ones of the right kinds, up to a container.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+DEPTH = 256
 CONTAINERS = frozenset("ul ol menu dl table select body html div section article main aside nav header footer form td th li template object".split())
 
 
@@ -45,6 +50,7 @@ class _Reader(HTMLParser):
         self.blocks: list[Block] = []
         self.path: list[str] = []
         self.tags: list[str] = []
+        self.open: Counter[str] = Counter()  # how many of each of tags
         self.texts: list[str] = []
         self.linked = self.links = 0
         self.silent = ""  # the open element of SILENT
@@ -52,6 +58,7 @@ class _Reader(HTMLParser):
         self.at: _Embedded | None = None  # the innermost one around the current texts
         self.place: tuple[str, ...] | None = None  # the path where the current texts began
         self.any = False  # whether there was an embedded element
+        self.comments: int | None = None  # how far from the end the last end of a comment is
 
     def end_block(self) -> None:
         if self.texts:
@@ -69,12 +76,22 @@ class _Reader(HTMLParser):
         if self.embedded:
             gone = sum(isinstance(p, _Embedded) for p in self.path[at:])
             del self.embedded[len(self.embedded) - gone :]
+        self.open.subtract(self.tags[at:])
         del self.path[at:], self.tags[at:]
 
+    def enter(self, tag: str, step: str) -> None:
+        self.tags.append(tag)
+        self.path.append(step)
+        self.open[tag] += 1
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a kind; there is one."""
+        return next(at for at in range(len(self.tags) - 1, -1, -1) if self.tags[at] == tag)
+
     def end_head(self) -> None:
         """What a head leaves open ends with it."""
         self.silent = ""
-        if "body" not in self.tags:
+        if not self.open["body"]:
             at = len(self.tags)
             while at and self.tags[at - 1] in JUDGED:
                 at -= 1
@@ -92,8 +109,7 @@ class _Reader(HTMLParser):
             return
         if tag in JUDGED:
             self.embedded.append(_Embedded(tag))
-            self.tags.append(tag)
-            self.path.append(self.embedded[-1])
+            self.enter(tag, self.embedded[-1])
             self.any = True
         elif tag == "a":
             self.links = 1
@@ -101,8 +117,8 @@ class _Reader(HTMLParser):
             self.texts.append(" ")
         elif tag in BLOCKS:
             self.end_block()
-            if "p" in self.tags and tag != "option":
-                at = len(self.tags) - 1 - self.tags[::-1].index("p")
+            if self.open["p"] and tag != "option":
+                at = self.last("p")
                 if not CONTAINERS.intersection(self.tags[at + 1 :]):
                     self.pop_to(at)
             ends = IMPLIED.get(tag, ())
@@ -114,8 +130,7 @@ class _Reader(HTMLParser):
                     break
             if tag not in VOID:
                 names = [n for k, v in attrs if k in ("class", "id", "role") and v for n in re.findall("[a-z]+", v.lower())]
-                self.tags.append(tag)
-                self.path.append(".".join([tag, *names]))
+                self.enter(tag, ".".join([tag, *names]))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == self.silent or tag in BLOCKS or tag in JUDGED:
@@ -125,21 +140,42 @@ class _Reader(HTMLParser):
         elif tag == "head":
             self.end_head()
         elif tag in JUDGED:
-            if tag in self.tags:
-                at = len(self.tags) - 1 - self.tags[::-1].index(tag)
+            if self.open[tag]:
+                at = self.last(tag)
                 self.path[at].closed = True
                 self.leave(at)
         elif tag == "a":
             self.links = 0
         elif tag in BLOCKS:
             self.links = 0
-            if tag in self.tags:
-                self.pop_to(len(self.tags) - 1 - self.tags[::-1].index(tag))
+            if self.open[tag]:
+                self.pop_to(self.last(tag))
             else:
                 self.end_block()
 
+    def parse_starttag(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return len(self.rawdata)
+        k = super().parse_starttag(i)
+        if k < 0:
+            self.handle_starttag(re.compile(r"[^\s/>]+").match(self.rawdata, i + 1)[0].lower(), [])
+        return k if k >= 0 else end + 1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.comments is None:  # counted from the end, since what is read leaves rawdata
+            self.comments = len(self.rawdata) - max(self.rawdata.rfind("-->"), self.rawdata.rfind("--!>"))
+        k = super().parse_comment(i, report) if len(self.rawdata) - i >= self.comments else -1
+        end = self.rawdata.find(">", i)
+        return k if k >= 0 else end + 1 if end >= 0 else len(self.rawdata)
+
     def parse_html_declaration(self, i: int) -> int:
         """A marked section of an unknown kind is markup that nobody reads: it ends at its >."""
+        if self.rawdata.find(">", i) < 0:
+            return -1
         try:
             return super().parse_html_declaration(i)
         except AssertionError:
@@ -159,7 +195,7 @@ class _Reader(HTMLParser):
                         self.end_block()
                         self.at = at
                 if self.place is None:
-                    self.place = tuple(self.path)
+                    self.place = tuple(self.path[:DEPTH])
             self.texts.append(data)
             if self.links:
                 self.linked += len(data.strip())

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quadro.llm.html_blocks import Block, blocks_of
 from quadro.llm.html_pages import labelled_pages
 
-TRAIN_PAGES, EPOCHS, RATE, SHRINK = 500, 12, 0.3, 1e-4
+TRAIN_PAGES, PLAIN_PAGES, EPOCHS, RATE, SHRINK = 500, 250, 12, 0.3, 1e-4
 
 
 def path_features(path: tuple[str, ...]) -> set[str]:
@@ -134,7 +134,7 @@ def main_text(page: Field, html: str | None) -> str:
 
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages."""
-    model = model or train(labelled_pages(TRAIN_PAGES))
+    model = model or train(labelled_pages(TRAIN_PAGES, plain=PLAIN_PAGES))
     schema = T.StructType([*(pages.schema[c] for c in ("page_id", "url")), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,41 @@ class _Maker:
             self.part("comments", ["section", "div"])
         self.tag(f"</{tag}>")
 
+    def unheard(self) -> str:
+        """A name that says nothing, or none."""
+        return "" if self.r.random() < 0.5 else f' {self.r.choice(["class", "id"])}="{self.word()}"'
+
+    def plain(self) -> list[tuple[str, int | None]]:
+        """A page of little but its text, or one whose parts have names that nobody knows."""
+        r = self.r
+        self.tag(r.choice(["", "<html><head><title>x</title></head>"]) + "<body>")
+        wrap = r.choice(["article", "article", "main", "main", "div", "section", ""])
+        boxes = r.random() < 0.5
+        if boxes and r.random() < 0.5:
+            self.box()
+        if wrap:
+            self.tag(f"<{wrap}{self.unheard()}>")
+        if r.random() < 0.3:
+            self.block(r.choice(["h1", "h2"]), self.prose(r.randint(1, 8)).rstrip("."), 1)
+        for _ in range(r.choice([1, 1, 1, 2, 2, 3, 5])):
+            self.block("p", self.prose(r.choice([4, 10, 20, 40, 80, 200])), 1)
+        if wrap:
+            self.tag(f"</{wrap}>")
+        if boxes:
+            self.box()
+        self.tag("</body>")
+        return self.out
+
+    def box(self) -> None:
+        """Something beside the text, in an element that says nothing: short, or links."""
+        self.tag(f"<div{self.unheard()}>")
+        if self.r.random() < 0.6:
+            self.links()
+        else:
+            self.block(self.r.choice(["h3", "h4", "p"]), self.prose(self.r.randint(1, 3)).rstrip("."), 0, link=self.r.random() < 0.5)
+            self.block("p", self.prose(self.r.randint(2, 6)).rstrip("."), 0, link=True)
+        self.tag("</div>")
+
     def page(self) -> list[tuple[str, int | None]]:
         r = self.r
         self.tag("<html><head><title>x</title></head><body>")
@@ -153,10 +188,11 @@ class _Maker:
         return self.out
 
 
-def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, dict[str, int]]]:
-    """Pages, and the label of each of their blocks by its text."""
+def labelled_pages(count: int, seed: int = 1, plain: int = 0) -> list[tuple[str, dict[str, int]]]:
+    """Pages, and the label of each of their blocks by its text; so many plain ones follow."""
     pages = []
-    for k in range(count):
-        parts = _Maker(seed * 100_003 + k).page()
+    for k in range(count + plain):
+        maker = _Maker(seed * 100_003 + k)
+        parts = maker.page() if k < count else maker.plain()
         pages.append(("".join(t for t, _ in parts), {" ".join(t.split()): label for t, label in parts if label is not None}))
     return pages

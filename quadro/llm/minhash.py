@@ -169,9 +169,12 @@ def _common_shingles(docs: DataFrame, nodes: DataFrame, width: int) -> np.ndarra
 def _across(docs: DataFrame, several: DataFrame, width: int) -> DataFrame:
     """Pairs (u, v) of nodes of different components that may be similar: an exact join.
 
-    A set's tokens are ordered, rare ones first. Two sets of similarity 0.8 share a token
-    among the first fifth of each (more exactly the first n - ceil(0.8 n) + 1), and the
-    place of the first shared token bounds how many they can share at all.
+    A set's tokens are ordered, rare ones first. Of two sets of similarity 0.8 the larger has a
+    shared token among its first fifth (more exactly the first n - ceil(0.8 n) + 1), the other,
+    since they share at least 16/18 of its size, among its first ninth (n - ceil(8 n / 9) + 1).
+    So only the first ninths are joined to first fifths of sets as large or larger: documents
+    of one template that differ in more than a ninth have no pairs to compare at all, however
+    many they are. The place of a shared token also bounds how many they can share.
     """
     kind = several.schema["node"].dataType
     common = several.sparkSession.sparkContext.broadcast(_common_shingles(docs, several, width))
@@ -194,9 +197,11 @@ def _across(docs: DataFrame, several: DataFrame, width: int) -> DataFrame:
     tokens = stage(tokens.join(several, "node"), "tokens", SHORT_BATCHES)
     shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     tokens = tokens.join(shared, "token")
-    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "place", "n", "root")])
+    ninth = F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)) + 1
+    other = tokens.where(F.col("place") < ninth).select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "place", "n", "root")])
     most = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("n2") - 1 - F.col("place2"))
-    pairs = tokens.join(other, "token").where(F.col("root") < F.col("root2")).where(most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2")))
+    larger = (F.col("n") > F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("node") > F.col("node2"))
+    pairs = tokens.join(other, "token").where(larger & (F.col("root") != F.col("root2"))).where(most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2")))
     return pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 

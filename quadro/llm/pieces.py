@@ -5,8 +5,8 @@ space symbol) and is cut into units that no piece crosses: a run of spaces with
 characters after it, or one control character; a word also ends at the punctuation that
 no piece of the file joins to a letter or digit. Encoding has three steps:
 
-1. Lattice. All distinct units are counted; their substrings of at most 16 characters
-   are exploded and equi-joined to the piece table (a broadcast: a vocabulary file has a
+1. Lattice. All distinct units are counted; their substrings, as long as the vocabulary's
+   longest piece, are exploded and equi-joined to the piece table (a broadcast: a vocabulary file has a
    fixed size). Matches are edges; characters without a piece get a byte-fallback edge.
    Edges are grouped by unit; the units are partitioned already, so none of this moves.
 2. Fold by Spark's higher-order `aggregate` over a unit's edges.
@@ -45,7 +45,7 @@ from quadro.llm.common import SHORT_BATCHES, stage, text_of
 from quadro.llm.shingles import _BASE, buffers, mix, slices
 
 # Ranks are stored in three bytes: HOT stays below 2^24. SHORT bytes are two words.
-HOT, SHORT, LONGEST, WIDEST = 1 << 19, 16, 62, 16
+HOT, SHORT, LONGEST = 1 << 19, 16, 62
 #: Distinct units that a task gathers before it hands them on.
 GATHERED = 1 << 19
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
@@ -65,8 +65,15 @@ class Vocabulary:
     unigram: bool = False
     safe: str = ""  # ASCII punctuation that no piece has next to a letter or digit
 
+    @property
+    def widest(self) -> int:
+        """Characters of the longest piece."""
+        return max((len(p) for p, *_ in self.pieces), default=1)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """piece, rank (0 is merged first, or scores best), id, score."""
+        if len(self.pieces) >= 1 << 20 or max((i for _, i, _ in self.pieces), default=0) + len(self.shown) >= UNKNOWN:
+            raise ValueError("a vocabulary has less than 2^20 pieces")  # an edge holds no more
         order = sorted(self.pieces, key=lambda p: (-p[2], p[1]))
         return spark.createDataFrame([(p, r, i, float(s)) for r, (p, i, s) in enumerate(order)], "piece string, rank long, id long, score double")
 
@@ -105,11 +112,11 @@ def prepared(text: str | Column) -> Column:
 UNKNOWN = 1 << 21
 
 
-def _edges(units: DataFrame, pieces: DataFrame, scored: bool) -> DataFrame:
+def _edges(units: DataFrame, pieces: DataFrame, scored: bool, widest: int) -> DataFrame:
     """unit, n, edges (longs, or structs of `at` and `score`): the lattice of every unit."""
     size = F.length("unit")
     d = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    d = d.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(WIDEST), size - F.col("s") + 1))).alias("k"))
+    d = d.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(widest), size - F.col("s") + 1))).alias("k"))
     d = d.withColumn("part", F.substring("unit", F.col("s"), F.col("k"))).withColumn("h", F.xxhash64("part"))
     # Joined by the hash as a number, several times as fast; the texts decide.
     same = (F.col("part") <= F.col("piece")) & (F.col("part") >= F.col("piece"))
@@ -185,7 +192,7 @@ def _utf8(code: Column, first_byte: int) -> Column:
 def _long_unit(unit: str, table: dict[str, tuple[int, int, float]], vocabulary: Vocabulary) -> list[int]:
     """The same folds for a unit of any length."""
     n, ids = len(unit), lambda a, z: [table[unit[a:z]][1]] if unit[a:z] in table else [vocabulary.first_byte + b for b in unit[a:z].encode()]
-    found = [(table[unit[a:z]], a, z) for a in range(n) for z in range(a + 1, min(n, a + WIDEST) + 1) if unit[a:z] in table]
+    found = [(table[unit[a:z]], a, z) for a in range(n) for z in range(a + 1, min(n, a + vocabulary.widest) + 1) if unit[a:z] in table]
     if vocabulary.unigram:
         ending: list[list] = [[] for _ in range(n + 1)]
         for (_, _, score), a, z in found:
@@ -236,7 +243,7 @@ def encode_units(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """unit, n (how often it occurs), ids of every unit of prepared texts."""
     spark = texts.sparkSession
     counted = count_units(texts, vocabulary.safe)
-    lattice = _edges(counted.where(F.col("size") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram)
+    lattice = _edges(counted.where(F.col("size") <= LONGEST), vocabulary.frame(spark), vocabulary.unigram, min(LONGEST, vocabulary.widest))
     size = F.length("unit")
     path = _best(F.col("edges"), size) if vocabulary.unigram else _merged(F.col("edges"), F.col("single"), size)
     lattice = lattice.select("unit", "n", F.transform(path, lambda x: x.bitwiseAND((1 << 22) - 1)).alias("path"))

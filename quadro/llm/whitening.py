@@ -3,7 +3,7 @@
 The eigenvectors come from Chebyshev-filtered subspace iteration. What is done with the
 vectors is one kind of pass: each task multiplies its centred rows with a small matrix and
 sums; Spark adds the tasks' sums, cell by cell, so the driver gets dimension x block
-numbers whatever the number of rows and tasks. The polynomial's recurrence damps the
+numbers whatever the number of rows (those of FEW_TASKS at most come as they are). The polynomial's recurrence damps the
 unwanted part of the spectrum; QR and Rayleigh-Ritz follow, until the residuals certify
 the wanted pairs.
 """
@@ -24,11 +24,15 @@ from quadro.llm.common import SHORT_BATCHES, held, stage
 KEEP, SPARE = 16, 16
 #: Passes that look for the ends of the spectrum, and the most of one filter.
 LOOK, DEGREE = 12, 24
+#: A filter grows the wanted part by a factor of e^SPREAD at most, and no part of it by more than that above another.
+SPREAD = 23.0
 #: Residuals, as a share of the largest eigenvalue: aimed at, and still certified where rounding ends the progress.
 AIM, CERTIFIED, ROUNDS = 2e-14, 1e-11, 60
 #: An eigenvalue under this share of the largest is 0.
 ZERO = 1e-12
 LARGEST = float(1 << 53)
+#: Bytes of the fit list in a task, about; sums of so few tasks are added on the driver.
+TASK_BYTES, FEW_TASKS = 16 << 20, 64
 
 Sums = Callable[[np.ndarray], np.ndarray]
 
@@ -46,8 +50,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _summed(rows: DataFrame, width: int, f: Sums) -> np.ndarray:
-    """The sum over all rows of f(matrix of some rows, `width` columns), which is a flat array of a fixed size."""
+def _summed(rows: DataFrame, width: int, tasks: int, f: Sums) -> np.ndarray:
+    """The sum over all rows, read by so many tasks, of f(matrix of some rows, `width` columns), which is a flat array of a fixed size."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -60,7 +64,10 @@ def _summed(rows: DataFrame, width: int, f: Sums) -> np.ndarray:
 
     kind = "bigint" if f(np.zeros((1, width), np.int64)).dtype == np.int64 else "double"
     with held(rows.sparkSession, SHORT_BATCHES):
-        found = rows.mapInArrow(part, f"sums array<{kind}>").select(F.posexplode("sums").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v")).collect()
+        parts = rows.mapInArrow(part, f"sums array<{kind}>")
+        if tasks <= FEW_TASKS:
+            return np.sum([r[0] for r in parts.collect()], axis=0)
+        found = parts.select(F.posexplode("sums").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v")).collect()
     return np.array([v for _, v in sorted(found)])
 
 
@@ -68,8 +75,13 @@ class Fit:
     """Distinct vectors, their number n and exact sums, and passes over them, centred."""
 
     def __init__(self, fit: DataFrame, width: int) -> None:
+        n, files = fit.count(), fit.rdd.getNumPartitions()
+        self.tasks = max(1, math.ceil(8 * width * n / TASK_BYTES))
+        if files > 2 * self.tasks:  # many small files would be opened again in every pass
+            fit = stage(fit.repartition(self.tasks), "fit")
+        self.tasks = max(self.tasks, fit.rdd.getNumPartitions())
         self.fit, self.width = fit, width
-        halves = _summed(fit, width, lambda x: np.concatenate([np.array([len(x)]), (x >> 26).sum(0), (x & ((1 << 26) - 1)).sum(0)]))
+        halves = _summed(fit, width, self.tasks, lambda x: np.concatenate([np.array([len(x)]), (x >> 26).sum(0), (x & ((1 << 26) - 1)).sum(0)]))
         self.n = int(halves[0])
         self.sums = [(int(a) << 26) + int(b) for a, b in zip(halves[1 : width + 1], halves[width + 1 :], strict=True)]
         # x - S/n as (x - pivot) - rest: the first is exact, the second at most 1/2
@@ -83,7 +95,7 @@ class Fit:
     def total(self, f: Sums) -> np.ndarray:
         """The mean over the fit list of f(centred rows)."""
         pivot, rest = self.pivot, self.rest
-        return _summed(self.fit, self.width, lambda x: f((x - pivot).astype(float) - rest)) / self.n
+        return _summed(self.fit, self.width, self.tasks, lambda x: f((x - pivot).astype(float) - rest)) / self.n
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """The covariance times q."""
@@ -108,14 +120,16 @@ def _ends(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, passes:
     return max(0.0, float(theta[0] - beta[-1] * abs(s[-1, 0]))), block
 
 
-def _filtered(times: Callable[[np.ndarray], np.ndarray], x: np.ndarray, ax: np.ndarray, degree: int, low: float, high: float, top: float) -> np.ndarray:
-    """The Chebyshev polynomial that is at most 1 (scaled by its value at top) on [low, high], applied to x by its recurrence; ax is the covariance times x."""
+def _filtered(times: Callable[[np.ndarray], np.ndarray], away: Callable[[np.ndarray], np.ndarray], x: np.ndarray, ax: np.ndarray, degree: int, low: float, high: float, top: float) -> np.ndarray:
+    """The Chebyshev polynomial that is at most 1 (scaled by its value at top) on [low, high], applied to x by its recurrence; ax is the covariance times x.
+
+    away: takes the pairs done out of each step, since to the filter they have eigenvalue 0, which is outside [low, high]."""
     half, middle = (high - low) / 2, (high + low) / 2
     sigma = first = half / (top - middle)
     before, now = x, (ax - middle * x) * (sigma / half)
     for _ in range(degree - 1):
         after = 1 / (2 / first - sigma)
-        before, now = now, (times(now) - middle * now) * (2 * after / half) - (sigma * after) * before
+        before, now = now, away((times(now) - middle * now) * (2 * after / half) - (sigma * after) * before)
         sigma = after
     return now
 
@@ -123,8 +137,12 @@ def _filtered(times: Callable[[np.ndarray], np.ndarray], x: np.ndarray, ax: np.n
 def leading(times: Callable[[np.ndarray], np.ndarray], width: int, keep: int = KEEP, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
     """The largest eigenvalues (falling, at most `keep`, none of them 0) and their unit eigenvectors, as columns.
 
-    Done when each residual |Vq - eq| is at most AIM of the largest eigenvalue, or, where rounding
-    stops them from falling further, CERTIFIED of it; ArithmeticError if neither comes in ROUNDS.
+    A pair is done when its residual |Vq - eq| is at most AIM of the largest eigenvalue, or, where
+    rounding stops it from falling further, CERTIFIED of it. The pairs done leave the block,
+    largest first, and the passes after them work at right angles to them: so an eigenvalue far
+    above the others doesn't drown these in the filter, whose degree is bounded for the same
+    reason. A last Rayleigh-Ritz over all pairs certifies them together; ArithmeticError
+    if they aren't done in ROUNDS or not certified.
     """
     size = min(width, keep + spare)
     if size == width:
@@ -132,28 +150,49 @@ def leading(times: Callable[[np.ndarray], np.ndarray], width: int, keep: int = K
     else:
         x = np.random.Generator(np.random.PCG64(5)).standard_normal((width, size))
         low, x = _ends(times, x, LOOK)
-    worst = math.inf
+    done, values, last = np.zeros((width, 0)), [], math.inf
+    away = lambda y: y - done @ (done.T @ y)
     for _ in range(ROUNDS):
-        x = np.linalg.qr(x)[0]
-        ax = times(x)
+        x = np.linalg.qr(away(np.linalg.qr(away(x))[0]))[0]
+        ax = away(times(x))
         h = x.T @ ax
         e, u = np.linalg.eigh((h + h.T) / 2)
         e, u = e[::-1], u[:, ::-1]
         x, ax = x @ u, ax @ u
-        if e[0] <= 0:
-            return np.zeros(0), np.zeros((width, 0))
-        wanted = int((e[:keep] > ZERO * e[0]).sum())
-        last, worst = worst, float(np.linalg.norm(ax[:, :wanted] - x[:, :wanted] * e[:wanted], axis=0).max() / e[0])
-        if worst <= AIM or worst <= CERTIFIED and worst > last / 2:
-            x = x[:, :wanted]
-            signs = np.sign(x[np.abs(x).argmax(0), np.arange(wanted)])
-            return e[:wanted], x * signs
-        high = max(float(e[-1]), ZERO * e[0])
+        top = values[0] if values else float(e[0])
+        wanted = int((e[: keep - len(values)] > ZERO * top).sum()) if top > 0 else 0
+        worst = np.linalg.norm(ax[:, :wanted] - x[:, :wanted] * e[:wanted], axis=0) / top if wanted else np.zeros(0)
+        good = worst <= AIM
+        if wanted and worst[0] <= CERTIFIED and worst[0] > last / 2:
+            good = worst <= max(AIM, 2 * float(worst[0]))
+        n = int(np.cumprod(good).sum())
+        last = float(worst[n]) if n < wanted else math.inf
+        done, values = np.column_stack([done, x[:, :n]]), values + e[:n].tolist()
+        x, ax, e, wanted = x[:, n:], ax[:, n:], e[n:], wanted - n
+        if not wanted:
+            break
+        high = max(float(e[-1]), ZERO * top)
         low = min(low, 0.9 * high)
-        at = (max(e[wanted - 1], high * (1 + 1e-9)) - (high + low) / 2) / ((high - low) / 2)
-        degree = min(DEGREE, max(4, math.ceil(math.log(1e10) / math.acosh(at))))
-        x = _filtered(times, x, ax, degree, low, high, max(float(e[0]), high * (1 + 1e-6)))
-    raise ArithmeticError(f"the eigenvectors' residuals stay at {worst:.1e} of the largest eigenvalue")
+        grown = lambda v, high=high, low=low: math.acosh((max(v, high * (1 + 1e-9)) - (high + low) / 2) / ((high - low) / 2))  # noqa: E731  (a filter's growth at v, as a logarithm for each degree)
+        if grown(float(e[wanted - 1])) * DEGREE < 2:  # more equal eigenvalues than the block has columns: damp what is well below them
+            high = (low + high) / 2
+            low = min(low, 0.9 * high)
+        least, most = grown(float(e[wanted - 1]), high, low), grown(float(e[0]), high, low)
+        degree = max(2, min(DEGREE, math.ceil(SPREAD / least), int(SPREAD / max(most - least, 1e-9))))
+        x = _filtered(times, away, x, ax, degree, low, high, max(float(e[0]), high * (1 + 1e-6)))
+    else:
+        raise ArithmeticError(f"the eigenvectors' residuals stay at {last:.1e} of the largest eigenvalue")
+    if not values:
+        return np.zeros(0), done
+    q = np.linalg.qr(done)[0]
+    aq = times(q)
+    h = q.T @ aq
+    e, u = np.linalg.eigh((h + h.T) / 2)
+    e, u = e[::-1], u[:, ::-1]
+    q, aq = q @ u, aq @ u
+    if (worst := float(np.linalg.norm(aq - q * e, axis=0).max() / e[0])) > 10 * CERTIFIED:
+        raise ArithmeticError(f"the eigenvectors' residuals are {worst:.1e} of the largest eigenvalue")
+    return e, q * np.sign(q[np.abs(q).argmax(0), np.arange(len(e))])
 
 
 def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 64, keep: int = KEEP) -> DataFrame:
