@@ -42,11 +42,12 @@ def words(docs: DataFrame) -> DataFrame:
     return d.where(F.char_length("word") >= LENGTH).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OCCURRENCES)
 
 
-def _bucket(word: Column | str, size: Column | str, head: Column | str, tail: Column | str) -> Column:
-    """Of words of `size` letters, or one less, with the same first `head` and last `tail` letters.
-    Buckets whose hashes are equal share tiles; the tile's own test keeps their pairs apart."""
-    word = F.col(word) if isinstance(word, str) else word
-    return F.xxhash64(size, head, tail, F.substring(word, F.lit(1), F.col(head)), F.when(F.col(tail) > 0, F.right(word, F.col(tail))).otherwise(F.lit("")))
+def _bucket() -> Column:
+    """Of words of `size` letters, or one less, with the same first `head` and last `tail` letters,
+    come to by the same way down. Buckets whose hashes are equal share tiles; the tile's own test
+    keeps their pairs apart."""
+    shared = F.substring("word", F.lit(1), F.col("head")), F.when(F.col("tail") > 0, F.right("word", F.col("tail"))).otherwise(F.lit(""))
+    return F.xxhash64("size", "head", "tail", "bound", *shared)
 
 
 def _halves(d: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def _halves(d: DataFrame) -> DataFrame:
     first = F.struct((F.col("head") + step).alias("head"), F.col("tail").alias("tail"), F.col("bound").alias("bound"))
     last = F.struct(F.col("head").alias("head"), (F.col("tail") + step).alias("tail"), (F.col("head") + step).alias("bound"))
     d = d.select("word", "n", "size", F.explode(F.array(first, last)).alias("at")).select("word", "n", "size", "at.*")
-    return d.withColumn("bucket", _bucket("word", "size", "head", "tail"))
+    return d.withColumn("bucket", _bucket())
 
 
 def _padded(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +152,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
         ready = kept if ready is None else ready.unionByName(kept)
         level = _halves(level.join(few, "bucket", "left_semi"))
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = ready.select("bucket", "size", "head", "tail", "bound", "word", "n").repartition(parts, "bucket").sortWithinPartitions("bucket", "size", "head", "tail")
+    d = ready.select("bucket", "size", "head", "tail", "bound", "word", "n").repartition(parts, "bucket").sortWithinPartitions("bucket", "size", "head", "tail", "bound")
     return d.mapInArrow(_tiles, "word string, n bigint, near string, near_n bigint")
 
 
