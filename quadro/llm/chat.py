@@ -87,7 +87,8 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     for k in reversed(range(len(steps))):
         up = steps[k].select(F.col("id").alias("root"), "up", "sum")
         leaves = leaves.join(up, "root", "left").select("leaf", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
-    ends = leaves.join(m.select(F.col("id").alias("root"), F.col("score").alias("first")), "root")
+    tops = m.join(own.select("id"), "id", "left_anti").select(F.col("id").alias("root"), F.col("score").alias("first"))
+    ends = leaves.join(tops, "root")  # what hangs on a circle has come to none of them
     ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("total") + F.col("first")), F.desc("depth"), "leaf")))
     if keep is not None:  # each task keeps its own best of a tree before they meet
         ranked = ranked.where(F.col("rank") <= keep)
