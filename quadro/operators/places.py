@@ -100,7 +100,7 @@ def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y"
     """points with `object`: the key of the last object on the map that is at each, or null.
 
     objects: ord, key, type, parts (rings, arrays of x and y; islands add, holes take away). A
-    polygon holds what an odd number of its rings surround, a `point` object (the first point of
+    polygon (with a seat or without) holds what an odd number of its rings surround, a `point` object (the first point of
     its first ring) the very same coordinates, a `line` nothing. Of several the largest ord wins,
     of equal ones the largest key. Points without finite coordinates are at none.
 
@@ -111,7 +111,7 @@ def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y"
     """
     ring_of = F.flatten("parts")
     low, high = (lambda c: F.array_min(F.transform(ring_of, lambda p: p[c]))), (lambda c: F.array_max(F.transform(ring_of, lambda p: p[c])))
-    boxed = objects.where(F.col("type").isin("polygon", "point") & (F.size(ring_of) > 0)).select("ord", "key", "type", "parts", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
+    boxed = objects.where(F.col("type").isin("polygon", "polygon-with-seat", "point") & (F.size(ring_of) > 0)).select("ord", "key", "type", "parts", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
     single = F.col("type") == "point"
     first = F.col("parts")[0][0]
     boxed = boxed.withColumns({c: F.when(single, first[c[0]]).otherwise(F.col(c)) for c in ("x0", "x1", "y0", "y1")})

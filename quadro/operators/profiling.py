@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadro.functions.coerce import as_key, kind_of, natural_key, to_number, trim_all
-from quadro.operators.statistics import counted_quantiles, exact_quantiles, false_discovery, finite, two_proportions, wilson
+from quadro.operators.ordered import written
+from quadro.operators.statistics import counted_quantiles, exact_quantiles, false_discovery, finite, grouped_quantiles, two_proportions, wilson
 
 Z_MAD, IQR_TO_SD, FENCE = 0.67448975, 1.349, 1.5
 EARTH_KM = 6371.0088
@@ -135,16 +136,29 @@ def distribution_shift(group: DataFrame, reference: DataFrame, name: str) -> Dat
     return s.withColumn("score", _percent(strength)).withColumn("severity", severity(F.col("score")))
 
 
+def distribution_rows(group: DataFrame, reference: DataFrame, name: str) -> DataFrame:
+    """key, left_count, right_count, left_share, right_share, difference, log2_lift of every value
+    of a field in two sets; no lift where either share is 0."""
+    count = lambda d, n: d.groupBy(as_key(F.col(name), kind_of(d, name)).alias("key")).agg(F.count(F.lit(1)).alias(n)).where("key is not null")
+    a, b = count(group, "left_count"), count(reference, "right_count")
+    d = a.join(b, "key", "full").na.fill(0, ["left_count", "right_count"])
+    d = d.join(F.broadcast(a.agg(F.sum("left_count").alias("_a")).join(b.agg(F.sum("right_count").alias("_b")))))
+    share = lambda c, s: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(s)), F.lit(0.0))
+    d = d.withColumns({"left_share": share("left_count", "_a"), "right_share": share("right_count", "_b")})
+    lift = F.when((F.col("left_share") > 0) & (F.col("right_share") > 0), F.log2(F.try_divide("left_share", "right_share")))
+    return d.select("key", "left_count", "right_count", "left_share", "right_share", (F.col("left_share") - F.col("right_share")).alias("difference"), lift.alias("log2_lift"))
+
+
 def severity(score: Column) -> Column:
     return F.when(score >= 75, "strong").when(score >= 40, "review").otherwise("info")
 
 
 def concentration(df: DataFrame, name: str) -> DataFrame:
-    """values, top_share, hhi, entropy (of its largest possible) of a field."""
+    """values, top_key (the most frequent, of several the first), top_share, hhi, entropy (of its largest possible) of a field."""
     c = df.groupBy(as_key(F.col(name), kind_of(df, name)).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is not null and k <> ''")
     p = c.join(F.broadcast(c.agg(F.sum("n").alias("s")))).withColumn("p", F.col("n") / F.col("s"))
-    s = p.agg(F.count(F.lit(1)).alias("values"), F.max("p").alias("top_share"), F.sum(F.col("p") * F.col("p")).alias("hhi"), (-F.sum(F.col("p") * F.ln("p"))).alias("h"))
-    return s.select("values", "top_share", "hhi", F.when(F.col("values") > 1, F.col("h") / F.ln("values")).otherwise(0.0).alias("entropy"))
+    s = p.agg(F.count(F.lit(1)).alias("values"), F.min(F.struct(-F.col("n"), "k"))["k"].alias("top_key"), F.max("p").alias("top_share"), F.sum(F.col("p") * F.col("p")).alias("hhi"), (-F.sum(F.col("p") * F.ln("p"))).alias("h"))
+    return s.select("values", "top_key", "top_share", "hhi", F.when(F.col("values") > 1, F.col("h") / F.ln("values")).otherwise(0.0).alias("entropy"))
 
 
 # Thresholds of the audit: an effect must be this large, and a test must agree after
@@ -172,15 +186,50 @@ def audit(df: DataFrame, is_group: Column, categorical: Sequence[str], numeric:
     fired = tested.where((F.col("difference") >= least) & (F.col("q") <= LARGEST_Q))
     signals = fired.select("field", kind.alias("kind"), "key", (F.col("a") / F.col("n")).alias("group_share"), (F.col("b") / F.col("m")).alias("reference_share"), F.col("difference").alias("effect"), "q")
     own = d.where("_g")
-    for f in numeric:
-        found = numeric_outliers(own, f, []).agg(F.count(F.lit(1)).alias("k"), F.max(F.abs("z")).alias("z")).where("k > 0")
-        row = found.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("n")))).select(
-            F.lit(f).alias("field"), F.lit("outlier").alias("kind"), F.lit(None).cast("string").alias("key"), (F.col("k") / F.col("n")).alias("group_share"), F.lit(None).cast("double").alias("reference_share"), F.col("z").alias("effect"), F.lit(None).cast("double").alias("q"))
-        signals = signals.unionByName(row)
+    if numeric:
+        found = outliers_of(own, numeric).join(F.broadcast(own.agg(F.count(F.lit(1)).alias("n")))).where("outliers > 0")
+        signals = signals.unionByName(found.select(
+            "field", F.lit("outlier").alias("kind"), F.lit(None).cast("string").alias("key"), (F.col("outliers") / F.col("n")).alias("group_share"), F.lit(None).cast("double").alias("reference_share"), F.col("largest").alias("effect"), F.lit(None).cast("double").alias("q")))
     grade = F.when(F.col("kind") == "outlier", F.when(F.col("effect") >= 7, "strong").otherwise("review")).when(F.col("effect") >= 0.25, "strong").otherwise("review")
     return signals.withColumn("severity", grade).withColumn("action", F.lit("none"))
 
 
+def outliers_of(df: DataFrame, names: Sequence[str], threshold: float = 3.5) -> DataFrame:
+    """field, values, outliers, largest (distance from the median): numeric_outliers() of many fields
+    in as many passes as one takes."""
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), finite(to_number(F.col(n), kind_of(df, n))).alias("v")) for n in names])
+    d = written(df.select(F.inline(parts)).where("v is not null"), "numbers")
+    at = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    marks = None
+    for name, share in at.items():
+        one = grouped_quantiles(d, ["field"], {name: F.col("v")}, share)
+        marks = one if marks is None else marks.join(one, "field")
+    marks = written(marks, "marks")  # a row for each field
+    away = d.join(F.broadcast(marks.select("field", "median")), "field").select("field", F.abs(F.col("v") - F.col("median")).alias("away"))
+    marks = F.broadcast(marks.join(grouped_quantiles(away, ["field"], {"mad": F.col("away")}, 0.5), "field"))
+    iqr = F.col("q3") - F.col("q1")
+    scale = F.when(F.col("mad") > 0, F.lit(Z_MAD) / F.col("mad")).when(iqr > 0, F.lit(IQR_TO_SD) / iqr).otherwise(0.0)
+    z = F.abs((F.col("v") - F.col("median")) * scale)
+    out = (z >= threshold) | (F.col("v") < F.col("q1") - FENCE * iqr) | (F.col("v") > F.col("q3") + FENCE * iqr)
+    return d.join(marks, "field").groupBy("field").agg(F.count(F.lit(1)).alias("values"), F.count_if(out).alias("outliers"), F.max(F.when(out, z)).alias("largest"))
+
+
+def audit_diagnostics(df: DataFrame, is_group: Column, categorical: Sequence[str], numeric: Sequence[str] = (), geography: Sequence[str] = ()) -> DataFrame:
+    """group_records, reference_records, fields_analyzed, skipped (fields of which the audit says
+    nothing: numeric ones without a number in the group), warnings. Nothing is skipped for its
+    size: no values are held, so there is no limit to hold them."""
+    d = df.withColumn("_g", F.coalesce(is_group, F.lit(False)))
+    fields = list(dict.fromkeys([*categorical, *geography, *numeric]))
+    only = [f for f in fields if f not in categorical and f not in geography]
+    counts = [F.count(F.when(F.col("_g"), finite(to_number(F.col(f), kind_of(df, f))))).alias(f"_{k}") for k, f in enumerate(only)]
+    s = d.agg(F.count_if("_g").alias("group_records"), F.count_if(~F.col("_g")).alias("reference_records"), *counts)
+    empty = F.array_compact(F.array(*[F.when(F.col(f"_{k}") == 0, F.lit(f)) for k, f in enumerate(only)])).cast("array<string>") if only else F.array().cast("array<string>")
+    alone = F.when((F.col("group_records") == 0) | (F.col("reference_records") == 0), F.lit("one side has no records: nothing is compared"))
+    return s.withColumn("skipped", empty).select(
+        "group_records", "reference_records", (F.lit(len(fields)) - F.size("skipped")).alias("fields_analyzed"), "skipped",
+        F.array_compact(F.concat(F.transform("skipped", lambda f: F.concat(f, F.lit(": no number in the group"))), F.array(alone))).alias("warnings"))
+
+
 def proportions(df: DataFrame, key: str, flag: Column) -> DataFrame:
     """key, hits, total, share and Wilson's limits."""
     d = df.groupBy(key).agg(F.count_if(flag).alias("hits"), F.count(F.lit(1)).alias("total"))

@@ -202,20 +202,49 @@ def compare(left: DataFrame, right: DataFrame, column: str, other: str | None =
     match: key, label (without accents and case), or map (a table of left_key, right_key).
     Keys that repeat on a side raise.
     """
-    a = left.select("row_key", "row_label", F.col(column).alias("left"))
-    b = right.select(F.col("row_key").alias("r_key"), F.col("row_label").alias("r_label"), F.col(other or column).alias("right"))
+    d = _matched(left.select("row_key", "row_label", F.col(column).alias("left")), right.select(F.col("row_key").alias("r_key"), F.col("row_label").alias("r_label"), F.col(other or column).alias("right")), how, match, mapping)
+    base = F.col("left" if relative_to == "left" else "right")
+    diff = F.col("right") - F.col("left")
+    return d.select(
+        F.coalesce("row_key", "r_key").alias("row_key"), F.coalesce("row_label", "r_label").alias("row_label"), "left", "right", diff.alias("difference"), F.abs(diff).alias("absolute"),
+        F.when(base != 0, diff / base * 100).alias("relative"), F.when(F.col("left") != 0, F.col("right") / F.col("left")).alias("ratio"))
+
+
+def _matched(a: DataFrame, b: DataFrame, how: str, match: str, mapping: DataFrame | None) -> DataFrame:
+    """Rows of a (row_key, row_label, ...) beside those of b (r_key, r_label, ...) that they match."""
     a = a.withColumn("_m", fold_label(F.col("row_label")) if match == "label" else F.col("row_key"))
     b = b.withColumn("_n", fold_label(F.col("r_label")) if match == "label" else F.col("r_key"))
     if match == "map":
         b = b.join(mapping.select(F.col("right_key").alias("_n"), F.col("left_key").alias("_to")), "_n", "left").withColumn("_n", F.coalesce("_to", F.concat(F.lit("\x00"), "_n"))).drop("_to")
     once = lambda d, k: d.groupBy(k).agg(*[F.first(c).alias(c) for c in d.columns if c != k], F.count(F.lit(1)).alias("_c")).where(
         F.when(F.col("_c") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("repeated row: "), F.col(k))).cast("boolean"))).drop("_c")
-    d = once(a, "_m").join(once(b, "_n"), F.col("_m") == F.col("_n"), how)
-    base = F.col("left" if relative_to == "left" else "right")
-    diff = F.col("right") - F.col("left")
-    return d.select(
-        F.coalesce("row_key", "r_key").alias("row_key"), F.coalesce("row_label", "r_label").alias("row_label"), "left", "right", diff.alias("difference"), F.abs(diff).alias("absolute"),
-        F.when(base != 0, diff / base * 100).alias("relative"), F.when(F.col("left") != 0, F.col("right") / F.col("left")).alias("ratio"))
+    return once(a, "_m").join(once(b, "_n"), F.col("_m") == F.col("_n"), how)
+
+
+def compare_diagnostics(left: DataFrame, right: DataFrame, how: str = "inner", match: str = "key", mapping: DataFrame | None = None, require_labels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(one row: left_rows, right_rows, matched_rows, left_only_rows, right_only_rows, left_coverage,
+    right_coverage, label_mismatches, warnings; the matched rows whose labels differ).
+
+    Coverage is the share of a side's rows that match, 0 of an empty side. require_labels: rows
+    matched by key whose labels differ raise."""
+    a, b = left.select("row_key", "row_label"), right.select(F.col("row_key").alias("r_key"), F.col("row_label").alias("r_label"))
+    d = _matched(a, b, how, match, mapping).withColumns({"_a": F.col("_m").isNotNull(), "_b": F.col("_n").isNotNull()})
+    both = F.col("_a") & F.col("_b")
+    differ = both & ~F.col("row_label").eqNullSafe(F.col("r_label"))
+    if require_labels and match == "key":
+        why = F.raise_error(F.concat(F.lit("labels differ for the key "), F.col("row_key"))).cast("boolean")
+        d = d.where(F.when(differ, why).otherwise(F.lit(True)))
+    size = lambda t, name: F.broadcast(t.agg(F.count(F.lit(1)).alias(name)))
+    s = d.agg(F.count_if(both).alias("matched_rows"), F.count_if(F.col("_a") & ~F.col("_b")).alias("left_only_rows"), F.count_if(F.col("_b") & ~F.col("_a")).alias("right_only_rows"), F.count_if(differ).alias("label_mismatches"))
+    s = s.join(size(left, "left_rows")).join(size(right, "right_rows"))
+    share = lambda n: F.coalesce(F.try_divide(F.col("matched_rows"), F.col(n)), F.lit(0.0))
+    alone = F.when(F.col("left_only_rows") + F.col("right_only_rows") > 0, F.format_string("%d row(s) on the left only, %d on the right only", "left_only_rows", "right_only_rows"))
+    other = F.when(F.col("label_mismatches") > 0, F.format_string("%d matched row(s) have different labels", "label_mismatches"))
+    policy = F.lit(None if match == "key" else f"rows were matched by {match}").cast("string")
+    counts = s.select(
+        "left_rows", "right_rows", "matched_rows", "left_only_rows", "right_only_rows", share("left_rows").alias("left_coverage"), share("right_rows").alias("right_coverage"), "label_mismatches",
+        F.array_compact(F.array(alone, other, policy)).alias("warnings"))
+    return counts, d.where(differ).select("row_key", F.col("r_key").alias("other_key"), "row_label", F.col("r_label").alias("other_label"))
 
 
 def compare_summary(compared: DataFrame) -> DataFrame:

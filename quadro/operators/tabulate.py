@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quadro.functions.coerce import kind_of, measure_number, natural_key, not_a_number
 from quadro.operators.predicates import dimension_key, passing, rule_counts
 from quadro.operators.ordered import written as _written
-from quadro.plans.spec import UNCLASSIFIED, UNCLASSIFIED_LABEL, Conversion, Dimension, Measure, QueryPlan, TabulationSpec, compile_plan
+from quadro.plans.spec import UNCLASSIFIED, UNCLASSIFIED_LABEL, Conversion, Dimension, Measure, PlanError, QueryPlan, TabulationSpec, compile_plan
 
 WIDEST = 2000
 
@@ -200,8 +200,14 @@ def excluded_from_total(conversion: Conversion | None) -> list[str]:
     return [str(c.sequence) for c in conversion.categories if c.sequence in targets or not c.totalled]
 
 
-def totals(cells: DataFrame, how: str = "sum", leave_out: list[str] | None = None) -> DataFrame:
-    """col_key, total of every column: sum, product, mean, initial, final, min, max."""
+def totals(cells: DataFrame, how: str = "sum", leave_out: list[str] | None = None, given: DataFrame | None = None) -> DataFrame:
+    """col_key, total of every column: sum, product, mean, initial, final, min, max; none (null);
+    precalculated (those of `given`: col_key, total, as a saved table brings them)."""
+    if how in ("none", "precalculated"):
+        if (how == "precalculated") == (given is None):
+            raise PlanError("precalculated totals are given, others aren't")
+        columns = cells.select("col_key").distinct()
+        return columns.withColumn("total", F.lit(None).cast("double")) if given is None else columns.join(given.select("col_key", F.col("total").cast("double")), "col_key", "left")
     d = cells.where(~F.col("row_key").isin(*leave_out)) if leave_out else cells
     v = F.col("value")
     found = {
@@ -213,8 +219,16 @@ def totals(cells: DataFrame, how: str = "sum", leave_out: list[str] | None = Non
 
 
 def headline(cells: DataFrame, count: int = 3) -> DataFrame:
-    """The rows that weigh most, with their share of the whole where that is above 0."""
+    """The rows that weigh most, with their share of the whole where that is above 0. What isn't finite counts as 0."""
+    cells = cells.withColumn("value", F.when(F.abs("value") < float("inf"), F.col("value")).otherwise(0.0))
     weights = cells.groupBy("row_key", "row_label").agg(F.sum("value").alias("weight"))
     whole = weights.agg(F.sum("weight").alias("whole"))
     top = weights.orderBy(F.desc("weight"), "row_label").limit(count)
     return top.join(F.broadcast(whole)).select("row_key", "row_label", "weight", F.when(F.col("whole") > 0, F.col("weight") / F.col("whole")).alias("share"))
+
+
+def headline_totals(t: Tabulation, label: str = "") -> DataFrame:
+    """measure, total, categories, seen, accepted: what a headline says of a whole table."""
+    finite = F.when(F.abs("value") < float("inf"), F.col("value")).otherwise(0.0)
+    rows = t.cells.agg(F.coalesce(F.sum(finite), F.lit(0.0)).alias("total"), F.count_distinct("row_key").alias("categories"))
+    return rows.join(F.broadcast(t.counters().select("seen", "accepted"))).select(F.lit(label.strip() or "Total").alias("measure"), "total", "categories", "seen", "accepted")

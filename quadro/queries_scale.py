@@ -12,11 +12,12 @@ from quadro.functions.formula import formula
 from quadro.operators import places
 from quadro.operators import profiling as prof
 from quadro.operators import statistics as st
+from quadro.operators import tableops as ops
 from quadro.operators import transform as tr
 from quadro.operators.ordered import limited
 from quadro.operators.predicates import classify
-from quadro.operators.tabulate import tabulate
-from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, TabulationSpec
+from quadro.operators.tabulate import headline_totals, tabulate, totals
+from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, Filter, TabulationSpec
 from quadro.queries import SQL, query, table
 from quadro.queries_tables import prof_numeric  # noqa: F401  (its SQL is used again)
 from quadro.sources.dbf import read_dbf, write_dbf_files
@@ -208,3 +209,97 @@ def stream_profile(spark, sf):
     write_profile(stream, "value", path, scratch_path(spark, "stream")).awaitTermination()
     d = read_profile(spark, path)
     return d.withColumns({c: F.round(c, 6) for c, t in d.dtypes if t == "double"})
+
+
+# --- comparisons, shares and audits in whole ------------------------------------------------
+
+
+def _two_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers by nation: nations of the second are called otherwise or are absent."""
+    n = table(spark, sf, "nation")
+    a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    b = table(spark, sf, "supplier").where("s_nationkey <> 3").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    label = F.when(F.col("n_nationkey") % 5 == 1, F.lower("n_name")).otherwise(F.col("n_name"))
+    left = a.join(n, F.col("k") == F.col("n_nationkey")).where("k <> 7").select(F.col("k").cast("string").alias("row_key"), F.col("n_name").alias("row_label"), "v")
+    right = b.join(n, F.col("k") == F.col("n_nationkey")).select(F.col("k").cast("string").alias("row_key"), label.alias("row_label"), "v")
+    return left, right
+
+
+_BOTH = """a AS (SELECT DISTINCT c_nationkey AS k, n_name AS l FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey <> 7),
+b AS (SELECT DISTINCT s_nationkey AS k, CASE WHEN s_nationkey % 5 = 1 THEN lower(n_name) ELSE n_name END AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey <> 3)"""
+
+
+@query(f"""WITH {_BOTH}, m AS (SELECT a.k AS x, b.k AS y, a.l <> b.l AS d FROM a FULL JOIN b ON a.k = b.k),
+s AS (SELECT (SELECT count(*) FROM a) AS left_rows, (SELECT count(*) FROM b) AS right_rows, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS matched_rows, count(*) FILTER (WHERE y IS NULL) AS left_only_rows,
+count(*) FILTER (WHERE x IS NULL) AS right_only_rows, count(*) FILTER (WHERE d) AS label_mismatches FROM m)
+SELECT *, round(matched_rows / left_rows, 9) AS left_coverage, round(matched_rows / right_rows, 9) AS right_coverage,
+left_only_rows || ' row(s) on the left only, ' || right_only_rows || ' on the right only; ' || label_mismatches || ' matched row(s) have different labels' AS warnings FROM s""")
+def cmp_diagnostics(spark, sf):
+    d, _ = ops.compare_diagnostics(*_two_tables(spark, sf), how="full")
+    return d.withColumns({"left_coverage": F.round("left_coverage", 9), "right_coverage": F.round("right_coverage", 9), "warnings": F.array_join("warnings", "; ")})
+
+
+@query(f"WITH {_BOTH} SELECT CAST(a.k AS VARCHAR) AS row_key, CAST(b.k AS VARCHAR) AS other_key, a.l AS row_label, b.l AS other_label FROM a JOIN b ON a.k = b.k AND a.l <> b.l")
+def cmp_label_mismatches(spark, sf):
+    return ops.compare_diagnostics(*_two_tables(spark, sf))[1]
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS key, count(*) FILTER (WHERE o_orderstatus = 'P') AS a, count(*) FILTER (WHERE o_orderstatus <> 'P') AS b FROM orders GROUP BY 1), s AS (SELECT *, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c)
+SELECT key, a AS left_count, b AS right_count, round(p, 9) AS left_share, round(q, 9) AS right_share, round(p - q, 9) AS difference, round(CASE WHEN p > 0 AND q > 0 THEN log2(p / q) END, 9) AS log2_lift FROM s""")
+def anom_lift(spark, sf):
+    o = table(spark, sf, "orders")
+    d = prof.distribution_rows(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus <> 'P'"), "o_orderpriority")
+    return d.withColumns({c: F.round(c, 9) for c, t in d.dtypes if t == "double"})
+
+
+@query("""WITH c AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT (SELECT CAST(k AS VARCHAR) FROM c ORDER BY n DESC, CAST(k AS VARCHAR) LIMIT 1) AS top_key, round(max(n) / sum(n), 9) AS top_share, count(*) AS "values" FROM c""")
+def anom_top_key(spark, sf):
+    return prof.concentration(table(spark, sf, "lineitem"), "l_suppkey").select("top_key", F.round("top_share", 9).alias("top_share"), "values")
+
+
+_ORDERS = """d AS (SELECT o_orderstatus = 'P' AS g, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 4 <> 0 THEN '3' ELSE CAST(o_custkey % 25 AS VARCHAR) END AS place, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 97 = 0 THEN o_totalprice * 40 ELSE o_totalprice END AS price,
+CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) END AS cust FROM orders),
+n AS (SELECT CAST(count(*) FILTER (WHERE g) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE NOT g) AS DOUBLE) AS m FROM d)"""
+
+
+def _marked_orders(spark, sf) -> DataFrame:
+    p = F.col("o_orderstatus") == "P"
+    place = F.when(p & (F.col("o_orderkey") % 4 != 0), "3").otherwise((F.col("o_custkey") % 25).cast("string"))
+    price = F.when(p & (F.col("o_orderkey") % 97 == 0), F.col("o_totalprice") * 40).otherwise(F.col("o_totalprice"))
+    return table(spark, sf, "orders").select(p.alias("p"), place.alias("place"), price.alias("price"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("double")).alias("cust"), F.lit("?").alias("none"))
+
+
+def _outlier_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS field, 'outlier' AS kind, NULL AS key, round(k / n, 6) AS group_share, round(z, 6) AS effect FROM (SELECT count(*) AS k, max(abs(0.67448975 * (v - m) / mad)) AS z FROM (SELECT {name} AS v FROM d WHERE g AND {name} IS NOT NULL),
+(SELECT quantile_cont({name}, 0.25) AS q1, median({name}) AS m, quantile_cont({name}, 0.75) AS q3 FROM d WHERE g), (SELECT median(abs({name} - (SELECT median({name}) FROM d WHERE g))) AS mad FROM d WHERE g)
+WHERE abs(0.67448975 * (v - m) / mad) >= 3.5 OR v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)), n WHERE k > 0"""
+
+
+@query(f"""WITH {_ORDERS}, c AS (SELECT place AS key, CAST(count(*) FILTER (WHERE g) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE NOT g) AS DOUBLE) AS b FROM d GROUP BY 1)
+SELECT 'place' AS field, 'concentration' AS kind, key, round(a / n, 6) AS group_share, round(a / n - b / m, 6) AS effect FROM c, n WHERE a / n - b / m >= 0.1 UNION ALL {_outlier_sql("price")} UNION ALL {_outlier_sql("cust")}""")
+def anom_audit_whole(spark, sf):
+    """An audit of places and numbers: half of the group's orders are in one place, some prices are forty times what they were."""
+    s = prof.audit(_marked_orders(spark, sf), F.col("p"), [], ["price", "cust"], ["place"])
+    return s.select("field", "kind", "key", F.round("group_share", 6).alias("group_share"), F.round("effect", 6).alias("effect"))
+
+
+@query(f"WITH {_ORDERS} SELECT count(*) FILTER (WHERE g) AS group_records, count(*) FILTER (WHERE NOT g) AS reference_records, CAST(3 AS INTEGER) AS fields_analyzed, 'none' AS skipped, 'none: no number in the group' AS warnings FROM d")
+def anom_audit_diagnostics(spark, sf):
+    d = prof.audit_diagnostics(_marked_orders(spark, sf), F.col("p"), [], ["price", "cust", "none"], ["place"])
+    return d.withColumns({"skipped": F.array_join("skipped", ","), "warnings": F.array_join("warnings", ",")})
+
+
+@query("""SELECT 'Frequência' AS measure, CAST(count(*) FILTER (WHERE l_quantity >= 20) AS DOUBLE) AS total, count(DISTINCT CASE WHEN l_quantity >= 20 THEN l_suppkey END) AS categories, count(*) AS seen, count(*) FILTER (WHERE l_quantity >= 20) AS accepted FROM lineitem""")
+def tab_headline_totals(spark, sf):
+    spec = TabulationSpec(Dimension("l_suppkey"), filters=(Filter("l_quantity", low=20),))
+    return headline_totals(tabulate(table(spark, sf, "lineitem"), spec, counted=True), "Frequência")
+
+
+@query("SELECT o_orderpriority AS col_key, NULL AS none, round(sum(o_totalprice), 2) AS given FROM orders GROUP BY 1")
+def tab_totals_given(spark, sf):
+    """No totals, and totals that come with the table."""
+    o = table(spark, sf, "orders")
+    cells = tabulate(o, TabulationSpec(Dimension("o_orderstatus"), Dimension("o_orderpriority"))).cells
+    given = o.groupBy(F.col("o_orderpriority").alias("col_key")).agg(F.sum("o_totalprice").alias("total"))
+    none = totals(cells, "none").withColumnRenamed("total", "none")
+    return none.join(totals(cells, "precalculated", given=given).withColumnRenamed("total", "given"), "col_key").select("col_key", "none", F.round("given", 2).alias("given"))

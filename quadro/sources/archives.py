@@ -6,6 +6,7 @@ import io
 import struct
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,24 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 from quadro.plans.spec import PlanError
 
 #: An archive that grows beyond these is refused: it isn't what it says.
-MOST_BYTES, MOST_ENTRIES, DEEPEST = 768 << 20, 5000, 2
+MOST_PACKED, MOST_FILE, MOST_BYTES, MOST_ENTRIES, DEEPEST = 512 << 20, 512 << 20, 768 << 20, 5000, 2
 
 
-def entries(data: bytes, depth: int = 1) -> Iterator[tuple[str, bytes]]:
-    """Names and contents of a ZIP, archives within it included."""
-    total = 0
+@dataclass
+class _Spent:
+    """What an archive has expanded to so far, those within it included."""
+
+    entries: int = 0
+    size: int = 0
+
+
+def entries(data: bytes, depth: int = 1, spent: _Spent | None = None) -> Iterator[tuple[str, bytes]]:
+    """Names and contents of a ZIP, archives within it included; one budget covers them all."""
+    if len(data) > MOST_PACKED:
+        raise PlanError("the archive is too large")
+    spent = spent or _Spent()
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if len(z.infolist()) > MOST_ENTRIES:
-            raise PlanError("too many entries")
         for info in z.infolist():
-            total += info.file_size
-            if total > MOST_BYTES:
-                raise PlanError("the archive expands to too much")
+            spent.entries += 1
+            if spent.entries > MOST_ENTRIES:
+                raise PlanError("too many entries")
             if info.is_dir():
                 continue
+            inner = info.filename.lower().endswith(".zip") and depth < DEEPEST
+            spent.size += 0 if inner else info.file_size
+            if info.file_size > MOST_FILE or spent.size > MOST_BYTES:
+                raise PlanError("the archive expands to too much")
             content = z.read(info)
-            if info.filename.lower().endswith(".zip") and depth < DEEPEST:
-                yield from entries(content, depth + 1)
+            if inner:
+                yield from entries(content, depth + 1, spent)
             else:
                 yield info.filename, content
 

@@ -6,12 +6,14 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadro.functions.coerce import encode_1252
-from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, Measure, PlanError
+from quadro.functions.coerce import as_key, encode_1252, kind_of
+from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, Filter, Measure, PlanError
 
 
 def _lines(text: str) -> list[str]:
@@ -126,6 +128,24 @@ class Menu:
             raise PlanError(f"no conversion {o.conversion}")
         return Dimension(o.field, conversions.get(o.conversion or ""), o.start)
 
+    def filter(self, label: str, conversions: dict[str, Conversion], accepted: Iterable[str | int]) -> Filter:
+        """A choice of an option's categories. A lookup has codes, not categories, so it is no filter."""
+        d = self.dimension(label, conversions)
+        if d.lookup or d.conversion is None:
+            raise PlanError(f"option {label} uses {'the table ' + d.lookup if d.lookup else 'no conversion'}: it can't be a filter")
+        return Filter(d.field, categories=tuple(map(str, accepted)), conversion=d.conversion, start=d.start)
+
+
+def lookup_table(records: DataFrame, key: str, label: str) -> DataFrame:
+    """key, label of a lookup's records, once each, trimmed; blank keys are left out, blank labels are
+    empty. No usable row, and two labels for one key, raise."""
+    text = lambda c: F.trim(F.coalesce(as_key(F.col(c), kind_of(records, c)), F.lit("")))
+    d = records.select(text(key).alias("key"), text(label).alias("label")).where("key <> ''").groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("_other"))
+    d = d.withColumn("label", F.when(F.col("label") == F.col("_other"), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("conflicting labels for the key "), F.col("key"))).cast("string"))).drop("_other")
+    if d.isEmpty():
+        raise PlanError(f"no usable rows of {key} and {label}")
+    return d
+
 
 def parse_def(text: str) -> Menu:
     menu = Menu()
@@ -180,22 +200,49 @@ def parse_tab(text: str) -> tuple[dict[str, dict[str, str]], list[tuple[str, str
 
 
 RING = "array<struct<x: double, y: double>>"
-#: ring: the outline, of several the longest; parts: all rings, holes too.
-MAP_SCHEMA = f"geocode string, name string, x double, y double, ring {RING}, parts array<{RING}>"
+#: type: polygon, polygon-with-seat, line or point; ring: the outline, of several the longest; parts: all rings, holes too.
+MAP_SCHEMA = f"geocode string, name string, x double, y double, ring {RING}, parts array<{RING}>, type string"
+# An object's type by its code, and the bytes of its fields.
+MAP_TYPES = ("polygon", "polygon-with-seat", "line", "point")
+CODE_BYTES, NAME_BYTES, OBJECT_BYTES, MOST_OBJECTS = 10, 25, 48, 100_000
+
+
+def map_parts(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The rings of an object: one ends where it comes back to its first point."""
+    parts, now = [], []
+    for p in points:
+        now.append(p)
+        if len(now) > 2 and p == now[0]:
+            parts.append(now)
+            now = []
+    return [*parts, now] if now else parts
 
 
 def parse_map(spark: SparkSession, data: bytes) -> DataFrame:
-    """The objects of a binary map, version 100: geocode, name, label point, ring."""
+    """The objects of a binary map, version 100: geocode, name, label point, rings, type."""
     if len(data) < 18 or struct.unpack_from("<H", data)[0] != 100:
         raise PlanError("no map of version 100")
     rows, at = [], 18
+
+    def need(n: int, what: str) -> None:
+        if at + n > len(data):
+            raise PlanError(f"the map ends within {what} of object {len(rows) + 1}")
+
     while at < len(data):
-        code_size, = struct.unpack_from("<B", data, at + 1)
-        name_size, = struct.unpack_from("<B", data, at + 12)
+        if len(rows) == MOST_OBJECTS:
+            raise PlanError(f"more than {MOST_OBJECTS} objects")
+        need(OBJECT_BYTES, "the head")
+        kind, code_size, name_size = data[at], data[at + 1], data[at + 12]
+        if kind >= len(MAP_TYPES) or code_size > CODE_BYTES or name_size > NAME_BYTES:
+            raise PlanError(f"object {len(rows) + 1}: type {kind}, {code_size} letters of code, {name_size} of name")
         x, y, n = struct.unpack_from("<ffH", data, at + 38)
-        ring = [struct.unpack_from("<ff", data, at + 48 + 8 * k) for k in range(n)]
-        rows.append((data[at + 2 : at + 2 + code_size].decode("cp1252"), data[at + 13 : at + 13 + name_size].decode("cp1252"), x, y, ring, [ring]))
-        at += 48 + 8 * n
+        need(OBJECT_BYTES + 8 * n, "the points")
+        points = [struct.unpack_from("<ff", data, at + OBJECT_BYTES + 8 * k) for k in range(n)]
+        if MAP_TYPES[kind].startswith("polygon") and n < 3:
+            raise PlanError(f"object {len(rows) + 1}: a polygon of {n} points")
+        parts = [[(x, y)]] if MAP_TYPES[kind] == "point" else map_parts(points)
+        rows.append((data[at + 2 : at + 2 + code_size].decode("cp1252"), data[at + 13 : at + 13 + name_size].decode("cp1252"), x, y, max(parts, key=len, default=[]), parts, MAP_TYPES[kind]))
+        at += OBJECT_BYTES + 8 * n
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
@@ -215,7 +262,7 @@ def read_geojson(spark: SparkSession, text: str, code: str, name: str) -> tuple[
         parts = [[(float(p[0]), float(p[1])) for p in r] for r in rings]
         ring = [(float(p[0]), float(p[1])) for p in max(outer, key=len)]
         distinct = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-        rows.append((str(own[code]), str(own.get(name) or ""), sum(p[0] for p in distinct) / len(distinct), sum(p[1] for p in distinct) / len(distinct), ring, parts))
+        rows.append((str(own[code]), str(own.get(name) or ""), sum(p[0] for p in distinct) / len(distinct), sum(p[1] for p in distinct) / len(distinct), ring, parts, {"LineString": "line", "Point": "point"}.get(kind, "polygon")))
     return spark.createDataFrame(rows, MAP_SCHEMA), warnings
 
 

@@ -4,6 +4,8 @@ import csv
 import io
 import math
 import random
+import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -14,9 +16,10 @@ from quadro.functions.coerce import as_key
 from quadro.functions.formula import FormulaError, formula, lags, references
 from quadro.operators import ordered, places, profiling, statistics, tableops
 from quadro.operators import transform as tr
-from quadro.operators.predicates import classify
+from quadro.operators.predicates import classify, matches
 from quadro.operators.tabulate import tabulate
 from quadro.plans.spec import Category, CodeRange, Conversion, Dimension, Filter, Measure, PlanError, TabulationSpec
+from quadro.sources import archives, definitions
 from quadro.sources.dbf import expand_dbc, pack_dbc, read_dbf, write_dbf_files
 from quadro.sources.delimited import read_delimited
 from quadro.streaming import tables, versions
@@ -366,3 +369,90 @@ def test_updates_keep_the_last_form_of_each_window(spark, tmp_path):
         tables.write_updates(tables.windowed_counts(stream(), "ts", "k"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(str(r.start)[:10], r.k): r.n for r in tables.read_updates(spark, str(tmp_path / "out"), ["start", "k"]).collect()}
     assert got == {("2024-01-01", "a"): 4, ("2024-01-05", "b"): 2}  # the late one came after its window had left the state
+
+
+# --- files of definitions, archives, comparisons, audits ----------------------------------
+
+
+def binary_map(objects):
+    out = struct.pack("<Hffff", 100, 1, 1, 0, 0)
+    for kind, code, name, x, y, points in objects:
+        out += struct.pack("<BB10sB25sffH", kind, len(code), code.encode("cp1252"), len(name), name.encode("cp1252"), x, y, len(points)) + b"".join(struct.pack("<ff", *p) for p in points)
+    return out
+
+
+def test_binary_maps_have_types_and_rings(spark):
+    square, hole = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)]
+    data = binary_map([(0, "11", "Çá", 1, 2, square + hole), (1, "12", "seat", 9, 9, [(8, 8), (10, 8), (9, 10)]), (2, "13", "line", 0, 0, [(0, 0), (5, 5)]), (3, "14", "dot", 3.5, 3.5, [(7, 7)])])
+    rows = definitions.parse_map(spark, data).collect()
+    assert [(r.type, len(r.parts)) for r in rows] == [("polygon", 2), ("polygon-with-seat", 1), ("line", 1), ("point", 1)] and rows[0].name == "Çá"
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.6, 1.3), (3, 9.0, 9.0), (4, 3.5, 3.5), (5, 7.0, 7.0)], "id int, x double, y double")
+    objects = definitions.parse_map(spark, data).select(F.col("geocode").cast("int").alias("ord"), F.col("geocode").alias("key"), "type", "parts")
+    assert {r.id: r.object for r in places.objects_at(points, objects).collect()} == {1: "11", 2: None, 3: "12", 4: "14", 5: None}
+    for bad, why in ((data[:-3], "ends within the points"), (data[:30], "ends within the head"), (binary_map([(4, "1", "x", 0, 0, [])]), "type 4"), (binary_map([(0, "1", "x", 0, 0, [(0, 0)] * 2)]), "polygon of 2 points")):
+        with pytest.raises(PlanError, match=why):
+            definitions.parse_map(spark, bad)
+
+
+def test_a_menu_gives_filters_and_lookups_their_table(spark):
+    menu = definitions.parse_def("A x.dbc\nS Sexo,SEXO,2,sexo.cnv\nS Nome,COD,1,nomes.dbf\nS Nada,Z\n")
+    c = {"sexo.cnv": Conversion("sexo.cnv", (Category(1, "M"), Category(2, "F")), (CodeRange(1, "1", "1"), CodeRange(2, "2", "2")))}
+    f = menu.filter("Sexo", c, [2])
+    assert (f.field, f.categories, f.start) == ("SEXO", ("2",), 2)
+    d = spark.createDataFrame([("x1",), ("x2",), ("22",)], "SEXO string")
+    assert d.where(matches(d, f)).count() == 2
+    for label in ("Nome", "Nada"):
+        with pytest.raises(PlanError, match="can't be a filter"):
+            menu.filter(label, c, [1])
+    records = spark.createDataFrame([(" 1", "A "), ("1", "A"), ("2", None), ("", "x"), (None, "y")], "k string, n string")
+    assert sorted(map(tuple, definitions.lookup_table(records, "k", "n").collect())) == [("1", "A"), ("2", "")]
+    with pytest.raises(PlanError, match="no usable rows"):
+        definitions.lookup_table(records.where("k = ''"), "k", "n")
+    with pytest.raises(Exception, match="conflicting labels for the key 1"):
+        definitions.lookup_table(spark.createDataFrame([("1", "A"), ("1", "B")], "k string, n string"), "k", "n").collect()
+
+
+def zipped(files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_one_budget_covers_archives_within_archives(monkeypatch):
+    inner = zipped({"a": b"0" * 600, "b": b"1" * 300})
+    whole = zipped({"x.zip": inner, "y.zip": inner, "c": b"2" * 100})
+    assert sum(len(d) for _, d in archives.entries(whole)) == 1900
+    for name, limit in (("MOST_BYTES", 1899), ("MOST_FILE", 599), ("MOST_ENTRIES", 6), ("MOST_PACKED", len(whole) - 1)):
+        with monkeypatch.context() as m:
+            m.setattr(archives, name, limit)
+            with pytest.raises(PlanError):
+                list(archives.entries(whole))
+
+
+def test_a_comparison_says_what_it_covers(spark):
+    table = lambda rows: spark.createDataFrame(rows, "row_key string, row_label string, v double")
+    a, b = table([("1", "A", 1.0), ("2", "B", 2.0), ("3", "C", 3.0)]), table([("1", "A", 1.0), ("2", "b", 2.0), ("9", "Z", 3.0)])
+    counts, differ = tableops.compare_diagnostics(a, b, how="full")
+    r = counts.first()
+    assert (r.left_rows, r.right_rows, r.matched_rows, r.left_only_rows, r.right_only_rows, r.label_mismatches) == (3, 3, 2, 1, 1, 1) and r.left_coverage == pytest.approx(2 / 3) and len(r.warnings) == 2
+    assert [tuple(x) for x in differ.collect()] == [("2", "2", "B", "b")]
+    assert tableops.compare_diagnostics(a, b, match="label")[0].first().warnings == ["1 matched row(s) have different labels", "rows were matched by label"]
+    nothing = tableops.compare_diagnostics(a.limit(0), b.limit(0), how="full")[0].first()
+    assert (nothing.left_coverage, nothing.warnings) == (0.0, [])
+    with pytest.raises(Exception, match="labels differ for the key 2"):
+        tableops.compare_diagnostics(a, b, require_labels=True)[0].collect()
+
+
+def test_outliers_of_many_fields_are_those_of_each(spark):
+    r = random.Random(8)
+    rows = [(r.gauss(0, 1) if k % 40 else 50.0, 5.0 if k % 9 else 6.0, str(r.lognormvariate(0, 2)), "x") for k in range(400)]
+    d = spark.createDataFrame(rows, "a double, b double, c string, none string")
+    got = {x.field: (x.outliers, x.largest) for x in profiling.outliers_of(d, ["a", "b", "c", "none"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for name in got:
+        each = profiling.numeric_outliers(d, name, []).collect()
+        assert got[name] == (len(each), pytest.approx(max(abs(x.z) for x in each)))
+    s = profiling.audit_diagnostics(d, F.lit(True), ["b"], ["a", "none"]).first()
+    assert (s.fields_analyzed, s.skipped, len(s.warnings)) == (2, ["none"], 2)
