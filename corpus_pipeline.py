@@ -20,19 +20,25 @@ from quadro.llm.queries import vocabulary
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-ROW = "_pipeline_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """A column's name that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written: a plan run again may number otherwise."""
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written (a plan run again may number otherwise), and that column's name."""
+    row = _free(docs, "_row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _firsts(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
-    """Of each group (its doc_id being ROW) the row with the smallest doc_id, null last."""
-    d = groups.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(rows.select(ROW, "doc_id"), ROW)
-    first = d.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
-    return rows.join(first.select(F.col(f"first.{ROW}")), ROW, "left_semi").drop(ROW)
+def _firsts(rows: DataFrame, row: str, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group (its doc_id being a row's number) the row with the smallest doc_id, null last."""
+    d = groups.select(F.col("doc_id").alias("_number"), F.col(group).alias("_group")).join(rows.select(F.col(row).alias("_number"), F.col("doc_id").alias("_id")), "_number")
+    first = d.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_number")).alias("first"))
+    return rows.join(first.select(F.col("first._number").alias(row)), row, "left_semi").drop(row)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +48,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id."""
-    rows = _numbered(docs)
-    return _firsts(rows, exact_dedup.exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text")), "keep_id").select(docs.columns)
+    rows, row = _numbered(docs)
+    return _firsts(rows, row, exact_dedup.exact_groups(rows.select(F.col(row).alias("doc_id"), "text")), "keep_id")
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8."""
-    rows = _numbered(docs)
-    return _firsts(rows, minhash.near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")), "component_id").select(docs.columns)
+    rows, row = _numbered(docs)
+    return _firsts(rows, row, minhash.near_groups(rows.select(F.col(row).alias("doc_id"), "text")), "component_id")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    rows = _numbered(docs)
-    copies = mixing.mix(rows, row=ROW).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
-    taken = rows.join(copies, ROW)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    rows, row = _numbered(docs)
+    each = _free(docs, "_copies")
+    copies = mixing.mix(rows.select(F.col(row).alias("_number"), "doc_id", "text", "source"), row="_number").where("copies > 0").select(F.col("_number").alias(row), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(each))
+    return rows.join(copies, row).withColumn(each, F.explode(each)).drop(row, each)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
