@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline, each judged on its own input."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -85,3 +86,50 @@ def test_last_stage(inputs):
     rows = inputs[5].collect()
     assert len(rows) == inputs[4].count()
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
+
+
+OWN = ["_pipeline_row", "_copy", "_copies", "_taken", "_group", "_number", "first", "copies", "predicted", "held_out", "keep_id", "component_id", "_ROW_"]
+
+
+def test_columns_named_like_the_stages_own(spark):
+    """Every further column comes through as it was, whatever its name."""
+    r = random.Random(11)
+    texts = [prose(r, r.randint(20, 60)) for _ in range(40)]
+    texts += [texts[0], texts[1] + " more", None, "", None]
+    docs = spark.createDataFrame(rows(texts, ["a" if k % 2 else None for k in range(45)]), SCHEMA)
+    docs = docs.selectExpr("*", *[f"doc_id * 10 + {k} AS `{c}`" for k, c in enumerate(OWN)]).repartition(3).cache()
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.count() > 0 and all(x[c] == x.doc_id * 10 + k for x in out.collect() for k, c in enumerate(OWN))
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
+
+
+def test_stages_are_what_a_plain_program_makes_of_them(spark, inputs):
+    """Exact copies by a dictionary, near ones by all pairs of five-word sets, both over the stage's own input."""
+    exact = {}
+    for x in sorted(inputs[1].collect(), key=lambda x: x.doc_id):
+        exact.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", x.text or ""), x.doc_id)
+    assert {x.doc_id for x in inputs[2].collect()} == set(exact.values())
+    copies = Counter(x.doc_id for x in inputs[4].collect())
+    size = {x.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", x.text or "")) for x in inputs[3].collect()}
+    source = {x.doc_id: x.source for x in inputs[3].collect()}
+    total, taken = Counter(), Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+        taken[source[i]] += n * copies[i]
+    assert max(copies.values()) <= 3
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    left, target, weight = float(sum(total.values())), {}, {s: 1 + k % 3 for k, s in enumerate(names)}
+    open_ones = [s for s in names if total[s]]
+    while open_ones:  # shares by weight, a source at three times its size gives back the rest
+        share = left / sum(weight[s] for s in open_ones)
+        full = [s for s in open_ones if weight[s] * share > 3 * total[s]]
+        for s in full or open_ones:
+            target[s] = 3.0 * total[s] if full else weight[s] * share
+        left -= sum(target[s] for s in full)
+        open_ones = [s for s in open_ones if s not in full] if full else []
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= max(60, 0.05 * want), (s, taken[s], want)
