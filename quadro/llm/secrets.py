@@ -89,12 +89,14 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     spans = stage(spans, "spans")
     known = spans.join(ownership(spans), "value").withColumn("copied", F.col("n_owners") > max_owners)
     base = len(BASE)
-    listed = known.where((F.col("kind") < base) | ~F.col("copied")).groupBy("_row").agg(
+    # An added span overlaps a base one if one that begins no later ends after its start, or the next one begins before its end.
+    near = Window.partitionBy("_row").orderBy("start")
+    of_base = lambda c: F.when(F.col("kind") < base, F.col(c))
+    known = known.where((F.col("kind") < base) | ~F.col("copied")).withColumns({
+        "ended": F.max(of_base("end")).over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "next": F.min(of_base("start")).over(near.rangeBetween(1, Window.unboundedFollowing))})
+    overlaps = F.coalesce(F.col("ended") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    listed = known.where((F.col("kind") < base) | ~overlaps).groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", "copied"))).alias("all"))
-    basic = F.filter("all", lambda s: s["kind"] < base)
-    # Base spans are sorted by start: few of them lie near an added one.
-    clear = F.filter("all", lambda s: (s["kind"] < base) | ~F.exists("basic", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    listed = listed.withColumn("basic", basic).withColumn("all", clear).drop("basic")
     names = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform("all", lambda s: F.struct(
         names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < base).alias("base"),
