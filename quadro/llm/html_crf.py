@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quadro.llm.html_blocks import Block, blocks_of
 from quadro.llm.html_pages import labelled_pages
 
-TRAIN_PAGES, PLAIN_PAGES, EPOCHS, RATE, SHRINK = 500, 250, 12, 0.3, 1e-4
+TRAIN_PAGES, PLAIN_PAGES, EPOCHS, RATE, SHRINK = 500, 400, 12, 0.3, 1e-4
 
 
 def path_features(path: tuple[str, ...]) -> set[str]:
@@ -46,6 +46,8 @@ def text_features(block: Block, k: int, n: int) -> set[str]:
         found.add("first")
     if k == n - 1:
         found.add("last")
+    if not block.linked:
+        found.add(f"sentences:{min(4, block.text.count('. '))}")
     if "©" in block.text:
         found.add("rights")
     return found

@@ -140,7 +140,7 @@ class _Maker:
         """A page of little but its text, or one whose parts have names that nobody knows."""
         r = self.r
         self.tag(r.choice(["", "<html><head><title>x</title></head>"]) + "<body>")
-        wrap = r.choice(["article", "article", "main", "main", "div", "section", ""])
+        wrap = r.choice(["article", "article", "main", "div", "section", "section", ""])
         boxes = r.random() < 0.5
         if boxes and r.random() < 0.5:
             self.box()
