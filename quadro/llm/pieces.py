@@ -47,7 +47,7 @@ from quadro.llm.shingles import _BASE, buffers, mix, slices
 # Ranks are stored in three bytes: HOT stays below 2^24. SHORT bytes are two words.
 HOT, SHORT, LONGEST = 1 << 19, 16, 62
 #: Distinct units that a task gathers before it hands them on.
-GATHERED = 1 << 19
+GATHERED = 1 << 18
 #: Units that a task groups in memory before it sorts (Spark's default, 128, always sorts).
 IN_MEMORY_GROUPS, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 150_000
 SYMBOL = "▁"
@@ -235,6 +235,7 @@ def count_units(texts: DataFrame, safe: str) -> DataFrame:
                     yield from _unit_batches(*held.pop())
         if held:
             yield from _unit_batches(*_distinct(*map(np.concatenate, zip(*held, strict=True))))
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
 
     return texts.select("text").mapInArrow(one, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"), F.max(F.length("unit")).alias("size"))
 
@@ -334,10 +335,10 @@ class HotUnits:
     slots: np.ndarray | None = None  # ranks and 1 by hash, at the first free place from there
 
     def _place(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (_hash(low, high, size) >> np.uint64(64 - (8 * len(self.low)).bit_length())).astype(np.int64)
+        return (_hash(low, high, size) >> np.uint64(64 - (2 * len(self.low)).bit_length())).astype(np.int64)
 
     def _fill(self) -> np.ndarray:
-        slots = np.zeros(1 << (8 * len(self.low)).bit_length(), np.uint32)
+        slots = np.zeros(1 << (2 * len(self.low)).bit_length(), np.uint32)
         left = np.arange(len(self.low))
         place = self._place(self.low, self.high, self.size.astype(np.int64))
         while len(left):
@@ -427,6 +428,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
             row = np.searchsorted(first, left, side="right") - 1
             keys = b.select(["key", "half"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(left - first[row], pa.int32()), _texts(data, starts, left)], names=left_over.names)
+        pa.default_memory_pool().release_unused()
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -465,6 +467,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = HOT) -> DataFram
             at = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), lists, pa.array(texts, pa.string())], names=out.names)
+        pa.default_memory_pool().release_unused()
 
     done = whole.select("doc_id", "h", "n_units", "ranks", "rare").mapInArrow(merge, out)
     return done.select("doc_id", "ids", (F.xxhash64("text") == F.col("h")).alias("same"))
