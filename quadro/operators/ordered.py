@@ -87,8 +87,9 @@ def source_numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """df and each record's number (from 0) in the order of its source.
 
     A file's rows are counted by file and number their own places; the counts, one row a file,
-    are added up in order of paths. Nothing is sorted and no row is moved. Rows that a filter has
-    left of their files are dealt to ranges of that order instead."""
+    are added up in order of paths and sent to every task: a join by file would put all rows of a
+    file into one task. Nothing is sorted and no row is moved. Rows that a filter has left of
+    their files are dealt to ranges of that order instead."""
     try:
         d = df.select("*", F.col("_metadata.file_path").alias(RANGE), F.col("_metadata.row_index").alias(PLACE))
     except AnalysisException:  # rows of no file, or of a format that doesn't number its rows
@@ -98,4 +99,4 @@ def source_numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     if each.agg(F.every("whole")).first()[0] is False:
         return numbered(d, [F.col(RANGE), F.col(PLACE)], name).drop(RANGE, PLACE)
     start = before(d, {"_start": (F.count(F.lit(1)), F.sum("_start"))})
-    return d.join(start, RANGE).select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_start", F.lit(0)) + F.col(PLACE)).alias(name))
+    return d.join(F.broadcast(start), RANGE).select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_start", F.lit(0)) + F.col(PLACE)).alias(name))
