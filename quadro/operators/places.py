@@ -96,42 +96,105 @@ def on_map(objects: DataFrame, cells: DataFrame) -> DataFrame:
     return d.select(*objects.columns, F.when(F.col("_has"), F.col("_by_key")).otherwise(F.col("_by_name")).alias("value"))
 
 
+#: Sides of cells are 2**FINE times smaller than an object; pairs of sides that points are looked up in, at most.
+FINE, MOST_SIZES = 2, 64
+
+
 def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """points with `object`: the key of the last object on the map that is at each, or null.
 
     objects: ord, key, type, parts (rings, arrays of x and y; islands add, holes take away). A
     polygon (with a seat or without) holds what an odd number of its rings surround, a `point` object (the first point of
     its first ring) the very same coordinates, a `line` nothing. Of several the largest ord wins,
-    of equal ones the largest key. Points without finite coordinates are at none.
-
-    A grid indexes the objects: each has cells of the power of two next above its extent, so it
-    touches four at most, whatever its size; points are looked up in the cells of each size in use
-    (a number's exponent has 2,100 values), by an equi-join, and only then tested against rings.
-    Equal coordinates are tested once.
+    of equal ones the largest key. Points without finite coordinates are at none; a polygon with
+    such a coordinate holds nothing.
+
+    Grids index the polygons: each has cells whose sides are a quarter of the powers of two next
+    above its width and its height, so it touches 25 at most, whatever its size. In a cell that
+    polygons cover in full only the last of these counts and what comes after it, so a cell keeps
+    few polygons however many lie on each other. Points are looked up in the cells of each pair of
+    sides in use (MOST_SIZES at most: else sides are powers of 4, 16, ...) by an equi-join, and only
+    those in an object's box are tested against its rings. Equal coordinates and equal shapes are
+    tested once.
     """
-    ring_of = F.flatten("parts")
-    low, high = (lambda c: F.array_min(F.transform(ring_of, lambda p: p[c]))), (lambda c: F.array_max(F.transform(ring_of, lambda p: p[c])))
-    boxed = objects.where(F.col("type").isin("polygon", "polygon-with-seat", "point") & (F.size(ring_of) > 0)).select("ord", "key", "type", "parts", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
-    single = F.col("type") == "point"
     first = F.col("parts")[0][0]
-    boxed = boxed.withColumns({c: F.when(single, first[c[0]]).otherwise(F.col(c)) for c in ("x0", "x1", "y0", "y1")})
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(2.0**-500))
-    boxed = boxed.withColumn("level", F.ceil(F.log2(extent)).cast("int")).withColumn("level", F.when(F.pow(F.lit(2.0), F.col("level")) < extent, F.col("level") + 1).otherwise(F.col("level")))
-    boxed = written(boxed, "objects")
-    levels = [r[0] for r in boxed.select("level").distinct().collect()]
-    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level) + 0.0).cast("double")
-    span = lambda a, z: F.array_distinct(F.array(cell(F.col(a), F.col("level")), cell(F.col(z), F.col("level"))))
-    held = boxed.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1"))).drop("x0", "x1", "y0", "y1")
+    known = objects.where(F.size(F.flatten("parts")) > 0).select(F.struct("ord", "key").alias("top"), "type", "parts")
+    seats = known.where("type = 'point'").select(first["x"].alias("_x"), first["y"].alias("_y"), "top")
+    boxed = written(_boxed(known), "objects")
+    sizes = [tuple(r) for r in boxed.select("lx", "ly").distinct().collect()]
+    grain = 1
+    while len({(-(-a // grain), -(-b // grain)) for a, b in sizes}) > MOST_SIZES:
+        grain *= 2
+    sizes = sorted({(-(-a // grain) * grain, -(-b // grain) * grain) for a, b in sizes})
+    boxed = boxed.withColumns({c: (F.ceil(F.col(c) / grain) * grain).cast("int") for c in ("lx", "ly")})
+    cell = ["lx", "ly", "cx", "cy"]
+    held = written(_cells(boxed), "cells")
+    covered = held.where("full").groupBy(*cell).agg(F.max("top").alias("cover"))
+    crossing = held.where("not full").join(covered, cell, "left").where(F.col("cover").isNull() | (F.col("top") > F.col("cover"))).select(*cell, "_no")
+    crossing = crossing.join(boxed.drop("lx", "ly"), "_no")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     finite = (F.abs(px) < math.inf) & (F.abs(py) < math.inf)
     places = points.where(finite).select(px.alias("_x"), py.alias("_y")).distinct()
-    sought = places.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("cx", cell(F.col("_x"), F.col("level"))).withColumn("cy", cell(F.col("_y"), F.col("level")))
-    met = sought.join(held, ["level", "cx", "cy"])
-    at = F.when(single, (first["x"] == F.col("_x")) & (first["y"] == F.col("_y"))).otherwise(inside_parts(F.col("_x"), F.col("_y"), F.col("parts")))
-    found = met.where(at).groupBy("_x", "_y").agg(F.max(F.struct("ord", "key"))["key"].alias("object"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("lx"), F.lit(b).alias("ly")) for a, b in sizes]).cast("array<struct<lx int, ly int>>")
+    sought = places.withColumn("s", F.explode(pairs)).select("_x", "_y", "s.lx", "s.ly").withColumn("cx", _cell("_x", "lx")).withColumn("cy", _cell("_y", "ly"))
+    met = sought.join(crossing, cell).where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
+    at = ["_x", "_y", "top"]
+    found = met.where(inside_parts(F.col("_x"), F.col("_y"), F.col("parts"))).select(*at)
+    found = found.union(sought.join(covered, cell).select("_x", "_y", "cover")).union(places.join(seats, ["_x", "_y"]).select(*at))
+    found = found.groupBy("_x", "_y").agg(F.max("top")["key"].alias("object"))
     return points.join(found, (px == F.col("_x")) & (py == F.col("_y")), "left").select(*[F.col(f"`{c}`") for c in points.columns], "object")
 
 
+def _cell(v: str, level: str) -> Column:
+    """The number of the cell that a coordinate is in; exact, as sides are powers of two."""
+    return F.floor(F.col(v) / F.pow(F.lit(2.0), F.col(level) - FINE) + 0.0)
+
+
+def _boxed(known: DataFrame) -> DataFrame:
+    """_no, top, parts, x0, x1, y0, y1, lx, ly: a row for each shape of polygons that can hold a
+    point, of equal ones the last; the exponents of powers of two next above its width and height."""
+    ends = {c + k: f(F.flatten("parts").getField(c)) for c in "xy" for k, f in (("0", F.array_min), ("1", F.array_max))}
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would make one task of them
+    d = known.where(F.col("type").isin("polygon", "polygon-with-seat")).repartition(parts, F.xxhash64("top")).groupBy("parts").agg(F.max("top").alias("top")).withColumns(ends)
+    d = d.where((F.col("x0") > -math.inf) & (F.col("x1") < math.inf) & (F.col("y0") > -math.inf) & (F.col("y1") < math.inf) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    for c in "xy":
+        low, high = F.col(c + "0"), F.col(c + "1")
+        # never so fine beside the coordinates that numbers of cells aren't exact
+        extent = F.greatest(high - low, F.greatest(F.abs(low), F.abs(high)) * 2.0**-48, F.lit(2.0**-500))
+        level = F.ceil(F.log2(extent)).cast("int")
+        d = d.withColumn("l" + c, F.when(F.pow(F.lit(2.0), level) < extent, level + 1).otherwise(level))
+    return d.repartition(parts).withColumn("_no", F.monotonically_increasing_id())
+
+
+def _cells(boxed: DataFrame) -> DataFrame:
+    """lx, ly, cx, cy, _no, top, full: the cells that each polygon's box touches, and whether it holds
+    every point of the cell. It does if no edge comes near the cell and its middle is inside."""
+    d = boxed
+    for c in "xy":
+        d = d.withColumn("c" + c, F.explode(F.sequence(_cell(c + "0", "l" + c), _cell(c + "1", "l" + c))))
+        side = F.pow(F.lit(2.0), F.col("l" + c) - FINE)
+        d = d.withColumns({c + "a": F.col("c" + c) * side, c + "z": (F.col("c" + c) + 1) * side})
+    xa, xz, ya, yz = (F.col(c) for c in ("xa", "xz", "ya", "yz"))
+
+    def near(p: Column, q: Column) -> Column:
+        """Whether an edge may touch a cell; what rounding could turn counts as touching."""
+        small = 2.0**-40
+        fx, fy = (F.abs(p["x"]) + F.abs(q["x"])) * small, (F.abs(p["y"]) + F.abs(q["y"])) * small
+        apart = (F.least(p["x"], q["x"]) > xz + fx) | (F.greatest(p["x"], q["x"]) < xa - fx) | (F.least(p["y"], q["y"]) > yz + fy) | (F.greatest(p["y"], q["y"]) < ya - fy)
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        turns = [dx * (b - p["y"]) - dy * (a - p["x"]) for a in (xa, xz) for b in (ya, yz)]
+        error = (F.abs(dx) * (F.abs(p["y"]) + F.abs(ya) + F.abs(yz)) + F.abs(dy) * (F.abs(p["x"]) + F.abs(xa) + F.abs(xz))) * small
+        return ~apart & (F.least(*turns) <= error) & (F.greatest(*turns) >= -error)
+
+    def touched(ring: Column) -> Column:
+        n = F.size(ring)
+        return F.exists(F.transform(ring, lambda p, i: near(p, F.get(ring, (i + n - 1) % n))), lambda b: b)
+
+    within = (xa > F.col("x0")) & (xz < F.col("x1")) & (ya > F.col("y0")) & (yz < F.col("y1"))
+    full = F.when(within, ~F.exists("parts", touched) & inside_parts((xa + xz) / 2, (ya + yz) / 2, F.col("parts"))).otherwise(False)
+    return d.select("lx", "ly", "cx", "cy", "_no", "top", full.alias("full"))
+
+
 def class_limits(df: DataFrame, name: str, kind: str, classes: int = 5, breaks: Sequence[float] = ()) -> list[float]:
     """The limits of a map's classes, lowest first: quantile, equal, continuous (as equal), or
     manual (`breaks` inside the observed range, increasing). Empty: no number."""

@@ -1,8 +1,10 @@
 """No step puts a whole table, file or map cell into one task."""
 
+import random
+
 import pytest
 
-from quadro.operators import ordered
+from quadro.operators import ordered, places
 
 
 @pytest.fixture
@@ -21,3 +23,36 @@ def test_a_limit_moves_no_records(spark, tmp_path, no_small_sides):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     assert sorted(r.id for r in rows.collect()) == list(range(150)) and tuple(counters.first()) == (400, 150, True)
+
+
+def rows_of_joins(node):
+    """Rows that each join of an executed plan gave."""
+    name = node.nodeName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+    own = [node.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for x in inner for n in rows_of_joins(x)]
+
+
+def test_points_meet_few_of_many_shapes_on_each_other(spark):
+    r = random.Random(4)
+    objects = []
+    for k in range(900):  # leaning boxes, some with a hole, wider than high by far
+        x, y, w, h = r.uniform(0, 300), r.uniform(0, 4), r.uniform(600, 900), r.uniform(5, 9)
+        ring = [(x, y), (x + w, y + h / 9), (x + w * 0.9, y + h), (x + w / 20, y + h * 0.8)]
+        hole = [(x + w / 4 + (a - x) / 5, y + h / 4 + (b - y) / 5) for a, b in ring]
+        objects.append((k // 2, f"o{k}", "polygon", [ring, hole] if k % 3 == 0 else [ring]))
+    objects += [(k, f"again{k}", *objects[5][2:]) for k in range(300)] + [(999, "dot", "point", [[(450.25, 4.5)]])] * 50
+    points = [(k, r.uniform(-50, 1000), r.uniform(-1, 12)) for k in range(400)] + [(400, 450.25, 4.5), (401, 450.25, 4.75)]
+    d = places.objects_at(
+        spark.createDataFrame(points, "id int, x double, y double"),
+        spark.createDataFrame([(a, b, c, [[{"x": x, "y": y} for x, y in ring] for ring in p]) for a, b, c, p in objects], "ord int, key string, type string, parts array<array<struct<x:double,y:double>>>"))
+    got = {p.id: p.object for p in d.collect()}
+
+    def crossed(x, y, ring):
+        return sum((b[1] > y) != (a[1] > y) and x < (a[0] - b[0]) * (y - b[1]) / (a[1] - b[1]) + b[0] for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True))
+
+    for k, x, y in points:
+        hits = [(a, b) for a, b, c, p in objects if (p[0][0] == (x, y) if c == "point" else sum(crossed(x, y, ring) for ring in p) % 2)]
+        assert got[k] == (max(hits)[1] if hits else None), k
+    assert sum(v is not None for v in got.values()) > 200
+    assert max(rows_of_joins(d._jdf.queryExecution().executedPlan())) < 100 * len(points)
