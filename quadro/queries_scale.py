@@ -180,10 +180,10 @@ def src_delimited_splits(spark, sf):
 
 @query("SELECT CAST(l_orderkey AS DOUBLE) AS id, CAST(l_linenumber AS DOUBLE) AS line, l_returnflag AS flag, l_quantity AS quantity FROM lineitem")
 def src_dbf_ranges(spark, sf):
-    """One DBF file of all records, three of its five fields read by ranges of records."""
+    """DBF files of all records, written by the tasks that read them; four of five fields read by ranges of records."""
     path = scratch_path(spark, "dbf")
     d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_linestatus").alias("mode"))
-    write_dbf_files(d.coalesce(1), path, {"flag": 1, "mode": 10, "id": 10, "line": 2, "quantity": 10}, {"quantity": 2}, most=10_000_000)
+    write_dbf_files(d, path, {"flag": 1, "mode": 10, "id": 10, "line": 2, "quantity": 10}, {"quantity": 2}, most=10_000_000)
     return read_dbf(spark, path, ["id", "line", "flag", "quantity"], range_bytes=1 << 20)
 
 

@@ -47,5 +47,7 @@ def _parts(size: int) -> Column:
 
 
 def tasks(files: DataFrame, size: int) -> int:
-    """One for each range."""
-    return min(MOST_TASKS, files.agg(F.sum(_parts(size))).first()[0] or 1)
+    """One for each range; where ranges are small and many, one for RANGE_BYTES of them."""
+    ranges, length = files.agg(F.sum(_parts(size)), F.sum("length")).first()
+    few = max(16 * files.sparkSession.sparkContext.defaultParallelism, (length or 0) // RANGE_BYTES)
+    return min(MOST_TASKS, few, ranges or 1)

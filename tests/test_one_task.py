@@ -1,10 +1,13 @@
 """No step puts a whole table, file or map cell into one task."""
 
 import random
+from pathlib import Path
 
 import pytest
 
+import __spark_entry__
 from quadro.operators import ordered, places
+from quadro.sources import dbf, ranges
 
 
 @pytest.fixture
@@ -56,3 +59,33 @@ def test_points_meet_few_of_many_shapes_on_each_other(spark):
         assert got[k] == (max(hits)[1] if hits else None), k
     assert sum(v is not None for v in got.values()) > 200
     assert max(rows_of_joins(d._jdf.queryExecution().executedPlan())) < 100 * len(points)
+
+
+@pytest.mark.parametrize("query, name, table, key", [("src_delimited_splits", "quoted", "documents", "doc_id"), ("src_dbf_ranges", "dbf", "lineitem", "l_orderkey")])
+def test_files_are_written_by_the_tasks_that_read(spark, tmp_path, query, name, table, key):
+    given = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    given.repartition(4, key).write.parquet(str(tmp_path / f"{table}.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    old = set(shared.glob(f"{name}-*"))
+    found = __spark_entry__.queries()[query](spark, str(tmp_path))
+    (folder,) = set(shared.glob(f"{name}-*")) - old
+    assert len([f for f in folder.iterdir() if f.suffix in (".csv", ".dbf")]) >= 4
+    want = __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")
+    assert found.count() == want.count() > 0 and found.exceptAll(want).isEmpty()
+
+
+def test_small_ranges_share_tasks(spark):
+    files = spark.createDataFrame([("a", 3 << 30)], "path string, length long")
+    assert ranges.tasks(files, 1 << 18) < 200 and ranges.tasks(files, 1 << 30) == 3
+
+
+def test_a_task_holds_a_bounded_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dbf, "FILE_BYTES", 430)
+    rows = [(k, None if k % 7 == 0 else k / 8 - 3, None if k % 5 == 0 else f"é{k}") for k in range(300)]
+    d = spark.createDataFrame(rows, "id int, v double, name string").coalesce(1)
+    made = dbf.write_dbf_files(d, str(tmp_path / "x"), {"id": 5, "v": 9, "name": 6}, {"v": 2}).collect()
+    assert len(made) == 15 and {r.records for r in made} == {20}
+    back = dbf.read_dbf(spark, str(tmp_path / "x"), range_bytes=200).collect()
+    assert sorted((r.id, r.v, r.name) for r in back) == [(k, None if v is None else float(f"{v:.2f}"), n) for k, v, n in rows]
+    with pytest.raises(Exception, match="needs more than 2 characters"):
+        dbf.write_dbf_files(d, str(tmp_path / "y"), {"id": 2, "v": 9, "name": 6}, {"v": 2})
