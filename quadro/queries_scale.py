@@ -170,10 +170,10 @@ def pipe_odd_keys(spark, sf):
 
 @query("SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, lang, sha256(trim(text)) AS text_sha256 FROM documents WHERE trim(text) <> ''")
 def src_delimited_splits(spark, sf):
-    """Whole texts, with line ends and quotes in quotes, in one large file that many tasks read."""
+    """Whole texts, with line ends and quotes in quotes, written by the tasks that read them; many tasks read each file."""
     path = scratch_path(spark, "quoted")
     d = table(spark, sf, "documents").where("trim(text) <> ''").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "n_chars", "lang", "text")
-    d.coalesce(1).write.option("quoteAll", True).option("escape", '"').csv(path, sep=";", header=True)
+    d.write.option("quoteAll", True).option("escape", '"').csv(path, sep=";", header=True)
     back = read_delimited(spark, path, range_bytes=1 << 18)
     return back.select(F.substring("doc_id", 2, 20).cast("bigint").alias("doc_id"), "n_chars", "lang", F.sha2("text", 256).alias("text_sha256"))
 
