@@ -115,7 +115,8 @@ def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y"
     few polygons however many lie on each other. Points are looked up in the cells of each pair of
     sides in use (MOST_SIZES at most: else sides are powers of 4, 16, ...) by an equi-join, and only
     those in an object's box are tested against its rings. Equal coordinates and equal shapes are
-    tested once.
+    tested once. No side is broadcast by its size in files: they pack points and cells to a few bytes,
+    and one place gives a row for each pair of sides, so what looks small may not fit the driver.
     """
     first = F.col("parts")[0][0]
     known = objects.where(F.size(F.flatten("parts")) > 0).select(F.struct("ord", "key").alias("top"), "type", "parts")
@@ -130,17 +131,17 @@ def objects_at(points: DataFrame, objects: DataFrame, x: str = "x", y: str = "y"
     cell = ["lx", "ly", "cx", "cy"]
     held = written(_cells(boxed), "cells")
     covered = held.where("full").groupBy(*cell).agg(F.max("top").alias("cover"))
-    crossing = held.where("not full").join(covered, cell, "left").where(F.col("cover").isNull() | (F.col("top") > F.col("cover"))).select(*cell, "_no")
-    crossing = crossing.join(boxed.drop("lx", "ly"), "_no")
+    crossing = held.where("not full").join(covered.hint("merge"), cell, "left").where(F.col("cover").isNull() | (F.col("top") > F.col("cover"))).select(*cell, "_no")
+    crossing = crossing.join(boxed.drop("lx", "ly").hint("merge"), "_no")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     finite = (F.abs(px) < math.inf) & (F.abs(py) < math.inf)
     places = points.where(finite).select(px.alias("_x"), py.alias("_y")).distinct()
     pairs = F.array(*[F.struct(F.lit(a).alias("lx"), F.lit(b).alias("ly")) for a, b in sizes]).cast("array<struct<lx int, ly int>>")
     sought = places.withColumn("s", F.explode(pairs)).select("_x", "_y", "s.lx", "s.ly").withColumn("cx", _cell("_x", "lx")).withColumn("cy", _cell("_y", "ly"))
-    met = sought.join(crossing, cell).where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
+    met = sought.join(crossing.hint("merge"), cell).where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
     at = ["_x", "_y", "top"]
     found = met.where(inside_parts(F.col("_x"), F.col("_y"), F.col("parts"))).select(*at)
-    found = found.union(sought.join(covered, cell).select("_x", "_y", "cover")).union(places.join(seats, ["_x", "_y"]).select(*at))
+    found = found.union(sought.join(covered.hint("merge"), cell).select("_x", "_y", "cover")).union(places.join(seats.hint("merge"), ["_x", "_y"]).select(*at))
     found = found.groupBy("_x", "_y").agg(F.max("top")["key"].alias("object"))
     return points.join(found, (px == F.col("_x")) & (py == F.col("_y")), "left").select(*[F.col(f"`{c}`") for c in points.columns], "object")
 

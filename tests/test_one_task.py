@@ -61,6 +61,16 @@ def test_points_meet_few_of_many_shapes_on_each_other(spark):
     assert max(rows_of_joins(d._jdf.queryExecution().executedPlan())) < 100 * len(points)
 
 
+def test_no_side_of_a_map_goes_through_the_driver_by_its_size_in_files(spark, tmp_path):
+    """Files of points and objects are far smaller than the rows that joins make of them."""
+    for name in ("customer", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    d = __spark_entry__.queries()["map_objects"](spark, str(tmp_path))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 6 and "Broadcast" not in plan
+    assert d.where("object is not null").count() > 50
+
+
 @pytest.mark.parametrize("query, name, table, key", [("src_delimited_splits", "quoted", "documents", "doc_id"), ("src_dbf_ranges", "dbf", "lineitem", "l_orderkey")])
 def test_files_are_written_by_the_tasks_that_read(spark, tmp_path, query, name, table, key):
     given = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
