@@ -156,7 +156,9 @@ def _boxed(known: DataFrame) -> DataFrame:
     point, of equal ones the last; the exponents of powers of two next above its width and height."""
     ends = {c + k: f(F.flatten("parts").getField(c)) for c in "xy" for k, f in (("0", F.array_min), ("1", F.array_max))}
     parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would make one task of them
-    d = known.where(F.col("type").isin("polygon", "polygon-with-seat")).repartition(parts, F.xxhash64("top")).groupBy("parts").agg(F.max("top").alias("top")).withColumns(ends)
+    d = known.where(F.col("type").isin("polygon", "polygon-with-seat")).repartition(parts, F.xxhash64("top"))
+    # by a digest: nested arrays as a key would be made anew for each comparison, and the filters below run on every record
+    d = d.withColumn("_shape", F.sha2(F.col("parts").cast("string"), 256)).groupBy("_shape").agg(F.max("top").alias("top"), F.first("parts").alias("parts")).drop("_shape").withColumns(ends)
     d = d.where((F.col("x0") > -math.inf) & (F.col("x1") < math.inf) & (F.col("y0") > -math.inf) & (F.col("y1") < math.inf) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     for c in "xy":
         low, high = F.col(c + "0"), F.col(c + "1")
